@@ -1 +1 @@
-
+"""Registered queries; importing this package files them in the registry."""

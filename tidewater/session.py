@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results or plan shape; sizes (memory, cores) stay with the deployer.
@@ -27,3 +33,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once an application, for the operators that run Python there."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="tidewater-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = f"{folder}/tidewater.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return spark
