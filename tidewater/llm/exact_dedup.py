@@ -21,7 +21,22 @@ def normalised(text: Column) -> Column:
 
 
 def exact_dedup(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 2) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (see ``groups``)."""
+    return groups(docs, fan_in_bits, rounds).drop("text_hash")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    kept = materialise(groups(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "kept")
+    h = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (h == F.col("_h")), "left_semi")
+    ids = docs.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull())).first()
+    # Rows that repeat exactly can't be told apart by what they hold; only tables that have some pay for it.
+    return left if ids[0] == ids[1] else left.withColumn("_h", h).dropDuplicates(["doc_id", "_h"]).drop("_h")
+
+
+def groups(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 2) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Texts are equal when they match after deleting every blank character; null text counts as empty, so
     all empty, blank and null texts form one group. Of a group the row with the most code points in its
@@ -32,12 +47,13 @@ def exact_dedup(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 2) -> DataF
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     entries = source.select(
-        "doc_id", F.length("text").alias("n_chars"), normalised(F.col("text")).alias("norm")
+        "doc_id", F.length("text").alias("n_chars"), normalised(F.col("text")).alias("norm"), F.xxhash64("text").alias("text_hash")
     ).select(
         "doc_id",
         "n_chars",
         F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"),
         F.struct(F.xxhash64("norm").alias("h"), F.length("norm").alias("n")).alias("proof"),
+        "text_hash",
     )
     rows = materialise(entries.withColumn("row_id", F.monotonically_increasing_id()), "digests")
     rank = F.struct(
@@ -72,6 +88,7 @@ def exact_dedup(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 2) -> DataF
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("best.row_id") == F.col("row_id"), F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_hash",
     )
 
 

@@ -118,11 +118,12 @@ def encode_pieces(docs: DataFrame, model_file: str, id_column: str = "doc_id") -
     return slim.mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
-def piece_digests(encoded: DataFrame) -> DataFrame:
-    """The contract's columns from the operator's output."""
+def piece_digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """The contract's columns from the operator's output, and others of it that are named."""
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
