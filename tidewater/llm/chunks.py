@@ -6,35 +6,37 @@ from collections.abc import Callable, Iterable
 
 
 class ChunkTable:
-    """Maps each distinct chunk to packed bytes, segmenting a chunk once while it stays in the table.
+    """Maps each distinct chunk to what ``segment`` makes of it, once while it stays in the table.
 
     Two generations bound the memory: when the young one is full it becomes the old one, and chunks
     that are asked for again move back up. What is dropped is segmented anew if it returns, so the
     result never depends on the bound.
     """
 
-    def __init__(self, segment: Callable[[list[str]], Iterable[bytes]], most: int = 400_000) -> None:
+    def __init__(self, segment: Callable[[list[str]], Iterable], most: int = 500_000) -> None:
         self.segment, self.most = segment, most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def packed(self, chunks: list[str]) -> list[bytes]:
+    def packed(self, chunks: list[str]) -> list:
+        """One entry per chunk; all that are missing are segmented in one call."""
         young = self.young
-        try:
-            return list(map(young.__getitem__, chunks))
-        except KeyError:
-            pass
-        missing = list({c for c in chunks if c not in young})
-        old = self.old
-        fresh = []
-        for c in missing:
-            if c in old:
-                young[c] = old[c]
-            else:
-                fresh.append(c)
-        if fresh:
-            young.update(zip(fresh, self.segment(fresh), strict=True))
-        found = list(map(young.__getitem__, chunks))
-        if len(young) > self.most:
-            self.old, self.young = young, {}
+        found = list(map(young.get, chunks))
+        if None in found:
+            holes = [i for i, x in enumerate(found) if x is None]
+            old, fresh = self.old, {}
+            for i in holes:
+                c = chunks[i]
+                if c not in young:
+                    known = old.get(c)
+                    if known is None:
+                        fresh[c] = None
+                    else:
+                        young[c] = known
+            if fresh:
+                young.update(zip(fresh, self.segment(list(fresh)), strict=True))
+            for i in holes:
+                found[i] = young[chunks[i]]
+            if len(young) > self.most:
+                self.old, self.young = young, {}
         return found

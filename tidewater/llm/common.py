@@ -39,11 +39,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and a lost executor costs only its running tasks."""
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, and a lost executor costs only its running tasks.
+
+    With ``by`` a folder for each of its values, for readers that want one of them.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ segmented and decoded once, and ids and surfaces are joined back by position. Mo
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +31,11 @@ class PieceCodec:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.bos, self.eos = self.sp.bos_id(), self.sp.eos_id()
+        self.lone = self.sp.piece_to_id(MARK)
         self.separable = self._separable()
         self.table = ChunkTable(self._segment)
+        self.id_table = ChunkTable(self._segment_ids)
+        self.begin, self.end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
 
     def _separable(self) -> bool:
         """Whether cutting before markers gives the library's own result, judged from the model itself."""
@@ -45,43 +49,73 @@ class PieceCodec:
         ids = sp.encode(probe)
         return sp.decode(ids) == probe and sp.encode(" a") != sp.encode("a") and sp.unk_id() not in ids
 
-    def _segment(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Each chunk begins with a marker, which the library itself puts before a text."""
-        lists = self.sp.encode([c[1:] for c in chunks], num_threads=1)
-        lone = self.sp.piece_to_id(MARK)  # a last blank: the library adds no marker to an empty text
-        lists = [ids or [lone] for ids in lists]
-        texts = self.sp.decode(lists, num_threads=1) if lists else []
-        for ids, text in zip(lists, texts, strict=True):
-            yield struct.pack(f"<{len(ids)}I", *ids), b" " + text.encode()
-
-    def encode_decode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        if not text:
-            ids: list[int] = []
-        elif not self.separable or MARK in text:
-            ids = self.sp.encode(text)
-        else:
-            found = self.table.packed(marked_words(text))
-            body = b"".join([x[0] for x in found])
-            return struct.pack("<I", self.bos) + body + struct.pack("<I", self.eos), b"".join([x[1] for x in found])[1:]
-        ids = [self.bos, *ids, self.eos]
-        return struct.pack(f"<{len(ids)}I", *ids), self.sp.decode(ids).encode()
+    def _lists(self, words: list[str]) -> list[list[int]]:
+        """The library itself puts the marker before a text, but adds none to an empty one."""
+        return [ids or [self.lone] for ids in self.sp.encode(words, num_threads=1)]
+
+    def _segment(self, words: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        lists = self._lists(words)
+        for ids, text in zip(lists, self.sp.decode(lists, num_threads=1), strict=True):
+            yield array("I", ids).tobytes(), b" " + text.encode()
+
+    def _segment_ids(self, words: list[str]) -> Iterator[bytes]:
+        return (array("I", ids).tobytes() for ids in self._lists(words))
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """All marked words of the texts that can be cut, and where each text's words end; -1 for the others."""
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            if text and self.separable and MARK not in text:
+                words += marked_words(text)
+                ends.append(len(words))
+            else:
+                ends.append(-1)
+        return words, ends
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, begin and end ids included."""
+        words, ends = self._cut(texts)
+        found, at, out = self.id_table.packed(words), 0, []
+        for text, end in zip(texts, ends, strict=True):
+            if end < 0:
+                body = array("I", self.sp.encode(text) if text else []).tobytes()
+            else:
+                body, at = b"".join(found[at:end]), end
+            out.append(self.begin + body + self.end)
+        return out
+
+    def encode_decode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """As ``ids``, each with the decoded text in UTF-8."""
+        words, ends = self._cut(texts)
+        found, at, out = self.table.packed(words), 0, []
+        for text, end in zip(texts, ends, strict=True):
+            if end < 0:
+                ids = self.sp.encode(text) if text else []
+                body, decoded = array("I", ids).tobytes(), self.sp.decode([self.bos, *ids, self.eos]).encode()
+            else:
+                part, at = found[at:end], end
+                body, decoded = b"".join([x[0] for x in part]), b"".join([x[1] for x in part])[1:]
+            out.append((self.begin + body + self.end, decoded))
+        return out
 
 
 def marked_words(text: str) -> list[str]:
-    """Words that begin with their marker; runs of blanks stay with the word they precede."""
+    """The text cut before each marker that follows another character, each part without its first marker.
+
+    Marked, a text has a marker in front and one for each blank; runs of blanks stay with the word they precede.
+    """
     words = text.split(" ")
     if "" not in words:
-        return [f" {w}" for w in words]
-    out, pending = [], " "
+        return words
+    out, blanks = [], 0
     for i, w in enumerate(words):
-        if i:
-            pending += " "
+        blanks += i > 0
         if w:
-            out.append(pending + w)
-            pending = ""
-    if pending:
-        out.append(pending)
+            out.append(" " * (blanks - (len(out) > 0)) + w)
+            blanks = 0
+    if blanks:
+        out.append(" " * (blanks - (len(out) > 0)))
     return out
 
 
@@ -102,9 +136,9 @@ def encode_pieces(docs: DataFrame, model_file: str, id_column: str = "doc_id") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                done = [own.encode_decode(t) for t in part.column(1).to_pylist()]
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                done = own.encode_decode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),

@@ -13,9 +13,11 @@ A reader seeks to the footer, reads the two tables and decompresses only frames
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -156,32 +158,61 @@ class ByteCodec:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_file)
-        self.table = ChunkTable(self._segment)
+        self.words, self.parts = ChunkTable(self._after_blank), ChunkTable(self._segment)
         # Words may be cut apart only where no rule looks across a single blank between two non-blanks.
         pre = str(self.tok.pre_tokenizer)
         self.separable = self.tok.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
 
     def _segment(self, chunks: list[str]) -> Iterator[bytes]:
         for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False):
-            yield struct.pack(f"<{len(e)}I", *e.ids)
-
-    def encode(self, text: str) -> bytes:
+            yield array("I", e.ids).tobytes()
+
+    def _after_blank(self, words: list[str]) -> Iterator[bytes]:
+        """Of words that stand after a single blank; new ones are cut further, for their parts come more often."""
+        parts: list[str] = []
+        ends = []
+        for w in words:
+            parts += PART.split(f" {w}") if SPECIAL not in w else [f" {w}"]
+            ends.append(len(parts))
+        found, at = self.parts.packed(parts), 0
+        for end in ends:
+            yield b"".join(found[at:end])
+            at = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.separable:
-            return next(self._segment([text]))
-        return b"".join(self.table.packed(blank_words(text)))
+            return list(self._segment(texts))
+        firsts: list[str] = []
+        rest: list[str] = []
+        ends = []
+        for text in texts:
+            first, *others = blank_words(text)
+            firsts.append(first)
+            rest += others
+            ends.append(len(rest))
+        heads, found, at, out = self.parts.packed(firsts), self.words.packed(rest), 0, []
+        for head, end in zip(heads, ends, strict=True):
+            out.append(head + b"".join(found[at:end]))
+            at = end
+        return out
+
+
+#: Places inside a word where a rule always ends: before a mark after a letter, around a single line end.
+PART = re.compile(r"(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])(?=[.,;:!?])|(?<=[.,;:!?])(?=\n)|(?<=[^\s]\n)(?=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])")
+SPECIAL = "<|"
+BESIDE_BLANK = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 
 def blank_words(text: str) -> list[str]:
-    """Cut before each blank that stands alone between two characters that are not white space."""
+    """Cut at each blank that stands alone between two characters that are not white space."""
     words = text.split(" ")
-    first, rest = words[0], words[1:]
-    if all([w and not w[0].isspace() and not w[-1].isspace() for w in words]):
-        return [first, *[f" {w}" for w in rest]]
-    out = [first]
-    for w in rest:
+    if not BESIDE_BLANK.search(text):
+        return words
+    out = [words[0]]
+    for w in words[1:]:
         last = out[-1]
         if w and last and not w[0].isspace() and not last[-1].isspace():
-            out.append(f" {w}")
+            out.append(w)
         else:
             out[-1] = f"{last} {w}"
     return out
@@ -215,12 +246,14 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, uri: str, shards: in
         final, draft = f"{root}/shard-{shard:08d}.twt", f"{root}/_draft-{shard:08d}-{uuid.uuid4().hex}"
         sink = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     sink = store.open_output_stream(draft)
                     writer = ShardWriter(sink)
-                writer.add(doc_id, own.encode(text) + end)
+                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
+                    writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             sink.close()
