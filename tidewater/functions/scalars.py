@@ -99,7 +99,11 @@ def finite(x: Column) -> Column:
 
 
 def significant(x: Column, digits: int = 12) -> Column:
-    """The shortest decimal text of ``digits`` significant digits; null becomes ""."""
+    """The shortest decimal text of ``digits`` significant digits; null becomes "".
+
+    Halves are those of the number's shortest decimal form, and go up: 99999999999.95 gives 100000000000,
+    where C's %.12g, which rounds the binary value below it, gives 99999999999.9.
+    """
     plain = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits - 1}e", x), r"(\.\d*?)0+(e)", "$1$2"), r"\.(e)", "$1")
     exponent = F.when(x == 0, F.lit(0)).otherwise(F.regexp_extract(F.format_string(f"%.{digits - 1}e", x), r"e([+-]\d+)$", 1).cast("int"))
     places = F.greatest(F.lit(0), F.lit(digits - 1) - exponent)

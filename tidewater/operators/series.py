@@ -277,7 +277,7 @@ def arch_lm(squares: np.ndarray | list[float], n: int, orders: list[int]) -> lis
     for q in orders:
         r2 = min(1.0, max(0.0, 1 - var[q]))
         lm = (n - q) * r2
-        out.append({"q": q, "r2": r2, "lm": lm, "p_value": special.chi_square_tail(lm, q)})
+        out.append({"q": q, "r2": float(r2), "lm": float(lm), "p_value": special.chi_square_tail(float(lm), q)})
     return out
 
 
