@@ -134,3 +134,46 @@ def test_prefixes_lose_no_pair():
             if need <= n and n / m >= 0.8:  # two sets that can be similar
                 assert line_dedup.prefix_length(n) > n - need
                 assert line_dedup.prefix_length(m) > m - need
+
+
+def test_a_group_of_copies_around_a_hidden_base(spark):
+    """Copies are like their base but hardly like each other, and the base has the largest id."""
+    rng = random.Random(4)
+    base = [f"b{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(260):
+        copy = list(base)
+        for _ in range(1 + i % 6):
+            copy[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows.append((9999, " ".join(base)))
+    bags = [bagminhash.bag(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bagminhash.weighted_jaccard(bags[i], bags[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    want = {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+    assert 1 < len(set(want.values())) < 150
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (5, 80, 600):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n * 3 // 4], rng.integers(0, 2**63, n // 3).astype(np.uint64), a[:2]])
+        from collections import Counter
+
+        ca, cb = Counter(a.tolist()), Counter(b.tolist())
+        apart = sum(abs(ca[k] - cb[k]) for k in ca | cb)
+        cells = sum(bin(int(x) & (2**64 - 1)).count("1") for x in bagminhash.parity(a) ^ bagminhash.parity(b))
+        assert cells <= apart

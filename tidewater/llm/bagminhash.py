@@ -6,9 +6,11 @@ and counts if its level is at most c. A register keeps its earliest time. Two ba
 with the probability of their weighted Jaccard similarity, sum of minima over sum of maxima. Points are
 made in order of time and only until every register has one, so the work is that of the registers.
 
-Candidates: documents whose registers agree in a band. In each band every member is checked against the
-least member; connected components of the links found are formed, and members that the same band still
-holds in different components are then checked against each other, so that no link of a band is lost.
+Candidates: documents whose registers agree in a band. In each bucket every member is checked against its
+centre, the member that shares most; connected components of the links found are formed, and members that a
+bucket still holds in different components are then checked against each other, so that no link is lost.
+Sizes and 1,024 parity cells bound how far two bags are alike; pairs beyond the bound fall out inside the
+joins, before any text is fetched, and no similar pair is beyond it.
 """
 
 from __future__ import annotations
@@ -133,6 +135,12 @@ def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """1,024 cells of whether an odd number of shingles fell in: bags differ in no more cells than shingles."""
+    cells = np.bincount((_mix(shingles ^ _LEVEL) & _U(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
 def bag(text: str) -> Counter:
     words = words_in(text)
     if len(words) < SHINGLE:
@@ -148,29 +156,30 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
 
 
 def _sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, digest of the word sequence, n (shingles), bands (keys; none without words)."""
+    """doc_id, text_hash, digest of the word sequence, n (shingles), parity, bands (keys; none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                digests, sizes, keys = [], [], []
+                digests, sizes, keys, cells = [], [], [], []
                 for text in part.column(2).to_pylist():
                     words = words_in(text)
                     digests.append(hashlib.sha256(b" ".join(words)).digest())
                     shingles = shingle_hashes(words, table)
                     sizes.append(len(shingles))
+                    cells.append(parity(shingles))
                     keys.append(band_keys(signature(shingles, bands * rows), bands, rows) if len(shingles) else np.zeros(0, np.int64))
                 offsets = np.zeros(len(keys) + 1, np.int32)
                 np.cumsum([len(k) for k in keys], out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists],
-                    names=["doc_id", "text_hash", "digest", "n", "bands"],
+                    [part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), lists],
+                    names=["doc_id", "text_hash", "digest", "n", "parity", "bands"],
                 )
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, digest binary, n long, bands array<long>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, digest binary, n long, parity array<long>, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -211,18 +220,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "text_hash")
     # Copies are counted apart first: each text takes part once, under the row that would stay (rep).
     reps = materialise(
-        sketch.groupBy("digest").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")).select(
-            "digest", F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("text_hash"), F.col("best.row_id").alias("rep"), "n", "bands", "copies"
+        sketch.groupBy("digest").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("bands").alias("bands"), F.count("*").alias("copies")).select(
+            "digest", F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("text_hash"), F.col("best.row_id").alias("rep"), "n", "parity", "bands", "copies"
         ),
         "reps",
     )
     buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
-    full = buckets.groupBy("key").agg(F.min("rep").alias("u"), F.count("*").alias("size")).filter("size > 1")
-    members = materialise(buckets.join(full, "key").select("key", "rep", "n", "u", "size"), "buckets")
-    stars = members.filter("rep != u").select("u", F.col("rep").alias("v"), F.col("n").alias("nv")).distinct()
-    close = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
-    sizes = reps.select(F.col("rep").alias("u"), F.col("n").alias("nu"))
-    pairs = stars.join(sizes, "u").filter(close(F.col("nu"), F.col("nv"))).select("u", "v")
+    full = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared_keys = materialise(buckets.join(full, "key"), "shared")
+    # The centre of a band's bucket is the member that shares most: the text that others were copied from.
+    score = shared_keys.groupBy("rep").agg(F.sum("size").alias("score"))
+    scored = shared_keys.join(score, "rep")
+    centres = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("c")).select("key", (-F.col("c.rep")).alias("u"))
+    members = materialise(scored.join(centres, "key").select("key", "rep", "n", "u"), "buckets")
+    stars = members.filter("rep != u").select("u", F.col("rep").alias("v")).distinct()
+
+    def possible(pu, pv, nu, nv):
+        """What every similar pair meets: sizes and parities bound how much two bags differ."""
+        apart = sum((F.bit_count(pu[i].bitwiseXOR(pv[i])) for i in range(16)), F.lit(0))
+        return (F.least(nu, nv) >= F.lit(similarity) * F.greatest(nu, nv) - 1e-9) & (apart <= F.lit((1 - similarity) / (1 + similarity)) * (nu + nv) + 1e-9)
+
+    cells = reps.select("rep", "n", "parity")
+    one = cells.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu"))
+    two = cells.select(F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
+    test = possible(F.col("pu"), F.col("pv"), F.col("nu"), F.col("nv"))
+    pairs = stars.join(one, "u").join(two, "v").filter(test).select("u", "v")
     shared = reps.join(members.select("rep").distinct(), "rep").select("rep", F.col("best_id").alias("doc_id"), "text_hash")
     texts = _texts(slim, shared)
     links = materialise(_verified(pairs, texts, similarity), "links")
@@ -230,15 +252,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # Members that a band still holds apart: each pair of them in different components is checked.
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "u", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    open_ = materialise(placed.join(mixed, "key").filter(F.col("rep").isNotNull()), "open")
-    a = open_.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), F.col("u").alias("star"))
-    b = open_.select("key", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    more = (
-        a.join(b, "key")
-        .filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.col("u") != F.col("star")) & close(F.col("nu"), F.col("nv")))
-        .select("u", "v")
-        .distinct()
-    )
+    open_ = materialise(placed.join(mixed, "key").join(cells.select("rep", "parity"), "rep"), "open")
+    a = open_.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu"), F.col("root").alias("ru"), F.col("u").alias("centre"))
+    b = open_.select("key", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("parity").alias("pv"), F.col("root").alias("rv"))
+    fresh = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.col("u") != F.col("centre")) & (F.col("v") != F.col("centre"))
+    more = materialise(a.join(b, "key").filter(fresh & test).select("u", "v").distinct(), "more")
     links = materialise(links.unionByName(_verified(more, texts, similarity)), "links")
     roots = components(links)
     named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", "best_id", "copies", F.coalesce("root", "rep").alias("root"))
