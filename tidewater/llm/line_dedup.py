@@ -3,7 +3,9 @@
 A line is the set of its words. Lines with the same set are one class from the start. Words are put in
 one order for the whole corpus, rare before frequent, so two sets of Jaccard similarity t or more share a
 word among their first n - ceil(t * n) + 1 words. Classes meet on those words only; pairs that fail the
-length, positional or bitmap bound fall out inside the join; the rest are verified word by word.
+length, positional or bitmap bound fall out inside the join; the rest are verified word by word. In a first
+round a class meets only the earliest class of each of its words, which settles most copies of a line; the
+classes that this leaves open meet all earlier ones, so nothing is lost and groups of copies aren't paired off.
 A line goes if an earlier line of the corpus, in the order of doc_id and place, is similar to it.
 
 Frequencies live in a table of fixed size (2**24 cells of one byte, 16 MB at any scale): a word's cell
@@ -13,21 +15,23 @@ A cell that was hit once holds a word of one line, which can't meet another and
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_intdigest
 
-from tidewater.llm.bagminhash import WordHashes
+from tidewater.llm.bagminhash import _mix
 from tidewater.llm.common import materialise
 from tidewater.session import ship
 
 SIMILARITY = 0.8
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 CELL_BITS, PAGE_BITS = 24, 16
 #: Refs to lines that are sent to every task at most; more are joined by a shuffle.
 MOST_SENT = 1_000_000
@@ -57,6 +61,67 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+class WordTable:
+    """Words to numbers, and numbers to 128-bit hashes that are the same in every process; emptied when full."""
+
+    def __init__(self, most: int = 600_000) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.high, self.low = array("Q"), array("Q")
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.clear()
+        found = list(map(self.known.get, words))
+        if None in found:
+            known, high, low = self.known, self.high, self.low
+            for i, n in enumerate(found):
+                if n is None:
+                    word = words[i]
+                    n = known.get(word)
+                    if n is None:
+                        h = xxh3_128_intdigest(word)
+                        n = known[word] = len(high)
+                        high.append(h >> 64)
+                        low.append(h & _MASK64)
+                    found[i] = n
+        return np.array(found, np.int64)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of all numbers so far; copies, for the table goes on growing."""
+        return np.array(self.high, np.uint64), np.array(self.low, np.uint64)
+
+
+_MASK64 = 2**64 - 1
+
+
+def _flat(texts: list[str]) -> tuple[list[int], list[int], list[int], list[bytes]]:
+    """Of all lines with a word: the text they are of, their place, their number of words; and all words."""
+    owner, place, sizes, words = [], [], [], []
+    for i, text in enumerate(texts):
+        for k, line in word_lines(text):
+            owner.append(i)
+            place.append(k)
+            sizes.append(len(line))
+            words += line
+    return owner, place, sizes, words
+
+
+def _distinct(sizes: list[int], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, word number) of the distinct words of every line."""
+    key = np.unique((np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32) | numbers)
+    return key >> 32, key & 0xFFFFFFFF
+
+
+def _batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def frequency_cells(docs: DataFrame) -> np.ndarray:
     """Steps of the line frequency of every cell, over all documents."""
     pages = 1 << (CELL_BITS - PAGE_BITS)
@@ -65,18 +130,13 @@ def frequency_cells(docs: DataFrame) -> np.ndarray:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        table, cells, pending, held = WordHashes(), np.zeros(1 << CELL_BITS, np.uint32), [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for _, words in word_lines(text):
-                    kinds = set(words)
-                    pending.append(np.fromiter(map(table.__getitem__, kinds), np.uint64, len(kinds)))
-                    held += len(kinds)
-                    if held > 1_000_000:
-                        np.add.at(cells, (np.concatenate(pending) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
-                        pending, held = [], 0
-        if pending:
-            np.add.at(cells, (np.concatenate(pending) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        table, cells = WordTable(), np.zeros(1 << CELL_BITS, np.uint32)
+        for part in _batches(batches):
+            _, _, sizes, words = _flat(part.column(0).to_pylist())
+            if words:
+                _, number = _distinct(sizes, table.numbers(words))
+                kinds, n = np.unique(number, return_counts=True)
+                np.add.at(cells, (table.hashes()[0][kinds] >> np.uint64(64 - CELL_BITS)).astype(np.int64), n.astype(np.uint32))
         for page in range(pages):
             part = cells[page << PAGE_BITS : (page + 1) << PAGE_BITS]
             if part.any():
@@ -105,37 +165,38 @@ def _page(page: int, task: int, cells: np.ndarray) -> pa.RecordBatch:
 
 
 def _lines(docs: DataFrame, steps, t: float) -> DataFrame:
-    """doc_id, row_id, place, set_id (16 bytes), n, bitmap, and the prefix: words that some other line may have."""
+    """doc_id, text_hash, place, set_id (16 bytes), n, bitmap, and the prefix: words that some other line may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, cells = WordHashes(), steps.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                out: list[tuple] = []
-                for doc_id, row, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    for place, words in word_lines(text):
-                        kinds = sorted(set(words))
-                        n = len(kinds)
-                        set_id = hashlib.blake2b(b"\n".join(kinds), digest_size=16).digest()
-                        if n < t / (1 - t) - 1e-9:  # one word more or less is too much: no other set can be similar
-                            out.append((doc_id, row, place, set_id, n, 0, [], []))
-                            continue
-                        h = np.fromiter(map(table.__getitem__, kinds), np.uint64, n)
-                        step = cells[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                        order = np.lexsort((h, step))[: prefix_length(n, t)]
-                        bitmap = np.bitwise_or.reduce(np.uint64(1) << (h & np.uint64(63)))
-                        at = np.flatnonzero(step[order] > 1)
-                        out.append((doc_id, row, place, set_id, n, int(bitmap.view(np.int64)), h[order[at]].view(np.int64).tolist(), at.tolist()))
-                if out:
-                    c = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()),
-                            pa.array(c[4], pa.int32()), pa.array(c[5], pa.int64()), pa.array(c[6], pa.list_(pa.int64())), pa.array(c[7], pa.list_(pa.int32())),
-                        ],
-                        names=["doc_id", "text_hash", "place", "set_id", "n", "bitmap", "words", "at"],
-                    )
+        table, cells = WordTable(), steps.value
+        for part in _batches(batches):
+            owner, place, sizes, words = _flat(part.column(2).to_pylist())
+            if not words:
+                continue
+            line, number = _distinct(sizes, table.numbers(words))
+            high, low = (h[number] for h in table.hashes())
+            step = cells[(high >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            order = np.lexsort((low, high, step, line))
+            line, high, low, step = line[order], high[order], low[order], step[order]
+            n = np.bincount(line, minlength=len(sizes))
+            start = np.cumsum(n) - n
+            at = np.arange(len(line)) - start[line]
+            # A set is named by sums of two mixes of its words' hashes: any order gives the same name.
+            one, two = np.add.reduceat(_mix(high) ^ low, start), np.add.reduceat(_mix(low + _GOLD) + high, start)
+            names = np.column_stack([one, two ^ n.astype(np.uint64)]).astype("<u8").tobytes()
+            bitmap = np.bitwise_or.reduceat(np.uint64(1) << (high & np.uint64(63)), start).view(np.int64)
+            prefix = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+            # Under t / (1 - t) words one word more or less is too much: no other set can be similar.
+            sent = (at < prefix[line]) & (step > 1) & (n[line] >= t / (1 - t) - 1e-9)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(line[sent], minlength=len(sizes)))]).astype(np.int32))
+            own = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(own), part.column(1).take(own), pa.array(place, pa.int32()), pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary()),
+                    pa.array(n, pa.int32()), pa.array(bitmap), pa.ListArray.from_arrays(offsets, pa.array(high[sent].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(at[sent], pa.int32())),
+                ],
+                names=["doc_id", "text_hash", "place", "set_id", "n", "bitmap", "words", "at"],
+            )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return slim.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
@@ -143,29 +204,40 @@ def _lines(docs: DataFrame, steps, t: float) -> DataFrame:
     )
 
 
-def similar_classes(classes: DataFrame, t: float) -> DataFrame:
-    """Candidate pairs (c1, c2) of class numbers, c1 < c2, that pass every filter."""
-    posts = classes.select("cid", "n", "bitmap", F.explode(F.arrays_zip("words", "at")).alias("p")).select(
-        F.col("p.words").alias("word"), "cid", (F.col("n").cast("long") * 65536 * 32 + F.col("p.at")).alias("size_at"), "bitmap"
-    )
-    unpack = lambda c: (F.shiftright(c, 21), c.bitwiseAND(F.lit((1 << 21) - 1)))
-    a = posts.select("word", F.col("cid").alias("c1"), F.col("size_at").alias("s1"), F.col("bitmap").alias("b1"))
-    b = posts.select("word", F.col("cid").alias("c2"), F.col("size_at").alias("s2"), F.col("bitmap").alias("b2"))
-    (n, i), (m, j) = unpack(F.col("s1")), unpack(F.col("s2"))
+def _possible(t: float):
+    """The length, positional and bitmap bounds of classes c (n, at, bitmap) and d (m, dat, dbitmap) that share a word."""
+    n, i, m, j = F.col("n"), F.col("at"), F.col("m"), F.col("dat")
     need = F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
     return (
-        a.join(b, "word")
-        .filter(
-            (F.col("c1") < F.col("c2"))
-            & (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9)
-            & (1 + F.least(n - i - 1, m - j - 1) >= need - F.least(i, j))
-            & (F.bit_count(F.col("b1").bitwiseXOR(F.col("b2"))) <= n + m - 2 * need)
-        )
-        .select("c1", "c2")
-        .distinct()
+        (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9)
+        & (1 + F.least(n - i - 1, m - j - 1) >= need - F.least(i, j))
+        & (F.bit_count(F.col("bitmap").bitwiseXOR(F.col("dbitmap"))) <= n + m - 2 * need)
     )
 
 
+def _postings(classes: DataFrame) -> DataFrame:
+    return classes.select("cid", "rank", "n", "bitmap", F.inline(F.arrays_zip("words", "at"))).withColumnRenamed("words", "word")
+
+
+def first_candidates(classes: DataFrame, t: float) -> DataFrame:
+    """(c, d): for each class the earliest class of each of its words, where that is earlier and possible.
+
+    A class has as many as it has words in its prefix at most, however many classes share them.
+    """
+    posts = _postings(classes)
+    least = posts.groupBy("word").agg(F.min(F.struct("rank", "cid", "n", "at", "bitmap")).alias("f")).select(
+        "word", F.col("f.rank").alias("drank"), F.col("f.cid").alias("d"), F.col("f.n").alias("m"), F.col("f.at").alias("dat"), F.col("f.bitmap").alias("dbitmap")
+    )
+    return posts.join(least, "word").filter((F.col("drank") < F.col("rank")) & _possible(t)).select(F.col("cid").alias("c"), "d").distinct()
+
+
+def other_candidates(classes: DataFrame, open_: DataFrame, t: float) -> DataFrame:
+    """(c, d): for the classes that are still open every earlier possible class that shares a word."""
+    posts = _postings(classes)
+    earlier = posts.select("word", F.col("rank").alias("drank"), F.col("cid").alias("d"), F.col("n").alias("m"), F.col("at").alias("dat"), F.col("bitmap").alias("dbitmap"))
+    return _postings(open_).join(earlier, "word").filter((F.col("drank") < F.col("rank")) & _possible(t)).select(F.col("cid").alias("c"), "d").distinct()
+
+
 def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """One row per document with lines: doc_id, text_hash, n_lines, removed (places of lines that go, in order).
 
@@ -185,8 +257,13 @@ def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    pairs = materialise(similar_classes(classes.filter(F.size("words") > 0), t), "pairs")
-    shadowed = materialise(_shadowed(spark, docs, classes, pairs, t), "shadowed")
+    sharing = classes.filter(F.size("words") > 0).withColumn("rank", F.col("first"))
+    # First one candidate a word: it settles lines with many likenesses. What is open meets all the others.
+    pairs = materialise(first_candidates(sharing, t), "pairs")
+    found = materialise(_similar(spark, docs, classes, pairs, t), "found")
+    left = sharing.join(found, "cid", "left_anti")
+    more = materialise(other_candidates(sharing, left, t).join(pairs, ["c", "d"], "left_anti"), "pairs")
+    shadowed = found.unionByName(_similar(spark, docs, classes, more, t)).distinct()
     told = classes.join(shadowed.withColumn("shadowed", F.lit(True)), "cid", "left").select("set_id", "first", "copies", F.coalesce("shadowed", F.lit(False)).alias("shadowed"))
     told = told.filter("shadowed OR copies > 1")
     placed = lines.select("set_id", order.alias("here")).join(told, "set_id", "left")
@@ -196,25 +273,32 @@ def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     )
 
 
-def _shadowed(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """Class numbers (cid) that have a verified similar class with an earlier first line."""
-    where = classes.select("cid", "first")
-    known = materialise(
-        pairs.join(where.select(F.col("cid").alias("c1"), F.col("first").alias("f1")), "c1").join(where.select(F.col("cid").alias("c2"), F.col("first").alias("f2")), "c2"),
-        "known",
-    )
-    needed = known.select(F.col("c1").alias("cid"), F.col("f1").alias("f")).unionByName(known.select(F.col("c2").alias("cid"), F.col("f2").alias("f"))).distinct()
-    refs = materialise(needed.select("cid", F.col("f.doc_id").alias("doc_id"), F.col("f.text_hash").alias("text_hash"), F.col("f.place").alias("place")), "refs")
-    small = F.broadcast(refs) if refs.count() <= MOST_SENT else refs
+def _similar(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """cid of the classes c of pairs (c, d) that are similar, word by word, in the lines where they come first."""
+    needed = pairs.select(F.col("c").alias("cid")).unionByName(pairs.select(F.col("d").alias("cid"))).distinct()
+    at = F.struct("cid", F.col("first.place").alias("place"))
+    refs = classes.join(needed, "cid").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list(at).alias("refs"))
+    refs = materialise(refs, "refs")  # of one text, at most its lines
+    n = refs.agg(F.coalesce(F.sum(F.size("refs")), F.lit(0))).first()[0]
+    small = F.broadcast(refs) if n <= MOST_SENT else refs
     slim = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    line = F.split("text", "\n")[F.col("place")]
-    words = F.array_distinct(F.array_remove(F.split(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+"), ""))
-    found = slim.join(small, slim["d"].eqNullSafe(F.col("doc_id")) & (slim["h"] == F.col("text_hash"))).select("cid", words.alias("set"))
-    sets = materialise(found, "sets")
-    both = known.join(sets.select(F.col("cid").alias("c1"), F.col("set").alias("x")), "c1").join(sets.select(F.col("cid").alias("c2"), F.col("set").alias("y")), "c2")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.filter(shared >= F.lit(t) * (F.size("x") + F.size("y") - shared) - 1e-9)
-    return alike.select(F.when(F.col("f1") < F.col("f2"), F.col("c2")).otherwise(F.col("c1")).alias("cid")).distinct()
+    joined = slim.join(small, slim["d"].eqNullSafe(F.col("doc_id")) & (slim["h"] == F.col("text_hash"))).select("refs", F.split("text", "\n", -1).alias("lines"))
+    picked = joined.select(F.inline(F.transform("refs", lambda r: F.struct(r["cid"].alias("cid"), F.get(F.col("lines"), r["place"]).alias("line")))))
+    texts = materialise(picked, "texts")
+    one = texts.select(F.col("cid").alias("c"), F.col("line").alias("x"))
+    two = texts.select(F.col("cid").alias("d"), F.col("line").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for c, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                a, b = set(x.encode().lower().split()), set(y.encode().lower().split())
+                both = len(a & b)
+                if both >= t * (len(a) + len(b) - both) - 1e-9:
+                    good.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["cid"])
+
+    return pairs.join(two, "d").join(one, "c").select("c", "x", "y").mapInArrow(run, "cid long").distinct()
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
