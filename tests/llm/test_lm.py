@@ -132,3 +132,26 @@ def test_ids_tell_the_text():
     for text in ("", " a", "a  b ", "\n\té ß 漢字 😀 \\x00", "A,!! WAS.!!\r\n"):
         (ids,) = lm._ids(own, [text])
         assert b"".join(map(said.__getitem__, ids.tolist()))[1:] == text.encode()
+
+
+def test_every_window_of_the_training_documents_is_trained_on(spark, docs, rows, monkeypatch):
+    own = lm.codec(MODEL)
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    want = Counter()
+    for r in rows:
+        if not out(r[0]):
+            x = [-1, *lm._ids(own, [r[1] or ""])[0].tolist()]
+            for a in range(0, len(x) - 1, lm.WINDOW):
+                window = x[a : a + lm.WINDOW + 1]
+                want[tuple(window + [-1] * (lm.WINDOW + 1 - len(window)))] += 1
+    n = own.sp.get_piece_size()
+    gathered = lm.materialise(lm._gather(docs, MODEL), "gathered", by="kind")
+    got = Counter(tuple((np.frombuffer(r["key"], lm._kind(n + 1)).astype(int) - 1).tolist()) for r in lm._windows(gathered, n).collect())
+    assert got == want
+    assert sum(want.values()) > 16 * 20  # a sixteenth would be far from it
+
+    seen = []
+    monkeypatch.setattr(lm, "_trainer", lambda sent, turn: lambda key, table: lm.pa.table({"w": lm.pa.array([[float(table.num_rows)]], lm.pa.list_(lm.pa.float64())), "n": lm.pa.array([1], lm.pa.int64())}))
+    monkeypatch.setattr(lm, "unflatten", lambda flat, like: seen.append(flat[0]) or like)
+    lm._fit(gathered, lm.Classes(np.ones(n)), 2)
+    assert seen == [sum(want.values())] * 2  # one group here; both rounds see all of it

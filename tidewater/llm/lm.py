@@ -3,8 +3,8 @@
 One layer of masked attention reads the last 32 subword ids. The next id is drawn in two steps: a class
 from the attention layer (each frequent id is a class of its own, the others share classes by
 frequency), then the id within its class by its add-one share of the training ids. Counts cover every
-id of every training document; the layer is fitted on windows drawn at a fixed rate from everywhere in
-them, in groups that train side by side and are averaged by a distributed sum. Scoring slides windows of
+id of every training document; the layer is fitted on all their windows, in groups that train side by
+side and are averaged by a distributed sum. Scoring slides windows of
 32 by 16: the first scores all its ids, each later one its last 16, so each id is scored once.
 
 Beside it stands a unigram score over words, whose counts cover all training documents too. A bounded
@@ -28,8 +28,6 @@ from tidewater.session import ship
 
 WINDOW, STRIDE = 32, 16
 INPUTS, HEADS, TAILS, WIDTH, HIDDEN = 1024, 48, 16, 16, 32
-#: One of so many windows is trained on.
-RATE = 16
 GROUP_WINDOWS = 4096
 #: Frequent words that are sent to every task, at most.
 SENT_WORDS = 131_072
@@ -87,13 +85,23 @@ def unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.nda
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), np.float32(0), np.float32(-1e9))
 
 
+#: A class less likely than exp of this counts as that: far under the rounding of a sum, and its products stay normal numbers.
+_LEAST = np.float32(-60)
 _ONES = np.ones(1024, np.float32)  # a product with it sums rows faster than sum() does
 #: Windows at once: few enough that what is made of them stays in the processor's cache.
 AT_ONCE = 64
 
 
+def _top(x: np.ndarray) -> np.ndarray:
+    """The largest of each row, kept as an axis; by halves, which numpy does faster than max() on short rows."""
+    while x.shape[-1] > 4 and x.shape[-1] % 2 == 0:
+        half = x.shape[-1] // 2
+        x = np.maximum(x[..., :half], x[..., half:])
+    return x.max(axis=-1, keepdims=True)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
+    x -= _top(x)
     np.exp(x, out=x)
     x /= x.sum(axis=-1, keepdims=True)
     return x
@@ -119,37 +127,51 @@ def log_classes(w: dict[str, np.ndarray], inputs: np.ndarray, first: int) -> np.
 
 
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean loss over the places where ``mask`` is 1."""
+    """Of the mean loss over the places where ``mask`` is 1; all places of the windows are rows of one product."""
     scale = np.float32(WIDTH**-0.5)
-    x = w["embed"][inputs] + w["place"]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    a = _softmax(q @ k.transpose(0, 2, 1) * scale + _MASK)
-    c = a @ v
+    windows = lambda rows: rows.reshape(*inputs.shape, -1)
+    flat = lambda parts: parts.reshape(-1, parts.shape[-1])
+    x = flat(w["embed"].take(inputs, axis=0) + w["place"])
+    q, k, v = windows(x @ (w["q"] * scale)), windows(x @ w["k"]), windows(x @ w["v"])
+    a = q @ k.transpose(0, 2, 1)
+    a += _MASK
+    a = _softmax(a)
+    c = flat(a @ v)
     z = x + c @ w["o"]
-    h = np.maximum(z @ w["w1"] + w["b1"], 0)
+    h = z @ w["w1"]
+    h += w["b1"]
+    np.maximum(h, 0, out=h)
     y = z + h @ w["w2"]
-    p = _softmax(y @ w["out"] + w["bias"])
+    p = y @ w["out"]
+    p += w["bias"]
+    p -= _top(p)
+    np.maximum(p, _LEAST, out=p)
+    np.exp(p, out=p)
+    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
     n = max(1.0, float(mask.sum()))
-    rows, places = np.indices(targets.shape, sparse=True)
-    p[rows, places, targets] -= 1
-    p *= (mask / np.float32(n))[..., None]
-    two = lambda left, right: left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
-    g = {"out": two(y, p), "bias": p.sum(axis=(0, 1))}
+    p[np.arange(len(p)), targets.ravel()] -= 1
+    p *= (mask.reshape(-1, 1) / n).astype(p.dtype)
+    g = {"out": y.T @ p, "bias": p.sum(axis=0)}
     dy = p @ w["out"].T
-    g["w2"] = two(h, dy)
-    dh = (dy @ w["w2"].T) * (h > 0)
-    g["w1"], g["b1"] = two(z, dh), dh.sum(axis=(0, 1))
+    g["w2"] = h.T @ dy
+    dh = dy @ w["w2"].T
+    dh *= h > 0
+    g["w1"], g["b1"] = z.T @ dh, dh.sum(axis=0)
     dz = dy + dh @ w["w1"].T
-    g["o"] = two(c, dz)
-    dc = dz @ w["o"].T
-    da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * scale
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
-    g["q"], g["k"], g["v"] = two(x, dq), two(x, dk), two(x, dv)
-    dx = dz + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    g["place"] = dx.sum(axis=0)
+    g["o"] = c.T @ dz
+    dc = windows(dz @ w["o"].T)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= (dc.reshape(c.shape) * c).sum(axis=1).reshape(*inputs.shape, 1)  # sum of da * a over a row is dc . c
+    ds *= a
+    dq, dk, dv = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ dc)
+    dq *= scale  # q holds the scale already
+    g["q"], g["k"], g["v"] = x.T @ dq, x.T @ dk, x.T @ dv
+    dx = dz + dq @ w["q"].T
+    dx += dk @ w["k"].T
+    dx += dv @ w["v"].T
+    g["place"] = windows(dx).sum(axis=0)
     g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], inputs.ravel(), dx.reshape(-1, WIDTH))
+    np.add.at(g["embed"], inputs.ravel(), dx)
     return g
 
 
@@ -192,7 +214,7 @@ class Scorer:
         values += self.place_values
         att = (xq.reshape(-1, WIDTH) @ self.asks).reshape(xq.shape) @ keys.transpose(0, 2, 1)
         att += _MASK[first:]
-        att -= att.max(axis=-1, keepdims=True)
+        att -= _top(att)
         np.exp(att, out=att)
         mixed = att @ values
         mixed /= (att @ _ONES[:WINDOW])[..., None]
@@ -202,8 +224,9 @@ class Scorer:
         np.maximum(h, 0, out=h)
         logits = (z + h @ w["w2"]) @ w["out"]
         logits += w["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
+        logits -= _top(logits)
         picked = logits[np.arange(len(logits)), targets.ravel()]
+        np.maximum(logits, _LEAST, out=logits)
         np.exp(logits, out=logits)
         return (picked - np.log(logits @ _ONES[: logits.shape[1]])).reshape(n, -1)
 
@@ -256,7 +279,7 @@ def surfaces(own) -> list[bytes]:
 
 
 def _gather(docs: DataFrame, model_file: str) -> DataFrame:
-    """Rows (kind, key, n, ...): of training documents 0 word counts, 1 subword counts, 2 windows, 3 documents;
+    """Rows (kind, key, n, ...): of training documents 0 word counts, 1 subword counts, 3 documents;
     of all documents 4 their subword ids, so that texts are segmented once (with the text where ids don't tell it).
     """
 
@@ -264,7 +287,6 @@ def _gather(docs: DataFrame, model_file: str) -> DataFrame:
         own = codec(model_file)
         words: Counter = Counter()
         pieces = np.zeros(own.sp.get_piece_size(), np.int64)
-        windows: list[bytes] = []
         seen = 0
 
         def out(kind: int, keys: list[bytes], counts: list[int], doc_ids=None, held=None, texts=None) -> pa.RecordBatch:
@@ -291,43 +313,64 @@ def _gather(docs: DataFrame, model_file: str) -> DataFrame:
                 texts = part.column(2).to_pylist()
                 ids = _ids(own, texts)
                 rest = [None if own.separable and MARK not in t else t for t in texts]
-                yield out(4, [x.astype("<u2" if len(pieces) <= 65536 else "<u4").tobytes() for x in ids], [len(x) for x in ids], part.column(0), part.column(1), rest)
+                yield out(4, [x.astype(_kind(len(pieces))).tobytes() for x in ids], [len(x) for x in ids], part.column(0), part.column(1), rest)
                 learnt = [x for x, held in zip(ids, part.column(1).to_pylist(), strict=True) if not held]
                 if learnt:
                     pieces += np.bincount(np.concatenate(learnt), minlength=len(pieces))
-                for key, held, text, x in zip(part.column(3).to_pylist(), part.column(1).to_pylist(), texts, ids, strict=True):
+                for held, text in zip(part.column(1).to_pylist(), texts, strict=True):
                     if held:
                         continue
                     seen += 1
                     words.update(text.encode().lower().split())
-                    at = np.arange(0, len(x), WINDOW)
-                    drawn = at[((at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(RATE) == 0]
-                    for a in drawn.tolist():  # the id before the window comes first, or -1
-                        window = np.full(WINDOW + 1, -1, np.int32)
-                        piece = x[max(0, a - 1) : a + WINDOW]
-                        window[1 if a == 0 else 0 : (1 if a == 0 else 0) + len(piece)] = piece
-                        windows.append(window.tobytes())
                 if len(words) > _FLUSH:
                     yield from flush()
-                if len(windows) > 4096:
-                    yield out(2, windows, [1] * len(windows))
-                    windows = []
         yield from flush()
         hit = np.flatnonzero(pieces)
         yield out(1, [struct.pack("<I", i) for i in hit.tolist()], pieces[hit].tolist())
-        yield out(2, windows, [1] * len(windows))
         yield out(3, [b""], [seen])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("hash"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return slim.mapInArrow(run, "kind int, key binary, n long, doc_id long, held_out boolean, text string")
 
 
+def cut(ids: np.ndarray, kind: str) -> np.ndarray:
+    """All windows of a text, one a row: the id before it, then its ids, each plus 1; 0 where there is none."""
+    n = -(-len(ids) // WINDOW)
+    padded = np.zeros(n * WINDOW + 1, kind)
+    padded[1 : len(ids) + 1] = ids
+    padded[1 : len(ids) + 1] += 1
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::WINDOW]
+
+
+def _windows(gathered: DataFrame, vocabulary: int) -> DataFrame:
+    """(doc_id, place, key): every window of every training document, cut anew from its ids whenever it is read."""
+    kind, wide = _kind(vocabulary), _kind(vocabulary + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                made = [cut(np.frombuffer(x, kind), wide) for x in part.column(1).to_pylist()]
+                sizes = np.array([len(x) for x in made])
+                rows = np.concatenate(made)
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.itemsize * (WINDOW + 1))
+                place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                key = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(made)), sizes))), pa.array(place), key], names=["doc_id", "place", "key"])
+
+    return gathered.filter("kind = 4 AND NOT held_out").select("doc_id", "key").mapInArrow(run, "doc_id long, place long, key binary")
+
+
+def _kind(values: int) -> str:
+    return "<u2" if values <= 65536 else "<u4"
+
+
 def _trainer(sent, turn: int):
     """Trains on the windows of one group; its order comes from the windows alone."""
 
     def run(key, table):
         now, kinds = sent.value
-        rows = np.frombuffer(b"".join(sorted(table.column("key").to_pylist())), np.int32).reshape(-1, WINDOW + 1)
+        rows = np.frombuffer(b"".join(sorted(table.column("key").to_pylist())), _kind(len(kinds.inputs) + 1)).reshape(-1, WINDOW + 1).astype(np.int32) - 1
         before, after = rows[:, :-1], rows[:, 1:]
         inputs = np.where(before >= 0, kinds.inputs[before], INPUTS - 1)
         mask = (after >= 0).astype(np.float32)
@@ -340,12 +383,12 @@ def _trainer(sent, turn: int):
 def _fit(gathered: DataFrame, classes: Classes, rounds: int) -> dict[str, np.ndarray]:
     """Groups of windows train side by side from the same weights; their mean is a distributed sum."""
     weights = start_weights(classes.prior)
-    windows = gathered.filter("kind = 2").select("key")
-    n = windows.count()
+    n = gathered.filter("kind = 4 AND NOT held_out").agg(F.sum(F.ceil(F.col("n") / WINDOW))).first()[0]
     if not n:
         return weights
     groups = max(1, round(n / GROUP_WINDOWS))
-    dealt = windows.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
+    # by document and place too, so that the windows of copies part
+    dealt = _windows(gathered, len(classes.inputs)).select(F.pmod(F.xxhash64("doc_id", "place", "key"), F.lit(groups)).cast("int").alias("g"), "key")
     spark = gathered.sparkSession
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((weights, classes))  # about 20,000 weights
@@ -387,7 +430,7 @@ def score(docs: DataFrame, model_file: str, rounds: int = 2) -> DataFrame:
         piece_counts[struct.unpack("<I", r["key"])[0]] = r["n"]
     classes = Classes(piece_counts)
     weights = _fit(gathered, classes, rounds)
-    kind = "<u2" if len(piece_counts) <= 65536 else "<u4"
+    kind = _kind(len(piece_counts))
     sent = spark.sparkContext.broadcast((top, weights, classes, kind, surfaces(codec(model_file))))  # bounded: SENT_WORDS, subwords
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
