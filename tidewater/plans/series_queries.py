@@ -303,9 +303,19 @@ def permutation_entropy(spark, sf):
 _SAMPLE = f"WITH {I.DAILY}, s AS (SELECT idx, x FROM d), n AS (SELECT count(*) AS n FROM s), g AS (SELECT CAST(round_even((n - 1) * i / 199.0, 0) AS BIGINT) AS idx FROM n, (SELECT unnest(range(0, 200)) AS i) WHERE n > 200 UNION ALL SELECT unnest(range(0, n)) FROM n WHERE n <= 200), v AS (SELECT s.idx, x AS a, (SELECT x FROM s t WHERE t.idx = s.idx - 3) AS b FROM s JOIN g USING (idx) WHERE s.idx >= 3)"
 
 
-def _sampled_vectors(spark, sf):
+#: The published sample size; every day is kept where there are no more.
+PUBLISHED_SAMPLE = 2500
+
+
+def _sampled_vectors(spark, sf, size=200):
     d = I.daily(spark, sf).select("idx", "x")
-    return sample_evenly(embedding.delay_embedding(d, 3, 2, "x"), 200, d.count())
+    return sample_evenly(embedding.delay_embedding(d, 3, 2, "x"), size, d.count())
+
+
+def _published(sql: str) -> str:
+    """The SQL of a sample of 200 with the published size instead."""
+    n = PUBLISHED_SAMPLE
+    return sql.replace("199.0", f"{n - 1}.0").replace("range(0, 200)", f"range(0, {n})").replace("n > 200", f"n > {n}").replace("n <= 200", f"n <= {n}")
 
 
 @register("sample_evenly", _SAMPLE + " SELECT idx, round(a, 6) AS x1, round(b, 6) AS x2 FROM v")
@@ -321,15 +331,26 @@ def pair_distances(spark, sf):
     return I.rounded(dynamics.pair_distances(_sampled_vectors(spark, sf), 10), d=5)
 
 
+@register("pair_distances_all", _published(_PAIRS) + " SELECT i, j, round(d, 5) AS d FROM p")
+def pair_distances_all(spark, sf):
+    return I.rounded(dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10), d=5)
+
+
 @register("correlation_sums", _PAIRS + ", r AS (SELECT unnest([1000.0, 2000.0, 4000.0, 8000.0, 16000.0]) AS radius), c AS (SELECT radius, count(*) FILTER (d < radius) AS below, count(*) AS pairs FROM p, r GROUP BY 1) SELECT CAST(radius AS DOUBLE) AS radius, below, pairs, round(below / pairs, 9) AS c FROM c")
 def correlation_sums(spark, sf):
     c = dynamics.correlation_sums(dynamics.pair_distances(_sampled_vectors(spark, sf), 10), [1000.0, 2000.0, 4000.0, 8000.0, 16000.0])
     return I.rounded(c.select("radius", "below", "pairs", "c"), c=9)
 
 
+@register("correlation_sums_all", _published(_PAIRS) + ", r AS (SELECT unnest([1000.0, 2000.0, 4000.0, 8000.0, 16000.0]) AS radius), c AS (SELECT radius, count(*) FILTER (d < radius) AS below, count(*) AS pairs FROM p, r GROUP BY 1) SELECT CAST(radius AS DOUBLE) AS radius, below, pairs, round(below / pairs, 9) AS c FROM c")
+def correlation_sums_all(spark, sf):
+    c = dynamics.correlation_sums(dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10), [1000.0, 2000.0, 4000.0, 8000.0, 16000.0])
+    return I.rounded(c.select("radius", "below", "pairs", "c"), c=9)
+
+
 @register("correlation_dimension")
 def correlation_dimension(spark, sf):
-    d = dynamics.pair_distances(_sampled_vectors(spark, sf), 10)
+    d = dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10).cache()  # a bounded sample
     return dynamics.correlation_dimension(dynamics.correlation_sums(d, dynamics.radii(d, 24)))
 
 
@@ -341,12 +362,17 @@ def nearest_neighbours(spark, sf):
     return I.rounded(dynamics.nearest_neighbours(_sampled_vectors(spark, sf), 10), d=5)
 
 
+@register("nearest_neighbours_all", _published(_NN) + " SELECT i, j, round(d, 5) AS d FROM k WHERE r = 1")
+def nearest_neighbours_all(spark, sf):
+    return I.rounded(dynamics.nearest_neighbours(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10), d=5)
+
+
 _DIVERGE = _NN + ", w AS (SELECT s.idx, x AS a, lag(x, 3) OVER (ORDER BY s.idx) AS b FROM s), t AS (SELECT unnest(range(0, 9)) AS k), f AS (SELECT t.k, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) AS d FROM k n, t, w p, w q WHERE n.r = 1 AND p.idx = n.i + t.k AND q.idx = n.j + t.k), dv AS (SELECT CAST(k AS INTEGER) AS k, count(*) AS pairs, avg(ln(d)) AS m FROM f WHERE d > 1e-12 GROUP BY 1)"
 
 
-def _divergence(spark, sf):
+def _divergence(spark, sf, size=200):
     whole = embedding.delay_embedding(I.daily(spark, sf).select("idx", "x"), 3, 2, "x")
-    return dynamics.divergence(whole, dynamics.nearest_neighbours(_sampled_vectors(spark, sf), 10), 8)
+    return dynamics.divergence(whole, dynamics.nearest_neighbours(_sampled_vectors(spark, sf, size), 10), 8)
 
 
 @register("divergence_curve", _DIVERGE + " SELECT k, pairs, round(m, 7) AS mean_log_distance FROM dv")
@@ -354,11 +380,21 @@ def divergence_curve(spark, sf):
     return I.rounded(_divergence(spark, sf), mean_log_distance=7)
 
 
+@register("divergence_curve_all", _published(_DIVERGE) + " SELECT k, pairs, round(m, 7) AS mean_log_distance FROM dv")
+def divergence_curve_all(spark, sf):
+    return I.rounded(_divergence(spark, sf, PUBLISHED_SAMPLE), mean_log_distance=7)
+
+
 @register("lyapunov_slope", _DIVERGE + " SELECT round(regr_slope(m, k), 7) AS slope, round(regr_intercept(m, k), 7) AS intercept, round(regr_r2(m, k), 6) AS r2, count(*) AS points, round(12 * regr_slope(m, k), 6) AS slope_per_hour FROM dv WHERE k BETWEEN 1 AND 6")
 def lyapunov_slope(spark, sf):
     return I.rounded(dynamics.lyapunov(_divergence(spark, sf), 1, 6), slope=7, intercept=7, r2=6, slope_per_hour=6)
 
 
+@register("lyapunov_slope_all", _published(_DIVERGE) + " SELECT round(regr_slope(m, k), 7) AS slope, round(regr_intercept(m, k), 7) AS intercept, round(regr_r2(m, k), 6) AS r2, count(*) AS points, round(12 * regr_slope(m, k), 6) AS slope_per_hour FROM dv WHERE k BETWEEN 1 AND 6")
+def lyapunov_slope_all(spark, sf):
+    return I.rounded(dynamics.lyapunov(_divergence(spark, sf, PUBLISHED_SAMPLE), 1, 6), slope=7, intercept=7, r2=6, slope_per_hour=6)
+
+
 @register("line_fit_by_type", f"WITH {I.SERIES} SELECT event_type, round(regr_slope(x, idx), 9) AS slope, round(regr_intercept(x, idx), 6) AS intercept, round(regr_r2(x, idx), 9) AS r2, count(*) AS points FROM s GROUP BY 1")
 def line_fit_by_type(spark, sf):
     return I.rounded(dynamics.line_fit(I.series(spark, sf), "idx", "x", ["event_type"]), slope=9, intercept=6, r2=9)
