@@ -35,3 +35,14 @@ def test_correlation_dimension_is_that_of_every_pair(spark, run):
     want = dynamics.correlation_dimension(dynamics.correlation_sums(d, dynamics.radii(d, 24))).first()
     got = run("correlation_dimension").first()
     assert got["d2"] == pytest.approx(want["d2"], rel=1e-9) and got["points"] == want["points"]
+
+
+def test_false_neighbours_and_surrogates_have_the_published_sizes(spark, run):
+    from tidewater.plans.phases import Settings
+
+    o, n = Settings(), I.series(spark, SF).count()
+    rows = run("fnn_and_cao").collect()
+    assert {r["dim"] for r in rows} == set(range(1, o.max_dim + 1))
+    assert all(r["valid"] == min(o.fnn_sample, n - 3 * (o.max_dim + 1)) for r in rows)
+    made = {(r["kind"], r["n_success"] + r["n_failures"]) for r in run("surrogate_replicates").collect()}
+    assert made == set(zip(("shuffled", "phase", "aaft"), o.surrogate_counts, strict=True)) == {("shuffled", 50), ("phase", 39), ("aaft", 39)}

@@ -52,6 +52,10 @@ class Settings:
     seed: int = 20260603
 
 
+#: Sizes of the statistics of a window and its surrogates in the published run.
+SURROGATE_SIZES = {"corr_sample": 700, "radii": 24, "block": 1600, "references": 550, "steps": 40, "fit": (1, 20)}
+
+
 def indexed(candle_rows: DataFrame) -> DataFrame:
     """Candles with their position on the regular grid, counted by day."""
     from tidewater.operators.ordering import dense_index
@@ -283,7 +287,7 @@ def phase10(features: DataFrame, p: dict[str, int], o: Settings = Settings(), **
     n = train.count()
     width = min(o.surrogate_window, 1 << int(math.log2(n)))
     window = [r["z"] for r in block_of(train, n, width, 0.5).orderBy("idx").collect()]  # one window by design
-    made = surrogates.replicates(train.sparkSession, window, dict(zip(("shuffled", "phase", "aaft"), o.surrogate_counts, strict=True)), o.seed, p["tau"], p["dim"], p["theiler"], **sizes).cache()
+    made = surrogates.replicates(train.sparkSession, window, dict(zip(("shuffled", "phase", "aaft"), o.surrogate_counts, strict=True)), o.seed, p["tau"], p["dim"], p["theiler"], **(SURROGATE_SIZES | sizes)).cache()
     long = surrogates.long_statistics(made)
     tables = {f"phase10_{k}_stats": made.filter(F.col("kind") == k) for k in ("original", "shuffled", "phase", "aaft")}
     return tables | {"phase10_surrogate_summary": surrogates.summary(long)}

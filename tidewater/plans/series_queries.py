@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
 from tidewater.operators import describe, dynamics, embedding, series, surrogates
 from tidewater.operators.ordering import block_of, lags, sample_evenly
 from tidewater.plans import inputs as I
+from tidewater.plans.phases import SURROGATE_SIZES, Settings
 from tidewater.registry import register
 from tidewater.sources import synthetic
 
@@ -426,14 +429,18 @@ def shuffle_comparison(spark, sf):
 
 @register("fnn_and_cao")
 def fnn_and_cao(spark, sf):
-    return embedding.fnn_and_cao(series.standardised(_events_series(spark, sf)).select("idx", "z"), 3, 6, 400, 3)
+    o = Settings()
+    return embedding.fnn_and_cao(series.standardised(_events_series(spark, sf)).select("idx", "z"), 3, o.max_dim, o.fnn_sample, 3)
 
 
 @register("surrogate_replicates")
 def surrogate_replicates(spark, sf):
+    o = Settings()
     s = _events_series(spark, sf)
-    window = [r["x"] for r in block_of(s, s.count(), 512, 0.5).orderBy("idx").collect()]  # a window of 512 by design
-    made = surrogates.replicates(spark, window, {"shuffled": 6, "phase": 4, "aaft": 4}, 5, 3, 3, 9, corr_sample=120, block=300, references=60, steps=10, fit=(1, 8))
+    n = s.count()
+    width = min(o.surrogate_window, 1 << int(math.log2(n)))
+    window = [r["x"] for r in block_of(s, n, width, 0.5).orderBy("idx").collect()]  # one window by design
+    made = surrogates.replicates(spark, window, dict(zip(("shuffled", "phase", "aaft"), o.surrogate_counts, strict=True)), 5, 3, 3, 9, **SURROGATE_SIZES).cache()
     return surrogates.summary(surrogates.long_statistics(made))
 
 
