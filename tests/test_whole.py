@@ -46,3 +46,20 @@ def test_false_neighbours_and_surrogates_have_the_published_sizes(spark, run):
     assert all(r["valid"] == min(o.fnn_sample, n - 3 * (o.max_dim + 1)) for r in rows)
     made = {(r["kind"], r["n_success"] + r["n_failures"]) for r in run("surrogate_replicates").collect()}
     assert made == set(zip(("shuffled", "phase", "aaft"), o.surrogate_counts, strict=True)) == {("shuffled", 50), ("phase", 39), ("aaft", 39)}
+
+
+def test_thresholds_and_steps_are_the_published_ones():
+    import numpy as np
+
+    from tidewater.operators import embedding
+    from tidewater.plans.phases import Settings
+
+    o = Settings()
+    assert (o.fnn_rtol, o.fnn_threshold, o.max_dim, o.lyap_steps, o.radii, o.k_grid, o.seed) == (10.0, 0.05, 15, 60, 32, (2, 3, 5, 10, 20, 50), 20260602)
+    z = np.random.default_rng(1).standard_normal(600)
+    places = np.arange(2, 600)
+    who, d = embedding.nearest(z[places, None], places, 1)
+    delta = np.abs(z[places - 1] - z[places[who] - 1])
+    wrong = lambda r: int(((delta / np.maximum(d, 1e-12) > r) | (np.hypot(d, delta) / z.std(ddof=1) > 2)).sum())
+    assert wrong(10) != wrong(15)
+    assert embedding.false_neighbours(z, 1, 1, 10**6, 1, dims=[1])[0]["false"] == wrong(10)

@@ -92,7 +92,7 @@ def nearest(points: np.ndarray, places: np.ndarray, theiler: int) -> tuple[np.nd
     return who, np.sqrt(dist)
 
 
-def false_neighbours(z: np.ndarray, tau: int, max_dim: int, size: int, theiler: int, rtol: float = 15.0, atol: float = 2.0, dims: list[int] | None = None) -> list[dict]:
+def false_neighbours(z: np.ndarray, tau: int, max_dim: int, size: int, theiler: int, rtol: float = 10.0, atol: float = 2.0, dims: list[int] | None = None) -> list[dict]:
     """For each dimension: false neighbours by both criteria, and the mean distance ratios E and E*.
 
     The sample is evenly spaced from the first place that has max_dim + 1 delays.
@@ -117,7 +117,7 @@ def false_neighbours(z: np.ndarray, tau: int, max_dim: int, size: int, theiler:
     return out
 
 
-def fnn_and_cao(df: DataFrame, tau: int, max_dim: int, size: int, theiler: int, rtol: float = 15.0, atol: float = 2.0, value: str = "z") -> DataFrame:
+def fnn_and_cao(df: DataFrame, tau: int, max_dim: int, size: int, theiler: int, rtol: float = 10.0, atol: float = 2.0, value: str = "z") -> DataFrame:
     """(dim, valid, false, fraction, E, E_star, E1, E2): one task a dimension over a bounded sample of the series.
 
     The series goes to the tasks as one column, for the sample's delays reach anywhere in it.

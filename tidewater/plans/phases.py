@@ -37,19 +37,21 @@ class Settings:
     test_width: int = 3000
     ami_bins: int = 32
     ami_lags: int = 288
-    max_dim: int = 10
+    max_dim: int = 15
     fnn_sample: int = 3000
+    fnn_rtol: float = 10.0
+    fnn_threshold: float = 0.05
     corr_sample: int = 2500
-    radii: int = 40
+    radii: int = 32
     lyap_block: int = 3000
-    lyap_steps: int = 40
+    lyap_steps: int = 60
     lyap_fit: tuple[int, int] = (1, 30)
     orders: tuple[int, ...] = (3, 4, 5, 6, 7)
     surrogate_window: int = 8192
     surrogate_counts: tuple[int, int, int] = (50, 39, 39)
     queries: int = 5000
-    k_grid: tuple[int, ...] = (1, 2, 3, 5, 10, 20, 50)
-    seed: int = 20260603
+    k_grid: tuple[int, ...] = (2, 3, 5, 10, 20, 50)
+    seed: int = 20260602
 
 
 #: Sizes of the statistics of a window and its surrogates in the published run.
@@ -239,9 +241,10 @@ def phase8(features: DataFrame, o: Settings = Settings()) -> tuple[dict[str, int
     curve = embedding.mutual_information(coded, list(range(1, o.ami_lags + 1)))
     ami = [r["ami"] for r in curve.orderBy("tau").collect()]  # ami_lags rows
     tau = embedding.tau_from_ami(ami)
-    grid = embedding.fnn_and_cao(train, tau, o.max_dim, o.fnn_sample, tau)
+    apart = max(tau, 12)
+    grid = embedding.fnn_and_cao(train, tau, o.max_dim, o.fnn_sample, apart, o.fnn_rtol)
     rows = grid.orderBy("dim").collect()  # max_dim rows
-    m_fnn, m_cao = embedding.dim_from_fnn([r["fraction"] for r in rows]), embedding.dim_from_plateau([r["E1"] for r in rows])
+    m_fnn, m_cao = embedding.dim_from_fnn([r["fraction"] for r in rows], o.fnn_threshold), embedding.dim_from_plateau([r["E1"] for r in rows])
     dim, agree = embedding.final_dim(m_fnn, m_cao, o.max_dim)
     chosen = {"tau": tau, "dim": dim, "theiler": tau * dim}
     spark = z.sparkSession
@@ -250,7 +253,7 @@ def phase8(features: DataFrame, o: Settings = Settings()) -> tuple[dict[str, int
         "phase8_ami_shuffled_tau": embedding.mutual_information(embedding.shuffled_codes(coded, o.seed), list(range(1, o.ami_lags + 1))),
         "phase8_fnn": grid.select("dim", "valid", "false", "fraction"),
         "phase8_cao": grid.select("dim", "E", "E_star", "E1", "E2"),
-        "phase8_selected_embedding_params": spark.createDataFrame([(tau, m_fnn, m_cao, dim, tau, agree)], "tau_selected int, m_fnn int, m_cao int, m_selected int, theiler_window int, compatible boolean"),
+        "phase8_selected_embedding_params": spark.createDataFrame([(tau, m_fnn, m_cao, dim, apart, agree)], "tau_selected int, m_fnn int, m_cao int, m_selected int, theiler_window int, compatible boolean"),
     }
 
 
@@ -363,7 +366,11 @@ def phase12(features: DataFrame, configs: list[dict[str, int]], coefficients: li
     return out | {"phase12_config_comparison": describe.ranked(knn, [F.col("rmse"), F.col("config")])}
 
 
-def phase13(spark, o: Settings = Settings(max_dim=10, fnn_sample=1200, ami_lags=50, queries=10**9, horizon=1), **options) -> Tables:
+#: The control has sizes of its own.
+CONTROL = Settings(max_dim=10, fnn_sample=1200, fnn_threshold=0.01, ami_lags=50, queries=10**9, horizon=1, k_grid=(1, 2, 3, 5, 10, 20, 50), seed=20260603)
+
+
+def phase13(spark, o: Settings = CONTROL, **options) -> Tables:
     """The control: the same reconstruction on the logistic map, clean and noisy."""
     from tidewater.functions import special
 
@@ -377,9 +384,9 @@ def phase13(spark, o: Settings = Settings(max_dim=10, fnn_sample=1200, ami_lags=
         train = s.filter(F.col("idx") < end)
         ami = embedding.mutual_information(embedding.discretised(train, o.ami_bins, "z"), list(range(1, o.ami_lags + 1)))
         tau = embedding.tau_operational([r["ami"] for r in ami.orderBy("tau").collect()])
-        grid = embedding.fnn_and_cao(train, tau, o.max_dim, o.fnn_sample, tau)
+        grid = embedding.fnn_and_cao(train, tau, o.max_dim, o.fnn_sample, tau, o.fnn_rtol)
         rows = grid.orderBy("dim").collect()
-        dim = max(1, min(o.max_dim, embedding.dim_from_fnn([r["fraction"] for r in rows])))
+        dim = max(1, min(o.max_dim, embedding.dim_from_fnn([r["fraction"] for r in rows], o.fnn_threshold)))
         block = z[: 1800 + (dim - 1) * tau] if n < 2 * 1800 else z[n // 2 - 900 - (dim - 1) * tau : n // 2 + 900]
         curve = dynamics.rosenstein(block, tau, dim, max(1, tau * dim), 20)
         slope = special.line([r["k"] for r in curve[1:7]], [r["mean_log_distance"] for r in curve[1:7]])

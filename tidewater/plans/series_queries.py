@@ -430,7 +430,7 @@ def shuffle_comparison(spark, sf):
 @register("fnn_and_cao")
 def fnn_and_cao(spark, sf):
     o = Settings()
-    return embedding.fnn_and_cao(series.standardised(_events_series(spark, sf)).select("idx", "z"), 3, o.max_dim, o.fnn_sample, 3)
+    return embedding.fnn_and_cao(series.standardised(_events_series(spark, sf)).select("idx", "z"), 3, o.max_dim, o.fnn_sample, 3, o.fnn_rtol)
 
 
 @register("surrogate_replicates")
