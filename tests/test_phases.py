@@ -100,3 +100,29 @@ def test_model_export(features):
 def test_control(spark):
     t = P.phase13(spark, P.Settings(max_dim=3, fnn_sample=150, ami_lags=12), total=2600, burn_in=600)
     assert filled(t)["phase13_lyapunov_summary"].count() == 3
+
+
+def test_export_is_compared_on_both_samples(features):
+    import numpy as np
+
+    p = {"tau": 5, "dim": 2, "theiler": 10}
+    _, t = P.phase14(features, OPTIONS, recent_rows=600, p=p, k=20)
+    rows = {(r["split"], r["model"]): r for r in t["phase14_test_metrics"].collect()}
+    (ar,) = {m for _, m in rows if m.startswith("ar")}
+    four = {"har_logrv_compact", "persistence", "historical_mean", ar}
+    sample = "test_knn_comparable_sample"
+    assert set(rows) == {("test_full", m) for m in four} | {(sample, m) for m in four | {"knn_tau5_m2_k20"}}
+    assert {r["n"] for (s, _), r in rows.items() if s == sample} == {60}
+    assert {r["model"] for r in t["phase14_validation_metrics"].collect()} == four
+    vectors = P.embedded(features, p, OPTIONS).orderBy("idx").collect()
+    library = [v for v in vectors if v["split"] != "test"]
+    test = [v for v in vectors if v["split"] == "test"]
+    x, at, y = np.array([v["vec"] for v in library]), np.array([v["idx"] for v in library]), np.array([v["target"] for v in library])
+    errors = []
+    for i in range(60):
+        q = test[round((len(test) - 1) * i / 59)]
+        d = ((x - np.array(q["vec"])) ** 2).sum(axis=1)
+        d[(at + 12 > q["idx"]) | (abs(at - q["idx"]) <= 10)] = np.inf
+        errors.append(y[np.lexsort((at, d))[:20]].mean() - q["target"])
+    assert rows[sample, "knn_tau5_m2_k20"]["rmse"] == pytest.approx(float(np.sqrt(np.mean(np.square(errors)))), rel=1e-9)
+    assert t["phase14_model_comparison"].count() == 5

@@ -213,6 +213,26 @@ def ar_orders(acf_values: np.ndarray, n: int, max_order: int, variance: float =
     return rows
 
 
+def ar_orders_from_zero(x: np.ndarray, max_order: int) -> tuple[list[dict], list[float]]:
+    """Orders 0..max of a short series on the driver, and the coefficients of the one with the least BIC.
+
+    Order 0 is the mean; each order counts it as a parameter, and variances are in units, so all compare.
+    """
+    n = len(x)
+    if n <= max_order + 1:
+        raise ValueError("too few rows for the orders")
+    c = x - x.mean()
+    sums = np.array([c[k:] @ c[: n - k] for k in range(max_order + 1)])
+    values, zero = sums / sums[0], float(sums[0] / n)
+    var = special.levinson(values, max_order)[1]
+    rows = []
+    for p in range(max_order + 1):
+        s = max(1e-300, float(var[p]) * zero if p else zero)
+        rows.append({"p": p, "nobs": n, "sigma2": s, "aic": n * math.log(s) + 2 * (p + 1), "bic": n * math.log(s) + (p + 1) * math.log(n)})
+    chosen = min(rows, key=lambda r: r["bic"])["p"]
+    return rows, special.autoregression(values, chosen).tolist() if chosen else []
+
+
 def ar_fit(df: DataFrame, max_order: int = 100, value: str = "x") -> dict:
     """The order with the least BIC on the series, its coefficients, and the whole table of orders."""
     rows = acf(df, max_order, value).orderBy("lag").collect()  # max_order + 1 rows

@@ -304,21 +304,23 @@ def embedded(features: DataFrame, p: dict[str, int], o: Settings) -> DataFrame:
     return candles.split(vec, o.train_end, o.validation_end, purge=o.horizon)
 
 
+def _sampled(rows: DataFrame, split: str, o: Settings) -> DataFrame:
+    """The evenly spaced queries of a split."""
+    part = rows.filter(F.col("split") == split)
+    dense = describe.ranked(part, [F.col("idx")], name="_k").withColumn("_k", F.col("_k") - 1)
+    return sample_evenly(dense, o.queries, part.count(), "_k", distinct=True).drop("_k")
+
+
 def _evaluated(features: DataFrame, p: dict[str, int], coefficients: list[float], o: Settings, theiler: int) -> tuple[DataFrame, DataFrame, int]:
     rows = embedded(features, p, o).cache()  # used by every model
-    def sampled(split: str) -> DataFrame:
-        part = rows.filter(F.col("split") == split)
-        dense = describe.ranked(part, [F.col("idx")], name="_k").withColumn("_k", F.col("_k") - 1)
-        return sample_evenly(dense, o.queries, part.count(), "_k", distinct=True).drop("_k")
-
     train = rows.filter("split = 'train'")
     mean = train.agg(F.avg("target")).first()[0]
-    ask = sampled("validation")
+    ask = _sampled(rows, "validation", o)
     found = forecast.causal_neighbours(ask, train, max(o.k_grid), theiler, o.horizon)
     truth = lambda q: q.select(F.col("idx").alias("query_idx"), F.col("target").alias("y"), "x")
     grid = forecast.metrics(forecast.neighbour_means(found, list(o.k_grid)).join(truth(ask), "query_idx"), ["k"], mean)
     k = describe.best(grid, "rmse", ["k"]).first()["k"]
-    ask = sampled("test")
+    ask = _sampled(rows, "test", o)
     found = forecast.causal_neighbours(ask, rows.filter("split != 'test'"), k, theiler, o.horizon).cache()
     t = truth(ask)
     _, zmean, zstd = series.moments(train_rows(series_of(features), o))
@@ -390,7 +392,9 @@ def phase13(spark, o: Settings = CONTROL, **options) -> Tables:
         block = z[: 1800 + (dim - 1) * tau] if n < 2 * 1800 else z[n // 2 - 900 - (dim - 1) * tau : n // 2 + 900]
         curve = dynamics.rosenstein(block, tau, dim, max(1, tau * dim), 20)
         slope = special.line([r["k"] for r in curve[1:7]], [r["mean_log_distance"] for r in curve[1:7]])
-        tables = {
+        m_cao = embedding.dim_from_cao([r["E1"] for r in rows], 0.03)[0]
+        tables = _control_forecasts(spark, x, z, end, tau, dim, o) | {
+            "phase13_selected_embedding_params": spark.createDataFrame([(tau, embedding.dim_from_fnn([r["fraction"] for r in rows], o.fnn_threshold), m_cao, dim)], "tau_selected int, m_fnn int, m_cao int, m_selected int"),
             "phase13_ami": ami, "phase13_fnn": grid.select("dim", "valid", "false", "fraction"), "phase13_cao": grid.select("dim", "E1", "E2"),
             "phase13_lyapunov_rosenstein": spark.createDataFrame([(r["k"], r["pairs"], r["mean_log_distance"]) for r in curve], "k long, pairs long, mean_log_distance double"),
             "phase13_lyapunov_summary": spark.createDataFrame([(tau, dim, float(slope[0]), float(slope[2]), math.log(2), cut)], "tau int, m int, slope double, r2 double, theory double, clipped int"),
@@ -401,26 +405,85 @@ def phase13(spark, o: Settings = CONTROL, **options) -> Tables:
     return out
 
 
-def phase14(features: DataFrame, o: Settings = Settings(), recent_rows: int = 1000) -> tuple[str, Tables]:
-    """The compact regression: fit, evaluation, ranking, the recent mode, and the exported artifact."""
+def _control_forecasts(spark, x: np.ndarray, z: np.ndarray, end: int, tau: int, dim: int, o: Settings) -> Tables:
+    """Neighbours, AR of the order with the least BIC and simple models on one series of the control.
+
+    Every row of validation and test is a query. The control's splits aren't purged: a candidate counts if its
+    target is known at the query.
+    """
+    n, theiler, ahead = len(x), max(1, tau * dim), o.horizon
+    later = int(0.8 * n)
+    vec = [(i, [float(z[i - k * tau]) for k in range(dim)], float(x[i + ahead]), float(x[i])) for i in range((dim - 1) * tau, n - ahead)]
+    every = spark.createDataFrame(vec, "idx long, vec array<double>, target double, x double").cache()  # the control has some thousand rows
+    train, validation, test = (every.filter(c) for c in (F.col("idx") < end, F.col("idx").between(end, later - 1), F.col("idx") >= later))
+    mean = forecast.known_mean(train, end, ahead, "target").first()[0]
+    truth = lambda q: q.select(F.col("idx").alias("query_idx"), F.col("target").alias("y"), "x")
+    found = forecast.causal_neighbours(validation, train, max(o.k_grid), theiler, ahead)
+    grid = forecast.metrics(forecast.neighbour_means(found, list(o.k_grid)).join(truth(validation), "query_idx"), ["k"], mean)
+    k = describe.best(grid, "rmse", ["k"]).first()["k"]
+    found = forecast.causal_neighbours(test, every.filter(F.col("idx") < later), k, theiler, ahead).cache()
+    orders, coefficients = series.ar_orders_from_zero(z[:end], min(o.max_order, end - 2))
+    t = truth(test)
+    if coefficients:
+        whole = spark.createDataFrame(list(enumerate(z.tolist())), "idx long, z double")
+        ar = series.ar_forecast(whole, coefficients, ahead, "z", float(x[:end].mean()), float(x[:end].std(ddof=1)), "prediction").select(F.col("idx").alias("query_idx"), "prediction")
+    else:
+        ar = t.select("query_idx", F.lit(mean).alias("prediction"))
+    parts = {
+        "historical_mean": t.select("query_idx", F.lit(mean).alias("prediction")), "persistence": t.select("query_idx", F.col("x").alias("prediction")), "ar_bic": ar,
+        "nearest_neighbor": forecast.nearest_target(found), f"knn_mean_k{k}": forecast.neighbour_means(found, [k]).drop("k"),
+    }
+    all_ = None
+    for name, part in parts.items():
+        part = part.withColumn("model", F.lit(name))
+        all_ = part if all_ is None else all_.unionByName(part)
+    made = forecast.metrics(all_.join(t, "query_idx"), ["model"], mean)
+    sizes = {"tau": F.lit(tau), "m": F.lit(dim), "theiler_window": F.lit(theiler)}
+    return {
+        "phase13_validation_k_selection": grid.withColumns(sizes),
+        "phase13_prediction_metrics": made.withColumns(sizes | {"split": F.lit("test"), "selected_k": F.lit(k), "ar_order": F.when(F.col("model") == "ar_bic", F.lit(len(coefficients)))}),
+        "phase13_ar_order_selection": spark.createDataFrame([(r["p"], r["nobs"], r["sigma2"], r["aic"], r["bic"]) for r in orders], "p int, nobs_train long, innovation_variance double, aic double, bic double"),
+    }
+
+
+def phase14(features: DataFrame, o: Settings = Settings(), recent_rows: int = 1000, coefficients: list[float] | None = None, p: dict[str, int] | None = None, k: int = 200) -> tuple[str, Tables]:
+    """The compact regression: fit, evaluation, ranking, the recent mode, and the exported artifact.
+
+    Beside it stand the mean, persistence and the autoregression (that of phase6, fitted here if not given) on
+    the whole of validation and test; and on the neighbours' sample of test all of these and ``k`` neighbours.
+    """
+    p = p or {"tau": 137, "dim": 5, "theiler": 685}
     rows = candles.split(features.dropna(subset=[*forecast.HAR_FEATURES, forecast.HAR_TARGET]), o.train_end, o.validation_end, purge=o.horizon)
     train = rows.filter("split = 'train'")
     model = forecast.fit_har(train)
     mean = train.agg(F.avg(forecast.HAR_TARGET)).first()[0]
     y = F.col(forecast.HAR_TARGET).alias("y")
+    known = train_rows(series_of(features), o)
+    n_train, zmean, zstd = series.moments(known)
+    if coefficients is None:
+        coefficients = series.ar_fit(known.select("idx", "x"), min(o.max_order, max(1, n_train // 4)))["coefficients"]
+    ar = series.ar_forecast(standard_train(features, o).select("idx", "z"), coefficients, o.horizon, "z", zmean, zstd, "prediction").select("idx", "prediction")
     scored = forecast.predict_har(rows, model).select("idx", "split", y, F.inline(F.array(
-        F.struct(F.lit("har").alias("model"), F.col("prediction").alias("prediction")), F.struct(F.lit("persistence").alias("model"), F.col(MAIN).alias("prediction")),
+        F.struct(F.lit("har_logrv_compact").alias("model"), F.col("prediction").alias("prediction")), F.struct(F.lit("persistence").alias("model"), F.col(MAIN).alias("prediction")),
         F.struct(F.lit("historical_mean").alias("model"), F.lit(mean).alias("prediction")),
-    )))
-    table = forecast.metrics(scored, ["split", "model"], mean)
+    ))).unionByName(rows.select("idx", "split", y).filter("split != 'train'").join(ar, "idx").withColumn("model", F.lit(f"ar{len(coefficients)}_horizon{o.horizon}")))
+    vec = embedded(features, p, o).cache()  # read for the sample and the library
+    ask = _sampled(vec, "test", o).cache()  # a bounded sample
+    found = forecast.causal_neighbours(ask, vec.filter("split != 'test'"), k, p["theiler"], o.horizon)
+    near = forecast.neighbour_means(found, [k]).select(F.col("query_idx").alias("idx"), "prediction", F.lit(f"knn_tau{p['tau']}_m{p['dim']}_k{k}").alias("model"))
+    sample = scored.filter("split = 'test'").join(ask.select("idx"), "idx").select("idx", "y", "model", "prediction")
+    sample = sample.unionByName(ask.select("idx", F.col("target").alias("y")).join(near, "idx"))
+    full = forecast.metrics(scored.withColumn("split", F.concat("split", F.lit("_full"))), ["split", "model"], mean)
+    comparable = forecast.metrics(sample.withColumn("split", F.lit("test_knn_comparable_sample")), ["split", "model"], mean).cache()  # five rows
     recent, tested, latest = forecast.recent_mode(features, recent_rows, purge=o.horizon)
     spark = features.sparkSession
-    best = {r["split"]: r["rmse"] for r in table.filter("model = 'har'").collect()}  # three rows
+    both = full.filter("split IN ('train_full', 'validation_full')").unionByName(comparable).filter("model = 'har_logrv_compact'")
+    best = {r["split"].split("_")[0]: r["rmse"] for r in both.collect()}  # three rows
     return forecast.artifact(model, "har_logrv", "1", "", best), {
         "phase14_har_coefficients": forecast.coefficient_table(spark, model),
-        "phase14_validation_metrics": table.filter("split = 'validation'"),
-        "phase14_test_metrics": table.filter("split = 'test'"),
-        "phase14_model_comparison": forecast.comparison(table.filter("split = 'test'"), "persistence"),
+        "phase14_validation_metrics": full.filter("split = 'validation_full'"),
+        "phase14_test_metrics": comparable.unionByName(full.filter("split = 'test_full'")),
+        "phase14_model_comparison": forecast.comparison(comparable, "har_logrv_compact"),
         "phase14_predictions_test": scored.filter("split = 'test'").withColumn("error", F.col("prediction") - F.col("y")),
         "phase14_mvp_1000_mode_summary": forecast.metrics(tested, [], mean, forecast.HAR_TARGET).withColumns({"n_train": F.lit(recent["n_train"]), "last_forecast": F.lit(float(latest.first()["prediction"]))}),
     }
