@@ -63,3 +63,22 @@ def test_thresholds_and_steps_are_the_published_ones():
     wrong = lambda r: int(((delta / np.maximum(d, 1e-12) > r) | (np.hypot(d, delta) / z.std(ddof=1) > 2)).sum())
     assert wrong(10) != wrong(15)
     assert embedding.false_neighbours(z, 1, 1, 10**6, 1, dims=[1])[0]["false"] == wrong(10)
+
+
+def test_known_mean_takes_every_row_before_the_test(spark, run):
+    from tidewater.operators import candles
+    from tidewater.plans import forecast_queries as Q
+
+    close = [r["close"] for r in I.bars(spark, SF).orderBy("idx").collect()]
+    first = candles.split(I.bars(spark, SF), Q.TRAIN_END, Q.VALIDATION_END).filter("split = 'test'").agg({"idx": "min"}).first()[0]
+    known = [close[i + 12] for i in range(len(close) - 12) if i + 12 <= first]
+    r = run("known_mean_before_test").first()
+    assert len(known) > 500 and r["n"] == len(known) and r["historical_mean"] == pytest.approx(sum(known) / len(known), abs=1e-6)
+
+
+def test_logistic_map_gives_all_three_series(run):
+    from tidewater.sources import synthetic
+
+    rows = run("logistic_map_all").collect()
+    want = {(name, i, x) for name, (values, _) in synthetic.bundle().items() for i, x in enumerate(values)}
+    assert len(rows) == 33_000 and {tuple(r) for r in rows} == want and {r["series"] for r in rows} == {"clean", "small_noise", "moderate_noise"}

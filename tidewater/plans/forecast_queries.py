@@ -60,6 +60,12 @@ def known_mean(spark, sf):
     return I.rounded(forecast.known_mean(forecast.supervised(I.bars(spark, sf), "close"), 500, 12), historical_mean=6)
 
 
+@register("known_mean_before_test", _SPLIT + ", y AS (SELECT idx, lead(close, 12) OVER (ORDER BY idx) AS y FROM bars) SELECT round(avg(y), 6) AS historical_mean, count(y) AS n FROM y WHERE idx + 12 <= (SELECT min(idx) FROM pg WHERE split = 'test')")
+def known_mean_before_test(spark, sf):
+    first = _split(spark, sf).filter("split = 'test'").agg(F.min("idx")).first()[0]  # the first test query
+    return I.rounded(forecast.known_mean(forecast.supervised(I.bars(spark, sf), "close"), first, 12), historical_mean=6)
+
+
 _PREDICT = _SPLIT + """, t AS (SELECT avg(y) AS m FROM (SELECT split, lead(close, 12) OVER (ORDER BY idx) AS y FROM pg_all) WHERE split = 'train')"""
 _MODELS = f"""{_SPLIT}, y AS (SELECT bars.idx, close, lead(close, 12) OVER (ORDER BY idx) AS y, avg(close) OVER (ORDER BY idx ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS smooth FROM bars),
   z AS (SELECT pg.split, y.* FROM y JOIN pg USING (idx) WHERE y IS NOT NULL), t AS (SELECT avg(y) AS m FROM z WHERE split = 'train'),

@@ -463,6 +463,11 @@ def logistic_map(spark, sf):
     return I.rounded(synthetic.series(spark, total=1200).filter("series = 'clean'").select("idx", "x"), x=9)
 
 
+@register("logistic_map_all")
+def logistic_map_all(spark, sf):
+    return synthetic.series(spark)
+
+
 @register("transition_map", f"WITH {I.SERIES}, p AS (SELECT idx, x, lead(x) OVER (ORDER BY idx) AS y FROM s) SELECT round(regr_slope(y, x), 8) AS slope, round(regr_intercept(y, x), 6) AS intercept, count(*) AS points FROM p WHERE y IS NOT NULL AND idx < {_N} * 6 // 10")
 def transition_map(spark, sf):
     s = _events_series(spark, sf)
