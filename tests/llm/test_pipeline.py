@@ -49,3 +49,71 @@ def test_queries_have_the_contract_columns(spark):
         (name,) = [q for q in QUERIES if q.startswith(prefix)]
         out = QUERIES[name](spark, SF)
         assert out.columns[: len(columns)] == columns
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Texts are compared, joined and encoded here in plain Python, without the operators."""
+    import hashlib
+    import re
+    import shutil
+    import struct
+    from collections import Counter, defaultdict
+
+    import sentencepiece as spm
+
+    import corpus_pipeline as p
+    from tidewater.llm import bagminhash
+    from tidewater.llm.common import documents, materialise
+    from tidewater.llm.queries import tokenizer_path
+
+    # the small table, with copies that differ in blanks, and near copies with one word changed
+    docs = documents(spark, SF)
+    first = [r.asDict() for r in docs.filter("length(text) > 600").orderBy("doc_id").limit(40).collect()]
+    more = [{**r, "doc_id": 10**6 + i, "text": r["text"].replace(" ", "  ") if i % 2 else r["text"]} for i, r in enumerate(first[:20])]
+    more += [{**r, "doc_id": 2 * 10**6 + i, "text": " ".join(["changed", *r["text"].split(" ")[1:]])} for i, r in enumerate(first)]
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    (shutil.copytree if Path(f"{SF}/labels.parquet").is_dir() else shutil.copy)(f"{SF}/labels.parquet", f"{tmp_path}/labels.parquet")
+
+    stages, made, now = dict(p.STAGES), {}, documents(spark, str(tmp_path))
+    for name, _ in p.STAGES:
+        now = materialise(stages[name](spark, now, str(tmp_path)), name)
+        made[name] = now
+    rows = {name: [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()] for name, df in made.items() if name != "sentencepiece"}
+    ids = lambda name: sorted(r[0] for r in rows[name])
+
+    groups = defaultdict(list)
+    for d, text in rows["quality_rules"]:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text)].append((-len(text), d))
+    assert any(len(g) > 1 for g in groups.values())
+    assert ids("exact_dedup") == sorted(min(g)[1] for g in groups.values())
+
+    def bag(text):  # runs of SHINGLE words, counted
+        words = text.encode().lower().split()
+        return Counter(tuple(words[i : i + bagminhash.SHINGLE]) for i in range(max(1, len(words) - bagminhash.SHINGLE + 1)))
+
+    bags = [(d, bag(t)) for d, t in rows["exact_dedup"]]
+    parent = {d: d for d, _ in bags}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for i, (a, x) in enumerate(bags):
+        for b, y in bags[:i]:
+            n = sum((x & y).values())
+            if n >= 0.8 * (x.total() + y.total() - n):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert any(parent[d] != d for d in parent)
+    assert ids("near_dedup") == sorted(d for d in parent if root(d) == d)
+
+    assert sorted(rows["mixing"]) == sorted(rows["near_dedup"])
+    sp, want = spm.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model")), []
+    for d, text in rows["mixing"]:
+        out = sp.encode(text, add_bos=True, add_eos=True)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        want.append((d, len(out), sha(struct.pack(f"<{len(out)}I", *out)), sha(sp.decode(out).encode())))
+    got = [tuple(r) for r in made["sentencepiece"].select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(got) == sorted(want)
+    whole = p.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(tuple(r) for r in whole) == sorted(want)
