@@ -155,3 +155,11 @@ def test_every_window_of_the_training_documents_is_trained_on(spark, docs, rows,
     monkeypatch.setattr(lm, "unflatten", lambda flat, like: seen.append(flat[0]) or like)
     lm._fit(gathered, lm.Classes(np.ones(n)), 2)
     assert seen == [sum(want.values())] * 2  # one group here; both rounds see all of it
+
+
+def test_frequent_ids_have_classes_of_their_own():
+    counts = np.arange(32_000, 0, -1.0)
+    c = lm.Classes(counts)
+    sizes = np.bincount(c.outputs)
+    assert c.size == 128 and (sizes == 1).sum() == 112 and (c.outputs[:112] == np.arange(112)).all()
+    assert np.allclose(c.within[:112], 0)
