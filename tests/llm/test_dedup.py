@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -72,7 +72,6 @@ def test_signature_estimates_weighted_jaccard():
     a = [f"x{rng.randrange(60)}".encode() for _ in range(900)]
     b = a[:700] + [f"y{rng.randrange(60)}".encode() for _ in range(200)]
     one = lambda w: np.array([table[x] for x in w], np.uint64)
-    from collections import Counter
 
     true = bagminhash.weighted_jaccard(Counter(a), Counter(b))
     same = (bagminhash.signature(one(a), 4000) == bagminhash.signature(one(b), 4000)).mean()
@@ -177,3 +176,38 @@ def test_parity_bounds_the_difference():
         apart = sum(abs(ca[k] - cb[k]) for k in ca | cb)
         cells = sum(bin(int(x) & (2**64 - 1)).count("1") for x in bagminhash.parity(a) ^ bagminhash.parity(b))
         assert cells <= apart
+
+
+def test_lines_of_repeated_rows_long_texts_and_clashing_columns(spark):
+    rng = random.Random(3)
+    long = [f"v{rng.randrange(10**6)}" for _ in range(30_000)]
+    same = "a line of six whole words\n\nand some other line of words here"
+    near = list(long)
+    near[7] = "changed"
+    data = [(5, same), (5, same), (5, same), (2, " ".join(long)), (9, " ".join(near)), (9, "a line of six whole words\nnew"), (None, same), (None, same), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "x", 1, True, "y") for d, t in data], "doc_id long, text string, removed string, n_lines int, _h boolean, _d string")
+    got = line_dedup.line_dedup(docs).collect()
+    found = sorted((r["doc_id"] or -1, r["n_lines"], r["n_removed"], tuple(r["removed"])) for r in got)
+    gone = (2, 2, (0, 2))
+    assert found == sorted([(2, 1, 0, ()), (5, 2, 0, ()), (5, *gone), (5, *gone), (9, 1, 1, (0,)), (9, 2, 1, (0,)), (-1, *gone), (-1, *gone), (-1, 0, 0, ()), (-1, 0, 0, ())])
+    left = line_dedup.without_lines(docs, line_dedup.removed_lines(docs))
+    assert left.columns == docs.columns
+    texts = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert texts == Counter([(5, same), (5, ""), (5, ""), (2, data[3][1]), (9, ""), (9, "new"), (None, ""), (None, ""), (None, None), (None, None)])
+
+
+def test_frequent_words_lose_no_line(spark, monkeypatch):
+    """With every word frequent, classes meet by the earliest of each word and then by all that is left open."""
+    rng = random.Random(12)
+    base = [[f"t{rng.randrange(60)}" for _ in range(rng.randrange(4, 20))] for _ in range(12)]
+    data = []
+    for i in range(120):
+        line = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            line[rng.randrange(len(line))] = f"t{rng.randrange(60)}"
+        data.append((i, " ".join(line)))
+    gone = lines_gone(data)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for few in (line_dedup.FEW, 0):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        assert {r["doc_id"] for r in line_dedup.line_dedup(docs).collect() if r["n_removed"]} == {k for k, v in gone.items() if v}

@@ -14,42 +14,67 @@ from pyspark.sql import functions as F
 BLANK = "[\\x20\\x09-\\x0D]"
 NON_BLANK = "[^\\x20\\x09-\\x0D]"
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where all is one process."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
+    if not context.master.startswith("local"):  # a folder of this machine is of no use to the executors of others
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _own:
         folder = tempfile.mkdtemp(prefix="tidewater-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own[app] = f"file://{folder}"
-    return _own[app]
+        _own[context.applicationId] = f"file://{folder}"
+    return _own[context.applicationId]
+
+
+_own: dict[str, str] = {}
+
+
+def _handle(spark: SparkSession, path: str):
+    """The path for Hadoop, and its file system."""
+    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return handle, handle.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; the file system deletes it when the application ends."""
     path = f"{shared_dir(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    handle = jvm.org.apache.hadoop.fs.Path(path)
-    handle.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(handle)
+    handle, store = _handle(spark, path)
+    store.deleteOnExit(handle)
     return path
 
 
+#: Shuffle files of a query that has ended and whose result is written are of no more use.
+_SPENT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and a lost executor costs only its running tasks.
 
+    The shuffle files that made it go once it is written, so they never pile up over the steps of an operator.
     With ``by`` a folder for each of its values, for readers that want one of them.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    path, was = new_path(spark, label), spark.conf.get(_SPENT, "false")
+    spark.conf.set(_SPENT, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(_SPENT, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if "/tidewater/" in folder:
+                handle, store = _handle(table.sparkSession, folder)
+                store.delete(handle, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

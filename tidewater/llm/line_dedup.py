@@ -1,12 +1,15 @@
-"""Line dedup by an exact set-similarity join: prefix, positional, length and bitmap filters, verified.
+"""Line dedup by an exact set-similarity join: prefix, positional, length and parity filters, verified.
 
 A line is the set of its words. Lines with the same set are one class from the start. Words are put in
 one order for the whole corpus, rare before frequent, so two sets of Jaccard similarity t or more share a
 word among their first n - ceil(t * n) + 1 words. Classes meet on those words only; pairs that fail the
-length, positional or bitmap bound fall out inside the join; the rest are verified word by word. In a first
-round a class meets only the earliest class of each of its words, which settles most copies of a line; the
-classes that this leaves open meet all earlier ones, so nothing is lost and groups of copies aren't paired off.
-A line goes if an earlier line of the corpus, in the order of doc_id and place, is similar to it.
+length, positional or parity bound fall out inside the join; the rest are verified word by word, the
+likeliest of each class first. A line goes if an earlier line of the corpus, in the order of doc_id and
+place, is similar to it, so a class needs no more partners once one is found.
+
+Words of at most 64 lines have short lists: there all pairs meet. On more frequent words a class first meets
+the earliest class of each, which settles groups of copies; only classes that are still open then meet all
+earlier ones of their frequent words. Nothing is lost, and groups of copies aren't paired off.
 
 Frequencies live in a table of fixed size (2**24 cells of one byte, 16 MB at any scale): a word's cell
 says how often the words of the cell occur, in steps. Any such order is right; only speed depends on it.
@@ -17,24 +20,28 @@ from __future__ import annotations
 
 import math
 import zlib
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_intdigest
+from pyspark.sql.window import Window
+from xxhash import xxh3_64_intdigest
 
 from tidewater.llm.bagminhash import _mix
-from tidewater.llm.common import materialise
+from tidewater.llm.common import discard, materialise
 from tidewater.session import ship
 
 SIMILARITY = 0.8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 CELL_BITS, PAGE_BITS = 24, 16
-#: Refs to lines that are sent to every task at most; more are joined by a shuffle.
-MOST_SENT = 1_000_000
+#: Lines that have a word of this step or less are at most 64.
+FEW = 25
+#: Places of lines that are sent to every task, at most (of some 40 bytes each); more are joined by a shuffle.
+MOST_SENT = 500_000
+_MASK55 = (1 << 55) - 1
 
 
 def word_lines(text: str) -> Iterator[tuple[int, list[bytes]]]:
@@ -61,232 +68,216 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-class WordTable:
-    """Words to numbers, and numbers to 128-bit hashes that are the same in every process; emptied when full."""
-
-    def __init__(self, most: int = 600_000) -> None:
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.high, self.low = array("Q"), array("Q")
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.clear()
-        found = list(map(self.known.get, words))
-        if None in found:
-            known, high, low = self.known, self.high, self.low
-            for i, n in enumerate(found):
-                if n is None:
-                    word = words[i]
-                    n = known.get(word)
-                    if n is None:
-                        h = xxh3_128_intdigest(word)
-                        n = known[word] = len(high)
-                        high.append(h >> 64)
-                        low.append(h & _MASK64)
-                    found[i] = n
-        return np.array(found, np.int64)
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of all numbers so far; copies, for the table goes on growing."""
-        return np.array(self.high, np.uint64), np.array(self.low, np.uint64)
-
-
-_MASK64 = 2**64 - 1
-
-
-def _flat(texts: list[str]) -> tuple[list[int], list[int], list[int], list[bytes]]:
-    """Of all lines with a word: the text they are of, their place, their number of words; and all words."""
-    owner, place, sizes, words = [], [], [], []
-    for i, text in enumerate(texts):
-        for k, line in word_lines(text):
-            owner.append(i)
-            place.append(k)
-            sizes.append(len(line))
-            words += line
-    return owner, place, sizes, words
-
-
-def _distinct(sizes: list[int], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, word number) of the distinct words of every line."""
-    key = np.unique((np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32) | numbers)
-    return key >> 32, key & 0xFFFFFFFF
-
-
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
-def frequency_cells(docs: DataFrame) -> np.ndarray:
+def frequency_cells(docs: DataFrame) -> bytes:
     """Steps of the line frequency of every cell, over all documents."""
-    pages = 1 << (CELL_BITS - PAGE_BITS)
+    size = 1 << PAGE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        cells, seen = np.zeros(1 << CELL_BITS, np.uint32), Counter()
+
+        def pour() -> None:
+            hashes = np.fromiter(map(xxh3_64_intdigest, seen), np.uint64, len(seen))
+            np.add.at(cells, (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.fromiter(seen.values(), np.uint32, len(seen)))
+            seen.clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for line in text.lower().split(b"\n"):
+                    seen.update(set(line.split()))
+                if len(seen) > 400_000:
+                    pour()
+        pour()
+        hit = np.flatnonzero(cells)
+        ends = np.searchsorted(hit, np.arange(0, (1 << CELL_BITS) + 1, size))
         task = TaskContext.get().partitionId()
-        table, cells = WordTable(), np.zeros(1 << CELL_BITS, np.uint32)
-        for part in _batches(batches):
-            _, _, sizes, words = _flat(part.column(0).to_pylist())
-            if words:
-                _, number = _distinct(sizes, table.numbers(words))
-                kinds, n = np.unique(number, return_counts=True)
-                np.add.at(cells, (table.hashes()[0][kinds] >> np.uint64(64 - CELL_BITS)).astype(np.int64), n.astype(np.uint32))
-        for page in range(pages):
-            part = cells[page << PAGE_BITS : (page + 1) << PAGE_BITS]
-            if part.any():
-                yield _page(page, task, part)
+        for page in np.flatnonzero(np.diff(ends)).tolist():
+            at = hit[ends[page] : ends[page + 1]]
+            yield _page(page, task, (at - page * size).astype("<u4").tobytes() + cells[at].astype("<u4").tobytes())
 
-    def total(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(1 << PAGE_BITS, np.uint64)
+    def summed(table: pa.Table) -> np.ndarray:
+        out = np.zeros(size, np.uint64)
         for packed in table.column("cells").to_pylist():
-            out += np.frombuffer(zlib.decompress(packed), np.uint32)
-        return pa.Table.from_batches([_page(key[0].as_py(), 0, np.minimum(out, 2**32 - 1).astype(np.uint32))])
+            at, n = np.frombuffer(packed, "<u4").reshape(2, -1)
+            out[at] += n
+        return np.minimum(out, 2**32 - 1).astype("<u4")
+
+    def some(key: tuple, table: pa.Table) -> pa.Table:
+        out = summed(table)
+        at = np.flatnonzero(out)
+        return pa.Table.from_batches([_page(key[0].as_py(), 0, at.astype("<u4").tobytes() + out[at].tobytes())])
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_page(key[0].as_py(), 0, zlib.compress(_steps(summed(table)).tobytes(), 1))])
 
     schema = "page int, task int, cells binary"
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, schema)
+    rows = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(count, schema)
     # Two steps, so that no group holds a page of every task.
-    some = rows.groupBy("page", F.pmod("task", F.lit(64)).alias("part")).applyInArrow(total, schema)
-    done = some.groupBy("page").applyInArrow(total, schema).collect()  # 256 packed rows of 256 KB at most
-    out = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in done:
-        out[r["page"] << PAGE_BITS : (r["page"] + 1) << PAGE_BITS] = _steps(np.frombuffer(zlib.decompress(r["cells"]), np.uint32))
-    return out
+    part = rows.groupBy("page", F.pmod("task", F.lit(64)).alias("part")).applyInArrow(some, schema)
+    out = bytearray(1 << CELL_BITS)
+    for r in part.groupBy("page").applyInArrow(total, schema).collect():  # 256 packed rows of 64 KB at most
+        out[r["page"] << PAGE_BITS : (r["page"] + 1) << PAGE_BITS] = zlib.decompress(r["cells"])
+    return bytes(out)
 
 
-def _page(page: int, task: int, cells: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array([page], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["page", "task", "cells"])
+def _page(page: int, task: int, cells: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([task], pa.int32()), pa.array([cells], pa.binary())], names=["page", "task", "cells"])
 
 
-def _lines(docs: DataFrame, steps, t: float) -> DataFrame:
-    """doc_id, text_hash, place, set_id (16 bytes), n, bitmap, and the prefix: words that some other line may have."""
+class WordKeys(dict):
+    """Word to a number that sorts rare words first: the step of its cell, then 55 bits of its hash; emptied when full."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, cells = WordTable(), steps.value
-        for part in _batches(batches):
-            owner, place, sizes, words = _flat(part.column(2).to_pylist())
-            if not words:
-                continue
-            line, number = _distinct(sizes, table.numbers(words))
-            high, low = (h[number] for h in table.hashes())
-            step = cells[(high >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-            order = np.lexsort((low, high, step, line))
-            line, high, low, step = line[order], high[order], low[order], step[order]
-            n = np.bincount(line, minlength=len(sizes))
-            start = np.cumsum(n) - n
-            at = np.arange(len(line)) - start[line]
-            # A set is named by sums of two mixes of its words' hashes: any order gives the same name.
-            one, two = np.add.reduceat(_mix(high) ^ low, start), np.add.reduceat(_mix(low + _GOLD) + high, start)
-            names = np.column_stack([one, two ^ n.astype(np.uint64)]).astype("<u8").tobytes()
-            bitmap = np.bitwise_or.reduceat(np.uint64(1) << (high & np.uint64(63)), start).view(np.int64)
-            prefix = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
-            # Under t / (1 - t) words one word more or less is too much: no other set can be similar.
-            sent = (at < prefix[line]) & (step > 1) & (n[line] >= t / (1 - t) - 1e-9)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(line[sent], minlength=len(sizes)))]).astype(np.int32))
-            own = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(own), part.column(1).take(own), pa.array(place, pa.int32()), pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary()),
-                    pa.array(n, pa.int32()), pa.array(bitmap), pa.ListArray.from_arrays(offsets, pa.array(high[sent].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(at[sent], pa.int32())),
-                ],
-                names=["doc_id", "text_hash", "place", "set_id", "n", "bitmap", "words", "at"],
-            )
+    def __init__(self, cells: bytes, most: int = 400_000) -> None:
+        super().__init__()
+        self.cells, self.most = cells, most
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "doc_id long, text_hash long, place int, set_id binary, n int, bitmap long, words array<long>, at array<int>"
-    )
+    def __missing__(self, word: bytes) -> int:
+        h = xxh3_64_intdigest(word)
+        key = self.cells[h >> 64 - CELL_BITS] << 55 | h & _MASK55
+        if len(self) < self.most:
+            self[word] = key
+        return key
 
 
-def _possible(t: float):
-    """The length, positional and bitmap bounds of classes c (n, at, bitmap) and d (m, dat, dbitmap) that share a word."""
-    n, i, m, j = F.col("n"), F.col("at"), F.col("m"), F.col("dat")
-    need = F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
-    return (
-        (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9)
-        & (1 + F.least(n - i - 1, m - j - 1) >= need - F.least(i, j))
-        & (F.bit_count(F.col("bitmap").bitwiseXOR(F.col("dbitmap"))) <= n + m - 2 * need)
-    )
+_LINES = "doc_id long, text_hash long, row_id long, place int, n int, s1 long, s2 long, p0 long, p1 long, n_few int, words array<int>, at array<int>"
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    return classes.select("cid", "rank", "n", "bitmap", F.inline(F.arrays_zip("words", "at"))).withColumnRenamed("words", "word")
+def _lines(docs: DataFrame, cells, t: float) -> DataFrame:
+    """For every row of ``docs`` one row with place -1 and n lines; for each line its place, set and prefix.
 
+    s1 and s2 name the set of n words, p0 and p1 are its 128 parity cells; words (32 bits of their hashes) and
+    at (their places in the order) are those of the prefix that some other line may have, n_few of them rare.
+    """
 
-def first_candidates(classes: DataFrame, t: float) -> DataFrame:
-    """(c, d): for each class the earliest class of each of its words, where that is earlier and possible.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordKeys(cells.value)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                owner, place, sizes, words = [], [], [], []
+                texts = part.column(3).to_pylist()
+                in_text = np.zeros(len(texts), np.int64)
+                for i, text in enumerate(texts):
+                    for k, line in enumerate(text.lower().split(b"\n")):
+                        own = line.split()
+                        if own:
+                            owner.append(i)
+                            place.append(k)
+                            sizes.append(len(own))
+                            words += own
+                            in_text[i] += 1
+                if len(known) >= known.most:
+                    known.clear()
+                yield _packed(part, np.array(owner, np.int64), place, in_text, *_sets(sizes, np.fromiter(map(known.__getitem__, words), np.int64, len(words)), t))
+
+    text = F.coalesce("text", F.lit(""))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = slim.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, _LINES)
+
+
+def _sets(sizes: list[int], keys: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    """n, s1, s2, p0, p1, n_few, prefix sizes, words and at of lines given by the keys of their words."""
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(keys)
+    order = order[np.argsort(line[order].astype(np.uint16 if len(sizes) < 65536 else np.int64), kind="stable")]  # 16 bits take a radix sort
+    keys, line = keys[order], line[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
+    keys, line = keys[new], line[new]
+    n = np.bincount(line, minlength=len(sizes))
+    if not len(keys):
+        none = np.zeros(0, np.int64)
+        return n, none, none, none, none, none, none, none, none
+    start = np.cumsum(n) - n
+    at, step, mixed = np.arange(len(keys)) - start[line], keys >> 55, _mix(keys.view(np.uint64))
+    # A set is named by sums of two mixes of its words: any order gives the same name.
+    s1, s2 = np.add.reduceat(mixed, start), np.add.reduceat(_mix(mixed + _GOLD), start)
+    bit, high = np.uint64(1) << (mixed & np.uint64(63)), (mixed & np.uint64(64)) > 0
+    p0, p1 = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), start) for side in (~high, high))
+    prefix = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+    # Under t / (1 - t) words one word more or less is too much: no other set can be similar.
+    sent = (at < prefix[line]) & (step > 1) & (n[line] >= t / (1 - t) - 1e-9)
+    count = lambda which: np.bincount(line[which], minlength=len(sizes))
+    return n, *(x.view(np.int64) for x in (s1, s2, p0, p1)), count(sent & (step <= FEW)), count(sent), (keys[sent] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), at[sent]
+
+
+def _packed(part: pa.RecordBatch, owner, place, in_text, n, s1, s2, p0, p1, n_few, n_sent, words, at) -> pa.RecordBatch:
+    heads = len(in_text)
+    own = pa.array(np.concatenate([np.arange(heads), owner]).astype(np.int64))
+    zero = np.zeros(heads, np.int64)
+    both = lambda head, rest, kind: pa.array(np.concatenate([head, np.asarray(rest, np.int64)]).astype(kind))
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([zero, n_sent]))]).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            *(part.column(i).take(own) for i in range(3)), both(zero - 1, place, np.int32), both(in_text, n, np.int32),
+            *(both(zero, x, np.int64) for x in (s1, s2, p0, p1)), both(zero, n_few, np.int32),
+            pa.ListArray.from_arrays(ends, pa.array(words, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
+        ],
+        names=[x.split()[0] for x in _LINES.split(", ")],
+    )
 
-    A class has as many as it has words in its prefix at most, however many classes share them.
-    """
-    posts = _postings(classes)
-    least = posts.groupBy("word").agg(F.min(F.struct("rank", "cid", "n", "at", "bitmap")).alias("f")).select(
-        "word", F.col("f.rank").alias("drank"), F.col("f.cid").alias("d"), F.col("f.n").alias("m"), F.col("f.at").alias("dat"), F.col("f.bitmap").alias("dbitmap")
-    )
-    return posts.join(least, "word").filter((F.col("drank") < F.col("rank")) & _possible(t)).select(F.col("cid").alias("c"), "d").distinct()
 
+def _postings(classes: DataFrame, few: bool) -> DataFrame:
+    """(cid, n, p0, p1, word, at) of the prefix words of at most 64 lines, or of the more frequent ones."""
+    pick = (lambda c: F.slice(c, 1, F.col("n_few"))) if few else (lambda c: F.slice(c, F.col("n_few") + 1, F.greatest(F.size(c) - F.col("n_few"), F.lit(0))))
+    some = F.col("n_few") > 0 if few else F.size("words") > F.col("n_few")
+    zipped = F.arrays_zip(pick("words").alias("word"), pick("at").alias("at"))
+    return classes.filter(some).select("cid", "n", "p0", "p1", F.inline(zipped))
 
-def other_candidates(classes: DataFrame, open_: DataFrame, t: float) -> DataFrame:
-    """(c, d): for the classes that are still open every earlier possible class that shares a word."""
-    posts = _postings(classes)
-    earlier = posts.select("word", F.col("rank").alias("drank"), F.col("cid").alias("d"), F.col("n").alias("m"), F.col("at").alias("dat"), F.col("bitmap").alias("dbitmap"))
-    return _postings(open_).join(earlier, "word").filter((F.col("drank") < F.col("rank")) & _possible(t)).select(F.col("cid").alias("c"), "d").distinct()
 
+def _meet(ours: DataFrame, others: DataFrame, t: float) -> DataFrame:
+    """(c, d, apart): classes and earlier ones that share a word and pass the length, positional and parity bounds."""
+    a, b = ours.alias("a"), others.alias("b")
+    n, i, m, j = F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")
+    need = F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
+    apart = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in ("p0", "p1")), F.lit(0))
+    possible = (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9) & (F.lit(1) + F.least(n - i - 1, m - j - 1) >= need - F.least(i, j)) & (apart <= n + m - 2 * need)
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("b.cid") < F.col("a.cid")) & possible)
+    return met.select(F.col("a.cid").alias("c"), F.col("b.cid").alias("d"), apart.alias("apart"))
+
+
+def _earliest(posts: DataFrame) -> DataFrame:
+    """Of each word the posting of its earliest class."""
+    first = posts.groupBy("word").agg(F.min("cid").alias("cid"))
+    return posts.join(first, ["word", "cid"], "left_semi").select(*posts.columns)
+
+
+def _shadowed(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: DataFrame, t: float) -> DataFrame:
+    """cid of every class that is similar to an earlier one."""
+    few, many = _postings(classes, True), _postings(classes, False)
+    once = lambda met: met.groupBy("c", "d").agg(F.min("apart").alias("apart"))
+    pairs = materialise(once(_meet(few, few, t).unionByName(_meet(many, _earliest(many), t))), "pairs")
+    found = _settled(spark, docs, classes, heads, pairs, t)
+    left = classes.join(found, "cid", "left_anti")
+    more = materialise(once(_meet(_postings(left, False), many, t)).join(pairs, ["c", "d"], "left_anti").select("c", "d", "apart"), "pairs")
+    out = found.unionByName(_settled(spark, docs, classes, heads, more, t))
+    discard(pairs, more)
+    return out
 
-def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """One row per document with lines: doc_id, text_hash, n_lines, removed (places of lines that go, in order).
 
-    Lines are split at \\n; a line without a word is never removed and isn't counted. Null text counts as
-    empty. Order in the corpus: doc_id (null last), then a hash of the text where ids repeat, then place;
-    of lines at equal places (repeated rows) the first is counted once and the others go with it. An
-    empty table gives an empty result; columns but doc_id and text are ignored.
-    """
-    spark = ship(docs.sparkSession)
-    steps = spark.sparkContext.broadcast(frequency_cells(docs))  # 16 MB at any scale
-    lines = _lines(docs, steps, t)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "place")
-    lines = materialise(lines, "lines")
-    classes = materialise(
-        lines.groupBy("set_id")
-        .agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("words").alias("words"), F.first("at").alias("at"))
-        .withColumn("cid", F.monotonically_increasing_id()),
-        "classes",
-    )
-    sharing = classes.filter(F.size("words") > 0).withColumn("rank", F.col("first"))
-    # First one candidate a word: it settles lines with many likenesses. What is open meets all the others.
-    pairs = materialise(first_candidates(sharing, t), "pairs")
-    found = materialise(_similar(spark, docs, classes, pairs, t), "found")
-    left = sharing.join(found, "cid", "left_anti")
-    more = materialise(other_candidates(sharing, left, t).join(pairs, ["c", "d"], "left_anti"), "pairs")
-    shadowed = found.unionByName(_similar(spark, docs, classes, more, t)).distinct()
-    told = classes.join(shadowed.withColumn("shadowed", F.lit(True)), "cid", "left").select("set_id", "first", "copies", F.coalesce("shadowed", F.lit(False)).alias("shadowed"))
-    told = told.filter("shadowed OR copies > 1")
-    placed = lines.select("set_id", order.alias("here")).join(told, "set_id", "left")
-    gone = F.when(F.coalesce("shadowed", F.lit(False)), F.lit(True)).otherwise(F.coalesce(F.col("here") != F.col("first"), F.lit(False)))
-    return placed.select("here", gone.alias("gone")).groupBy(F.col("here.doc_id").alias("doc_id"), F.col("here.text_hash").alias("text_hash")).agg(
-        F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("here.place")))).alias("removed")
-    )
+def _settled(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """cid of the classes c of ``pairs`` that are similar to one of their d: the likeliest is tried first, then all others."""
+    best = pairs.groupBy("c").agg(F.min(F.struct("apart", "d")).alias("b")).select("c", F.col("b.d").alias("d"))
+    one = materialise(_similar(spark, docs, classes, heads, best, t), "found")
+    rest = pairs.select("c", "d").join(best, ["c", "d"], "left_anti").join(one.select(F.col("cid").alias("c")), "c", "left_anti")
+    return one.unionByName(materialise(_similar(spark, docs, classes, heads, rest, t), "found"))
 
 
-def _similar(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+def _similar(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """cid of the classes c of pairs (c, d) that are similar, word by word, in the lines where they come first."""
+    pairs = materialise(pairs, "tried")
     needed = pairs.select(F.col("c").alias("cid")).unionByName(pairs.select(F.col("d").alias("cid"))).distinct()
-    at = F.struct("cid", F.col("first.place").alias("place"))
-    refs = classes.join(needed, "cid").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list(at).alias("refs"))
-    refs = materialise(refs, "refs")  # of one text, at most its lines
+    at = classes.select("cid", F.col("first.row_id").alias("row_id"), F.col("first.place").alias("place")).join(needed, "cid")
+    rows = at.groupBy("row_id").agg(F.collect_list(F.struct("cid", "place")).alias("refs"))  # of one text, at most its lines
+    refs = materialise(rows.join(heads.select("row_id", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "row_id").select("_d", "_h", "refs"), "refs")
     n = refs.agg(F.coalesce(F.sum(F.size("refs")), F.lit(0))).first()[0]
-    small = F.broadcast(refs) if n <= MOST_SENT else refs
-    slim = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    joined = slim.join(small, slim["d"].eqNullSafe(F.col("doc_id")) & (slim["h"] == F.col("text_hash"))).select("refs", F.split("text", "\n", -1).alias("lines"))
-    picked = joined.select(F.inline(F.transform("refs", lambda r: F.struct(r["cid"].alias("cid"), F.get(F.col("lines"), r["place"]).alias("line")))))
-    texts = materialise(picked, "texts")
-    one = texts.select(F.col("cid").alias("c"), F.col("line").alias("x"))
-    two = texts.select(F.col("cid").alias("d"), F.col("line").alias("y"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = slim.join(F.broadcast(refs) if n <= MOST_SENT else refs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")))
+    lines = joined.select("refs", F.split("text", "\n", -1).alias("lines"))
+    picked = lines.select(F.inline(F.transform("refs", lambda r: F.struct(r["cid"].alias("cid"), F.get(F.col("lines"), r["place"]).alias("line")))))
+    texts = materialise(picked.groupBy("cid").agg(F.min("line").alias("line")), "texts")  # of repeated rows one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,24 +289,60 @@ def _similar(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Da
                     good.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["cid"])
 
+    one = texts.select(F.col("cid").alias("c"), F.col("line").alias("x"))
+    two = texts.select(F.col("cid").alias("d"), F.col("line").alias("y"))
     return pairs.join(two, "d").join(one, "c").select("c", "x", "y").mapInArrow(run, "cid long").distinct()
 
 
+def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """One row per input row: doc_id, text_hash, row_id, n_lines, removed (places of the lines that go, in order).
+
+    Lines are split at \\n; a line without a word is never removed and isn't counted. Null text counts as
+    empty. Order in the corpus: doc_id (null last), then a hash of the text where ids repeat, then the row as
+    read, then place; so of repeated rows the first stays and the lines of the others go. An empty table
+    gives an empty result; columns but doc_id and text are ignored.
+    """
+    spark = ship(docs.sparkSession)
+    cells = spark.sparkContext.broadcast(frequency_cells(docs))  # 16 MB at any scale
+    table = materialise(_lines(docs, cells, t), "lines")
+    heads, lines = table.filter("place < 0"), table.filter("place >= 0")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id", "place")
+    firsts = [F.first(c).alias(c) for c in ("n", "p0", "p1", "n_few", "words", "at")]  # the same for all lines of a set
+    grouped = lines.groupBy("s1", "s2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), *firsts)
+    # Sorted, the number of a class tells whether it comes earlier.
+    classes = materialise(grouped.orderBy("first").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    shadowed = _shadowed(spark, docs, classes, heads, t)
+    told = classes.join(shadowed.withColumn("shadowed", F.lit(True)), "cid", "left").select(
+        "s1", "s2", F.coalesce("shadowed", F.lit(False)).alias("shadowed"), "copies", F.col("first.row_id").alias("row"), F.col("first.place").alias("at")
+    ).filter("shadowed OR copies > 1")
+    gone = lines.select("row_id", "place", "s1", "s2").join(told, ["s1", "s2"]).filter("shadowed OR row_id != row OR place != at")
+    by_row = gone.groupBy("row_id").agg(F.sort_array(F.collect_list("place")).alias("removed"))
+    return heads.select("doc_id", "text_hash", "row_id", F.col("n").alias("n_lines")).join(by_row, "row_id", "left").select(
+        "doc_id", "text_hash", "row_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
+    )
+
+
+def _same_row(spread: DataFrame, by: Column) -> DataFrame:
+    """A number for each of the rows that have the same doc_id and text; such rows are alike to this operator."""
+    return spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_d", "_h").orderBy(by)))
+
+
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` with the removed lines taken out of their texts; the other lines and columns stay."""
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))), "\n")
-    told = removed.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("removed").alias("_gone"))
-    joined = docs.join(told, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h")), "left")
-    return joined.select(*[F.when(F.size("_gone") > 0, left).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    told = _same_row(
+        removed.filter("n_lines > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "row_id", F.col("removed").alias("_gone")), F.col("row_id")
+    ).drop("row_id")
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_in"), docs["doc_id"].cast("long").alias("_d"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
+    has = F.col("_text").rlike("[^\\x20\\x09-\\x0D]")
+    some = _same_row(held.filter(has).withColumn("_h", F.xxhash64("_text")), F.xxhash64(F.to_json("_in"))).alias("x")
+    joined = some.join(told.alias("y"), F.col("x._d").eqNullSafe(F.col("y._d")) & (F.col("x._h") == F.col("y._h")) & (F.col("x._nth") == F.col("y._nth")), "left")
+    left = F.array_join(F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))), "\n")
+    done = joined.select("_in", F.when(F.size("_gone") > 0, left).otherwise(F.col("_text")).alias("_new"))
+    done = done.unionByName(held.filter(~has).select("_in", F.col("_in")["text"].alias("_new")))
+    return done.select(*[F.col("_new").alias("text") if c == "text" else F.col("_in")[c].alias(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, removed; documents without a line have 0 and none."""
+    """One row per input row: doc_id, n_lines, n_removed, removed; documents without a line have 0 and none."""
     found = removed_lines(docs, t)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    same = ids["doc_id"].eqNullSafe(found["doc_id"]) & (ids["text_hash"] == found["text_hash"])
-    return ids.join(found, same, "left").select(
-        ids["doc_id"], F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-    )
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
