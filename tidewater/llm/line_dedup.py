@@ -7,7 +7,7 @@ length, positional or parity bound fall out inside the join; the rest are verifi
 likeliest of each class first. A line goes if an earlier line of the corpus, in the order of doc_id and
 place, is similar to it, so a class needs no more partners once one is found.
 
-Words of at most 64 lines have short lists: there all pairs meet. On more frequent words a class first meets
+Words of at most 512 lines have short lists: there all pairs meet. On more frequent words a class first meets
 the earliest class of each, which settles groups of copies; only classes that are still open then meet all
 earlier ones of their frequent words. Nothing is lost, and groups of copies aren't paired off.
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from xxhash import xxh3_64_intdigest
 
-from tidewater.llm.bagminhash import _mix
 from tidewater.llm.common import discard, materialise
+from tidewater.llm.wordhash import Words, mix
 from tidewater.session import ship
 
 SIMILARITY = 0.8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 CELL_BITS, PAGE_BITS = 24, 16
-#: Lines that have a word of this step or less are at most 64.
-FEW = 25
+#: Lines that have a word of this step or less are at most 512.
+FEW = 37
 #: Places of lines that are sent to every task, at most (of some 40 bytes each); more are joined by a shuffle.
 MOST_SENT = 500_000
-_MASK55 = (1 << 55) - 1
+_LOW55 = np.uint64((1 << 55) - 1)
 
 
 def word_lines(text: str) -> Iterator[tuple[int, list[bytes]]]:
@@ -69,26 +67,17 @@ def _steps(counts: np.ndarray) -> np.ndarray:
 
 
 def frequency_cells(docs: DataFrame) -> bytes:
-    """Steps of the line frequency of every cell, over all documents."""
+    """Steps of the frequency of every cell, over all words of all documents."""
     size = 1 << PAGE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cells, seen = np.zeros(1 << CELL_BITS, np.uint32), Counter()
-
-        def pour() -> None:
-            hashes = np.fromiter(map(xxh3_64_intdigest, seen), np.uint64, len(seen))
-            np.add.at(cells, (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.fromiter(seen.values(), np.uint32, len(seen)))
-            seen.clear()
-
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for line in text.lower().split(b"\n"):
-                    seen.update(set(line.split()))
-                if len(seen) > 400_000:
-                    pour()
-        pour()
+            for begin in range(0, batch.num_rows, 256):
+                hashes = Words(batch.column(0).slice(begin, 256)).hash
+                np.add.at(cells, (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         hit = np.flatnonzero(cells)
         ends = np.searchsorted(hit, np.arange(0, (1 << CELL_BITS) + 1, size))
         task = TaskContext.get().partitionId()
@@ -125,51 +114,28 @@ def _page(page: int, task: int, cells: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([task], pa.int32()), pa.array([cells], pa.binary())], names=["page", "task", "cells"])
 
 
-class WordKeys(dict):
-    """Word to a number that sorts rare words first: the step of its cell, then 55 bits of its hash; emptied when full."""
-
-    def __init__(self, cells: bytes, most: int = 400_000) -> None:
-        super().__init__()
-        self.cells, self.most = cells, most
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxh3_64_intdigest(word)
-        key = self.cells[h >> 64 - CELL_BITS] << 55 | h & _MASK55
-        if len(self) < self.most:
-            self[word] = key
-        return key
-
-
-_LINES = "doc_id long, text_hash long, row_id long, place int, n int, s1 long, s2 long, p0 long, p1 long, n_few int, words array<int>, at array<int>"
+_LINES = "doc_id long, text_hash long, row_id long, place int, n int, s1 long, s2 long, p0 long, p1 long, few array<long>, many array<long>"
 
 
 def _lines(docs: DataFrame, cells, t: float) -> DataFrame:
     """For every row of ``docs`` one row with place -1 and n lines; for each line its place, set and prefix.
 
-    s1 and s2 name the set of n words, p0 and p1 are its 128 parity cells; words (32 bits of their hashes) and
-    at (their places in the order) are those of the prefix that some other line may have, n_few of them rare.
+    s1 and s2 name the set of n words, p0 and p1 are its 128 parity cells; few and many have those words of the
+    prefix that some other line may have, rare and frequent ones: 32 bits of the hash, then the place in the order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordKeys(cells.value)
+        steps = np.frombuffer(cells.value, np.uint8)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                owner, place, sizes, words = [], [], [], []
-                texts = part.column(3).to_pylist()
-                in_text = np.zeros(len(texts), np.int64)
-                for i, text in enumerate(texts):
-                    for k, line in enumerate(text.lower().split(b"\n")):
-                        own = line.split()
-                        if own:
-                            owner.append(i)
-                            place.append(k)
-                            sizes.append(len(own))
-                            words += own
-                            in_text[i] += 1
-                if len(known) >= known.most:
-                    known.clear()
-                yield _packed(part, np.array(owner, np.int64), place, in_text, *_sets(sizes, np.fromiter(map(known.__getitem__, words), np.int64, len(words)), t))
+                words = Words(part.column(3))
+                new = np.ones(len(words.hash), bool)
+                new[1:] = (words.text[1:] != words.text[:-1]) | (words.line[1:] != words.line[:-1])
+                at = np.flatnonzero(new)
+                step = steps[(words.hash >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
+                keys = (step << np.uint64(55) | words.hash & _LOW55).view(np.int64)  # rare words first
+                yield _packed(part, words.text[at], words.line[at], *_sets(np.cumsum(new) - 1, keys, len(at), t))
 
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -177,92 +143,86 @@ def _lines(docs: DataFrame, cells, t: float) -> DataFrame:
     return rows.mapInArrow(run, _LINES)
 
 
-def _sets(sizes: list[int], keys: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
-    """n, s1, s2, p0, p1, n_few, prefix sizes, words and at of lines given by the keys of their words."""
-    line = np.repeat(np.arange(len(sizes)), sizes)
+def _sets(line: np.ndarray, keys: np.ndarray, lines: int, t: float) -> tuple:
+    """n, s1, s2, p0, p1 of each line, and (sizes, packed words) of its few and many, from the keys of its words."""
     order = np.argsort(keys)
-    order = order[np.argsort(line[order].astype(np.uint16 if len(sizes) < 65536 else np.int64), kind="stable")]  # 16 bits take a radix sort
+    order = order[np.argsort(line[order].astype(np.uint16 if lines < 65536 else np.int64), kind="stable")]  # 16 bits take a radix sort
     keys, line = keys[order], line[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
     keys, line = keys[new], line[new]
-    n = np.bincount(line, minlength=len(sizes))
-    if not len(keys):
+    n = np.bincount(line, minlength=lines)
+    if not lines:
         none = np.zeros(0, np.int64)
-        return n, none, none, none, none, none, none, none, none
+        return n, none, none, none, none, (none, none), (none, none)
     start = np.cumsum(n) - n
-    at, step, mixed = np.arange(len(keys)) - start[line], keys >> 55, _mix(keys.view(np.uint64))
+    at, step, mixed = np.arange(len(keys)) - start[line], keys >> 55, mix(keys.view(np.uint64))
     # A set is named by sums of two mixes of its words: any order gives the same name.
-    s1, s2 = np.add.reduceat(mixed, start), np.add.reduceat(_mix(mixed + _GOLD), start)
+    s1, s2 = np.add.reduceat(mixed, start), np.add.reduceat(mix(mixed + _GOLD), start)
     bit, high = np.uint64(1) << (mixed & np.uint64(63)), (mixed & np.uint64(64)) > 0
     p0, p1 = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), start) for side in (~high, high))
     prefix = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
     # Under t / (1 - t) words one word more or less is too much: no other set can be similar.
     sent = (at < prefix[line]) & (step > 1) & (n[line] >= t / (1 - t) - 1e-9)
-    count = lambda which: np.bincount(line[which], minlength=len(sizes))
-    return n, *(x.view(np.int64) for x in (s1, s2, p0, p1)), count(sent & (step <= FEW)), count(sent), (keys[sent] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), at[sent]
+    packed = (keys << 32) | at
+    pick = lambda which: (np.bincount(line[which], minlength=lines), packed[which])
+    return n, *(x.view(np.int64) for x in (s1, s2, p0, p1)), pick(sent & (step <= FEW)), pick(sent & (step > FEW))
 
 
-def _packed(part: pa.RecordBatch, owner, place, in_text, n, s1, s2, p0, p1, n_few, n_sent, words, at) -> pa.RecordBatch:
-    heads = len(in_text)
-    own = pa.array(np.concatenate([np.arange(heads), owner]).astype(np.int64))
+def _packed(part: pa.RecordBatch, owner, place, n, s1, s2, p0, p1, few, many) -> pa.RecordBatch:
+    heads = part.num_rows
+    own = pa.array(np.concatenate([np.arange(heads), owner]))
     zero = np.zeros(heads, np.int64)
-    both = lambda head, rest, kind: pa.array(np.concatenate([head, np.asarray(rest, np.int64)]).astype(kind))
-    ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([zero, n_sent]))]).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [
-            *(part.column(i).take(own) for i in range(3)), both(zero - 1, place, np.int32), both(in_text, n, np.int32),
-            *(both(zero, x, np.int64) for x in (s1, s2, p0, p1)), both(zero, n_few, np.int32),
-            pa.ListArray.from_arrays(ends, pa.array(words, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
-        ],
-        names=[x.split()[0] for x in _LINES.split(", ")],
-    )
-
-
-def _postings(classes: DataFrame, few: bool) -> DataFrame:
-    """(cid, n, p0, p1, word, at) of the prefix words of at most 64 lines, or of the more frequent ones."""
-    pick = (lambda c: F.slice(c, 1, F.col("n_few"))) if few else (lambda c: F.slice(c, F.col("n_few") + 1, F.greatest(F.size(c) - F.col("n_few"), F.lit(0))))
-    some = F.col("n_few") > 0 if few else F.size("words") > F.col("n_few")
-    zipped = F.arrays_zip(pick("words").alias("word"), pick("at").alias("at"))
-    return classes.filter(some).select("cid", "n", "p0", "p1", F.inline(zipped))
+    both = lambda head, rest, kind: pa.array(np.concatenate([head, rest]).astype(kind))
+
+    def lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], zero, np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+    columns = [
+        *(part.column(i).take(own) for i in range(3)), both(zero - 1, place, np.int32), both(np.bincount(owner, minlength=heads), n, np.int32),
+        *(both(zero, x, np.int64) for x in (s1, s2, p0, p1)), lists(*few), lists(*many),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _LINES.split(", ")])
+
+
+def _postings(classes: DataFrame, which: str) -> DataFrame:
+    """(cid, n, p0, p1, word), a row for each of the few or many; the place of the word is in its low half."""
+    return classes.filter(F.size(which) > 0).select("cid", "n", "p0", "p1", F.explode(which).alias("word"))
+
+
+def _word(c: str) -> Column:
+    return F.shiftright(F.col(c), 32)
 
 
 def _meet(ours: DataFrame, others: DataFrame, t: float) -> DataFrame:
     """(c, d, apart): classes and earlier ones that share a word and pass the length, positional and parity bounds."""
     a, b = ours.alias("a"), others.alias("b")
-    n, i, m, j = F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")
+    n, m = F.col("a.n"), F.col("b.n")
+    i, j = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("a.word", "b.word"))
     need = F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
     apart = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in ("p0", "p1")), F.lit(0))
     possible = (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9) & (F.lit(1) + F.least(n - i - 1, m - j - 1) >= need - F.least(i, j)) & (apart <= n + m - 2 * need)
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("b.cid") < F.col("a.cid")) & possible)
+    met = a.join(b, (_word("a.word") == _word("b.word")) & (F.col("b.cid") < F.col("a.cid")) & possible)
     return met.select(F.col("a.cid").alias("c"), F.col("b.cid").alias("d"), apart.alias("apart"))
 
 
 def _earliest(posts: DataFrame) -> DataFrame:
     """Of each word the posting of its earliest class."""
-    first = posts.groupBy("word").agg(F.min("cid").alias("cid"))
-    return posts.join(first, ["word", "cid"], "left_semi").select(*posts.columns)
+    first = posts.groupBy(_word("word").alias("w")).agg(F.min("cid").alias("least"))
+    return posts.join(first, (_word("word") == F.col("w")) & (F.col("cid") == F.col("least")), "left_semi")
 
 
 def _shadowed(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: DataFrame, t: float) -> DataFrame:
-    """cid of every class that is similar to an earlier one."""
-    few, many = _postings(classes, True), _postings(classes, False)
+    """cid of every class that is similar to an earlier one: the likeliest is tried first, then all others."""
+    few, many = _postings(classes, "few"), _postings(classes, "many")
     once = lambda met: met.groupBy("c", "d").agg(F.min("apart").alias("apart"))
     pairs = materialise(once(_meet(few, few, t).unionByName(_meet(many, _earliest(many), t))), "pairs")
-    found = _settled(spark, docs, classes, heads, pairs, t)
-    left = classes.join(found, "cid", "left_anti")
-    more = materialise(once(_meet(_postings(left, False), many, t)).join(pairs, ["c", "d"], "left_anti").select("c", "d", "apart"), "pairs")
-    out = found.unionByName(_settled(spark, docs, classes, heads, more, t))
-    discard(pairs, more)
-    return out
-
-
-def _settled(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """cid of the classes c of ``pairs`` that are similar to one of their d: the likeliest is tried first, then all others."""
     best = pairs.groupBy("c").agg(F.min(F.struct("apart", "d")).alias("b")).select("c", F.col("b.d").alias("d"))
-    one = materialise(_similar(spark, docs, classes, heads, best, t), "found")
-    rest = pairs.select("c", "d").join(best, ["c", "d"], "left_anti").join(one.select(F.col("cid").alias("c")), "c", "left_anti")
-    return one.unionByName(materialise(_similar(spark, docs, classes, heads, rest, t), "found"))
+    found = materialise(_similar(spark, docs, classes, heads, best, t), "found")
+    left = classes.join(found, "cid", "left_anti")
+    rest = pairs.select("c", "d").join(found.select(F.col("cid").alias("c")), "c", "left_anti")
+    rest = rest.unionByName(_meet(_postings(left, "many"), many, t).select("c", "d")).distinct().join(best, ["c", "d"], "left_anti")
+    return found.unionByName(materialise(_similar(spark, docs, classes, heads, rest, t), "found"))
 
 
 def _similar(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
@@ -307,7 +267,7 @@ def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     table = materialise(_lines(docs, cells, t), "lines")
     heads, lines = table.filter("place < 0"), table.filter("place >= 0")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id", "place")
-    firsts = [F.first(c).alias(c) for c in ("n", "p0", "p1", "n_few", "words", "at")]  # the same for all lines of a set
+    firsts = [F.first(c).alias(c) for c in ("n", "p0", "p1", "few", "many")]  # the same for all lines of a set
     grouped = lines.groupBy("s1", "s2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), *firsts)
     # Sorted, the number of a class tells whether it comes earlier.
     classes = materialise(grouped.orderBy("first").withColumn("cid", F.monotonically_increasing_id()), "classes")
