@@ -73,37 +73,45 @@ def frequency_cells(docs: DataFrame) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        cells, held = np.zeros(1 << CELL_BITS, np.uint32), [np.zeros(0, np.uint32)]
+
+        def pour() -> None:
+            kinds, n = np.unique(np.concatenate(held), return_counts=True)  # sorted, so that the cells are met in order
+            cells[kinds] += n.astype(np.uint32)
+            held[:] = [kinds[:0]]
+
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
-                hashes = Words(batch.column(0).slice(begin, 256)).hash
-                np.add.at(cells, (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                held.append((Words(batch.column(0).slice(begin, 256)).hash >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
+                if sum(map(len, held)) > 4_000_000:
+                    pour()
+        pour()
         hit = np.flatnonzero(cells)
         ends = np.searchsorted(hit, np.arange(0, (1 << CELL_BITS) + 1, size))
         task = TaskContext.get().partitionId()
         for page in np.flatnonzero(np.diff(ends)).tolist():
             at = hit[ends[page] : ends[page + 1]]
-            yield _page(page, task, (at - page * size).astype("<u4").tobytes() + cells[at].astype("<u4").tobytes())
+            yield _page(page, task, (at - page * size).astype("<u2").tobytes() + cells[at].astype("<u4").tobytes())
 
     def summed(table: pa.Table) -> np.ndarray:
         out = np.zeros(size, np.uint64)
         for packed in table.column("cells").to_pylist():
-            at, n = np.frombuffer(packed, "<u4").reshape(2, -1)
-            out[at] += n
+            at = np.frombuffer(packed, "<u2", len(packed) // 6)
+            out[at] += np.frombuffer(packed, "<u4", offset=2 * len(at))
         return np.minimum(out, 2**32 - 1).astype("<u4")
 
     def some(key: tuple, table: pa.Table) -> pa.Table:
         out = summed(table)
         at = np.flatnonzero(out)
-        return pa.Table.from_batches([_page(key[0].as_py(), 0, at.astype("<u4").tobytes() + out[at].tobytes())])
+        return pa.Table.from_batches([_page(key[0].as_py(), 0, at.astype("<u2").tobytes() + out[at].tobytes())])
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_page(key[0].as_py(), 0, zlib.compress(_steps(summed(table)).tobytes(), 1))])
 
     schema = "page int, task int, cells binary"
     rows = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(count, schema)
-    # Two steps, so that no group holds a page of every task.
-    part = rows.groupBy("page", F.pmod("task", F.lit(64)).alias("part")).applyInArrow(some, schema)
+    # Two steps, so that no group holds a page of every task: 256 of them, of 384 KB at most, at first.
+    part = rows.groupBy("page", F.shiftright("task", 8).alias("part")).applyInArrow(some, schema)
     out = bytearray(1 << CELL_BITS)
     for r in part.groupBy("page").applyInArrow(total, schema).collect():  # 256 packed rows of 64 KB at most
         out[r["page"] << PAGE_BITS : (r["page"] + 1) << PAGE_BITS] = zlib.decompress(r["cells"])
@@ -114,14 +122,15 @@ def _page(page: int, task: int, cells: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([task], pa.int32()), pa.array([cells], pa.binary())], names=["page", "task", "cells"])
 
 
-_LINES = "doc_id long, text_hash long, row_id long, place int, n int, s1 long, s2 long, p0 long, p1 long, few array<long>, many array<long>"
+_LINES = "doc_id long, text_hash long, row_id long, place int, n int, s1 long, s2 long, p0 long, p1 long, words array<long>"
 
 
 def _lines(docs: DataFrame, cells, t: float) -> DataFrame:
     """For every row of ``docs`` one row with place -1 and n lines; for each line its place, set and prefix.
 
-    s1 and s2 name the set of n words, p0 and p1 are its 128 parity cells; few and many have those words of the
-    prefix that some other line may have, rare and frequent ones: 32 bits of the hash, then the place in the order.
+    s1 and s2 name the set of n words, p0 and p1 are its 128 parity cells; words has those of the prefix that some
+    other line may have: 32 bits of the hash, a bit that says whether more than 512 lines may have it, and the
+    place in the order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +153,7 @@ def _lines(docs: DataFrame, cells, t: float) -> DataFrame:
 
 
 def _sets(line: np.ndarray, keys: np.ndarray, lines: int, t: float) -> tuple:
-    """n, s1, s2, p0, p1 of each line, and (sizes, packed words) of its few and many, from the keys of its words."""
+    """n, s1, s2, p0, p1 of each line, the number of its words that are sent, and these, from the keys of its words."""
     order = np.argsort(keys)
     order = order[np.argsort(line[order].astype(np.uint16 if lines < 65536 else np.int64), kind="stable")]  # 16 bits take a radix sort
     keys, line = keys[order], line[order]
@@ -154,7 +163,7 @@ def _sets(line: np.ndarray, keys: np.ndarray, lines: int, t: float) -> tuple:
     n = np.bincount(line, minlength=lines)
     if not lines:
         none = np.zeros(0, np.int64)
-        return n, none, none, none, none, (none, none), (none, none)
+        return n, none, none, none, none, none, none
     start = np.cumsum(n) - n
     at, step, mixed = np.arange(len(keys)) - start[line], keys >> 55, mix(keys.view(np.uint64))
     # A set is named by sums of two mixes of its words: any order gives the same name.
@@ -164,30 +173,31 @@ def _sets(line: np.ndarray, keys: np.ndarray, lines: int, t: float) -> tuple:
     prefix = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
     # Under t / (1 - t) words one word more or less is too much: no other set can be similar.
     sent = (at < prefix[line]) & (step > 1) & (n[line] >= t / (1 - t) - 1e-9)
-    packed = (keys << 32) | at
-    pick = lambda which: (np.bincount(line[which], minlength=lines), packed[which])
-    return n, *(x.view(np.int64) for x in (s1, s2, p0, p1)), pick(sent & (step <= FEW)), pick(sent & (step > FEW))
+    packed = (keys << 32) | (step > FEW).astype(np.int64) << 31 | at
+    return n, *(x.view(np.int64) for x in (s1, s2, p0, p1)), np.bincount(line[sent], minlength=lines), packed[sent]
 
 
-def _packed(part: pa.RecordBatch, owner, place, n, s1, s2, p0, p1, few, many) -> pa.RecordBatch:
+def _packed(part: pa.RecordBatch, owner, place, n, s1, s2, p0, p1, sizes, words) -> pa.RecordBatch:
     heads = part.num_rows
     own = pa.array(np.concatenate([np.arange(heads), owner]))
     zero = np.zeros(heads, np.int64)
     both = lambda head, rest, kind: pa.array(np.concatenate([head, rest]).astype(kind))
 
-    def lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], zero, np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
-
+    ends = pa.array(np.concatenate([[0], zero, np.cumsum(sizes)]).astype(np.int32))
     columns = [
         *(part.column(i).take(own) for i in range(3)), both(zero - 1, place, np.int32), both(np.bincount(owner, minlength=heads), n, np.int32),
-        *(both(zero, x, np.int64) for x in (s1, s2, p0, p1)), lists(*few), lists(*many),
+        *(both(zero, x, np.int64) for x in (s1, s2, p0, p1)), pa.ListArray.from_arrays(ends, pa.array(words)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _LINES.split(", ")])
 
 
-def _postings(classes: DataFrame, which: str) -> DataFrame:
-    """(cid, n, p0, p1, word), a row for each of the few or many; the place of the word is in its low half."""
-    return classes.filter(F.size(which) > 0).select("cid", "n", "p0", "p1", F.explode(which).alias("word"))
+def _postings(classes: DataFrame) -> DataFrame:
+    """(cid, n, p0, p1, word), a row for each word of the prefix; its low half has its mark and place."""
+    return classes.filter(F.size("words") > 0).select("cid", "n", "p0", "p1", F.explode("words").alias("word"))
+
+
+def _many() -> Column:
+    return F.col("word").bitwiseAND(F.lit(1 << 31)) != 0
 
 
 def _word(c: str) -> Column:
@@ -198,10 +208,10 @@ def _meet(ours: DataFrame, others: DataFrame, t: float) -> DataFrame:
     """(c, d, apart): classes and earlier ones that share a word and pass the length, positional and parity bounds."""
     a, b = ours.alias("a"), others.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
-    i, j = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("a.word", "b.word"))
-    need = F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
+    i, j = (F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)) for c in ("a.word", "b.word"))
+    need = F.lit(t / (1 + t)) * (n + m) - F.lit(1e-9)  # of words that both have
     apart = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in ("p0", "p1")), F.lit(0))
-    possible = (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9) & (F.lit(1) + F.least(n - i - 1, m - j - 1) >= need - F.least(i, j)) & (apart <= n + m - 2 * need)
+    possible = (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9) & (apart <= n + m - need - need) & (F.least(n - i, m - j) + F.least(i, j) >= need)
     met = a.join(b, (_word("a.word") == _word("b.word")) & (F.col("b.cid") < F.col("a.cid")) & possible)
     return met.select(F.col("a.cid").alias("c"), F.col("b.cid").alias("d"), apart.alias("apart"))
 
@@ -214,14 +224,15 @@ def _earliest(posts: DataFrame) -> DataFrame:
 
 def _shadowed(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: DataFrame, t: float) -> DataFrame:
     """cid of every class that is similar to an earlier one: the likeliest is tried first, then all others."""
-    few, many = _postings(classes, "few"), _postings(classes, "many")
+    posts = _postings(classes)
+    few, many = posts.filter(~_many()), posts.filter(_many())
     once = lambda met: met.groupBy("c", "d").agg(F.min("apart").alias("apart"))
     pairs = materialise(once(_meet(few, few, t).unionByName(_meet(many, _earliest(many), t))), "pairs")
     best = pairs.groupBy("c").agg(F.min(F.struct("apart", "d")).alias("b")).select("c", F.col("b.d").alias("d"))
     found = materialise(_similar(spark, docs, classes, heads, best, t), "found")
     left = classes.join(found, "cid", "left_anti")
     rest = pairs.select("c", "d").join(found.select(F.col("cid").alias("c")), "c", "left_anti")
-    rest = rest.unionByName(_meet(_postings(left, "many"), many, t).select("c", "d")).distinct().join(best, ["c", "d"], "left_anti")
+    rest = rest.unionByName(_meet(_postings(left).filter(_many()), many, t).select("c", "d")).distinct().join(best, ["c", "d"], "left_anti")
     return found.unionByName(materialise(_similar(spark, docs, classes, heads, rest, t), "found"))
 
 
@@ -267,7 +278,7 @@ def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     table = materialise(_lines(docs, cells, t), "lines")
     heads, lines = table.filter("place < 0"), table.filter("place >= 0")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id", "place")
-    firsts = [F.first(c).alias(c) for c in ("n", "p0", "p1", "few", "many")]  # the same for all lines of a set
+    firsts = [F.first(c).alias(c) for c in ("n", "p0", "p1", "words")]  # the same for all lines of a set
     grouped = lines.groupBy("s1", "s2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), *firsts)
     # Sorted, the number of a class tells whether it comes earlier.
     classes = materialise(grouped.orderBy("first").withColumn("cid", F.monotonically_increasing_id()), "classes")
