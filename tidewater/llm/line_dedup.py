@@ -204,16 +204,35 @@ def _word(c: str) -> Column:
     return F.shiftright(F.col(c), 32)
 
 
-def _meet(ours: DataFrame, others: DataFrame, t: float) -> DataFrame:
-    """(c, d, apart): classes and earlier ones that share a word and pass the length, positional and parity bounds."""
-    a, b = ours.alias("a"), others.alias("b")
+def _possible(t: float) -> Column:
+    """The length, parity and positional bounds of two postings a and b of one word."""
     n, m = F.col("a.n"), F.col("b.n")
     i, j = (F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)) for c in ("a.word", "b.word"))
     need = F.lit(t / (1 + t)) * (n + m) - F.lit(1e-9)  # of words that both have
-    apart = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in ("p0", "p1")), F.lit(0))
-    possible = (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9) & (apart <= n + m - need - need) & (F.least(n - i, m - j) + F.least(i, j) >= need)
-    met = a.join(b, (_word("a.word") == _word("b.word")) & (F.col("b.cid") < F.col("a.cid")) & possible)
-    return met.select(F.col("a.cid").alias("c"), F.col("b.cid").alias("d"), apart.alias("apart"))
+    return (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9) & (_apart() <= n + m - need - need) & (F.least(n - i, m - j) + F.least(i, j) >= need)
+
+
+def _apart() -> Column:
+    return sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in ("p0", "p1")), F.lit(0))
+
+
+def _all_pairs(posts: DataFrame, t: float) -> DataFrame:
+    """(c, d, apart): pairs of classes that share a word and pass the bounds, d being the earlier one.
+
+    The smaller of two sets has a shared word among its first n - ceil(2 t / (1 + t) * n) + 1 already.
+    """
+    n, m = F.col("a.n"), F.col("b.n")
+    short = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9) + 1
+    a, b = posts.alias("a"), posts.filter(F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)) < short).alias("b")
+    smaller = (m < n) | ((m == n) & (F.col("b.cid") < F.col("a.cid")))
+    met = a.join(b, (_word("a.word") == _word("b.word")) & smaller & _possible(t))
+    return met.select(F.greatest("a.cid", "b.cid").alias("c"), F.least("a.cid", "b.cid").alias("d"), _apart().alias("apart"))
+
+
+def _meet(ours: DataFrame, others: DataFrame, t: float) -> DataFrame:
+    """(c, d, apart): classes of ours and earlier ones of the others that share a word and pass the bounds."""
+    met = ours.alias("a").join(others.alias("b"), (_word("a.word") == _word("b.word")) & (F.col("b.cid") < F.col("a.cid")) & _possible(t))
+    return met.select(F.col("a.cid").alias("c"), F.col("b.cid").alias("d"), _apart().alias("apart"))
 
 
 def _earliest(posts: DataFrame) -> DataFrame:
@@ -227,12 +246,12 @@ def _shadowed(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: D
     posts = _postings(classes)
     few, many = posts.filter(~_many()), posts.filter(_many())
     once = lambda met: met.groupBy("c", "d").agg(F.min("apart").alias("apart"))
-    pairs = materialise(once(_meet(few, few, t).unionByName(_meet(many, _earliest(many), t))), "pairs")
+    pairs = materialise(once(_all_pairs(few, t).unionByName(_meet(many, _earliest(many), t))), "pairs")
     best = pairs.groupBy("c").agg(F.min(F.struct("apart", "d")).alias("b")).select("c", F.col("b.d").alias("d"))
     found = materialise(_similar(spark, docs, classes, heads, best, t), "found")
-    left = classes.join(found, "cid", "left_anti")
+    left = many.join(found, "cid", "left_anti").select(*many.columns)
     rest = pairs.select("c", "d").join(found.select(F.col("cid").alias("c")), "c", "left_anti")
-    rest = rest.unionByName(_meet(_postings(left).filter(_many()), many, t).select("c", "d")).distinct().join(best, ["c", "d"], "left_anti")
+    rest = rest.unionByName(_meet(left, many, t).select("c", "d")).distinct().join(best, ["c", "d"], "left_anti")
     return found.unionByName(materialise(_similar(spark, docs, classes, heads, rest, t), "found"))
 
 
@@ -282,11 +301,13 @@ def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     grouped = lines.groupBy("s1", "s2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), *firsts)
     # Sorted, the number of a class tells whether it comes earlier.
     classes = materialise(grouped.orderBy("first").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    heads, lines = (materialise(x, "lines") for x in (heads.select("doc_id", "text_hash", "row_id", "n"), lines.select("row_id", "place", "s1", "s2")))
+    discard(table)
     shadowed = _shadowed(spark, docs, classes, heads, t)
     told = classes.join(shadowed.withColumn("shadowed", F.lit(True)), "cid", "left").select(
         "s1", "s2", F.coalesce("shadowed", F.lit(False)).alias("shadowed"), "copies", F.col("first.row_id").alias("row"), F.col("first.place").alias("at")
     ).filter("shadowed OR copies > 1")
-    gone = lines.select("row_id", "place", "s1", "s2").join(told, ["s1", "s2"]).filter("shadowed OR row_id != row OR place != at")
+    gone = lines.join(told, ["s1", "s2"]).filter("shadowed OR row_id != row OR place != at")
     by_row = gone.groupBy("row_id").agg(F.sort_array(F.collect_list("place")).alias("removed"))
     return heads.select("doc_id", "text_hash", "row_id", F.col("n").alias("n_lines")).join(by_row, "row_id", "left").select(
         "doc_id", "text_hash", "row_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
