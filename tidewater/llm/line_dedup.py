@@ -7,8 +7,8 @@ length, positional or parity bound fall out inside the join; the rest are verifi
 likeliest of each class first. A line goes if an earlier line of the corpus, in the order of doc_id and
 place, is similar to it, so a class needs no more partners once one is found.
 
-Words of at most 512 lines have short lists: there all pairs meet. On more frequent words a class first meets
-the earliest class of each, which settles groups of copies; only classes that are still open then meet all
+Words of at most 1,024 lines have short lists: there all pairs meet. On more frequent words a class first meets
+eight early classes of the rarest and the most frequent of them, which settles groups of copies; only classes that are still open then meet all
 earlier ones of their frequent words. Nothing is lost, and groups of copies aren't paired off.
 
 Frequencies live in a table of fixed size (2**24 cells of one byte, 16 MB at any scale): a word's cell
@@ -35,8 +35,10 @@ from tidewater.session import ship
 SIMILARITY = 0.8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 CELL_BITS, PAGE_BITS = 24, 16
-#: Lines that have a word of this step or less are at most 512.
-FEW = 37
+#: Lines that have a word of this step or less are at most 1,024.
+FEW = 41
+#: Earlier classes of a frequent word that every class meets at first.
+CENTRES = 8
 #: Places of lines that are sent to every task, at most (of some 40 bytes each); more are joined by a shuffle.
 MOST_SENT = 500_000
 _LOW55 = np.uint64((1 << 55) - 1)
@@ -129,7 +131,7 @@ def _lines(docs: DataFrame, cells, t: float) -> DataFrame:
     """For every row of ``docs`` one row with place -1 and n lines; for each line its place, set and prefix.
 
     s1 and s2 name the set of n words, p0 and p1 are its 128 parity cells; words has those of the prefix that some
-    other line may have: 32 bits of the hash, a bit that says whether more than 512 lines may have it, and the
+    other line may have: 32 bits of the hash, a bit that says whether more than 1,024 lines may have it, and the
     place in the order.
     """
 
@@ -206,12 +208,20 @@ def _word(c: str) -> Column:
 
 def _possible(t: float) -> Column:
     """The length, parity and positional bounds of two postings a and b of one word."""
-    n, m = F.col("a.n"), F.col("b.n")
-    i, j = (F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)) for c in ("a.word", "b.word"))
+    n, m, i, j = F.col("a.n"), F.col("b.n"), _place("a.word"), _place("b.word")
     need = F.lit(t / (1 + t)) * (n + m) - F.lit(1e-9)  # of words that both have
     return (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9) & (_apart() <= n + m - need - need) & (F.least(n - i, m - j) + F.least(i, j) >= need)
 
 
+def _place(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def _short(n: str, t: float) -> Column:
+    """The smaller of two similar sets has a shared word among so many of its first already."""
+    return F.col(n) - F.ceil(F.lit(2 * t / (1 + t)) * F.col(n) - 1e-9) + 1
+
+
 def _apart() -> Column:
     return sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in ("p0", "p1")), F.lit(0))
 
@@ -219,40 +229,53 @@ def _apart() -> Column:
 def _all_pairs(posts: DataFrame, t: float) -> DataFrame:
     """(c, d, apart): pairs of classes that share a word and pass the bounds, d being the earlier one.
 
-    The smaller of two sets has a shared word among its first n - ceil(2 t / (1 + t) * n) + 1 already.
+    So the smaller set sends no more than its short prefix.
     """
     n, m = F.col("a.n"), F.col("b.n")
-    short = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9) + 1
-    a, b = posts.alias("a"), posts.filter(F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)) < short).alias("b")
+    a, b = posts.alias("a"), posts.filter(_place("word") < _short("n", t)).alias("b")
     smaller = (m < n) | ((m == n) & (F.col("b.cid") < F.col("a.cid")))
     met = a.join(b, (_word("a.word") == _word("b.word")) & smaller & _possible(t))
     return met.select(F.greatest("a.cid", "b.cid").alias("c"), F.least("a.cid", "b.cid").alias("d"), _apart().alias("apart"))
 
 
-def _meet(ours: DataFrame, others: DataFrame, t: float) -> DataFrame:
-    """(c, d, apart): classes of ours and earlier ones of the others that share a word and pass the bounds."""
-    met = ours.alias("a").join(others.alias("b"), (_word("a.word") == _word("b.word")) & (F.col("b.cid") < F.col("a.cid")) & _possible(t))
+def _meet(ours: DataFrame, others: DataFrame, t: float, all_words: bool) -> DataFrame:
+    """(c, d, apart): classes of ours and earlier ones of the others that share a word and pass the bounds.
+
+    With all words of both, those of the short prefix of the smaller one do.
+    """
+    short = F.when(F.col("b.n") <= F.col("a.n"), _place("b.word") < _short("b.n", t)).otherwise(_place("a.word") < _short("a.n", t))
+    met = ours.alias("a").join(others.alias("b"), (_word("a.word") == _word("b.word")) & (F.col("b.cid") < F.col("a.cid")) & (short if all_words else F.lit(True)) & _possible(t))
     return met.select(F.col("a.cid").alias("c"), F.col("b.cid").alias("d"), _apart().alias("apart"))
 
 
-def _earliest(posts: DataFrame) -> DataFrame:
-    """Of each word the posting of its earliest class."""
-    first = posts.groupBy(_word("word").alias("w")).agg(F.min("cid").alias("least"))
-    return posts.join(first, (_word("word") == F.col("w")) & (F.col("cid") == F.col("least")), "left_semi")
+def _centres(posts: DataFrame) -> DataFrame:
+    """Of each word the postings of the earliest class in each of ``CENTRES`` parts of its classes."""
+    part = F.pmod(F.xxhash64("cid"), F.lit(CENTRES))
+    first = posts.groupBy(_word("word").alias("w"), part.alias("p")).agg(F.min("cid").alias("least"))
+    return posts.join(first.select("w", "least"), (_word("word") == F.col("w")) & (F.col("cid") == F.col("least")), "left_semi")
+
+
+def _ends(posts: DataFrame) -> DataFrame:
+    """Of each class the postings of the rarest and of the most frequent of its frequent words."""
+    row = F.struct(_place("word").alias("place"), "n", "p0", "p1", "word")
+    ends = posts.groupBy("cid").agg(F.array_distinct(F.array(F.min(row), F.max(row))).alias("r"))
+    return ends.select("cid", F.inline("r")).select(*posts.columns)
 
 
 def _shadowed(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: DataFrame, t: float) -> DataFrame:
     """cid of every class that is similar to an earlier one: the likeliest is tried first, then all others."""
     posts = _postings(classes)
-    few, many = posts.filter(~_many()), posts.filter(_many())
+    few, many = posts.filter(~_many()), materialise(posts.filter(_many()), "many")
     once = lambda met: met.groupBy("c", "d").agg(F.min("apart").alias("apart"))
-    pairs = materialise(once(_all_pairs(few, t).unionByName(_meet(many, _earliest(many), t))), "pairs")
+    pairs = materialise(once(_all_pairs(few, t).unionByName(_meet(_ends(many), _centres(many), t, False))), "pairs")
     best = pairs.groupBy("c").agg(F.min(F.struct("apart", "d")).alias("b")).select("c", F.col("b.d").alias("d"))
     found = materialise(_similar(spark, docs, classes, heads, best, t), "found")
     left = many.join(found, "cid", "left_anti").select(*many.columns)
     rest = pairs.select("c", "d").join(found.select(F.col("cid").alias("c")), "c", "left_anti")
-    rest = rest.unionByName(_meet(left, many, t).select("c", "d")).distinct().join(best, ["c", "d"], "left_anti")
-    return found.unionByName(materialise(_similar(spark, docs, classes, heads, rest, t), "found"))
+    rest = rest.unionByName(_meet(left, many, t, True).select("c", "d")).distinct().join(best, ["c", "d"], "left_anti")
+    out = found.unionByName(materialise(_similar(spark, docs, classes, heads, rest, t), "found"))
+    discard(pairs, many)
+    return out
 
 
 def _similar(spark: SparkSession, docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
