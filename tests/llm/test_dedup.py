@@ -4,9 +4,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from tidewater.llm import bagminhash, exact_dedup, line_dedup
 from tidewater.llm.components import components
+from tidewater.llm.wordhash import Words
 
 
 def norm(text):
@@ -68,7 +70,7 @@ def test_near_of_an_empty_table(empty):
 
 def test_signature_estimates_weighted_jaccard():
     rng = random.Random(1)
-    table = bagminhash.WordHashes()
+    table = dict(zip(words := [f"{x}{i}".encode() for x in "xy" for i in range(60)], Words(pa.array(words)).hash, strict=True))
     a = [f"x{rng.randrange(60)}".encode() for _ in range(900)]
     b = a[:700] + [f"y{rng.randrange(60)}".encode() for _ in range(200)]
     one = lambda w: np.array([table[x] for x in w], np.uint64)
@@ -211,3 +213,17 @@ def test_frequent_words_lose_no_line(spark, monkeypatch):
     for few in (line_dedup.FEW, 0):
         monkeypatch.setattr(line_dedup, "FEW", few)
         assert {r["doc_id"] for r in line_dedup.line_dedup(docs).collect() if r["n_removed"]} == {k for k, v in gone.items() if v}
+
+
+def test_words_of_a_batch_equal_plain_splitting():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aAbB \n\t\x0b\r\x85é漢") for _ in range(rng.randrange(60))).encode() for _ in range(300)]
+    texts += [b"", b" ", b"x" * 200_000 + b" y " + b"Z" * 70_000, b"", b"a"]
+    got, known, i = Words(pa.array([b"zz", *texts], pa.binary()).slice(1)), {}, 0
+    for t, text in enumerate(texts):
+        for k, line in enumerate(text.lower().split(b"\n")):
+            for word in line.split():
+                assert (got.text[i], got.line[i]) == (t, k) and known.setdefault(word, got.hash[i]) == got.hash[i]
+                i += 1
+    assert i == len(got.hash) == got.in_text.sum() and len(set(known.values())) == len(known)
+    assert not len(Words(pa.array([], pa.binary())).hash) and not len(Words(pa.array([b"", None], pa.binary())).hash)

@@ -8,7 +8,8 @@ made in order of time and only until every register has one, so the work is that
 
 Candidates: documents whose registers agree in a band. In each bucket every member is checked against its
 centre, the member that shares most; connected components of the links found are formed, and members that a
-bucket still holds in different components are then checked against each other, so that no link is lost.
+bucket still holds in different components are then checked against each other, so that no link is lost;
+two of them meet in the first band that they share, not in all.
 Sizes and 1,024 parity cells bound how far two bags are alike; pairs beyond the bound fall out inside the
 joins, before any text is fetched, and no similar pair is beyond it.
 """
@@ -24,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialise
+from tidewater.llm.common import discard, materialise
 from tidewater.llm.components import components
+from tidewater.llm.wordhash import Words
+from tidewater.llm.wordhash import mix as _mix
 from tidewater.session import ship
 
 SHINGLE = 5
@@ -37,40 +40,18 @@ _POSITIONS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F
 _POINT, _LEVEL, _BAND = _U(0x9FB21C651E98DF25), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the input reaches every bit of the output."""
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1]."""
     return ((x >> _U(11)).astype(np.float64) + 1.0) * (1.0 / 9007199254740992.0)
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, the same in every process; emptied when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def words_in(text: str) -> list[bytes]:
     """Runs of non-blank characters, A-Z in lower case."""
     return text.encode().lower().split()
 
 
-def shingle_hashes(words: list[bytes], table: WordHashes) -> np.ndarray:
-    """One hash per window of five words; a shorter text is one window."""
-    w = np.fromiter(map(table.__getitem__, words), _U, len(words))
+def shingle_hashes(w: np.ndarray) -> np.ndarray:
+    """One hash per window of five words, given by their hashes; a shorter text is one window."""
     if len(w) < SHINGLE:
         return _mix((w * _POSITIONS[: len(w)]).sum(dtype=_U, keepdims=True) + np.array([len(w)], _U)) if len(w) else w
     n = len(w) - SHINGLE + 1
@@ -159,15 +140,14 @@ def _sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, text_hash, digest of the word sequence, n (shingles), parity, bands (keys; none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 digests, sizes, keys, cells = [], [], [], []
-                for text in part.column(2).to_pylist():
-                    words = words_in(text)
-                    digests.append(hashlib.sha256(b" ".join(words)).digest())
-                    shingles = shingle_hashes(words, table)
+                found = Words(part.column(2))
+                for text, of in zip(part.column(2).to_pylist(), np.split(found.hash, np.cumsum(found.in_text)[:-1]), strict=True):
+                    digests.append(hashlib.sha256(b" ".join(text.lower().split())).digest())
+                    shingles = shingle_hashes(of)
                     sizes.append(len(shingles))
                     cells.append(parity(shingles))
                     keys.append(band_keys(signature(shingles, bands * rows), bands, rows) if len(shingles) else np.zeros(0, np.int64))
@@ -179,7 +159,7 @@ def _sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "text_hash", "digest", "n", "parity", "bands"],
                 )
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, digest binary, n long, parity array<long>, bands array<long>")
+    return docs.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, text_hash long, digest binary, n long, parity array<long>, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -252,12 +232,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # Members that a band still holds apart: each pair of them in different components is checked.
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "u", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    open_ = materialise(placed.join(mixed, "key").join(cells.select("rep", "parity"), "rep"), "open")
-    a = open_.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu"), F.col("root").alias("ru"), F.col("u").alias("centre"))
-    b = open_.select("key", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("parity").alias("pv"), F.col("root").alias("rv"))
+    open_ = materialise(placed.join(mixed, "key").join(reps.select("rep", "parity", "bands"), "rep"), "open")
+    a = open_.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu"), F.col("root").alias("ru"), F.col("u").alias("centre"), F.col("bands").alias("bu"))
+    b = open_.select("key", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("parity").alias("pv"), F.col("root").alias("rv"), F.col("bands").alias("bv"))
+    once = F.element_at(F.array_intersect("bu", "bv"), 1) == F.col("key")
     fresh = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.col("u") != F.col("centre")) & (F.col("v") != F.col("centre"))
-    more = materialise(a.join(b, "key").filter(fresh & test).select("u", "v").distinct(), "more")
+    more = materialise(a.join(b, "key").filter(fresh & test & once).select("u", "v"), "more")
     links = materialise(links.unionByName(_verified(more, texts, similarity)), "links")
+    discard(members, open_, more, texts)
     roots = components(links)
     named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", "best_id", "copies", F.coalesce("root", "rep").alias("root"))
     first = F.struct(F.col("best_id").isNull().alias("no_id"), "best_id", "rep")

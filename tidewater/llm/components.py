@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialise
+from tidewater.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialise(edges.select("u", "v").filter("u != v").distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        now = materialise(_small_star(_large_star(now)), "edges")
+        before, now = now, materialise(_small_star(_large_star(now)), "edges")
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == mark:
             break
