@@ -43,6 +43,16 @@ def test_rules_separate_what_can_be_separated(spark):
     assert all((r["rule"] is None) == r["kept"] for r in got)
 
 
+def test_the_result_can_be_filtered_by_every_column(spark, docs, rows):
+    out = quality.quality_rules(docs, spark.createDataFrame([(3, 0), (4, 1)], "doc_id long, quality int"))
+    whole = out.collect()
+    tests = {c: F.col(c) if t == "boolean" else F.col(c) > 0 if t == "bigint" else F.col(c).isNull() for c, t in out.dtypes}
+    for c, test in tests.items():
+        want = sum(bool(r[c]) if isinstance(r[c], bool) else r[c] is None if c == "rule" else (r[c] or 0) > 0 for r in whole)
+        assert out.filter(test).count() == want, c
+    assert out.filter("kept AND n_words > 60 AND NOT base_failed AND n_repeat_words < 9").count() == sum(r["kept"] and r["n_words"] > 60 and r["n_repeat_words"] < 9 for r in whole)
+
+
 def test_rules_of_empty_tables(spark, empty):
     assert quality.quality_rules(empty, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 

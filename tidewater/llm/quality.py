@@ -267,7 +267,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     table gives an empty result; columns but doc_id, text (and quality of the labels) are ignored.
     """
     judged = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learn(docs, labels, **options))
-    return judged.select(
+    # Each row is generated, from a list of one: what a caller filters by is tested after that, never inside the arrays.
+    row = F.struct(
         F.col("_in.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "rule",
     )
+    return judged.select(F.inline(F.array(row)))
