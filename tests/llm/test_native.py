@@ -138,6 +138,36 @@ def test_mix_places_every_row_once(docs, rows):
     assert ordered.columns == docs.columns and ordered.count() == len(rows)
 
 
+def test_no_source_is_a_block_off_its_exact_weight():
+    """Over many periods, against the weights themselves and a plain simulation of earliest deadline first."""
+    from fractions import Fraction
+
+    for weights in ({"a": 1, "b": 1, "c": 1}, {"a": 0.5, "b": 0.3, "c": 0.1999, "d": 0.0001}, {"x": 7, "y": 2.5, "z": 0}):
+        share = mixing.shares(weights)
+        own = {k: q for k, q in share.items() if q}
+        total, sum_ = sum(own.values()), sum(Fraction(str(w)) for w in weights.values())
+        assert all(Fraction(q, total) == Fraction(str(weights[k])) / sum_ for k, q in share.items())
+        slots = {r[4]: r[0] for r in mixing.period(own)}
+        done, given = Counter(), Counter()
+        for t in range(3 * total if total > 1000 else 1000):
+            eligible = [(-(-(given[k] + 1) * total // q), k) for k, q in own.items() if given[k] * total // q <= t]
+            k = min(eligible)[1]
+            given[k] += 1
+            done[slots[t % total]] += 1
+            assert slots[t % total] == k
+            assert all(abs(done[s] - (t + 1) * Fraction(q, total)) < 1 for s, q in own.items())
+
+
+def test_sources_without_a_weight_come_last(spark):
+    rows = [(i, f"s{i % 3}") for i in range(60)] + [(100, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights={"s0": 0.7, "s1": 0.3, "s2": 0}, block_rows=4).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    last = max(r["slot"] for r in got if r["source"] in ("s0", "s1"))
+    tail = [r for r in got if r["source"] not in ("s0", "s1")]
+    assert len(tail) == 21 and all(r["slot"] > last and r["release"] is None and r["weight"] == 0 for r in tail)
+    assert len({(r["slot"], r["place"]) for r in got}) == len(got)
+
+
 def test_mix_of_an_empty_table(empty):
     assert mixing.mix(empty).count() == 0
 

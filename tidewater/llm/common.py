@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The blank characters that separate words.
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -50,6 +53,17 @@ def new_path(spark: SparkSession, label: str) -> str:
 _SPENT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def spent_shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of a query are removed when the query has ended."""
+    was = spark.conf.get(_SPENT, "false")
+    spark.conf.set(_SPENT, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SPENT, was)
+
+
 def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and a lost executor costs only its running tasks.
 
@@ -57,12 +71,9 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     With ``by`` a folder for each of its values, for readers that want one of them.
     """
     spark = df.sparkSession
-    path, was = new_path(spark, label), spark.conf.get(_SPENT, "false")
-    spark.conf.set(_SPENT, "true")
-    try:
+    path = new_path(spark, label)
+    with spent_shuffles_go(spark):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
-    finally:
-        spark.conf.set(_SPENT, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,3 +98,18 @@ def text_of(column: str = "text") -> Column:
 def words_of(text: Column) -> Column:
     """Maximal runs of non-blank characters, in order; native."""
     return F.array_remove(F.split(text, BLANK + "+"), "")
+
+
+def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``kept`` (doc_id, text_hash) names; one for each of its rows.
+
+    Rows equal in doc_id and text are told apart by their other columns: the first by their JSON text stays.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns])
+    held = docs.select(row.alias("_in"), docs["doc_id"].cast("long").alias("_d"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_h"))
+    told = kept.select(F.col("doc_id").alias("_kd"), F.col("text_hash").alias("_kh"))
+    left = held.join(told, F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_h") == F.col("_kh")), "left_semi")
+    if left.count() != told.count():  # some rows repeat; only such tables pay for telling them apart
+        nth = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.to_json("_in")))
+        left = left.withColumn("_nth", nth).filter("_nth = 1")
+    return left.select(*[F.col("_in")[c].alias(c) for c in docs.columns])

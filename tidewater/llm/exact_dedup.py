@@ -1,10 +1,11 @@
 """Exact dedup by a tree-merge of sorted digest runs; DataFrame functions only.
 
-Every row is reduced to a digest entry and dealt to one of ``fan_in ** rounds`` runs. A round sorts each
-run by digest, sends ``fan_in`` neighbouring runs to a common parent and merges them there, keeping one
-verified entry (the row that stays, and the count) per digest; ``rounds`` exchanges leave the root, which
-stays spread over the cluster by digest. The winners travel back down the same tree, so no task ever
-meets more than ``fan_in`` entries of a digest on the way, however many copies a text has.
+Every input partition becomes one run: its rows as digest entries, sorted by digest. Runs are merged up a
+binomial tree. A round takes several steps of the tree at once: the runs whose numbers differ in their last
+bits only move to the least of them and are merged there, keeping one verified entry (the row that stays, and
+the count) per digest. Copies within a partition are merged before anything moves. The root stays spread over
+the cluster by digest. The winners travel back down the same tree, so no task ever meets more entries of a
+digest than a merge has runs, however many copies a text has.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANK, materialise, text_of
+from tidewater.llm.common import BLANK, materialise, rows_kept, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -20,22 +21,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, BLANK + "+", "")
 
 
-def exact_dedup(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 1) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (see ``groups``)."""
     return groups(docs, fan_in_bits, rounds).drop("text_hash")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = materialise(groups(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "kept")
-    h = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (h == F.col("_h")), "left_semi")
-    ids = docs.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull())).first()
-    # Rows that repeat exactly can't be told apart by what they hold; only tables that have some pay for it.
-    return left if ids[0] == ids[1] else left.withColumn("_h", h).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat exactly one."""
+    return rows_kept(docs, materialise(groups(docs).filter("kept").select("doc_id", "text_hash"), "kept"))
 
 
-def groups(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 2) -> DataFrame:
+def groups(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 1) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Texts are equal when they match after deleting every blank character; null text counts as empty, so
@@ -43,7 +39,8 @@ def groups(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 2) -> DataFrame:
     original text stays, then the smallest doc_id (null doc_ids last), then the first row read. Rows that
     repeat exactly are counted apart and only one of them is kept. An entry is verified by a second hash
     and the length beside the SHA-256; entries that disagree in either never merge. An empty table gives
-    an empty result; other columns of the input are ignored.
+    an empty result; other columns of the input are ignored. A round merges 2**fan_in_bits runs; there
+    are ``rounds`` of them, or as many more as it takes to leave one run.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     entries = source.select(
@@ -55,19 +52,20 @@ def groups(docs: DataFrame, fan_in_bits: int = 4, rounds: int = 2) -> DataFrame:
         F.struct(F.xxhash64("norm").alias("h"), F.length("norm").alias("n")).alias("proof"),
         "text_hash",
     )
-    rows = materialise(entries.withColumn("row_id", F.monotonically_increasing_id()), "digests")
+    numbered = entries.select("*", F.monotonically_increasing_id().alias("row_id"), F.spark_partition_id().alias("run"))
+    rows = materialise(numbered.sortWithinPartitions("digest"), "runs")
+    last = rows.agg(F.coalesce(F.max("run"), F.lit(0))).first()[0]
+    rounds = max(rounds, -(-int(last).bit_length() // fan_in_bits))
     rank = F.struct(
         (-F.col("n_chars")).alias("neg_chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"
     )
     key = ["digest", "proof"]
-    leaf_run = F.pmod(F.xxhash64("row_id"), F.lit(1 << (fan_in_bits * rounds))).cast("int")
-    rows = rows.withColumn("run", leaf_run)
     levels = [
         rows.select("run", *key, rank.alias("best"))
         .groupBy("run", *key)
         .agg(F.min("best").alias("best"), F.count("*").alias("group_size"))
     ]
-    for _ in range(rounds):
+    for _ in range(rounds):  # a merge needs its runs sorted: Spark sorts each partition by (run, digest), then merges
         levels.append(
             levels[-1]
             .withColumn("run", F.shiftright("run", fan_in_bits))

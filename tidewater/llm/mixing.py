@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Pfair scheduling; DataFrame functions only.
 
-A source with weight q/D gets its i-th block a release time floor(i*D/q) and a deadline
+A source of weight q/D, an exact fraction, gets its i-th block a release time floor(i*D/q) and a deadline
 ceil((i+1)*D/q), in slots of one block each. Earliest deadline first over the released blocks meets
 every deadline on a single line of slots, so before any slot a source is less than one block ahead of or
-behind its share. The schedule repeats after D slots; only that period is laid out, and the place of
+behind its exact weight. The schedule repeats after D slots; only that period is laid out, and the place of
 any block follows from it by arithmetic.
 """
 
@@ -12,16 +12,33 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import materialise
+#: Slots of one period, and sources, at most; both are laid out on the driver.
+MOST_SLOTS = 100_000
+
+
+def shares(weights: dict[str, float | str | Fraction]) -> dict[str, int]:
+    """Slots of each source in one period, in the exact proportions of the weights; 0 for weights of 0 or less.
+
+    A number stands for its shortest decimal form (0.1999 is 1999/10000), so that the period is short.
+    """
+    exact = {k: max(Fraction(0), Fraction(str(v))) for k, v in weights.items()}
+    scale = math.lcm(*[v.denominator for v in exact.values()]) if exact else 1
+    whole = {k: int(v * scale) for k, v in exact.items()}
+    divisor = math.gcd(*whole.values()) or 1
+    whole = {k: v // divisor for k, v in whole.items()}
+    if sum(whole.values()) > MOST_SLOTS:
+        raise ValueError(f"these weights repeat after {sum(whole.values())} slots only, more than {MOST_SLOTS}: give them fewer digits")
+    return whole
 
 
 def quotas(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Slots per period of each source: largest remainders, one at least; they sum to ``slots``."""
+    """Whole-number weights near the given ones: largest remainders, one at least; they sum to ``slots``."""
     named = {k: max(0.0, float(v)) for k, v in weights.items()}
     total = sum(named.values())
     if not named:
@@ -60,21 +77,31 @@ def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
 
 
 def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, slots: int = 1000, block_rows: int = 64, shard_rows: int = 8192) -> DataFrame:
-    """The columns of ``docs`` behind ``_in``, and source_key, block, place, release, deadline, slot.
-
-    Every row stays, once. Without ``weights`` the square roots of the sources' sizes are taken; a source
-    that they don't name gets the least of them. Null sources count as "". Within a source rows are
-    shuffled by a hash of doc_id (then doc_id). A source is split into shards by that hash, each counted
-    and ranked alone, so a source with most of the rows takes no single task. When a source has no block
-    left its slots stay empty and the others keep their proportions. An empty table gives an empty result.
+    """The columns of ``docs`` behind ``_in``, and source_key, block, place, weight, release, deadline, slot.
+
+    Every row stays, once. Without ``weights`` each source has the square root of its size as its weight, to a whole
+    number of ``slots`` slots. A source of weight 0, or that the weights don't name, comes after all others and has
+    no release and deadline. Null sources count as "". Within a source rows are shuffled by a hash of doc_id (then
+    doc_id). A source is split into shards by that hash, each counted and ranked alone, so a source with most of the
+    rows takes no single task. When a source has no block left its slots stay empty and the others keep their
+    proportions. Weights that repeat after more than ``MOST_SLOTS`` slots, and more sources than that, are refused.
+    An empty table gives an empty result.
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(41))
     name = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    sizes = {r["k"]: r["n"] for r in docs.select(name.alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}  # a row per source
-    wanted = dict(weights) if weights else tempered(sizes)
-    least = min(wanted.values(), default=1.0)
-    share = quotas({k: wanted.get(k, least) for k in sizes}, max(slots, 4 * len(sizes)))
+    found = docs.select(name.alias("k")).groupBy("k").agg(F.count("*").alias("n")).limit(MOST_SLOTS + 1).collect()  # a row per source
+    if len(found) > MOST_SLOTS:
+        raise ValueError(f"more than {MOST_SLOTS} sources: group them first")
+    sizes = {r["k"]: r["n"] for r in found}
+    given = {k: weights.get(k, 0) for k in sizes} if weights else quotas(tempered(sizes), max(slots, 4 * len(sizes)))
+    share = shares(given)
     period_slots = sum(share.values())
+    blocks_of = {k: -(-n // block_rows) for k, n in sizes.items()}
+    # Sources without a share follow the last slot of the others, one after the other.
+    end = max([period_slots * -(-blocks_of[k] // q) for k, q in share.items() if q], default=0)
+    starts = {}
+    for k in sorted(k for k, q in share.items() if not q):
+        starts[k], end = end, end + blocks_of[k]
     bits = max(0, math.ceil(math.log2(max(1, sum(sizes.values()) / shard_rows))))
     keyed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("_in"), F.col("doc_id").cast("long").alias("_id"), name.alias("source_key"), key.alias("_key")
@@ -89,36 +116,28 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, slots: i
     ranked = keyed.withColumn("_rank", F.row_number().over(order) - 1).join(offsets, ["source_key", "shard"])
     at = F.col("_rank") + F.col("before")
     blocks = ranked.withColumn("block", F.floor(at / block_rows)).withColumn("place", F.pmod(at, F.lit(block_rows)))
-    rows = [dict(zip(("source_key", "nth", "release0", "deadline0", "slot0"), r, strict=True)) for r in period(share)]
+    laid: dict[str, list[int]] = {k: [] for k in share}
+    for k, _, _, _, slot in sorted(period({k: q for k, q in share.items() if q}), key=lambda r: r[4]):
+        laid[k].append(slot)
+    rows = [{"source_key": k, "quota": q, "start": starts.get(k), "laid": laid[k]} for k, q in share.items()]
     table = docs.sparkSession.range(1).select(
-        F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<source_key:string,nth:bigint,release0:bigint,deadline0:bigint,slot0:bigint>>"))
+        F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<source_key:string,quota:bigint,start:bigint,laid:array<bigint>>>"))
     )
-    quota = json.dumps([{"source_key": k, "quota": q} for k, q in share.items()])
-    each = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(quota), "array<struct<source_key:string,quota:bigint>>")))
-    turn = F.floor(F.col("block") / F.col("quota"))
-    # both tables have a row per slot of one period at most
-    return (
-        blocks.join(F.broadcast(each), "source_key")
-        .withColumn("nth", F.pmod(F.col("block"), F.col("quota")))
-        .withColumn("_turn", turn)
-        .join(F.broadcast(table), ["source_key", "nth"])
-        .select(
-            "_in", "_id", "source_key", "block", "place", "quota",
-            (F.col("release0") + F.col("_turn") * period_slots).alias("release"),
-            (F.col("deadline0") + F.col("_turn") * period_slots).alias("deadline"),
-            (F.col("slot0") + F.col("_turn") * period_slots).alias("slot"),
-        )
+    turn, nth, q = F.floor(F.col("block") / F.col("quota")), F.pmod("block", F.col("quota")).cast("int"), F.col("quota")
+    own = q > 0
+    # a row per source; all lists together have the slots of one period
+    return blocks.join(F.broadcast(table), "source_key").select(
+        "_in", "_id", "source_key", "block", "place", (q / F.lit(max(1, period_slots))).alias("weight"),
+        F.when(own, F.expr(f"(block * {period_slots}) div quota")).alias("release"),
+        F.when(own, F.expr(f"((block + 1) * {period_slots} + quota - 1) div quota")).alias("deadline"),
+        F.when(own, F.get("laid", nth) + turn * period_slots).otherwise(F.col("start") + F.col("block")).alias("slot"),
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, source, block, place, release, deadline, slot, weight (of its source)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source")
-    done = scheduled(slim, **options)
-    total = F.lit(options.get("slots", 1000))
-    return done.select(
-        F.col("_id").alias("doc_id"), F.col("_in.source").alias("source"), "block", "place", "release", "deadline", "slot", F.col("quota").alias("quota")
-    )
+    """One row per document: doc_id, source, block, place, release, deadline, slot, weight (of its source, all sum to 1)."""
+    done = scheduled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source"), **options)
+    return done.select(F.col("_id").alias("doc_id"), F.col("_in.source").alias("source"), "block", "place", "release", "deadline", "slot", "weight")
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:

@@ -124,11 +124,12 @@ def codec(model_file: str) -> PieceCodec:
     return PieceCodec(model_file)
 
 
-def encode_pieces(docs: DataFrame, model_file: str, id_column: str = "doc_id") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_file: str, id_column: str = "doc_id", columns: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, ids (binary, little-endian unsigned 32-bit, with begin and end ids), decoded.
 
     Null text counts as empty and gives the begin and end ids alone. Whole texts of any length are read;
-    repeated rows give repeated results; an empty table gives an empty one; other columns are ignored.
+    repeated rows give repeated results; an empty table gives an empty one; of the other columns those named in
+    ``columns`` stay.
     No shuffle: each task works on its own rows, so a lost executor costs only its running tasks.
     """
     ship(docs.sparkSession)
@@ -144,12 +145,14 @@ def encode_pieces(docs: DataFrame, model_file: str, id_column: str = "doc_id") -
                         part.column(0),
                         pa.array([x[0] for x in done], pa.binary()),
                         pa.array([x[1] for x in done], pa.binary()).cast(pa.string()),
+                        *(part.column(i) for i in range(2, part.num_columns)),
                     ],
-                    names=["doc_id", "ids", "decoded"],
+                    names=["doc_id", "ids", "decoded", *columns],
                 )
 
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids binary, decoded string")
+    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *columns)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[2:])
+    return slim.mapInArrow(run, f"doc_id long, ids binary, decoded string{more}")
 
 
 def piece_digests(encoded: DataFrame, *more: str) -> DataFrame:
