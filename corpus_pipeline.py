@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages; each reads what the one before it wrote."""
+"""A corpus pipeline of five stages; each reads what the one before it wrote.
+
+Null and empty texts fail the base rule of the first stage; a later stage that meets some all the same counts them as
+empty, so that one of them stays. Null doc_ids come last where ids decide, null sources count as "". Of rows that
+repeat in doc_id and text one stays. Empty tables stay empty. Columns of any name go through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import bagminhash, exact_dedup, mixing, pieces, quality
-from tidewater.llm.common import documents, materialise
+from tidewater.llm.common import documents, materialise, rows_kept
 from tidewater.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _only_kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` (doc_id, text_hash, kept) keeps, found by doc_id and text."""
-    kept = judged.filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h"))
-    return docs.join(kept, same, "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list accept."""
     rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,7 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return _only_kept(docs, bagminhash.near_duplicates(docs))
+    return rows_kept(docs, bagminhash.near_duplicates(docs).filter("kept").select("doc_id", "text_hash"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +42,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
-    done = pieces.encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
-    return pieces.piece_digests(done, "ids")
+    """Ids of each document, checked by decoding, and its place in the mix.
+
+    doc_id, n_tokens, ids_sha256, decoded_sha256, ids, slot, place: a reader that wants the mix sorts by the last two,
+    which follow from the rows alone and are those of the stage before.
+    """
+    placed = mixing.scheduled(docs.select("doc_id", "text", "source")).select("_in.*", "slot", "place")
+    done = pieces.encode_pieces(placed, tokenizer_path("piece_bpe_32k.model"), columns=("slot", "place"))
+    return pieces.piece_digests(done, "ids", "slot", "place")
 
 
 STAGES: list[tuple[str, Stage]] = [
