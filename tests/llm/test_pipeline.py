@@ -117,3 +117,22 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sorted(got) == sorted(want)
     whole = p.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert sorted(tuple(r) for r in whole) == sorted(want)
+
+
+def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark, docs, empty, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+    from tidewater.llm import mixing
+
+    spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = docs.withColumnsRenamed({"kept": "_d", "_in": "_h"}).selectExpr("*", "1 AS slot", "2 AS text_hash", "3 AS _nth")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, name
+        ids = [r["doc_id"] for r in out.collect()]
+        if name != "mixing":
+            assert len(ids) == len(set(ids)), name  # of the repeated rows one
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    last = p.encoded(spark, odd, str(tmp_path))
+    assert last.count() == odd.count() and p.encoded(spark, empty, str(tmp_path)).count() == 0
+    at = lambda rows: sorted((str(r["doc_id"]), r["slot"], r["place"]) for r in rows)
+    assert at(last.collect()) == at(mixing.mix(odd).collect())
