@@ -179,7 +179,11 @@ PRIVATE = [
     ("ip 233.254.104.120.", "ip"), ("ssn 123-45-6789", "ssn"), ("on 2024-02-29 and", "date"), ("31.12.1999", "date"), ("02/29/2024", "date"),
     ('token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"', "secret"),
 ]
-PLAIN = ["card 4532015112830367", "999.254.104.120", "666-45-6789", "000-12-3456", "2023-02-29", "13/45/2024", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "12 words, 345 and 1999", "a@b", "0000000000000000", ""]
+MORE = [
+    ("25/12/1990", "date"), ("+44 20 7946 0958", "phone"), ("call 5551234567.", "phone"), ("at 2001:db8:0:1::8a2e:7334 now", "ipv6"), ("FE80:0:0:0:202:B3FF:FE1E:8329", "ipv6"),
+    ("Jan 5, 1990", "date"), ("on 17 September 2003 he", "date"), ("+442079460958", "phone"),
+]
+PLAIN = ["31 February 1990", "std::vector", "12:34:56", "1234567890", "1700000000000", "a::b and fe80", "card 4532015112830367", "999.254.104.120", "666-45-6789", "000-12-3456", "2023-02-29", "13/45/2024", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "12 words, 345 and 1999", "a@b", "0000000000000000", ""]
 
 
 def test_what_is_replaced_and_what_stays(spark):
@@ -198,6 +202,48 @@ def test_what_is_replaced_and_what_stays(spark):
     assert got[1]["text"].split()[1] == got[2]["text"].replace("-", "")  # one number, two formats
 
 
+def test_more_formats_are_replaced_in_their_format(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(MORE)] + [(50 + i, f"{t} and {t}") for i, (t, _) in enumerate(MORE)] + [(99, "w " * 30_000 + "5551234567")] * 2
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
+    by = {r["doc_id"]: r for r in got}
+    for i, (t, kind) in enumerate(MORE):
+        assert by[i]["n_replaced"] == by[i][f"n_{kind}"] == 1 and by[i]["text"] != t, t
+        assert by[50 + i]["text"] == f"{by[i]['text']} and {by[i]['text']}"
+        if kind == "phone":
+            assert re.sub(r"\d", "9", by[i]["text"]) == re.sub(r"\d", "9", t)
+        if kind == "ipv6":
+            assert re.sub("[0-9a-fA-F]", "0", by[i]["text"].replace("at", "").replace("now", "")) == re.sub("[0-9a-fA-F]", "0", t.replace("at", "").replace("now", ""))
+    assert by[1]["text"].startswith("+44 ") and by[5]["text"].count(",") == 1
+    assert [r["text"] for r in got if r["doc_id"] == 99] == ["w " * 30_000 + by[2]["text"][5:-1]] * 2
+
+
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    import hashlib
+    import hmac
+
+    def prf(key, tweak, turn, half):
+        return int(hmac.new(key.encode(), f"{tweak}|{turn}|{half}".encode(), hashlib.sha256).hexdigest()[:15], 16)
+
+    def permuted(digits, key, tweak):
+        u = len(digits) // 2
+        a, b, m, n = int(digits[:u]), int(digits[u:]), 10**u, 10 ** (len(digits) - u)
+        for turn in range(1, pii.ROUNDS + 1):
+            a, b, m, n = b, (a + prf(key, f"{tweak}:{len(digits)}", turn, b)) % m, n, m
+        return f"{a:0{u}d}{b:0{len(digits) - u}d}"
+
+    def luhn(body):
+        return next(c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(body + c))) % 10 == 0)
+
+    for key in ("short-key-5513", "a key of more than sixty-four bytes, which is hashed before it is padded to a block"):
+        df = spark.createDataFrame([(1, "4532015112830366 or (212) 555-0123")], "doc_id long, text string")
+        body = permuted("453201511283036", key, "card")
+        phone = permuted("2125550123", key, "phone")
+        out = pii.pseudonymise(df, key)
+        assert out.first()["text"] == f"{body}{luhn(body)} or ({phone[:3]}) {phone[3:6]}-{phone[6:]}"
+        plan = out._jdf.queryExecution().toString() + out._jdf.queryExecution().optimizedPlan().toString()
+        assert key not in plan and pii.pads(key)[0].hex() not in plan.lower()
+
+
 def test_feistel_is_a_bijection(spark):
     df = spark.range(189 * 11).withColumnRenamed("id", "v")
     a, b = pii.feistel(F.floor(F.col("v") / 11), F.pmod("v", F.lit(11)), F.lit(189), F.lit(11), "k", F.lit("t"))
