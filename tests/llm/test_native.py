@@ -80,6 +80,26 @@ def test_every_declared_layout(spark):
     assert {r["conv_id"] for r in chat.unmatched(df).collect()} == {7, 8, 90, 91}
 
 
+def test_parts_nesting_and_pairs(spark):
+    records = [
+        {"data": {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"text": "b"}]}, {"role": "bot", "content": "c"}]}},
+        {"prompt": "ab", "chosen": "c", "rejected": "d"},
+        {"chosen": [{"role": "user", "content": "ab"}, {"role": "assistant", "content": "c"}], "rejected": [{"role": "user", "content": "x"}], "prompt": "ab"},
+        {"messages": [{"role": "user", "content": ["a", {"text": "b"}]}, {"role": "model", "content": "c", "name": None}], "odd `name`": {"x: y": [[1]]}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = defaultdict(list)
+    for r in chat.canonical(df).orderBy("conv_id", "turn").collect():
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    assert got == {i: [("user", "ab"), ("assistant", "c")] for i in range(4)}
+
+
+def test_all_nested_paths_are_collected(spark):
+    record = '{"a": [{"b": 1, "c": {"d": null}}, {"e": [[2]]}], "f": {"g": "x"}, "h": []}'
+    got = spark.range(1).select(chat.paths_of(F.try_parse_json(F.lit(record)))).first()[0]
+    assert set(got) == {"a", "a[]", "a[].b", "a[].c", "a[].c.d", "a[].e", "a[].e[]", "a[].e[][]", "f", "f.g", "h", "h[]"}
+
+
 TRICKY = st.text(st.sampled_from("<|im_endstart>\\\n a/n"), max_size=25)
 
 

@@ -1,19 +1,20 @@
 """Chat formatting by schema fingerprints; DataFrame functions only.
 
-A record's layout is the set of its nested field paths. The paths that a declared layout knows are
-sorted and hashed; the hash selects the declarative mapping that turns the record into canonical turns
-(role, text). Turns are written in a template that marks them, with control strings inside texts escaped
-reversibly, as segments that say whether a loss is taken on them.
+A record is parsed once and all its nested field paths are collected, at any depth. Those that some declared
+layout knows are sorted and hashed, once; the hash is looked up in a table of fingerprints and selects the
+declarative mapping that turns the record into canonical turns (role, text). Rows of a table go the same way.
+Turns are written in a template that marks them, with control strings inside texts escaped reversibly, as
+segments that say whether a loss is taken on them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Fixed values of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -21,117 +22,162 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Paths of a layout and what they mean: either a list of messages or single fields with fixed roles."""
+    """Paths of a layout and what they mean: a list of messages, single fields with fixed roles, or one turn."""
 
     name: str
     messages: str | None = None  # the path of the list
-    role: str | None = None  # within a message
+    role: str | None = None  # within a message, or of the record where there is no list
     text: str | None = None
     fields: tuple[tuple[str, str], ...] = ()  # (role, path), in order; a path may be missing
-    optional: tuple[str, ...] = ()
+    optional: tuple[str, ...] = ()  # paths that may be there
 
     @property
-    def paths(self) -> list[str]:
+    def paths(self) -> set[str]:
+        """Paths that must be there."""
         if self.messages:
-            return sorted([self.messages, f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"])
-        return sorted(p for _, p in self.fields if p not in self.optional)
+            return {*_prefixes(self.messages), f"{self.messages}[]", f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"}
+        if self.role:
+            return {"conv_id", "turn", self.role, self.text}
+        return {p for _, p in self.fields if p not in self.optional}
 
     @property
-    def fingerprint(self) -> str:
-        return fingerprint(self.paths)
+    def may(self) -> set[str]:
+        """Paths that may be there besides: texts may be lists of parts."""
+        if not self.messages:
+            return set(self.optional)
+        text = f"{self.messages}[].{self.text}"
+        return {*self.optional, f"{text}[]", f"{text}[].text"}
 
+    @property
+    def fingerprints(self) -> list[str]:
+        spare = sorted(self.may)
+        return [fingerprint(self.paths | set(more)) for more in chain.from_iterable(combinations(spare, n) for n in range(len(spare) + 1))]
+
+
+def _prefixes(path: str) -> list[str]:
+    """A path and the objects that it leads through."""
+    steps = path.split(".")
+    return [".".join(steps[: i + 1]) for i in range(len(steps))]
 
-def fingerprint(paths: list[str]) -> str:
+
+def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-#: Declared layouts, the first that matches is taken.
+_PAIR = ("rejected", "rejected[]", "rejected[].role", "rejected[].content")
+#: Declared layouts.
 LAYOUTS = (
+    Layout("row", role="role", text="text"),  # a table with a row for each turn
     Layout("messages", messages="messages", role="role", text="content"),
     Layout("conversations", messages="conversations", role="from", text="value"),
     Layout("turns", messages="turns", role="role", text="text"),
+    Layout("data_messages", messages="data.messages", role="role", text="content"),
+    Layout("chosen_messages", messages="chosen", role="role", text="content", optional=("prompt", *_PAIR)),
     Layout("instruction", fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("system", "input")),
-    Layout("prompt_completion", fields=(("user", "prompt"), ("assistant", "completion"))),
+    Layout("prompt_completion", fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
     Layout("prompt_response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
-    Layout("question_answer", fields=(("user", "question"), ("assistant", "answer"))),
+    Layout("prompt_chosen", fields=(("system", "system"), ("user", "prompt"), ("assistant", "chosen")), optional=("system", "rejected")),
+    Layout("question_answer", fields=(("system", "system"), ("user", "question"), ("assistant", "answer")), optional=("system",)),
 )
+BY_FINGERPRINT = {f: x.name for x in LAYOUTS for f in x.fingerprints}
+KNOWN = sorted(set().union(*(x.paths | x.may for x in LAYOUTS)))
 #: Other names of roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
-#: The layout of a table that has a row for each turn.
-ROWS = Layout("rows", fields=(("", "conv_id"), ("", "turn"), ("", "role"), ("", "text")))
 
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
-def _paths_in(record: Column, layout: Layout) -> Column:
-    """Which of the layout's paths a JSON record has, sorted, hashed: comparable with its fingerprint."""
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    if layout.messages:
-        items = F.from_json(F.get_json_object(record, f"$.{layout.messages}"), "array<string>")
-        inner = F.array_distinct(
-            F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda m: F.coalesce(F.json_object_keys(m), F.array().cast("array<string>"))))
-        )
-        found = F.concat(
-            F.filter(keys, lambda k: k == layout.messages),
-            F.transform(F.filter(inner, lambda k: k.isin(layout.role, layout.text)), lambda k: F.concat(F.lit(f"{layout.messages}[]."), k)),
+
+def paths_of(record: Column) -> Column:
+    """All nested field paths of a variant, in the order of its schema: a, a.b, a[], a[].b, ...; null for no object."""
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit("(?:`(?:[^`]|``)*`|[^`<>:, ]+): |OBJECT<|ARRAY<|>"), F.lit(0))
+    state = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        prefix = F.coalesce(F.try_element_at(s["open"], F.lit(-1)), F.lit(""))
+        name = F.regexp_replace(F.regexp_replace(t, ": $", ""), "^`|`$", "")
+        full = F.when(prefix == "", name).otherwise(F.concat(prefix, F.lit("."), name))
+        items = F.concat(s["last"], F.lit("[]"))
+        push = lambda p: F.concat(s["open"], F.array(p))
+        make = lambda o, last, out: F.struct(o.alias("open"), last.alias("last"), out.alias("out"))
+        return (
+            F.when(t == "OBJECT<", make(push(s["last"]), s["last"], s["out"]))
+            .when(t == "ARRAY<", make(push(items), items, F.concat(s["out"], F.array(items))))
+            .when(t == ">", make(F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0))), F.lit(""), s["out"]))
+            .otherwise(make(s["open"], full, F.concat(s["out"], F.array(full))))
         )
-    else:
-        found = F.filter(keys, lambda k: k.isin(*layout.paths))
-    return F.sha2(F.array_join(F.sort_array(found), "\n").cast("binary"), 256)
+
+    return F.aggregate(tokens, state, step)["out"]
+
+
+def layout_of(record: Column) -> Column:
+    """The name of the layout that the record's fingerprint selects, or null."""
+    known = F.array_distinct(F.filter(paths_of(record), lambda p: p.isin(*KNOWN)))
+    return F.try_element_at(_map(BY_FINGERPRINT), F.sha2(F.array_join(F.sort_array(known), "\n").cast("binary"), 256))
+
+
+def _string(v: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+
+
+def _text(v: Column, path: str) -> Column:
+    """A string, or the texts of a list of parts joined."""
+    part = lambda p: F.when(F.schema_of_variant(p) == "STRING", _string(p, "$")).otherwise(_string(p, "$.text"))
+    parts = F.try_variant_get(v, path, "array<variant>")
+    return F.when(parts.isNotNull(), F.array_join(F.transform(parts, part), "")).otherwise(_string(v, path))
+
+
+def _role(v: Column, path: str) -> Column:
+    role = _string(v, path)
+    return F.coalesce(F.try_element_at(_map(ROLES), role), role)
 
 
 def _turns(record: Column, layout: Layout) -> Column:
-    turn = "array<struct<role:string,text:string>>"
+    turn = "array<struct<turn:bigint,role:string,text:string>>"
+    row = lambda n, role, text: F.struct(n.alias("turn"), role.alias("role"), text.alias("text"))
     if layout.messages:
-        items = F.from_json(F.get_json_object(record, f"$.{layout.messages}"), f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-        known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-        return F.transform(
-            items,
-            lambda m: F.struct(
-                F.coalesce(F.element_at(known, F.coalesce(m[layout.role], F.lit(""))), m[layout.role], F.lit("")).alias("role"),
-                F.coalesce(m[layout.text], F.lit("")).alias("text"),
-            ),
-        ).cast(turn)
-    present = [(role, F.get_json_object(record, f"$.{path}"), path in layout.optional) for role, path in layout.fields]
-    return F.filter(
-        F.array(*[F.when(F.lit(not opt) | (F.coalesce(v, F.lit("")) != ""), F.struct(F.lit(role).alias("role"), F.coalesce(v, F.lit("")).alias("text"))) for role, v, opt in present]),
-        lambda t: t.isNotNull(),
-    ).cast(turn)
+        items = F.try_variant_get(record, f"$.{layout.messages}", "array<variant>")
+        return F.transform(items, lambda m, i: row(i, _role(m, f"$.{layout.role}"), _text(m, f"$.{layout.text}"))).cast(turn)
+    if layout.role:
+        return F.array(row(F.try_variant_get(record, "$.turn", "long"), _string(record, f"$.{layout.role}"), _string(record, f"$.{layout.text}"))).cast(turn)
+    present = [(role, _string(record, f"$.{path}"), path in layout.optional) for role, path in layout.fields]
+    some = F.filter(F.array(*[F.when(F.lit(not opt) | (v != ""), F.struct(F.lit(role).alias("role"), v.alias("text"))) for role, v, opt in present]), lambda t: t.isNotNull())
+    return F.transform(some, lambda t, i: row(i, t["role"], t["text"])).cast(turn)
+
+
+def _mapped(records: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
+    """conv_id and _record (a variant) to turns, through the mapping that the fingerprint of each record selects."""
+    named = records.withColumn("layout", layout_of(F.col("_record")))
+    turns = None
+    for x in layouts:
+        hit = F.col("layout") == x.name
+        turns = F.when(hit, _turns(F.col("_record"), x)) if turns is None else turns.when(hit, _turns(F.col("_record"), x))
+    return named.select("conv_id", "layout", F.inline(turns)).select("conv_id", "turn", "role", "text", "layout")
 
 
 def canonical(records: DataFrame, id_column: str = "conv_id", json_column: str = "record") -> DataFrame:
     """Heterogeneous JSON records to rows of turns: conv_id, turn, role, text, layout.
 
-    A record of no declared layout, or null, has no turns and gives no row; ``unmatched`` finds those.
+    A record of no declared layout, or null, has no turns and gives no row; ``unmatched`` finds those, and a caller
+    that must not lose any counts them. Fields that no layout declares are ignored; a null text counts as empty.
     """
-    record, layout, turns = F.col("_record"), None, None
-    for x in LAYOUTS:
-        hit = _paths_in(record, x) == x.fingerprint
-        layout = F.when(hit, x.name) if layout is None else layout.when(hit, x.name)
-    base = records.select(F.col(id_column).cast("long").alias("conv_id"), F.col(json_column).alias("_record")).withColumn("layout", layout)
-    for x in LAYOUTS:
-        hit = F.col("layout") == x.name
-        turns = F.when(hit, _turns(record, x)) if turns is None else turns.when(hit, _turns(record, x))
-    return base.select("conv_id", "layout", F.posexplode(turns).alias("turn", "t")).select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"), "layout"
-    )
+    return _mapped(records.select(F.col(id_column).cast("long").alias("conv_id"), F.try_parse_json(F.col(json_column)).alias("_record")), LAYOUTS)
 
 
 def unmatched(records: DataFrame, id_column: str = "conv_id", json_column: str = "record") -> DataFrame:
-    hit = F.lit(False)
-    for x in LAYOUTS:
-        hit = hit | F.coalesce(_paths_in(F.col(json_column), x) == x.fingerprint, F.lit(False))
-    return records.filter(~hit).select(F.col(id_column).cast("long").alias("conv_id"))
+    named = records.select(F.col(id_column).cast("long").alias("conv_id"), layout_of(F.try_parse_json(F.col(json_column))).alias("layout"))
+    return named.filter("layout IS NULL").select("conv_id")
 
 
 def turns_of_table(table: DataFrame) -> DataFrame:
-    """A table with a row per turn, chosen by the same fingerprint over its schema; other columns are ignored."""
-    found = [c for c in table.columns if c in ROWS.paths]
-    if fingerprint(found) != ROWS.fingerprint:
-        raise ValueError(f"no declared layout for a table with the columns {table.columns}")
-    return table.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
+    """The rows of a table, each a record of the columns that the layout of rows declares, through their fingerprints."""
+    (rows,) = (x for x in LAYOUTS if x.name == "row")
+    if missing := rows.paths - set(table.columns):
+        raise ValueError(f"no declared layout for a table without the columns {sorted(missing)}")
+    own = {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}
+    record = F.to_variant_object(F.struct(*[table[c].cast(kind).alias(c) for c, kind in own.items()]))
+    return _mapped(table.select(table["conv_id"].cast("long").alias("conv_id"), record.alias("_record")), (rows,)).drop("layout")
 
 
 def escape(text: Column) -> Column:
