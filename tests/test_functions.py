@@ -134,7 +134,7 @@ def test_recurrence_rate_and_epsilon():
 
 
 def test_selection_rules():
-    assert embedding.tau_from_ami([3, 2, 1, 2, 3]) == 3 and embedding.tau_from_ami([1.0] * 20) == 12
+    assert embedding.tau_from_ami([3, 2, 1, 2, 3]) == 3 and embedding.tau_from_ami([1.0] * 20) == 1
     assert embedding.tau_from_ami([5, 2, 1.5, 1.2, 1.0]) == 2 and embedding.tau_operational([3, 2, 1]) == 1
     assert embedding.dim_from_fnn([0.5, 0.2, 0.009]) == 3 and embedding.dim_from_fnn([0.5, 0.2, 0.3]) == 2
     assert embedding.dim_from_cao([0.3, 0.8, 0.95, 0.955, 0.96]) == (4, False) and embedding.dim_from_cao([0.1, 0.5])[1]

@@ -82,3 +82,40 @@ def test_logistic_map_gives_all_three_series(run):
     rows = run("logistic_map_all").collect()
     want = {(name, i, x) for name, (values, _) in synthetic.bundle().items() for i, x in enumerate(values)}
     assert len(rows) == 33_000 and {tuple(r) for r in rows} == want and {r["series"] for r in rows} == {"clean", "small_noise", "moderate_noise"}
+
+
+def test_false_neighbours_equal_plain_loops(spark):
+    import math
+    import random
+    import statistics
+
+    from tidewater.operators import embedding
+    from tidewater.operators.ordering import evenly_spaced
+
+    rng = random.Random(3)
+    z = [math.sin(i / 3) + 0.2 * rng.gauss(0, 1) for i in range(400)]
+    tau, top, size, apart, rtol, atol = 2, 3, 90, 4, 10.0, 2.0
+    df = spark.createDataFrame(list(enumerate(z)), "idx bigint, z double")
+    got = {r["dim"]: r for r in embedding.fnn_and_cao(df, tau, top, size, apart, rtol, atol).collect()}
+    first, sigma, e, star = (top + 1) * tau, statistics.stdev(z), {}, {}
+    places = evenly_spaced(len(z) - first, size, first)
+    for m in range(1, top + 2):
+        false, ups, moves = 0, [], []
+        for p in places:
+            d, q = min((math.dist([z[p - k * tau] for k in range(m)], [z[q - k * tau] for k in range(m)]), q) for q in places if abs(p - q) > apart)
+            move = abs(z[p - m * tau] - z[q - m * tau])
+            up = math.hypot(d, move)
+            false += move / d > rtol or up / sigma > atol
+            ups.append(up / d)
+            moves.append(move)
+        e[m], star[m] = statistics.fmean(ups), statistics.fmean(moves)
+        if m <= top:
+            assert (got[m]["false"], got[m]["valid"]) == (false, size)
+    for m in range(1, top + 1):
+        assert got[m]["E1"] == pytest.approx(e[m + 1] / e[m], rel=1e-9) and got[m]["E2"] == pytest.approx(star[m + 1] / star[m], rel=1e-9)
+
+
+def test_the_elbow_of_a_flat_curve_is_the_first_lag():
+    from tidewater.operators import embedding
+
+    assert embedding.tau_from_ami([0.5] * 20) == 1

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import math
-import random
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import scalars as S
-from tidewater.operators.ordering import evenly_spaced, with_halo
+from tidewater.operators.ordering import dense_index, evenly_spaced, with_halo
 from tidewater.session import ship
 
 
@@ -47,22 +47,26 @@ def mutual_information(coded: DataFrame, taus: list[int], by: tuple[str, ...] =
     return shares.groupBy(*by, "tau").agg(F.sum("n").alias("pairs"), F.sum(term).alias("ami"))
 
 
+def shuffled(df: DataFrame, value: str, seed: int) -> DataFrame:
+    """(idx, value): the same values in an order drawn from ``seed``; for a null curve. Ranked in blocks, both times."""
+    drawn = df.select(value, F.col("idx").alias("_i"), F.xxhash64("idx", F.lit(seed)).alias("_h"))
+    places = dense_index(df.select("idx"), F.floor(F.col("idx") / 65_536), ["idx"], "_k")
+    return places.join(dense_index(drawn, F.shiftright("_h", 52), ["_h", "_i"], "_k").select(value, "_k"), "_k").select("idx", value)
+
+
 def shuffled_codes(coded: DataFrame, seed: int) -> DataFrame:
-    """The same codes in an order drawn from ``seed``; for a null curve."""
-    order = F.xxhash64("idx", F.lit(seed))
-    a = coded.select("idx", F.row_number().over(Window.orderBy("idx")).alias("_k"))
-    b = coded.select("code", F.row_number().over(Window.orderBy(order, "idx")).alias("_k"))
-    return a.join(b, "_k").drop("_k")
+    return shuffled(coded, "code", seed)
 
 
-def tau_from_ami(curve: list[float], fallback: int = 12) -> int:
-    """1-based lag: the first local minimum (strict on the left), else the elbow farthest from the chord."""
+def tau_from_ami(curve: list[float]) -> int:
+    """1-based lag: the first local minimum (strict on the left), else the elbow farthest from the chord
+    (of a flat curve the first lag)."""
     for i in range(1, len(curve) - 1):
         if curve[i] < curve[i - 1] and curve[i] <= curve[i + 1]:
             return i + 1
     n = len(curve)
-    if n < 3 or max(curve) - min(curve) <= 0:
-        return min(fallback, n) if n else 1
+    if n < 3:
+        return 1
     span = math.hypot(n - 1, curve[-1] - curve[0])
     far = [abs((curve[-1] - curve[0]) * i - (n - 1) * (curve[i] - curve[0])) / span for i in range(n)]
     return max(range(n), key=lambda i: (far[i], -i)) + 1
@@ -98,12 +102,17 @@ def false_neighbours(z: np.ndarray, tau: int, max_dim: int, size: int, theiler:
     The sample is evenly spaced from the first place that has max_dim + 1 delays.
     """
     first = max_dim * tau + tau
-    places = np.array(evenly_spaced(len(z) - first, size, first))
-    sigma = float(np.std(z, ddof=1))
+    places = np.array(evenly_spaced(len(z) - first, size, first), np.int64)
+    delays = np.array([z[places - k * tau] for k in range(max_dim + 2)])
+    return false_in_sample(places, delays, float(np.std(z, ddof=1)), theiler, rtol, atol, dims or range(1, max_dim + 2))
+
+
+def false_in_sample(places: np.ndarray, delays: np.ndarray, sigma: float, theiler: int, rtol: float, atol: float, dims) -> list[dict]:
+    """The same from a sample: its places, the values at each delay of them, and the std of the whole series."""
     out = []
-    for m in dims or range(1, max_dim + 2):
-        vec = np.column_stack([z[places - k * tau] for k in range(m)])
-        extra = z[places - m * tau] if m * tau <= first else None
+    for m in dims:
+        vec = delays[:m].T
+        extra = delays[m] if m < len(delays) else None
         who, dist = nearest(vec, places, theiler)
         ok = who >= 0
         row = {"dim": m, "valid": int(ok.sum()), "false": 0, "E": math.nan, "E_star": math.nan}
@@ -120,15 +129,21 @@ def false_neighbours(z: np.ndarray, tau: int, max_dim: int, size: int, theiler:
 def fnn_and_cao(df: DataFrame, tau: int, max_dim: int, size: int, theiler: int, rtol: float = 10.0, atol: float = 2.0, value: str = "z") -> DataFrame:
     """(dim, valid, false, fraction, E, E_star, E1, E2): one task a dimension over a bounded sample of the series.
 
-    The series goes to the tasks as one column, for the sample's delays reach anywhere in it.
+    Only the sample and its delays leave the series: size * (max_dim + 2) values.
     """
     spark = ship(df.sparkSession)
-    rows = df.select("idx", value).orderBy("idx").toPandas()  # one series; the sample bounds the work, not the plan
-    sent = spark.sparkContext.broadcast(rows[value].to_numpy())
+    first = (max_dim + 1) * tau
+    n, sigma = df.agg(F.max("idx") + 1, F.stddev_samp(value)).first()
+    wanted = evenly_spaced(max(0, (n or 0) - first), size, first)
+    at = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(wanted)), "array<bigint>")).alias("idx"))
+    taken = delay_embedding(df.select("idx", value), tau, max_dim + 2, value).join(F.broadcast(at), "idx").select("idx", "vec").orderBy("idx").collect()
+    places = np.array([r["idx"] for r in taken], np.int64)
+    sent = spark.sparkContext.broadcast((places, np.array([r["vec"] for r in taken], float).reshape(-1, max_dim + 2).T.copy(), float(sigma or 0.0)))
 
     def run(parts):
+        places, delays, sigma = sent.value
         for part in parts:
-            yield pd.DataFrame([r for m in part["id"] for r in false_neighbours(sent.value, tau, max_dim, size, theiler, rtol, atol, [int(m)])])
+            yield pd.DataFrame([r for m in part["id"] for r in false_in_sample(places, delays, sigma, theiler, rtol, atol, [int(m)])])
 
     made = spark.range(1, max_dim + 2, numPartitions=max_dim + 1).mapInPandas(run, "dim long, valid long, false long, E double, E_star double")
     w = Window.orderBy("dim")  # a row a dimension
@@ -183,10 +198,3 @@ def permutation_entropy(df: DataFrame, orders: list[int], delays: list[int], val
     share = counts.withColumn("_p", F.col("n") / total)
     out = share.groupBy(*by, "order", "delay").agg(F.count("*").alias("patterns"), (-F.sum(F.col("_p") * F.log("_p"))).alias("entropy"))
     return out.withColumn("normalised", F.col("entropy") / F.log(F.factorial("order").cast("double")))
-
-
-def shuffled_values(values: list[float], seed: int) -> list[float]:
-    """A permutation drawn from ``seed`` by the standard generator."""
-    out = list(values)
-    random.Random(seed).shuffle(out)
-    return out

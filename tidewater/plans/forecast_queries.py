@@ -55,11 +55,6 @@ def alignment(spark, sf):
     return forecast.alignment(b.join(made, "idx", "left"))
 
 
-@register("known_mean", f"WITH {I.BARS}, y AS (SELECT idx, lead(close, 12) OVER (ORDER BY idx) AS y FROM bars) SELECT round(avg(y), 6) AS historical_mean, count(y) AS n FROM y WHERE idx + 12 <= 500")
-def known_mean(spark, sf):
-    return I.rounded(forecast.known_mean(forecast.supervised(I.bars(spark, sf), "close"), 500, 12), historical_mean=6)
-
-
 @register("known_mean_before_test", _SPLIT + ", y AS (SELECT idx, lead(close, 12) OVER (ORDER BY idx) AS y FROM bars) SELECT round(avg(y), 6) AS historical_mean, count(y) AS n FROM y WHERE idx + 12 <= (SELECT min(idx) FROM pg WHERE split = 'test')")
 def known_mean_before_test(spark, sf):
     first = _split(spark, sf).filter("split = 'test'").agg(F.min("idx")).first()[0]  # the first test query

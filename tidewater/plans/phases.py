@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
 from tidewater.operators import candles, describe, dynamics, embedding, forecast, quality, series, surrogates
-from tidewater.operators.ordering import block_of, evenly_spaced, sample_evenly, with_halo
+from tidewater.operators.ordering import block_of, dense_index, evenly_spaced, sample_evenly, with_halo
 from tidewater.sources import synthetic
 
 MAIN = "log_rv_past_12"
@@ -60,8 +60,6 @@ SURROGATE_SIZES = {"corr_sample": 700, "radii": 24, "block": 1600, "references":
 
 def indexed(candle_rows: DataFrame) -> DataFrame:
     """Candles with their position on the regular grid, counted by day."""
-    from tidewater.operators.ordering import dense_index
-
     return dense_index(candle_rows, F.floor(F.unix_seconds(F.col("open_time").cast("timestamp")) / 86_400), ["open_time"])
 
 
@@ -260,8 +258,7 @@ def phase8(features: DataFrame, o: Settings = Settings()) -> tuple[dict[str, int
 def phase9(features: DataFrame, p: dict[str, int], o: Settings = Settings()) -> Tables:
     """Correlation dimension, divergence and ordinal patterns of the training series and of a shuffled copy."""
     train = train_rows(standard_train(features, o), o).select("idx", "z")
-    order = describe.ranked(train.withColumn("_r", F.xxhash64("idx", F.lit(o.seed))), [F.col("_r"), F.col("idx")], name="_k")
-    mixed = describe.ranked(train.select("idx"), [F.col("idx")], name="_k").join(order.select("_k", "z"), "_k").select("idx", "z")
+    mixed = embedding.shuffled(train, "z", o.seed)
     out: Tables = {}
     for name, s in (("original", train), ("shuffled", mixed)):
         vec = embedding.delay_embedding(s, p["tau"], p["dim"])
@@ -292,7 +289,8 @@ def phase10(features: DataFrame, p: dict[str, int], o: Settings = Settings(), **
     window = [r["z"] for r in block_of(train, n, width, 0.5).orderBy("idx").collect()]  # one window by design
     made = surrogates.replicates(train.sparkSession, window, dict(zip(("shuffled", "phase", "aaft"), o.surrogate_counts, strict=True)), o.seed, p["tau"], p["dim"], p["theiler"], **(SURROGATE_SIZES | sizes)).cache()
     long = surrogates.long_statistics(made)
-    tables = {f"phase10_{k}_stats": made.filter(F.col("kind") == k) for k in ("original", "shuffled", "phase", "aaft")}
+    names = {"original": "original", "shuffled": "shuffled", "phase": "phase_randomized", "aaft": "aaft"}
+    tables = {f"phase10_{name}_stats": made.filter(F.col("kind") == k) for k, name in names.items()}
     return tables | {"phase10_surrogate_summary": surrogates.summary(long)}
 
 
@@ -307,7 +305,7 @@ def embedded(features: DataFrame, p: dict[str, int], o: Settings) -> DataFrame:
 def _sampled(rows: DataFrame, split: str, o: Settings) -> DataFrame:
     """The evenly spaced queries of a split."""
     part = rows.filter(F.col("split") == split)
-    dense = describe.ranked(part, [F.col("idx")], name="_k").withColumn("_k", F.col("_k") - 1)
+    dense = dense_index(part, F.floor(F.col("idx") / 65_536), ["idx"], "_k")
     return sample_evenly(dense, o.queries, part.count(), "_k", distinct=True).drop("_k")
 
 
@@ -487,8 +485,3 @@ def phase14(features: DataFrame, o: Settings = Settings(), recent_rows: int = 10
         "phase14_predictions_test": scored.filter("split = 'test'").withColumn("error", F.col("prediction") - F.col("y")),
         "phase14_mvp_1000_mode_summary": forecast.metrics(tested, [], mean, forecast.HAR_TARGET).withColumns({"n_train": F.lit(recent["n_train"]), "last_forecast": F.lit(float(latest.first()["prediction"]))}),
     }
-
-
-def places(n: int, size: int) -> list[int]:
-    """Evenly spaced positions, for callers that draw their own samples."""
-    return evenly_spaced(n, size)

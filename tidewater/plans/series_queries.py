@@ -329,22 +329,11 @@ def sample_evenly_(spark, sf):
 _PAIRS = _SAMPLE + ", p AS (SELECT a.idx AS i, b.idx AS j, sqrt((a.a - b.a) * (a.a - b.a) + (a.b - b.b) * (a.b - b.b)) AS d FROM v a JOIN v b ON b.idx - a.idx > 10)"
 
 
-@register("pair_distances", _PAIRS + " SELECT i, j, round(d, 5) AS d FROM p")
-def pair_distances(spark, sf):
-    return I.rounded(dynamics.pair_distances(_sampled_vectors(spark, sf), 10), d=5)
-
-
 @register("pair_distances_all", _published(_PAIRS) + " SELECT i, j, round(d, 5) AS d FROM p")
 def pair_distances_all(spark, sf):
     return I.rounded(dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10), d=5)
 
 
-@register("correlation_sums", _PAIRS + ", r AS (SELECT unnest([1000.0, 2000.0, 4000.0, 8000.0, 16000.0]) AS radius), c AS (SELECT radius, count(*) FILTER (d < radius) AS below, count(*) AS pairs FROM p, r GROUP BY 1) SELECT CAST(radius AS DOUBLE) AS radius, below, pairs, round(below / pairs, 9) AS c FROM c")
-def correlation_sums(spark, sf):
-    c = dynamics.correlation_sums(dynamics.pair_distances(_sampled_vectors(spark, sf), 10), [1000.0, 2000.0, 4000.0, 8000.0, 16000.0])
-    return I.rounded(c.select("radius", "below", "pairs", "c"), c=9)
-
-
 @register("correlation_sums_all", _published(_PAIRS) + ", r AS (SELECT unnest([1000.0, 2000.0, 4000.0, 8000.0, 16000.0]) AS radius), c AS (SELECT radius, count(*) FILTER (d < radius) AS below, count(*) AS pairs FROM p, r GROUP BY 1) SELECT CAST(radius AS DOUBLE) AS radius, below, pairs, round(below / pairs, 9) AS c FROM c")
 def correlation_sums_all(spark, sf):
     c = dynamics.correlation_sums(dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10), [1000.0, 2000.0, 4000.0, 8000.0, 16000.0])
@@ -360,11 +349,6 @@ def correlation_dimension(spark, sf):
 _NN = _SAMPLE + ", q AS (SELECT a.idx AS i, b.idx AS j, (a.a - b.a) * (a.a - b.a) + (a.b - b.b) * (a.b - b.b) AS d FROM v a JOIN v b ON abs(b.idx - a.idx) > 10), k AS (SELECT i, j, sqrt(d) AS d, row_number() OVER (PARTITION BY i ORDER BY sqrt(d), j) AS r FROM q)"
 
 
-@register("nearest_neighbours", _NN + " SELECT i, j, round(d, 5) AS d FROM k WHERE r = 1")
-def nearest_neighbours(spark, sf):
-    return I.rounded(dynamics.nearest_neighbours(_sampled_vectors(spark, sf), 10), d=5)
-
-
 @register("nearest_neighbours_all", _published(_NN) + " SELECT i, j, round(d, 5) AS d FROM k WHERE r = 1")
 def nearest_neighbours_all(spark, sf):
     return I.rounded(dynamics.nearest_neighbours(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10), d=5)
@@ -378,21 +362,11 @@ def _divergence(spark, sf, size=200):
     return dynamics.divergence(whole, dynamics.nearest_neighbours(_sampled_vectors(spark, sf, size), 10), 8)
 
 
-@register("divergence_curve", _DIVERGE + " SELECT k, pairs, round(m, 7) AS mean_log_distance FROM dv")
-def divergence_curve(spark, sf):
-    return I.rounded(_divergence(spark, sf), mean_log_distance=7)
-
-
 @register("divergence_curve_all", _published(_DIVERGE) + " SELECT k, pairs, round(m, 7) AS mean_log_distance FROM dv")
 def divergence_curve_all(spark, sf):
     return I.rounded(_divergence(spark, sf, PUBLISHED_SAMPLE), mean_log_distance=7)
 
 
-@register("lyapunov_slope", _DIVERGE + " SELECT round(regr_slope(m, k), 7) AS slope, round(regr_intercept(m, k), 7) AS intercept, round(regr_r2(m, k), 6) AS r2, count(*) AS points, round(12 * regr_slope(m, k), 6) AS slope_per_hour FROM dv WHERE k BETWEEN 1 AND 6")
-def lyapunov_slope(spark, sf):
-    return I.rounded(dynamics.lyapunov(_divergence(spark, sf), 1, 6), slope=7, intercept=7, r2=6, slope_per_hour=6)
-
-
 @register("lyapunov_slope_all", _published(_DIVERGE) + " SELECT round(regr_slope(m, k), 7) AS slope, round(regr_intercept(m, k), 7) AS intercept, round(regr_r2(m, k), 6) AS r2, count(*) AS points, round(12 * regr_slope(m, k), 6) AS slope_per_hour FROM dv WHERE k BETWEEN 1 AND 6")
 def lyapunov_slope_all(spark, sf):
     return I.rounded(dynamics.lyapunov(_divergence(spark, sf, PUBLISHED_SAMPLE), 1, 6), slope=7, intercept=7, r2=6, slope_per_hour=6)
@@ -458,9 +432,9 @@ def surrogate_summary(spark, sf):
     return I.rounded(out, original=6, mean=6, std=6, p05=6, median=6, p95=6, S=6, p_value=9)
 
 
-@register("logistic_map", "WITH RECURSIVE g AS (SELECT 0 AS i, 0.123456789::DOUBLE AS x UNION ALL SELECT i + 1, 4.0::DOUBLE * x * (1.0::DOUBLE - x) FROM g WHERE i < 1199) SELECT CAST(i - 1000 AS BIGINT) AS idx, round(x, 9) AS x FROM g WHERE i >= 1000")
+@register("logistic_map", "WITH RECURSIVE g AS (SELECT 0 AS i, 0.123456789::DOUBLE AS x UNION ALL SELECT i + 1, 4.0::DOUBLE * x * (1.0::DOUBLE - x) FROM g WHERE i < 11999) SELECT CAST(i - 1000 AS BIGINT) AS idx, round(x, 9) AS x FROM g WHERE i >= 1000")
 def logistic_map(spark, sf):
-    return I.rounded(synthetic.series(spark, total=1200).filter("series = 'clean'").select("idx", "x"), x=9)
+    return I.rounded(synthetic.series(spark).filter("series = 'clean'").select("idx", "x"), x=9)
 
 
 @register("logistic_map_all")
