@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialise
+from tidewater.llm.common import materialise, spent_shuffles_go
 from tidewater.llm.pieces import MARK, codec
 from tidewater.session import ship
 
@@ -394,7 +394,9 @@ def _fit(gathered: DataFrame, classes: Classes, rounds: int) -> dict[str, np.nda
         sent = spark.sparkContext.broadcast((weights, classes))  # about 20,000 weights
 
         trained = dealt.groupBy("g").applyInArrow(_trainer(sent, turn), "w array<double>, n long")
-        mean = trained.select("n", F.posexplode("w")).groupBy("pos").agg((F.sum(F.col("col") * F.col("n")) / F.sum("n")).alias("w")).orderBy("pos").collect()
+        summed = trained.select("n", F.posexplode("w")).groupBy("pos").agg((F.sum(F.col("col") * F.col("n")) / F.sum("n")).alias("w")).orderBy("pos")
+        with spent_shuffles_go(spark):
+            mean = summed.collect()
         weights = unflatten(np.array([r["w"] for r in mean]), weights)
     return weights
 
