@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tidewater.functions import scalars as S
-from tidewater.operators.ordering import with_halo
+from tidewater.operators.ordering import own_rows, spread, window_pieces, with_halo
 
 RAW_COLUMNS = ["open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", "ignore"]
 CANDLE_COLUMNS = ["open_time", "open", "high", "low", "close", "volume", "trades", "taker_buy_quote"]
@@ -62,7 +62,7 @@ def rolling_sum(x: Column, w: WindowSpec, first: int, last: int) -> Column:
     return F.when(F.count(x).over(frame) == last - first + 1, F.sum(x).over(frame))
 
 
-def features(candles: DataFrame, idx: str = "idx", block_rows: int = 65_536) -> DataFrame:
+def features(candles: DataFrame, idx: str = "idx", block_rows: int = 16_384) -> DataFrame:
     """All created columns; rows at the ends have nulls (see ``complete``). Needs positive prices."""
     logs = candles.withColumns(
         {
@@ -72,11 +72,14 @@ def features(candles: DataFrame, idx: str = "idx", block_rows: int = 65_536) ->
     )
     r = with_halo(logs, lambda w: {"r": F.col("log_close") - F.lag("log_close", 1).over(w)}, past=1, idx=idx, block_rows=block_rows)
     r = r.withColumns({"r2": F.col("r") * F.col("r"), "abs_r": F.abs("r")})
-    rv = with_halo(
-        r,
-        lambda w: {f"rv_past_{n}": rolling_sum(F.col("r2"), w, 1 - n, 0) for n in PAST} | {f"rv_future_{n}": rolling_sum(F.col("r2"), w, 1, n) for n in FUTURE},
-        past=max(PAST) - 1, future=max(FUTURE), idx=idx, block_rows=block_rows,
-    )
+    most, r2 = max(PAST), F.col("r2")
+    blocks = spread(r, most - 1, max(FUTURE), idx, block_rows)
+    w = Window.partitionBy("_blk").orderBy(idx)
+    short = {f"rv_past_{n}": rolling_sum(r2, w, 1 - n, 0) for n in PAST if n < most} | {f"rv_future_{n}": rolling_sum(r2, w, 1, n) for n in FUTURE}
+    made = window_pieces(blocks.withColumns(short), most, {"_n": F.count(r2), "_s": F.sum(r2)}, idx=idx)
+    whole = F.col("_n_a") + F.coalesce("_n_b", F.lit(0)) == most
+    made = made.withColumn(f"rv_past_{most}", F.when(whole, F.col("_s_a") + F.coalesce("_s_b", F.lit(0.0))))
+    rv = own_rows(made).drop("_n_a", "_n_b", "_s_a", "_s_b")
     return rv.withColumns({f"log_{c}": S.safe_log(F.col(c)) for c in [*[f"rv_past_{n}" for n in PAST], *[f"rv_future_{n}" for n in FUTURE]]})
 
 

@@ -30,19 +30,43 @@ def with_halo(
     future: int = 0,
     by: tuple[str, ...] = (),
     idx: str = "idx",
-    block_rows: int = 65_536,
+    block_rows: int = 16_384,
 ) -> DataFrame:
     """Window columns over ``idx`` that look ``past`` rows back and ``future`` rows on.
 
     Rows are dealt to blocks of ``block_rows`` positions and copied into the blocks that see them, so the
     window runs partitioned by block and costs one exchange whatever the length of the series.
     """
+    return own_rows(spread(df, past, future, idx, block_rows).withColumns(columns(Window.partitionBy(*by, "_blk").orderBy(idx))))
+
+
+def spread(df: DataFrame, past: int = 0, future: int = 0, idx: str = "idx", block_rows: int = 16_384) -> DataFrame:
+    """Rows copied into every block (_blk) that sees them; _own is the block a row belongs to."""
     size = max(block_rows, past + 1, future + 1)
-    own = F.floor(F.col(idx) / size)
     seen = F.sequence(F.floor(F.greatest(F.col(idx) - future, F.lit(0)) / size), F.floor((F.col(idx) + past) / size))
-    spread = df.withColumn("_own", own).withColumn("_blk", F.explode(seen))
-    made = spread.withColumns(columns(Window.partitionBy(*by, "_blk").orderBy(idx)))
-    return made.filter(F.col("_own") == F.col("_blk")).drop("_own", "_blk")
+    return df.withColumn("_own", F.floor(F.col(idx) / size)).withColumn("_blk", F.explode(seen))
+
+
+def own_rows(blocks: DataFrame) -> DataFrame:
+    """Each row once, from its own block."""
+    return blocks.filter(F.col("_own") == F.col("_blk")).drop("_own", "_blk")
+
+
+def window_pieces(blocks: DataFrame, width: int, aggregates: dict[str, Column], by: tuple[str, ...] = (), idx: str = "idx") -> DataFrame:
+    """Aggregates of the window of ``width`` rows up to each row, in two pieces that meet at a multiple of the width.
+
+    ``<name>_a`` covers the window's rows from the multiple on, ``<name>_b`` those before it (null where there
+    are none). Both run on from row to row, so the cost doesn't depend on the width, and nothing is subtracted, so
+    no digits are lost. ``blocks`` must see ``width - 1`` rows back.
+    """
+    chunk = [*by, "_blk", "_piece"]
+    up = Window.partitionBy(*chunk).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*chunk).orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*by, "_blk").orderBy(idx)
+    out = blocks.withColumn("_piece", F.floor(F.col(idx) / width)).withColumns({f"_t_{n}": a.over(down) for n, a in aggregates.items()})
+    out = out.withColumns({f"{n}_a": a.over(up) for n, a in aggregates.items()})
+    begins = F.col(idx) % width != width - 1  # otherwise the window is one whole piece
+    return out.withColumns({f"{n}_b": F.when(begins, F.lag(f"_t_{n}", width - 1).over(back)) for n in aggregates}).drop("_piece", *[f"_t_{n}" for n in aggregates])
 
 
 def prefix_sum(df: DataFrame, value: Column, name: str, by: tuple[str, ...] = (), idx: str = "idx", block_rows: int = 65_536) -> DataFrame:

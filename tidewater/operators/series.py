@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tidewater.functions import scalars as S
 from tidewater.functions import special
-from tidewater.operators.ordering import lags, prefix_sum, with_halo
+from tidewater.operators.ordering import lags, own_rows, prefix_sum, spread, window_pieces, with_halo
 from tidewater.session import ship
 
 ADF_LAGS = (0, 1, 2, 3, 6, 12)
@@ -170,15 +170,35 @@ def adf_select(df: DataFrame, steps: tuple[int, ...] = ADF_LAGS, value: str = "x
     return min(found.values(), key=lambda r: r["bic"])
 
 
-def kpss(df: DataFrame, value: str = "x") -> dict:
-    """Level stationarity with Bartlett weights and int(12 (n / 100)^(1/4)) lags."""
-    n, mean, _ = moments(df, value)
-    nlags = int(12 * (n / 100) ** 0.25)
-    run = prefix_sum(df.select("idx", value), F.col(value) - F.lit(mean), "_s")
-    eta = run.agg(F.sum(F.col("_s") * F.col("_s"))).first()[0] / n**2
-    sums = {r["lag"]: r["s"] for r in lag_products(df, min(nlags, max(0, n - 1)), value).collect()}  # nlags + 1 rows
-    long_run = (sums[0] + 2 * sum((1 - k / (nlags + 1)) * sums[k] for k in range(1, nlags + 1) if k in sums)) / n
-    return {"n": n, "nlags": nlags, "statistic": eta / long_run if long_run > 0 else math.nan, "long_run_variance": long_run}
+def kpss(df: DataFrame, value: str = "x", block_rows: int = 16_384) -> dict:
+    """Level stationarity with Bartlett weights and int(12 (n / 100)^(1/4)) lags.
+
+    The partial sums and the lagged products come from one pass: a partial sum is its block's offset B plus the sum
+    W within the block, and their squares add up to sum W^2 + 2 B sum W + n B^2 over the blocks.
+    """
+    held = df.select("idx", value).persist()  # read twice; goes before this returns
+    try:
+        n, mean, _ = moments(held, value)
+        nlags = int(12 * (n / 100) ** 0.25)
+        most = min(nlags, max(0, n - 1))
+        size = max(block_rows, most + 1)
+        c, own = F.col("_c"), F.col("_own") == F.col("_blk")
+
+        def made(w):
+            return {"_w": F.sum(F.when(own, c)).over(w.rowsBetween(Window.unboundedPreceding, 0)), **{f"_l{k}": F.lag("_c", k).over(w) for k in range(1, most + 1)}}
+
+        wide = with_halo(held.withColumn("_c", F.col(value) - F.lit(mean)), made, past=most, block_rows=size)
+        w = F.col("_w")
+        blocks = wide.groupBy(F.floor(F.col("idx") / size).alias("block")).agg(
+            F.count("*").alias("_n"), F.sum(c).alias("_t"), F.sum(w).alias("_w1"), F.sum(w * w).alias("_w2"), F.sum(c * c).alias("_s0"), *[F.sum(c * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, most + 1)]
+        )
+        placed = prefix_sum(blocks, F.col("_t"), "_e", idx="block").withColumn("_b", F.col("_e") - F.col("_t"))
+        b = F.col("_b")
+        row = placed.agg(F.sum(F.col("_w2") + 2 * b * F.col("_w1") + F.col("_n") * b * b).alias("eta"), *[F.sum(f"_s{k}").alias(f"s{k}") for k in range(most + 1)]).first()  # one row of sums
+    finally:
+        held.unpersist()
+    long_run = (row["s0"] + 2 * sum((1 - k / (nlags + 1)) * (row[f"s{k}"] or 0.0) for k in range(1, most + 1))) / n
+    return {"n": n, "nlags": nlags, "statistic": row["eta"] / n**2 / long_run if long_run > 0 else math.nan, "long_run_variance": long_run}
 
 
 def pacf(acf_rows: DataFrame, max_lag: int, by: str = "series") -> DataFrame:
@@ -302,13 +322,15 @@ def arch_lm(squares: np.ndarray | list[float], n: int, orders: list[int]) -> lis
 
 
 def rolling_moments(df: DataFrame, width: int, value: str = "x") -> DataFrame:
-    """Rolling mean and sample std over whole windows only, variance 0 at the least."""
-    def made(w):
-        f = w.rowsBetween(1 - width, 0)
-        whole = F.count(value).over(f) == width
-        return {"rolling_mean": F.when(whole, F.avg(value).over(f)), "rolling_std": F.when(whole, F.sqrt(F.greatest(F.lit(0.0), F.var_samp(value).over(f))))}
-
-    return with_halo(df, made, past=width - 1).filter(F.col("rolling_mean").isNotNull())
+    """Rolling mean and sample std over whole windows only, variance 0 at the least; two pieces a window, merged."""
+    x = F.col(value)
+    made = window_pieces(spread(df, past=width - 1), width, {"_n": F.count(x), "_m": F.avg(x), "_v": F.var_pop(x)})
+    a, b = F.col("_n_a"), F.coalesce("_n_b", F.lit(0))
+    gap = F.col("_m_a") - F.col("_m_b")
+    squares = F.col("_v_a") * a + F.coalesce(F.col("_v_b") * b + gap * gap * a * b / width, F.lit(0.0))
+    std = F.sqrt(F.greatest(F.lit(0.0), squares / (width - 1))) if width > 1 else F.lit(0.0)
+    out = own_rows(made.filter(a + b == width)).withColumns({"rolling_mean": (F.col("_m_a") * a + F.coalesce(F.col("_m_b") * b, F.lit(0.0))) / width, "rolling_std": std})
+    return out.drop(*[f"{n}_{p}" for n in ("_n", "_m", "_v") for p in "ab"])
 
 
 def window_means(df: DataFrame, width: int, n: int, value: str = "x") -> DataFrame:
