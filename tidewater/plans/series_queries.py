@@ -235,16 +235,25 @@ def kpss(spark, sf):
     return I.rounded(spark.createDataFrame([(r["n"], r["nlags"], r["statistic"], r["long_run_variance"])], "n long, nlags long, statistic double, long_run_variance double"), statistic=6, long_run_variance=4)
 
 
-@register("ar_order")
+#: The Levinson recursion over the autocorrelations r: coefficients phi and innovation variance v of each order.
+_LEVINSON = f"""WITH RECURSIVE {I.SERIES}{_acf_sql(20)}, r AS (SELECT list(acf ORDER BY lag) AS r, max(n) AS n FROM acf),
+  lv AS (SELECT 1 AS p, [r[2]] AS phi, 1 - r[2] * r[2] AS v FROM r
+    UNION ALL SELECT p + 1, list_append(list_transform(phi, lambda f, i: f - k * phi[p + 1 - i]), k), v * (1 - k * k)
+    FROM (SELECT p, phi, v, (r[p + 2] - list_sum(list_transform(phi, lambda f, i: f * r[p + 2 - i]))) / v AS k FROM lv, r WHERE p < 20)),
+  o AS (SELECT p, phi, n AS nobs, v AS sigma2, n * ln(v) + 2 * p AS aic, n * ln(v) + p * ln(n) AS bic FROM lv, r)"""
+
+
+@register("ar_order", _LEVINSON + ", k AS (SELECT *, row_number() OVER (ORDER BY bic, p) AS rank FROM o) SELECT p, nobs, round(sigma2, 9) AS sigma2, round(aic, 4) AS aic, round(bic, 4) AS bic, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
 def ar_order(spark, sf):
     fit = series.ar_fit(_events_series(spark, sf), 20)
     rows = [(r["p"], r["nobs"], float(r["sigma2"]), float(r["aic"]), float(r["bic"])) for r in fit["orders"]]
-    return describe.ranked(spark.createDataFrame(rows, "p int, nobs long, sigma2 double, aic double, bic double"), [F.col("bic"), F.col("p")]).filter("rank <= 10")
+    best = describe.ranked(spark.createDataFrame(rows, "p int, nobs long, sigma2 double, aic double, bic double"), [F.col("bic"), F.col("p")]).filter("rank <= 10")
+    return I.rounded(best, sigma2=9, aic=4, bic=4)
 
 
-@register("ar_coefficients")
+@register("ar_coefficients", _LEVINSON + ", best AS (SELECT phi FROM o ORDER BY bic, p LIMIT 1), t AS (SELECT unnest(range(1, len(phi) + 1)) AS lag, unnest(phi) AS f FROM best) SELECT CAST(lag AS INTEGER) AS lag, round(f, 8) AS coefficient, round(abs(f), 8) AS abs_coefficient, CAST(row_number() OVER (ORDER BY abs(f) DESC, lag) AS INTEGER) AS rank_abs FROM t")
 def ar_coefficients(spark, sf):
-    return series.ar_table(series.ar_fit(_events_series(spark, sf), 20), spark)
+    return I.rounded(series.ar_table(series.ar_fit(_events_series(spark, sf), 20), spark), coefficient=8, abs_coefficient=8)
 
 
 _AR = [0.5, 0.2, -0.1]
@@ -340,10 +349,24 @@ def correlation_sums_all(spark, sf):
     return I.rounded(c.select("radius", "below", "pairs", "c"), c=9)
 
 
-@register("correlation_dimension")
+_RADII = _published(_PAIRS) + ", q AS (SELECT quantile_cont(d, 0.01) AS a, quantile_cont(d, 0.7) AS b FROM p WHERE d > 0), steps AS (SELECT unnest(range(0, 24)) AS k), r AS (SELECT k, exp(ln(a) + (ln(b) - ln(a)) * k / 23) AS radius FROM q, steps)"
+
+
+@register("radii", _RADII + " SELECT k, round(radius, 5) AS radius FROM r")
+def radii(spark, sf):
+    found = dynamics.radii(dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10), 24)
+    return I.rounded(spark.createDataFrame(list(enumerate(found)), "k long, radius double"), radius=5)
+
+
+@register(
+    "correlation_dimension",
+    _RADII + ", c AS (SELECT k, radius, count(*) FILTER (d < radius) / count(*) AS c FROM p, r GROUP BY 1, 2), l AS (SELECT k, c, ln(radius) AS lr, CASE WHEN c > 0 THEN ln(c) END AS lc FROM c), "
+    "s2 AS (SELECT c, (lead(lc) OVER w - lag(lc) OVER w) / (lead(lr) OVER w - lag(lr) OVER w) AS slope FROM l WINDOW w AS (ORDER BY k)), u AS (SELECT median(slope) AS m, coalesce(stddev_samp(slope), 0) AS sd, count(*) AS n FROM s2 WHERE c BETWEEN 0.02 AND 0.25 AND slope > 0) "
+    "SELECT round(m, 6) AS d2, round(sd, 6) AS slope_std, n AS points, n >= 5 AND sd <= greatest(0.2 * abs(m), 0.15) AS plateau FROM u",
+)
 def correlation_dimension(spark, sf):
     d = dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10).cache()  # a bounded sample
-    return dynamics.correlation_dimension(dynamics.correlation_sums(d, dynamics.radii(d, 24)))
+    return I.rounded(dynamics.correlation_dimension(dynamics.correlation_sums(d, dynamics.radii(d, 24))), d2=6, slope_std=6)
 
 
 _NN = _SAMPLE + ", q AS (SELECT a.idx AS i, b.idx AS j, (a.a - b.a) * (a.a - b.a) + (a.b - b.b) * (a.b - b.b) AS d FROM v a JOIN v b ON abs(b.idx - a.idx) > 10), k AS (SELECT i, j, sqrt(d) AS d, row_number() OVER (PARTITION BY i ORDER BY sqrt(d), j) AS r FROM q)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -52,3 +53,24 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
     return spark
+
+
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder of spark.checkpoint.dir, gone when the application ends; a folder of our own only in local mode."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _own:
+            folder = tempfile.mkdtemp(prefix="tidewater-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[context.applicationId] = f"file://{folder}"
+        base = _own[context.applicationId]
+    path = f"{base.rstrip('/')}/tidewater/{label}-{uuid.uuid4().hex}"
+    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
+    handle.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(handle)
+    return path
