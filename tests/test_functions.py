@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
 from tidewater.functions import special
-from tidewater.operators import dynamics, embedding, series, surrogates
+from tidewater.operators import describe, dynamics, embedding, series, surrogates
 from tidewater.operators.ordering import dense_index, evenly_spaced, prefix_sum, sample_evenly, with_halo
 
 
@@ -139,3 +139,25 @@ def test_selection_rules():
     assert embedding.dim_from_fnn([0.5, 0.2, 0.009]) == 3 and embedding.dim_from_fnn([0.5, 0.2, 0.3]) == 2
     assert embedding.dim_from_cao([0.3, 0.8, 0.95, 0.955, 0.96]) == (4, False) and embedding.dim_from_cao([0.1, 0.5])[1]
     assert embedding.dim_from_plateau([0.2, 0.95, 1.0, 1.02]) == 2 and embedding.final_dim(1, 9) == (2, False)
+
+
+def test_quantiles_of_more_values_than_fit(spark):
+    shares = [0.0, 0.005, 0.1, 0.25, 0.5, 0.77, 0.99, 1.0]
+    spread = spark.range(30_000).select(F.rand(3).alias("x"))
+    tied = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.floor(F.rand(5) * 20)).alias("x"))
+    for df in (spread.cache(), tied.cache(), spark.range(1).select(F.lit(2.5).alias("x")), spread.withColumn("x", F.when(F.col("x") < 0.5, F.col("x")))):
+        want = df.agg(F.percentile("x", F.array(*[F.lit(q) for q in shares]))).first()[0]
+        for most in (50, 1_000, 100_000):
+            assert describe.quantiles(df, "x", shares, most) == pytest.approx(want, rel=1e-14)
+    assert describe.quantiles(spread.filter("x > 2"), "x", shares) is None
+
+
+def test_windows_of_two_pieces(spark):
+    rows = [float((i * i * 7919) % 1013) for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(rows)), "idx long, x double")
+    for width in (1, 2, 7, 64, 700, 701):
+        got = {r["idx"]: (r["rolling_mean"], r["rolling_std"]) for r in series.rolling_moments(df, width).collect()}
+        assert sorted(got) == list(range(width - 1, 700))
+        for i, (mean, std) in got.items():
+            part = np.array(rows[i - width + 1 : i + 1])
+            assert mean == pytest.approx(part.mean()) and std == pytest.approx(part.std(ddof=1) if width > 1 else 0.0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +30,76 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None, at: str | N
     return out.withColumn("max_at", -F.col("_max_at")).drop("_max_at") if at else out
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], most: int = 100_000) -> list[float] | None:
+    """Exact interpolated quantiles of a column of any size; None without a value. Nulls and NaN are left out.
+
+    Up to ``most`` values are ranked on the driver. Of more, each wanted rank is closed in between two approximate
+    quantiles whose true ranks are then counted; a bound that holds the rank itself, as with ties, ends the search, and
+    an open interval of few enough rows is collected. An interval shrinks some thousandfold a round.
+    """
+    x = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    v = F.col("v")
+    few = x.limit(most + 1).toPandas()["v"].to_numpy()
+    n = len(few)
+    if n == 0:
+        return None
+    found: dict[int, float] = {}
+    if n <= most:
+        few = np.sort(few)
+    else:
+        n = x.count()
+    ranks = {k for q in shares for k in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
+    if n <= most:
+        found = {k: float(few[k]) for k in ranks}
+    else:
+        found = _ranked_values(x, v, ranks, n, most)
+    out = []
+    for q in shares:
+        at = q * (n - 1)
+        low, high = math.floor(at), math.ceil(at)
+        out.append(found[low] if low == high else (high - at) * found[low] + (at - low) * found[high])
+    return out
+
+
+def _ranked_values(x: DataFrame, v: Column, ranks: set[int], n: int, most: int, accuracy: int = 10_000) -> dict[int, float]:
+    """The values at 0-based ranks. A rank's state: an open interval (None: no bound), the rows before it and in it."""
+    found: dict[int, float] = {}
+    state = {k: (None, None, 0, n) for k in ranks}
+
+    def inside(a, b):
+        return (F.lit(True) if a is None else v > a) & (F.lit(True) if b is None else v < b)
+
+    while state:
+        for k in [k for k, s in state.items() if s[3] <= most]:
+            a, b, before, _ = state.pop(k)
+            rows = np.sort(x.filter(inside(a, b)).toPandas()["v"].to_numpy())  # at most ``most``
+            found[k] = float(rows[k - before])
+        if not state:
+            break
+        near = lambda k, s: [min(1.0, max(0.0, (k - s[2]) / s[3] + e)) for e in (-2 / accuracy, 2 / accuracy)]
+        row = x.agg(*[F.percentile_approx(F.when(inside(s[0], s[1]), v), near(k, s), accuracy).alias(str(k)) for k, s in state.items()]).first()
+        bounds = {k: tuple(row[str(k)]) for k in state}
+        ends = sorted({e for pair in bounds.values() for e in pair})
+        counts = x.agg(*[f for i, e in enumerate(ends) for f in (F.count_if(v < e).alias(f"a{i}"), F.count_if(v == e).alias(f"b{i}"))]).first()
+        less = {e: (counts[f"a{i}"], counts[f"b{i}"]) for i, e in enumerate(ends)}
+        for k, (low, high) in bounds.items():
+            a, b, before, size = state[k]
+            past = before + size
+            for e in (low, high):
+                lt, eq = less[e]
+                if lt <= k < lt + eq:
+                    found[k] = float(e)
+                elif lt + eq <= k and lt + eq >= before:
+                    a, before = e, lt + eq
+                elif lt > k and lt <= past:
+                    b, past = e, lt
+            if k in found:
+                del state[k]
+            else:
+                state[k] = (a, b, before, past - before)
+    return found
+
+
 def ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, missing, min, max)."""
     row = df.agg(*[f for c in columns for f in (F.count_if(F.col(c).isNull()).alias(f"{c}__m"), F.min(c).cast("double").alias(f"{c}__a"), F.max(c).cast("double").alias(f"{c}__b"))])
@@ -55,9 +128,9 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 def histogram_of(df: DataFrame, value: str, bins: int, low_q: float = 0.0, high_q: float = 1.0, pad: float = 0.0) -> DataFrame:
     """(bin, low, high, n, below, above): bins over a quantile range with padding, and the tails counted apart."""
-    edge = df.agg(F.percentile(value, low_q).alias("_a"), F.percentile(value, high_q).alias("_b"))
-    span = F.col("_b") - F.col("_a")
-    edge = edge.select((F.col("_a") - pad * span).alias("_a"), (F.col("_b") + pad * span).alias("_b"))
+    a, b = quantiles(df, value, [low_q, high_q]) or (None, None)
+    span = None if a is None else b - a
+    edge = df.sparkSession.createDataFrame([(None, None) if a is None else (a - pad * span, b + pad * span)], "_a double, _b double")
     x = F.col(value)
     placed = df.filter(x.isNotNull()).crossJoin(F.broadcast(edge))  # one row
     k = F.floor((x - F.col("_a")) / ((F.col("_b") - F.col("_a")) / bins))

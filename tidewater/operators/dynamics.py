@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tidewater.functions import scalars as S
 from tidewater.functions import special
+from tidewater.operators.describe import quantiles
 from tidewater.operators.embedding import nearest
 from tidewater.session import ship
 
@@ -25,7 +26,7 @@ def pair_distances(vectors: DataFrame, theiler: int, vec: str = "vec") -> DataFr
 
 def radii(distances: DataFrame, steps: int, low_q: float = 0.01, high_q: float = 0.70) -> list[float]:
     """Log-spaced radii between two quantiles of the distances above 0."""
-    a, b = distances.filter("d > 0").agg(F.percentile("d", F.array(F.lit(low_q), F.lit(high_q))).alias("q")).first()[0]
+    a, b = quantiles(distances.filter("d > 0"), "d", [low_q, high_q])
     return np.exp(np.linspace(math.log(a), math.log(b), steps)).tolist() if steps > 1 else [a]
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from tidewater.functions import scalars as S
 from tidewater.functions import special
+from tidewater.operators.describe import quantiles
 from tidewater.operators.ordering import lags, own_rows, prefix_sum, spread, window_pieces, with_halo
 from tidewater.session import ship
 
@@ -347,8 +348,8 @@ def window_means(df: DataFrame, width: int, n: int, value: str = "x") -> DataFra
 def representative_windows(means: DataFrame, n: int, width: int) -> DataFrame:
     """(window, start, end): the quiet one (mean nearest its 10th percentile), the one around the highest
     mean, the last and the middle; the first of equals."""
-    low = means.agg(F.percentile("mean", 0.10).alias("_q"))
-    quiet = means.crossJoin(F.broadcast(low)).agg(F.min(F.struct(F.abs(F.col("mean") - F.col("_q")).alias("d"), "start"))["start"].alias("start")).select(F.lit("quiet").alias("window"), "start")
+    low = quantiles(means, "mean", [0.10]) or [None]
+    quiet = means.agg(F.min(F.struct(F.abs(F.col("mean") - F.lit(low[0])).alias("d"), "start"))["start"].alias("start")).select(F.lit("quiet").alias("window"), "start")
     high = means.agg(F.min(F.struct((-F.col("mean")).alias("m"), "start"))["start"].alias("start")).select(F.lit("high_volatility").alias("window"), "start")
     fixed = means.sparkSession.range(1).select(F.inline(F.array(F.struct(F.lit("recent").alias("window"), F.lit(n - width).cast("bigint").alias("start")), F.struct(F.lit("middle").alias("window"), F.lit(max(0, n // 2 - width // 2)).cast("bigint").alias("start")))))
     return quiet.unionByName(high).unionByName(fixed).withColumn("end", F.col("start") + width)

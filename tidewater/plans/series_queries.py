@@ -354,7 +354,9 @@ _RADII = _published(_PAIRS) + ", q AS (SELECT quantile_cont(d, 0.01) AS a, quant
 
 @register("radii", _RADII + " SELECT k, round(radius, 5) AS radius FROM r")
 def radii(spark, sf):
-    found = dynamics.radii(dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10), 24)
+    d = dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10).cache()  # a bounded sample
+    found = dynamics.radii(d, 24)
+    d.unpersist()
     return I.rounded(spark.createDataFrame(list(enumerate(found)), "k long, radius double"), radius=5)
 
 
