@@ -142,20 +142,29 @@ def adf(df: DataFrame, lag: int, value: str = "x") -> dict:
 
 
 def adf_many(df: DataFrame, steps: tuple[int, ...] = ADF_LAGS, value: str = "x") -> dict[int, dict]:
-    """The test at each number of lags, from one pass: a conditional set of sums for each."""
+    """The test at each number of lags of a series without nulls, from one pass.
+
+    The sums are taken once, over the rows that have all ``most`` lagged differences; the few rows before them come
+    along and complete the sums of the shorter regressions.
+    """
     most = max(steps)
     d = lags(df.select("idx", value), value, [1], prefix="_y").withColumn("_d0", F.col(value) - F.col("_y1"))
     d = with_halo(d, lambda w: {f"_d{k}": F.lag("_d0", k).over(w) for k in range(1, most + 1)}, past=most) if most else d
-    aggs = []
-    for p in steps:
-        cols = [F.lit(1.0), F.col("_y1"), *[F.col(f"_d{k}") for k in range(1, p + 1)], F.col("_d0")]
-        whole = F.col(f"_d{p}").isNotNull()
-        aggs += [F.sum(F.when(whole, cols[i] * cols[j])).alias(f"p{p}_s_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
-    row = d.agg(*aggs).first()  # one row of sums
+    names = ["_y1", *[f"_d{k}" for k in range(1, most + 1)], "_d0"]
+    cols, whole = [F.lit(1.0), *[F.col(c) for c in names]], F.col("idx") > most
+    sums = [F.sum(F.when(whole, cols[i] * cols[j])).alias(f"s_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+    early = F.collect_list(F.when(~whole & (F.col("idx") > 0), F.struct("idx", *names)))  # as many rows as lags
+    row = d.agg(*sums, early.alias("early")).first()
+    every = _matrix(row, len(cols))
     out = {}
     for p in steps:
         k = p + 3
-        m = _matrix({f"s_{i}_{j}": row[f"p{p}_s_{i}_{j}"] for i in range(k) for j in range(i, k)}, k)
+        keep = [*range(p + 2), len(cols) - 1]
+        m = every[np.ix_(keep, keep)]
+        for r in row["early"]:
+            if r["idx"] > p:
+                own = np.array([1.0, *[r[c] for c in names[: p + 1]], r["_d0"]])
+                m = m + np.outer(own, own)
         n, q = int(m[0, 0]), k - 1
         inverse = special.solve(m[:-1, :-1], np.eye(q))
         beta = inverse @ m[:-1, -1]
