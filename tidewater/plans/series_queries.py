@@ -364,11 +364,11 @@ def radii(spark, sf):
     "correlation_dimension",
     _RADII + ", c AS (SELECT k, radius, count(*) FILTER (d < radius) / count(*) AS c FROM p, r GROUP BY 1, 2), l AS (SELECT k, c, ln(radius) AS lr, CASE WHEN c > 0 THEN ln(c) END AS lc FROM c), "
     "s2 AS (SELECT c, (lead(lc) OVER w - lag(lc) OVER w) / (lead(lr) OVER w - lag(lr) OVER w) AS slope FROM l WINDOW w AS (ORDER BY k)), u AS (SELECT median(slope) AS m, coalesce(stddev_samp(slope), 0) AS sd, count(*) AS n FROM s2 WHERE c BETWEEN 0.02 AND 0.25 AND slope > 0) "
-    "SELECT round(m, 6) AS d2, round(sd, 6) AS slope_std, n AS points, n >= 5 AND sd <= greatest(0.2 * abs(m), 0.15) AS plateau FROM u",
+    "SELECT round(m, 10) AS d2, round(sd, 10) AS slope_std, n AS points, n >= 5 AND sd <= greatest(0.2 * abs(m), 0.15) AS plateau FROM u",
 )
 def correlation_dimension(spark, sf):
     d = dynamics.pair_distances(_sampled_vectors(spark, sf, PUBLISHED_SAMPLE), 10).cache()  # a bounded sample
-    return I.rounded(dynamics.correlation_dimension(dynamics.correlation_sums(d, dynamics.radii(d, 24))), d2=6, slope_std=6)
+    return I.rounded(dynamics.correlation_dimension(dynamics.correlation_sums(d, dynamics.radii(d, 24))), d2=10, slope_std=10)
 
 
 _NN = _SAMPLE + ", q AS (SELECT a.idx AS i, b.idx AS j, (a.a - b.a) * (a.a - b.a) + (a.b - b.b) * (a.b - b.b) AS d FROM v a JOIN v b ON abs(b.idx - a.idx) > 10), k AS (SELECT i, j, sqrt(d) AS d, row_number() OVER (PARTITION BY i ORDER BY sqrt(d), j) AS r FROM q)"
