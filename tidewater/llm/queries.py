@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bagminhash, chat, line_dedup, lm, mixing, pieces, pii, quality, token_files
+from tidewater.llm import bagminhash, chat, line_dedup, lm, mixing, pieces, pii, quality, ranked, token_files
 from tidewater.llm import exact_dedup as dedup
 from tidewater.llm.common import documents
 
@@ -64,6 +64,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_of(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE, "op3_exact_dedup": dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE, "op3_exact_dedup": dedup.ORACLE, "op13_ranked_search": ranked.ORACLE}

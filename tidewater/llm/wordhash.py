@@ -1,14 +1,17 @@
 """Words of whole batches of texts as 64-bit hashes, in numpy: no object is made for a word.
 
-A word is a run of bytes other than 20 and 09 to 0D (hex); A-Z count as a-z. Its hash is a polynomial over a
+A word is a run of bytes other than 20 and 09 to 0D (hex), or of another set of bytes; A-Z count as a-z. Its hash is a polynomial over a
 random number for each byte value, mod 2**64, through a finaliser: the same in every process and at every
 place of a text. Sums of powers over a region give the hash of any word in it by one subtraction.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -18,6 +21,9 @@ REGION = 1 << 16
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, *range(9, 14)]] = False
+#: Bytes of the terms of a search: letters and digits of ASCII, and all bytes of other characters.
+TERM_BYTES = np.zeros(256, bool)
+TERM_BYTES[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,8 +62,8 @@ def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts, in order: hash, text (its number), line (how many \\n of its text come before)."""
 
-    def __init__(self, texts: pa.Array) -> None:
-        """``texts`` holds binary values; a null counts as empty."""
+    def __init__(self, texts: pa.Array, is_word: np.ndarray = _IS_WORD) -> None:
+        """``texts`` holds binary values; a null counts as empty. ``is_word`` says of each byte whether words hold it."""
         n = len(texts)
         wide = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
         _, ends, data = texts.buffers()
@@ -65,7 +71,7 @@ class Words:
         raw = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data is not None and edge[-1] > edge[0] else np.zeros(0, np.uint8)
         edge = edge - edge[0]
         inner = edge[1:-1][(edge[1:-1] > 0) & (edge[1:-1] < len(raw))]
-        word = _IS_WORD[raw]
+        word = is_word[raw]
         begin, end = word.copy(), word.copy()
         begin[1:] &= ~word[:-1]
         begin[inner] = word[inner]
@@ -98,3 +104,16 @@ class Words:
             out[done:stop] = value
             done = stop
         return mix(out)
+
+
+def pieces_of(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts hold about ``most_bytes`` together; a longer text is a slice of its own."""
+    texts = batch.column(column)
+    sizes = np.array(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < batch.num_rows:
+        before = int(ends[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
