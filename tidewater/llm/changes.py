@@ -63,6 +63,14 @@ def carried(value: np.ndarray, sets: np.ndarray, begin: np.ndarray, first: np.nd
     return np.where(latest >= opened, value[np.maximum(latest, 0)], first)
 
 
+_ROW = {"code": np.int64, "n": np.int64, "day": np.int64, "change_id": np.int64, "op": object, "city": object, "balance": object, "missed": np.int64, "was_held": bool}
+
+
+def stacked(*frames: pd.DataFrame) -> pd.DataFrame:
+    """Rows of all frames, each column in its kind even where a frame is empty."""
+    return pd.DataFrame({c: np.concatenate([f[c].to_numpy(kind) for f in frames]) for c, kind in _ROW.items()})
+
+
 def apply_batch(held: pd.DataFrame, clients: pd.DataFrame, rows: pd.DataFrame, horizon: int, patience: int) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
     """What a batch does to the clients of a bucket: applied rows, rejected rows, rows newly held.
 
@@ -84,7 +92,7 @@ def apply_batch(held: pd.DataFrame, clients: pd.DataFrame, rows: pd.DataFrame, h
     np.maximum.at(follows, jumped["code"].to_numpy(np.int64), jumped["n"].to_numpy(np.int64) + 1)
     waiting = held[~due].assign(missed=0, was_held=True)
     rows = rows.assign(missed=0, was_held=False)
-    both = pd.concat([waiting, rows], ignore_index=True)
+    both = stacked(waiting, rows)
     both = both.iloc[np.lexsort((~both["was_held"].to_numpy(bool), both["n"], both["code"]))]  # a held row before a new one of its number
     code, n = both["code"].to_numpy(np.int64), both["n"].to_numpy(np.int64)
     refused = ~both["was_held"].to_numpy(bool) & ((n < follows[code]) | ~starts(code, n))
@@ -95,7 +103,7 @@ def apply_batch(held: pd.DataFrame, clients: pd.DataFrame, rows: pd.DataFrame, h
     rank = at - np.maximum.accumulate(np.where(begin, at, 0)) if len(at) else at
     goes = n == follows[code] + rank
 
-    applied = pd.concat([jumped, taken[goes]], ignore_index=True)
+    applied = stacked(jumped, taken[goes])
     applied = applied.iloc[np.lexsort((applied["n"], applied["code"]))].reset_index(drop=True)
     code, op = applied["code"].to_numpy(np.int64), applied["op"].to_numpy(object)
     begin = starts(code)
@@ -140,7 +148,7 @@ class Applier(StatefulProcessor):
         names = every.drop_duplicates("code").sort_values("code")
         now = stored[stored["n"] == 0].set_index("code")
         clients = now.reindex(names["code"])[["next", "city", "balance"]]
-        clients["next"] = clients["next"].fillna(1).astype(np.int64)
+        clients["next"] = np.where(clients["next"].isna(), 1, clients["next"]).astype(np.int64)
         for c in ("city", "balance"):
             clients[c] = clients[c].astype(object).where(clients[c].notna(), None)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bagminhash, changes, chat, line_dedup, lm, mixing, pieces, pii, quality, ranked, token_files
+from tidewater.llm import bagminhash, changes, chat, line_dedup, lm, mixing, pieces, pii, quality, ranked, suffixes, token_files
 from tidewater.llm import exact_dedup as dedup
 from tidewater.llm.common import documents
 
@@ -64,6 +64,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_of(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply_changes(spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_change_applier": op12_change_applier,
     "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
