@@ -34,10 +34,12 @@ from tidewater.session import ship
 LENGTH = 100
 #: Bytes of a letter.
 LETTER = 8
-#: Bytes of a landmark, and of how many landmarks one ends a piece.
-GRAM, CUT_EVERY = 32, 8
-#: Starts of a piece at most, and bytes that are looked at together.
-MOST_STARTS, SECTION = 4096, 4 << 20
+#: Rounds of the sieve: the share of a string that a landmark takes, and of how many landmarks one ends a piece.
+ROUNDS = [(0.48, 8), (0.8, 1)]
+#: Starts of a piece at most.
+MOST_STARTS = 4096
+#: Bytes that are looked at together, few enough for the processor's cache, and of a long text.
+SECTION, LONG = 1 << 16, 1 << 18
 #: Bytes of a bundle; a longer region is a bundle of its own.
 BUNDLE = 1 << 20
 #: Prefixes that are sampled to cut the key range; they only set how even the parts are.
@@ -73,107 +75,150 @@ def _least_of(key: np.ndarray, width: int) -> np.ndarray:
 
 
 class Cut:
-    """The pieces and landmarks of some texts: arrays over all starts of strings of ``length`` bytes."""
-
-    def __init__(self, raw: np.ndarray, edge: np.ndarray, length: int) -> None:
-        gram = min(GRAM, max(1, length // 2))
-        self.raw, self.length = raw, length
-        empty = np.zeros(0, np.int64)
-        self.run_at = self.run_end = self.run_pos = self.piece_at = self.piece_end = self.runs_to = empty
-        self.run_v, self.tied = np.zeros(0, _U), np.zeros(0, bool)
-        sizes = np.maximum(np.diff(edge) - length + 1, 0)
-        if not sizes.sum():
+    """The pieces and landmarks of some texts: runs of starts of strings of ``length`` bytes whose least gram is the same."""
+
+    def __init__(self, raw: np.ndarray, edge: np.ndarray, length: int, gram: int, every: int) -> None:
+        n = len(raw) - length + 1
+        self.run_at = self.run_end = self.run_pos = self.piece_at = self.piece_end = np.zeros(0, np.int64)
+        self.run_v, self.tied, self.runs_to = np.zeros(0, _U), np.zeros(0, bool), np.zeros(1, np.int64)
+        if n <= 0:
             return
-        start = np.repeat(edge[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        valid = np.ones(n + 1, bool)
+        for e in edge[1:].tolist():
+            valid[max(e - length + 1, 0) : e] = False
+        valid[n] = False
         value = _window_hashes(raw, gram)
         place = _U((1 << len(raw).bit_length()) - 1)
-        least = _least_of((value & ~place) | np.arange(len(value), dtype=_U), length - gram + 1)
-        at = (least[start] & place).astype(np.int64)
-        v = value[at]
-        opens = np.ones(len(start), bool)
-        opens[1:] = start[1:] != start[:-1] + 1
-        run = opens.copy()
-        run[1:] |= v[1:] != v[:-1]
-        cut = opens | (run & (v % _U(CUT_EVERY) == 0))
-        first = np.flatnonzero(cut)
-        sizes = np.diff(np.append(first, len(start)))
-        long = sizes > MOST_STARTS
+        key = value & ~place
+        key |= np.arange(len(value), dtype=_U)
+        at = (_least_of(key, length - gram + 1) & place).astype(np.int64)
+        opens = valid[:-1].copy()
+        opens[1:] &= ~valid[:-2]
+        some = opens.copy()
+        some[1:] |= at[1:] != at[:-1]
+        some = np.flatnonzero(some & valid[:-1])  # where the landmark is another one
+        if not len(some):
+            return
+        ends = np.flatnonzero(valid[:-1] & ~valid[1:]) + 1
+        pos = at[some]
+        v = value[pos]
+        run = opens[some]
+        run[1:] |= v[1:] != v[:-1]  # one that has the same bytes goes with the one before
+        cut = opens[some] | (run & (v % _U(every) == 0))
+        first = some[cut]
+        last = np.minimum(np.append(first[1:], len(raw)), ends[np.searchsorted(ends, first, "right")])
+        long = last - first > MOST_STARTS
         if long.any():
-            more = np.concatenate([np.arange(a + MOST_STARTS, a + n, MOST_STARTS) for a, n in zip(first[long], sizes[long], strict=True)])
-            cut[more] = run[more] = True
-            first = np.flatnonzero(cut)
-        moved = np.zeros(len(start), bool)
-        moved[1:] = (at[1:] != at[:-1]) & ~run[1:]
+            more = np.concatenate([np.arange(a + MOST_STARTS, b, MOST_STARTS) for a, b in zip(first[long], last[long], strict=True)])
+            every_place = np.union1d(some, more)
+            known = np.searchsorted(some, every_place, "right") - 1
+            added = np.isin(every_place, more)
+            some, pos, v, run, cut = every_place, pos[known], v[known], run[known] | added, cut[known] | added
+            first = some[cut]
+            last = np.minimum(np.append(first[1:], len(raw)), ends[np.searchsorted(ends, first, "right")])
         runs = np.flatnonzero(run)
-        last = np.append(runs[1:], len(start)) - 1
-        self.run_at, self.run_end, self.run_pos, self.run_v = start[runs], start[last] + 1, at[runs], v[runs]
-        self.tied = np.add.reduceat(moved, runs) > 0
-        self.piece_at, self.piece_end = start[first], start[np.append(first[1:], len(start)) - 1] + 1
-        self.runs_to = np.searchsorted(runs, np.append(first, len(start)))
+        self.run_at, self.run_pos, self.run_v = some[runs], pos[runs], v[runs]
+        self.run_end = np.minimum(np.append(self.run_at[1:], len(raw)), ends[np.searchsorted(ends, self.run_at, "right")])
+        self.tied = np.diff(np.append(runs, len(some))) > 1
+        self.piece_at, self.piece_end = first, last
+        self.runs_to = np.searchsorted(self.run_at, np.append(first, len(raw)))
 
 
-_PIECES = "row_id long, no_id boolean, doc_id long, begin long, n long, digest binary, v array<long>, pos array<long>, lo array<long>, hi array<long>, tied array<boolean>"
+_PIECES = "row_id long, base long, no_id boolean, doc_id long, begin long, n long, digest binary, v array<long>, pos array<long>, lo array<long>, hi array<long>, tied array<boolean>"
 
 
-def _pieces(held: DataFrame, length: int) -> DataFrame:
+def _pieces(texts: DataFrame, length: int, gram: int, every: int) -> DataFrame:
     """A row for each piece: where its starts begin, how many there are, its digest, and its landmarks with their starts."""
 
-    def rows(part: pa.RecordBatch, raw: np.ndarray, edge: np.ndarray, of: np.ndarray, shift: np.ndarray) -> pa.RecordBatch:
-        cut = Cut(raw, edge, length)
-        whole = memoryview(raw)
-        digests = [xxhash.xxh3_128_digest(whole[a : b + length - 1]) for a, b in zip(cut.piece_at.tolist(), cut.piece_end.tolist(), strict=True)]
-        text = np.searchsorted(edge, cut.piece_at, "right") - 1
-        back = shift[text] - edge[:-1][text]
-        ends = pa.array(cut.runs_to.astype(np.int32) if len(cut.runs_to) else np.zeros(1, np.int32))
-        back_of_runs = np.repeat(back, np.diff(cut.runs_to)) if len(cut.runs_to) else back
-        lists = [
-            pa.ListArray.from_arrays(ends, pa.array(x))
-            for x in (cut.run_v.view(np.int64), cut.run_pos + back_of_runs, cut.run_at + back_of_runs, cut.run_end + back_of_runs, cut.tied)
-        ]
-        doc = pa.array(of[text])
-        own = [part.column(i).take(doc) for i in range(3)]
-        return pa.RecordBatch.from_arrays(
-            [*own, pa.array(cut.piece_at + back), pa.array(cut.piece_end - cut.piece_at), pa.array(digests, pa.binary()), *lists], names=[c.split()[0] for c in _PIECES.split(", ")]
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _PIECES.split(", ")]
         for batch in batches:
-            for part in pieces_of(batch, 3, SECTION):
-                texts = part.column(3)
-                if part.num_rows == 1 and len(texts[0].as_buffer()) > SECTION:  # sections overlap by a string
-                    raw = np.frombuffer(texts[0].as_buffer(), np.uint8)
-                    for begin in range(0, len(raw) - length + 1, SECTION):
-                        section = raw[begin : begin + SECTION + length - 1]
-                        yield rows(part, section, np.array([0, len(section)]), np.zeros(1, np.int64), np.array([begin]))
-                    continue
-                _, ends, data = texts.buffers()
-                edge = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+            held: list[tuple] = []
+            count = 0
+
+            def add(raw: np.ndarray, edge: np.ndarray, of: np.ndarray, shift: np.ndarray) -> int:
+                cut = Cut(raw, edge, length, gram, every)
+                whole = memoryview(raw)
+                digests = [xxhash.xxh3_128_digest(whole[a : b + length - 1]) for a, b in zip(cut.piece_at.tolist(), cut.piece_end.tolist(), strict=True)]
+                text = np.searchsorted(edge, cut.piece_at, "right") - 1
+                back = shift[text] - edge[:-1][text]
+                sizes = np.diff(cut.runs_to)
+                back_of_runs = np.repeat(back, sizes)
+                lists = cut.run_v.view(np.int64), cut.run_pos + back_of_runs, cut.run_at + back_of_runs, cut.run_end + back_of_runs, cut.tied
+                held.append((of[text], cut.piece_at + back, cut.piece_end - cut.piece_at, digests, sizes, *lists))
+                return len(digests)
+
+            def packed() -> pa.RecordBatch:
+                of, begin, n, digests, sizes, *lists = zip(*held, strict=True)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+                own = [batch.column(i).take(pa.array(np.concatenate(of))) for i in range(4)]
+                rest = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in lists]
+                return pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(begin)), pa.array(np.concatenate(n)), pa.array([d for x in digests for d in x], pa.binary()), *rest], names=names)
+
+            done = 0
+            bases = batch.column(1).to_numpy()
+            for part in pieces_of(batch, 4, SECTION):
+                column, here = part.column(4), np.arange(done, done + part.num_rows)
+                done += part.num_rows
+                _, ends, data = column.buffers()
+                edge = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
                 raw = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data is not None else np.zeros(0, np.uint8)
-                yield rows(part, raw, edge - edge[0], np.arange(part.num_rows), np.zeros(part.num_rows, np.int64))
+                if len(raw) > LONG:  # sections of one text overlap by a string
+                    for begin in range(0, len(raw) - length + 1, LONG):
+                        section = raw[begin : begin + LONG + length - 1]
+                        count += add(section, np.array([0, len(section)]), here, bases[here] + begin)
+                else:
+                    count += add(raw, edge - edge[0], here, bases[here])
+                if count > 50_000:
+                    yield packed()
+                    held.clear()
+                    count = 0
+            if held:
+                yield packed()
 
-    return held.select("row_id", "no_id", "doc_id", "text").mapInArrow(run, _PIECES)
+    return texts.select("row_id", "base", "no_id", "doc_id", "text").mapInArrow(run, _PIECES)
 
 
-def _regions(held: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """The bytes around the starts that landmarks leave open: no_id, doc_id, row_id, begin, bytes."""
+def _regions(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """The bytes of the starts that landmarks leave open, as texts of their own: row_id, base, no_id, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, 3, SECTION):
-                out: list[list] = [[], [], []]
-                for i in range(part.num_rows):
-                    text = part.column(3)[i].as_buffer()
-                    flat = part.column(4)[i].values
-                    a, b = joined(flat.field(0).to_numpy(), flat.field(1).to_numpy(), length)
+            for part in pieces_of(batch, 4, SECTION * 16):
+                of, begins, out = [], [], []
+                for i, base in enumerate(part.column(1).to_pylist()):
+                    text = memoryview(part.column(4)[i].as_buffer())
+                    flat = part.column(5)[i].values
+                    a, b = joined(flat.field(0).to_numpy(), flat.field(1).to_numpy(), 1)
                     for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                        out[0].append(i)
-                        out[1].append(x)
-                        out[2].append(text[x : y + length - 1].to_pybytes())
-                own = [part.column(j).take(pa.array(out[0], pa.int64())) for j in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["no_id", "doc_id", "row_id", "begin", "bytes"])
+                        of.append(i)
+                        begins.append(x)
+                        out.append(text[x - base : y - base + length - 1])
+                own = [part.column(j).take(pa.array(of, pa.int64())) for j in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(begins, pa.int64()), *own[1:], pa.array(out, pa.binary())], names=["row_id", "base", "no_id", "doc_id", "text"])
 
-    rows = held.join(found, "row_id").select("no_id", "doc_id", "row_id", "text", "starts")
-    return rows.mapInArrow(run, "no_id boolean, doc_id long, row_id long, begin long, bytes binary")
+    rows = texts.join(found, ["row_id", "base"]).select("row_id", "base", "no_id", "doc_id", "text", "starts")
+    return rows.mapInArrow(run, "row_id long, base long, no_id boolean, doc_id long, text binary")
+
+
+def _sieve(texts: DataFrame, length: int, gram: int, every: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges (row_id, a, b) of starts in pieces that come earlier, too, and the regions where strings may still come twice."""
+    pieces = materialise(_pieces(texts, length, gram, every), "pieces")
+    order = F.struct("no_id", "doc_id", "row_id", "begin")
+    slim = pieces.select("digest", "no_id", "doc_id", "row_id", "begin", "n")
+    first = slim.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first")
+    later = slim.join(first, "digest").filter(F.col("first") != order)
+    copies = materialise(later.select("row_id", F.col("begin").alias("a"), (F.col("begin") + F.col("n")).alias("b")), "copies")
+    stays = pieces.join(copies.select("row_id", F.col("a").alias("begin")), ["row_id", "begin"], "left_anti")
+    marks = stays.select("row_id", "base", F.inline(F.arrays_zip("v", "pos", "lo", "hi", "tied")))
+    alike = Window.partitionBy("v")
+    twice = (F.min("row_id").over(alike) != F.max("row_id").over(alike)) | (F.min("pos").over(alike) != F.max("pos").over(alike))
+    open_ = marks.withColumn("twice", twice).filter("tied OR twice")
+    found = materialise(open_.groupBy("row_id", "base").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "open")
+    discard(pieces)
+    regions = materialise(_regions(texts, found, length), "regions")
+    discard(found)
+    return copies, regions
 
 
 def joined(a: np.ndarray, b: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +246,7 @@ def _bundled(regions: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"bundle": number, "rows": blobs[0], "begins": blobs[1], "sizes": blobs[2], "bytes": b"".join(texts)}])
 
         for batch in batches:
-            for row, begin, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                data = text.as_buffer().to_pybytes()
+            for row, begin, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4)), strict=True):
                 if held and size + len(data) > BUNDLE:
                     yield packed()
                     number, held, size = number + 1, [], 0
@@ -211,7 +255,7 @@ def _bundled(regions: DataFrame) -> DataFrame:
         if held:
             yield packed()
 
-    order = ["no_id", "doc_id", "row_id", "begin"]
+    order = ["no_id", "doc_id", "row_id", "base"]
     return regions.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "bundle long, rows binary, begins binary, sizes binary, bytes binary")
 
 
@@ -345,9 +389,8 @@ def _ranked(table: pa.Table) -> pa.Table:
 
 def _repeated(table: pa.Table) -> pa.Table:
     """The places of a part whose string stands earlier, too: neighbours in the order of all suffixes are compared."""
-    bundles, sizes, x, keys, more = _received(table, 5)
-    order = merged(more & 3, keys[:4])
-    order = order[more[order] >= 4]  # places where a whole string starts
+    bundles, sizes, x, keys, digit = _received(table, 5)
+    order = merged(digit, keys[:4])
     place = np.repeat(bundles.astype(_U) << _U(32), sizes) | x.astype(_U)
     same = _same_as_before(*[keys[j][order] for j in (0, 1, 4)])
     group = np.cumsum(~same) - 1
@@ -422,16 +465,15 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
             digit = b.digit(level).astype(np.uint8)
             next_, second = b.after(rank, step), b.after(rank, 2 * step)
             keys = [letters, b.after(letters, step), np.where(digit == 2, second, next_), np.where(digit == 0, second, rank)]
-            more = digit
             if level == 0:
                 hashes = np.zeros(b.n, _U)
                 whole = _window_hashes(raw, length)
                 hashes[: len(whole)] = whole
                 keys.append(hashes)
-                more = digit | np.where(b.left >= length, 4, 0).astype(np.uint8)
+                there = b.left >= length  # places where a whole string starts; the others are ranked by now
             x = np.flatnonzero(there)
             keys = [k[x] for k in keys]
-            return pa.Table.from_pylist(_sent(number, part_of(level, keys[0], keys[1]), x, keys, more[x]), schema=sent)
+            return pa.Table.from_pylist(_sent(number, part_of(level, keys[0], keys[1]), x, keys, digit[x]), schema=sent)
 
         return run
 
@@ -487,27 +529,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts are UTF-8 bytes, null counting as empty. A byte goes if a string of ``length`` bytes that covers it starts earlier, too: in a
     row with a smaller doc_id (null ones last, rows with equal ids in the order they are read) or earlier in the same
     text. Strings are judged on the input. ``spans`` are the maximal runs that go, as begin and end. Texts shorter than
-    ``length`` stay whole, an empty table gives an empty result, other columns are ignored. Of a very long text 4 MiB are looked at
+    ``length`` stay whole, an empty table gives an empty result, other columns are ignored. Of a very long text 256 KiB are looked at
     together; its bytes and the regions that it shares are held whole. Strings are compared by the order of the suffixes, 16 bytes
     and a 64-bit hash.
     """
     spark = ship(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    held = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), text), "texts")
-    pieces = materialise(_pieces(held, length), "pieces")
-    order = F.struct("no_id", "doc_id", "row_id", "begin")
-    first = pieces.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first")
-    judged = materialise(pieces.join(first, "digest", "left").withColumn("stays", F.coalesce(F.col("first") == order, F.lit(True))).drop("first", "digest"), "judged")
-    discard(pieces)
-    copies = judged.filter("NOT stays").select("row_id", F.col("begin").alias("a"), (F.col("begin") + F.col("n")).alias("b"))
-    marks = judged.filter("stays").select("row_id", F.inline(F.arrays_zip("v", "pos", "lo", "hi", "tied")))
-    alike = Window.partitionBy("v")
-    twice = (F.min("row_id").over(alike) != F.max("row_id").over(alike)) | (F.min("pos").over(alike) != F.max("pos").over(alike))
-    open_ = marks.withColumn("twice", twice).filter("tied OR twice")
-    found = open_.groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-    bundles = materialise(_bundled(_regions(held, materialise(found, "open"), length)), "bundles")
+    ids = F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id")
+    held = materialise(docs.select(*ids, text), "texts")
+    texts, copies = held.withColumn("base", F.lit(0).cast("long")), []
+    for share, every in ROUNDS:
+        done, regions = _sieve(texts, length, max(1, int(length * share)), every)
+        copies.append(done)
+        if len(copies) > 1:
+            discard(texts)
+        texts = regions
+    bundles = materialise(_bundled(texts), "bundles")
+    discard(texts)
     n = bundles.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-    gone = copies
+    gone = copies[0]
+    for more in copies[1:]:
+        gone = gone.unionByName(more)
     if n:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         parts = max(-(-n // BUNDLE), min(2 * tasks, -(-n // 65_536)))
@@ -516,7 +558,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, 1, SECTION):
+            for part in pieces_of(batch, 1, SECTION * 16):
                 rows = []
                 for i in range(part.num_rows):
                     data = memoryview(part.column(1)[i].as_buffer())
