@@ -11,7 +11,7 @@ Back up, the remaining third of the positions of each level is sorted by (letter
 sample. Ranks on top stand for suffixes: neighbours with equal prefixes of ``length`` bytes are repeats.
 
 Spark moves packed arrays: a row holds what a bundle sends to a part of the key range, or gets from it. Parts are cut by
-16-byte prefixes; names carry the number of their part, so that deeper levels have parts of the same sizes.
+16-byte prefixes; a name counts on from the names of the parts before, so that deeper levels have parts of the same sizes.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.llm.common import discard, materialise
 from tidewater.llm.wordhash import _BACK, _BASE, _powers, mix, pieces_of
@@ -44,8 +44,6 @@ SECTION, LONG = 1 << 16, 1 << 18
 BUNDLE = 1 << 20
 #: Prefixes that are sampled to cut the key range; they only set how even the parts are.
 SAMPLED = 1_000_000
-#: Names and ranks: the part of the key range above, the place in it below.
-PART_BITS = 40
 
 _U = np.uint64
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9FB21C651E98DF25))
@@ -124,7 +122,22 @@ class Cut:
         self.runs_to = np.searchsorted(self.run_at, np.append(first, len(raw)))
 
 
-_PIECES = "row_id long, base long, no_id boolean, doc_id long, begin long, n long, digest binary, v array<long>, pos array<long>, lo array<long>, hi array<long>, tied array<boolean>"
+#: Landmarks of a piece are packed: the hash, its place and its first start counted from the piece's begin; TIED beside the place.
+_PIECES = "row_id long, base long, no_id boolean, doc_id long, begin long, n long, digest binary, v binary, pos binary, lo binary"
+TIED = 1 << 15
+
+
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Values as the bytes of one binary for each range between ends."""
+    at = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of all binaries of a column, one after another."""
+    _, ends, data = column.buffers()
+    edge = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[edge[0] : edge[-1]].view(kind) if data is not None else np.zeros(0, kind)
 
 
 def _pieces(texts: DataFrame, length: int, gram: int, every: int) -> DataFrame:
@@ -143,16 +156,16 @@ def _pieces(texts: DataFrame, length: int, gram: int, every: int) -> DataFrame:
                 text = np.searchsorted(edge, cut.piece_at, "right") - 1
                 back = shift[text] - edge[:-1][text]
                 sizes = np.diff(cut.runs_to)
-                back_of_runs = np.repeat(back, sizes)
-                lists = cut.run_v.view(np.int64), cut.run_pos + back_of_runs, cut.run_at + back_of_runs, cut.run_end + back_of_runs, cut.tied
+                begin = np.repeat(cut.piece_at, sizes)
+                lists = cut.run_v, (cut.run_pos - begin + cut.tied * TIED).astype(np.uint16), (cut.run_at - begin).astype(np.uint16)
                 held.append((of[text], cut.piece_at + back, cut.piece_end - cut.piece_at, digests, sizes, *lists))
                 return len(digests)
 
             def packed() -> pa.RecordBatch:
                 of, begin, n, digests, sizes, *lists = zip(*held, strict=True)
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
                 own = [batch.column(i).take(pa.array(np.concatenate(of))) for i in range(4)]
-                rest = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in lists]
+                rest = [_binaries(np.concatenate(x), ends) for x in lists]
                 return pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(begin)), pa.array(np.concatenate(n)), pa.array([d for x in digests for d in x], pa.binary()), *rest], names=names)
 
             done = 0
@@ -201,6 +214,40 @@ def _regions(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "row_id long, base long, no_id boolean, doc_id long, text binary")
 
 
+def _twice(stays: DataFrame, parts: int) -> DataFrame:
+    """(row_id, base, lo, hi): starts whose landmark comes at two places; landmarks meet by their hash, packed."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, pos, lo = _values(batch.column(4), _U), _values(batch.column(5), np.uint16).astype(np.int64), _values(batch.column(6), np.uint16).astype(np.int64)
+            sizes = np.array(pc.binary_length(batch.column(4)), np.int64) // 8
+            row, base, begin, n = (np.repeat(batch.column(i).to_numpy(), sizes) for i in range(4))
+            last = np.append(row[1:] != row[:-1], True) | np.append(begin[1:] != begin[:-1], True) if len(row) else np.zeros(0, bool)
+            hi = np.where(last, n, np.append(lo[1:], 0)[: len(lo)])
+            part = (mix(v) % _U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            first = np.searchsorted(part[order], np.arange(parts + 1))
+            told = [v, row, base.astype(np.int64), begin + (pos & (TIED - 1)), begin + lo, (hi - lo).astype(np.uint16), pos >= TIED]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), *(_binaries(x[order], first) for x in told)], names=["part", *"abcdefg"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        v, row, base, pos, lo, size, tied = (_values(table.column(c).chunk(0), k) for c, k in zip("abcdefg", (_U, np.int64, np.int64, np.int64, np.int64, np.uint16, bool), strict=True))
+        order = np.argsort(v, kind="stable")
+        same = _same_as_before(v[order])
+        group = np.cumsum(~same) - 1
+        at = np.flatnonzero(~same)
+        apart = np.zeros(len(at), bool)
+        for x in (row[order], pos[order]):
+            apart |= np.minimum.reduceat(x, at) != np.maximum.reduceat(x, at) if len(at) else apart
+        open_ = tied.copy()
+        open_[order] |= apart[group]
+        return pa.table({"row_id": row[open_], "base": base[open_], "lo": lo[open_], "hi": lo[open_] + size[open_]})
+
+    sent = stays.select("row_id", "base", "begin", "n", "v", "pos", "lo").mapInArrow(send, "part long, a binary, b binary, c binary, d binary, e binary, f binary, g binary")
+    return sent.filter("length(a) > 0").groupBy("part").applyInArrow(meet, "row_id long, base long, lo long, hi long")
+
+
 def _sieve(texts: DataFrame, length: int, gram: int, every: int) -> tuple[DataFrame, DataFrame]:
     """Ranges (row_id, a, b) of starts in pieces that come earlier, too, and the regions where strings may still come twice."""
     pieces = materialise(_pieces(texts, length, gram, every), "pieces")
@@ -210,11 +257,9 @@ def _sieve(texts: DataFrame, length: int, gram: int, every: int) -> tuple[DataFr
     later = slim.join(first, "digest").filter(F.col("first") != order)
     copies = materialise(later.select("row_id", F.col("begin").alias("a"), (F.col("begin") + F.col("n")).alias("b")), "copies")
     stays = pieces.join(copies.select("row_id", F.col("a").alias("begin")), ["row_id", "begin"], "left_anti")
-    marks = stays.select("row_id", "base", F.inline(F.arrays_zip("v", "pos", "lo", "hi", "tied")))
-    alike = Window.partitionBy("v")
-    twice = (F.min("row_id").over(alike) != F.max("row_id").over(alike)) | (F.min("pos").over(alike) != F.max("pos").over(alike))
-    open_ = marks.withColumn("twice", twice).filter("tied OR twice")
-    found = materialise(open_.groupBy("row_id", "base").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "open")
+    marks = pieces.agg(F.coalesce(F.sum(F.octet_length("v")), F.lit(0))).first()[0] // 8
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) if marks > 1 << 16 else 1, marks // BUNDLE)
+    found = materialise(_twice(stays, parts).groupBy("row_id", "base").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "open")
     discard(pieces)
     regions = materialise(_regions(texts, found, length), "regions")
     discard(found)
@@ -274,7 +319,7 @@ class Bundle:
 
     def after(self, values: np.ndarray, step: int) -> np.ndarray:
         """The value ``step`` places on, 0 beyond the region."""
-        out = np.zeros(self.n, _U)
+        out = np.zeros(self.n, values.dtype)
         out[: max(self.n - step, 0)] = values[step:]
         out[self.left <= step] = 0
         return out
@@ -288,43 +333,69 @@ class Bundle:
             have *= 2
         return out
 
-    def placed(self, table: pa.Table, kind: int) -> np.ndarray:
-        """What the parts of the key range have said of this bundle's places."""
-        out = np.zeros(self.n, _U)
-        for k, x, value in zip(table.column("kind").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+    def placed(self, table: pa.Table, kind: int, before: list[int]) -> np.ndarray:
+        """What the parts of the key range have said of this bundle's places; ``before``: how many names there are ahead of each part."""
+        out = np.zeros(self.n, _name_type(before))
+        for k, part, x, value in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "a", "b")), strict=True):
             if k == kind:
-                out[np.frombuffer(x, np.uint32)] = np.frombuffer(value, _U)
+                value = np.frombuffer(value, np.uint32)
+                out[_undone(x, len(value))] = value + out.dtype.type(before[part])
         return out
 
 
+def _name_type(before: list[int]) -> type:
+    return np.uint32 if before[-1] < 1 << 32 else np.uint64
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending places as differences, in 2 bytes each where they fit."""
+    step = np.diff(x, prepend=0)
+    return step.astype(np.uint16 if len(x) and step.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _undone(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32), dtype=np.int64)
+
+
 _SENT = "part long, bundle long, x binary, keys binary, more binary"
-_SAID = "bundle long, a binary, b binary, ties long"
+_SAID = "part long, bundle long, a binary, b binary, names long, ties long"
 
 
 def _sent(bundle: int, part: np.ndarray, x: np.ndarray, keys: list[np.ndarray], more: np.ndarray) -> list[dict]:
     """A row for each part of the key range that places of a bundle go to."""
     order = np.argsort(part, kind="stable")
-    part, x, more = part[order], x[order].astype(np.uint32), more[order]
+    part, x, more = part[order], x[order], more[order]
     keys = [k[order] for k in keys]
     at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
     out = []
     for a, b in zip(at, np.append(at[1:], len(part)), strict=True):
-        out.append({"part": int(part[a]), "bundle": bundle, "x": x[a:b].tobytes(), "keys": np.concatenate([k[a:b] for k in keys]).tobytes(), "more": more[a:b].tobytes()})
+        out.append({"part": int(part[a]), "bundle": bundle, "x": _steps(x[a:b]), "keys": b"".join(k[a:b].tobytes() for k in keys), "more": more[a:b].tobytes()})
     return out
 
 
-def _received(table: pa.Table, n_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """The places of all bundles that came to a part: bundles, how many of each, places, keys, and the bytes beside."""
-    xs = [np.frombuffer(x, np.uint32) for x in table.column("x").to_pylist()]
-    sizes = np.array([len(x) for x in xs])
-    keys = [np.frombuffer(k, _U).reshape(n_keys, -1) for k in table.column("keys").to_pylist()]
-    return table.column("bundle").to_numpy(), sizes, np.concatenate(xs), [np.concatenate([k[j] for k in keys]) for j in range(n_keys)], np.concatenate([np.frombuffer(m, np.uint8) for m in table.column("more").to_pylist()])
+def _received(table: pa.Table, kinds: list[type]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The places of all bundles that came to a part: bundles, how many of each, places, keys, and the byte beside."""
+    more = [np.frombuffer(m, np.uint8) for m in table.column("more").to_pylist()]
+    sizes = np.array([len(m) for m in more])
+    xs = [_undone(x, n) for x, n in zip(table.column("x").to_pylist(), sizes, strict=True)]
+    keys: list[list] = [[] for _ in kinds]
+    for data, n in zip(table.column("keys").to_pylist(), sizes, strict=True):
+        at = 0
+        for j, kind in enumerate(kinds):
+            keys[j].append(np.frombuffer(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return table.column("bundle").to_numpy(), sizes, np.concatenate(xs), [np.concatenate(k) for k in keys], np.concatenate(more)
 
 
-def _answers(bundles: np.ndarray, sizes: np.ndarray, x: np.ndarray, value: np.ndarray, ties: int) -> pa.Table:
+def _answers(table: pa.Table, bundles: np.ndarray, sizes: np.ndarray, x: np.ndarray, value: np.ndarray, names: int, ties: int) -> pa.Table:
     at = np.cumsum(sizes) - sizes
-    rows = [{"bundle": int(b), "a": x[a : a + n].tobytes(), "b": value[a : a + n].tobytes(), "ties": ties if i == 0 else 0} for i, (b, a, n) in enumerate(zip(bundles, at, sizes, strict=True))]
-    return pa.Table.from_pylist(rows, schema=pa.schema([("bundle", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("ties", pa.int64())]))
+    part = table.column("part")[0].as_py()
+    rows = [
+        {"part": part, "bundle": int(b), "a": _steps(x[a : a + n]), "b": value[a : a + n].tobytes(), "names": 0 if i else names, "ties": 0 if i else ties}
+        for i, (b, a, n) in enumerate(zip(bundles, at, sizes, strict=True))
+    ]
+    kinds = {"part": pa.int64(), "bundle": pa.int64(), "a": pa.binary(), "b": pa.binary(), "names": pa.int64(), "ties": pa.int64()}
+    return pa.Table.from_pylist(rows, schema=pa.schema(list(kinds.items())))
 
 
 def _same_as_before(*columns: np.ndarray) -> np.ndarray:
@@ -333,15 +404,17 @@ def _same_as_before(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _named(table: pa.Table) -> pa.Table:
-    """Names of the triples of a part, in their order; equal ones have one name."""
-    bundles, sizes, x, keys, _ = _received(table, 3)
-    order = np.lexsort(keys[::-1])
-    same = _same_as_before(*[k[order] for k in keys])
-    name = np.empty(len(x), _U)
-    name[order] = np.cumsum(~same).astype(_U)
-    part = table.column("part")[0].as_py()
-    return _answers(bundles, sizes, x, name | _U(part << PART_BITS), int(same.sum()))
+def _named(kinds: list[type]):
+    def run(table: pa.Table) -> pa.Table:
+        """Names of the triples of a part, in their order; equal ones have one name."""
+        bundles, sizes, x, keys, _ = _received(table, kinds)
+        order = np.lexsort(keys[::-1])
+        same = _same_as_before(*[k[order] for k in keys])
+        name = np.empty(len(x), np.uint32)
+        name[order] = np.cumsum(~same)
+        return _answers(table, bundles, sizes, x, name, int((~same).sum()), int(same.sum()))
+
+    return run
 
 
 def _less(of: list[np.ndarray], than: list[np.ndarray]) -> np.ndarray:
@@ -380,27 +453,33 @@ def merged(digit: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _ranked(table: pa.Table) -> pa.Table:
-    bundles, sizes, x, keys, digit = _received(table, 4)
-    rank = np.empty(len(x), _U)
-    rank[merged(digit, keys)] = np.arange(1, len(x) + 1, dtype=_U)
-    return _answers(bundles, sizes, x, rank | _U(table.column("part")[0].as_py() << PART_BITS), 0)
+def _ranked(kinds: list[type]):
+    def run(table: pa.Table) -> pa.Table:
+        """Ranks of the places of a level that came to a part."""
+        bundles, sizes, x, keys, digit = _received(table, kinds)
+        rank = np.empty(len(x), np.uint32)
+        rank[merged(digit, keys)] = np.arange(1, len(x) + 1)
+        return _answers(table, bundles, sizes, x, rank, len(x), 0)
+
+    return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """The places of a part whose string stands earlier, too: neighbours in the order of all suffixes are compared."""
-    bundles, sizes, x, keys, digit = _received(table, 5)
-    order = merged(digit, keys[:4])
-    place = np.repeat(bundles.astype(_U) << _U(32), sizes) | x.astype(_U)
-    same = _same_as_before(*[keys[j][order] for j in (0, 1, 4)])
-    group = np.cumsum(~same) - 1
-    first = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.uint64).max, _U)
-    np.minimum.at(first, group, place[order])
-    gone = np.zeros(len(x), bool)
-    gone[order] = place[order] != first[group]
-    kept = np.add.reduceat(gone, np.cumsum(sizes) - sizes) if len(sizes) else sizes
-    has = kept > 0
-    return _answers(bundles[has], kept[has], x[gone], np.zeros(int(gone.sum()), _U), 0)
+def _repeated(kinds: list[type]):
+    def run(table: pa.Table) -> pa.Table:
+        """The places of a part whose string stands earlier, too: neighbours in the order of all suffixes are compared."""
+        bundles, sizes, x, keys, digit = _received(table, kinds)
+        order = merged(digit, keys[:4])
+        place = np.repeat(bundles.astype(_U) << _U(32), sizes) | x.astype(_U)
+        same = _same_as_before(*[keys[j][order] for j in (0, 1, 4)])
+        group = np.cumsum(~same) - 1
+        first = np.minimum.reduceat(place[order], np.flatnonzero(~same))
+        gone = np.empty(len(x), bool)
+        gone[order] = place[order] != first[group]
+        kept = np.add.reduceat(gone, np.cumsum(sizes) - sizes, dtype=np.int64)
+        has = kept > 0
+        return _answers(table, bundles[has], kept[has], x[gone], np.zeros(int(gone.sum()), np.uint32), 0, 0)
+
+    return run
 
 
 def _prefixes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -408,12 +487,10 @@ def _prefixes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.stack([first, second], 1).astype(">u8").reshape(-1).view("S16")
 
 
-def _bytes_of(bundles: DataFrame):
-    return bundles.select("bundle", F.lit(0).alias("kind"), F.col("sizes").alias("a"), F.col("bytes").alias("b"))
-
-
-def _sizes_of(bundles: DataFrame):
-    return bundles.select("bundle", F.lit(0).alias("kind"), F.col("sizes").alias("a"), F.lit(None).cast("binary").alias("b"))
+def _own(bundles: DataFrame, whole: bool) -> DataFrame:
+    """The bundles themselves, with their bytes or only the sizes of their regions."""
+    data = F.col("bytes") if whole else F.lit(None).cast("binary")
+    return bundles.select("bundle", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), F.col("sizes").alias("a"), data.alias("b"))
 
 
 def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
@@ -434,14 +511,16 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
     splits = prefixes[np.arange(1, parts) * len(prefixes) // parts] if len(prefixes) else prefixes
 
     def part_of(level: int, letter: np.ndarray, after: np.ndarray) -> np.ndarray:
-        return np.searchsorted(splits, _prefixes(letter, after), "right") if level == 0 else (letter >> _U(PART_BITS)).astype(np.int64)
+        if level == 0:
+            return np.searchsorted(splits, _prefixes(letter, after), "right")
+        return np.searchsorted(np.array(ahead[level][1:-1], np.int64), letter.astype(np.int64), "left")
 
     def level_of(table: pa.Table, level: int) -> tuple[int, Bundle, np.ndarray, np.ndarray, np.ndarray]:
         """The bundle with its letters at a level, where the level has places, and its bytes."""
         own = table.column("kind").to_pylist().index(0)
         b = Bundle(table.column("a")[own].as_py())
         raw = np.frombuffer(table.column("b")[own].as_py() or b"", np.uint8)
-        letters = b.placed(table, 1) if level else b.letters(raw)
+        letters = b.placed(table, 1, ahead[level]) if level else b.letters(raw)
         there = letters > 0 if level else np.ones(b.n, bool)
         return table.column("bundle")[0].as_py(), b, letters, there, raw
 
@@ -457,10 +536,10 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
 
         return run
 
-    def for_merge(level: int):
+    def for_merge(level: int, before: list[int]):
         def run(table: pa.Table) -> pa.Table:
             number, b, letters, there, raw = level_of(table, level)
-            rank = b.placed(table, 2)
+            rank = b.placed(table, 2, before)
             step = LETTER * 3**level
             digit = b.digit(level).astype(np.uint8)
             next_, second = b.after(rank, step), b.after(rank, 2 * step)
@@ -478,24 +557,41 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
         return run
 
     def said(table: DataFrame, kind: int) -> DataFrame:
-        return table.select("bundle", F.lit(kind).alias("kind"), "a", "b")
+        return table.select("bundle", F.lit(kind).alias("kind"), "part", "a", "b")
+
+    def counted(table: DataFrame) -> tuple[list[int], int]:
+        """How many names there are ahead of each part, one number a part, and how many equal triples there were."""
+        told = {r["part"]: r for r in table.groupBy("part").agg(F.sum("names").alias("names"), F.sum("ties").alias("ties")).collect()}
+        before = [0]
+        for p in range(parts):
+            before.append(before[-1] + (told[p]["names"] if p in told else 0))
+        return before, sum(r["ties"] for r in told.values())
 
     names: list[DataFrame] = []
+    ahead: list[list[int]] = [[]]
+    kind: type = _U
     level = 0
     while LETTER * 3**level < length:
-        source = said(names[-1], 1).unionByName(_sizes_of(bundles)) if level else _bytes_of(bundles)
-        named = source.groupBy("bundle").applyInArrow(triples(level), _SENT).groupBy("part").applyInArrow(_named, _SAID)
+        source = _own(bundles, level == 0)
+        source = source.unionByName(said(names[-1], 1)) if level else source
+        named = source.groupBy("bundle").applyInArrow(triples(level), _SENT).groupBy("part").applyInArrow(_named([kind] * 3), _SAID)
         names.append(materialise(named, "names"))
         level += 1
-        if not names[-1].agg(F.sum("ties")).first()[0]:  # all names differ: they are ranks
+        before, ties = counted(names[-1])
+        ahead.append(before)
+        kind = _name_type(before)
+        if not ties:  # all names differ: they are ranks
             break
     rank = names[-1]
     for at in range(level - 1, -1, -1):
-        source = (said(names[at - 1], 1).unionByName(_sizes_of(bundles)) if at else _bytes_of(bundles)).unionByName(said(rank, 2))
-        moved = source.groupBy("bundle").applyInArrow(for_merge(at), _SENT).groupBy("part")
-        before, rank = rank, materialise(moved.applyInArrow(_ranked if at else _repeated, _SAID), "ranks")
-        discard(before)
-    discard(*names[:-1])
+        source = _own(bundles, at == 0).unionByName(said(rank, 2))
+        source = source.unionByName(said(names[at - 1], 1)) if at else source
+        letter, ranks = _name_type(ahead[at]) if at else _U, _name_type(before)
+        moved = source.groupBy("bundle").applyInArrow(for_merge(at, before), _SENT).groupBy("part")
+        done = moved.applyInArrow(_ranked([letter, letter, ranks, ranks]) if at else _repeated([letter, letter, ranks, ranks, _U]), _SAID)
+        spent, rank = [rank, *names[at - 1 : at]] if at else [rank], materialise(done, "ranks")
+        discard(*spent)
+        before, _ = counted(rank) if at else (before, 0)
     return rank
 
 
@@ -507,7 +603,7 @@ def _starts_of(bundles: DataFrame, repeats: DataFrame) -> DataFrame:
         own = kinds.index(0)
         sizes = np.frombuffer(table.column("c")[own].as_py(), np.int64)
         rows, begins = (np.frombuffer(table.column(c)[own].as_py(), np.int64) for c in ("a", "b"))
-        marks = [np.frombuffer(x, np.uint32).astype(np.int64) for k, x in zip(kinds, table.column("a").to_pylist(), strict=True) if k]
+        marks = [_undone(x, len(y) // 4) for k, x, y in zip(kinds, table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True) if k]
         x = np.sort(np.concatenate([np.zeros(0, np.int64), *marks]))
         ends = np.cumsum(sizes)
         region = np.searchsorted(ends, x, "right")
