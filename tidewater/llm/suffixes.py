@@ -4,14 +4,14 @@ Texts are cut into pieces at places that their content sets. Of equal pieces onl
 the others start earlier. What is left is sieved: a string of ``length`` bytes has a landmark, the k-gram of the least
 hash in it, and where no landmark comes twice no string does. The regions that remain, packed in bundles, are sorted.
 
-The letters of the sort are 8 bytes; the letter after that of byte x is at x + 8. At level k a letter stands for 8 * 3**k
-bytes, and positions whose k-th digit (of x // 8, base 3) is 1 or 2 are the sample: their triples of letters are sorted and
+The letters of the sort are w bytes, 4 or (beyond 4 GiB) 8; the letter after that of byte x is at x + w. At level k a letter stands
+for w * 3**k bytes, and positions whose k-th digit (of x // w, base 3) is 1 or 2 are the sample: their triples of letters are sorted and
 named, and the names are the letters of level k + 1. Once names cover ``length`` bytes, or no two are equal, the names are ranks.
 Back up, the remaining third of the positions of each level is sorted by (letter, rank of the next) and merged with the
 sample. Ranks on top stand for suffixes: neighbours with equal prefixes of ``length`` bytes are repeats.
 
 Spark moves packed arrays: a row holds what a bundle sends to a part of the key range, or gets from it. Parts are cut by
-16-byte prefixes; a name counts on from the names of the parts before, so that deeper levels have parts of the same sizes.
+the first two letters; a name counts on from the names of the parts before, so that deeper levels have parts of the same sizes.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ from tidewater.llm.wordhash import _BACK, _BASE, _powers, mix, pieces_of
 from tidewater.session import ship
 
 LENGTH = 100
-#: Bytes of a letter.
-LETTER = 8
 #: Rounds of the sieve: the share of a string that a landmark takes, and of how many landmarks one ends a piece.
 ROUNDS = [(0.48, 8), (0.8, 1)]
 #: Starts of a piece at most.
@@ -307,7 +305,8 @@ def _bundled(regions: DataFrame) -> DataFrame:
 class Bundle:
     """The places of a bundle: bytes of its regions one after another, nothing beyond the end of a region."""
 
-    def __init__(self, sizes: bytes) -> None:
+    def __init__(self, sizes: bytes, width: int) -> None:
+        self.width = width
         self.sizes = np.frombuffer(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
         self.n = int(self.ends[-1])
@@ -315,7 +314,7 @@ class Bundle:
         self.left = np.repeat(self.sizes, self.sizes) - self.within
 
     def digit(self, level: int) -> np.ndarray:
-        return self.within // (LETTER * 3**level) % 3
+        return self.within // (self.width * 3**level) % 3
 
     def after(self, values: np.ndarray, step: int) -> np.ndarray:
         """The value ``step`` places on, 0 beyond the region."""
@@ -326,10 +325,10 @@ class Bundle:
 
     def letters(self, raw: np.ndarray) -> np.ndarray:
         """The bytes from each place on as big-endian numbers, filled up with 0."""
-        out = raw.astype(_U)
+        out = raw.astype(np.uint32 if self.width == 4 else _U)
         have = 1
-        while have < LETTER:
-            out = (out << _U(8 * have)) | self.after(out, have)
+        while have < self.width:
+            out = (out << out.dtype.type(8 * have)) | self.after(out, have)
             have *= 2
         return out
 
@@ -483,8 +482,9 @@ def _repeated(kinds: list[type]):
 
 
 def _prefixes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """16 bytes as one value that numpy can search."""
-    return np.stack([first, second], 1).astype(">u8").reshape(-1).view("S16")
+    """Two letters as one value that numpy can search."""
+    size = first.dtype.itemsize
+    return np.stack([first, second], 1).astype(f">u{size}").reshape(-1).view(f"S{2 * size}")
 
 
 def _own(bundles: DataFrame, whole: bool) -> DataFrame:
@@ -498,16 +498,17 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
     spark = bundles.sparkSession
     count = bundles.count()
     each = max(1, min(SAMPLED, 200 * parts) // max(count, 1))
+    width = 4 if n < 1 << 32 else 8
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, sizes, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                b = Bundle(sizes)
+                b = Bundle(sizes, width)
                 letters = b.letters(np.frombuffer(data, np.uint8))
                 at = np.sort(mix(np.arange(number * 7919 + 1, number * 7919 + 1 + each, dtype=_U)) % _U(b.n)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in np.stack([letters[at], b.after(letters, LETTER)[at]], 1).astype(">u8")], pa.binary())], names=["prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(_prefixes(letters[at], b.after(letters, width)[at])), pa.binary())], names=["prefix"])
 
-    prefixes = np.sort(np.array([r["prefix"] for r in bundles.select("bundle", "sizes", "bytes").mapInArrow(sample, "prefix binary").collect()], "S16"))
+    prefixes = np.sort(np.array([r["prefix"] for r in bundles.select("bundle", "sizes", "bytes").mapInArrow(sample, "prefix binary").collect()], f"S{2 * width}"))
     splits = prefixes[np.arange(1, parts) * len(prefixes) // parts] if len(prefixes) else prefixes
 
     def part_of(level: int, letter: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -518,7 +519,7 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
     def level_of(table: pa.Table, level: int) -> tuple[int, Bundle, np.ndarray, np.ndarray, np.ndarray]:
         """The bundle with its letters at a level, where the level has places, and its bytes."""
         own = table.column("kind").to_pylist().index(0)
-        b = Bundle(table.column("a")[own].as_py())
+        b = Bundle(table.column("a")[own].as_py(), width)
         raw = np.frombuffer(table.column("b")[own].as_py() or b"", np.uint8)
         letters = b.placed(table, 1, ahead[level]) if level else b.letters(raw)
         there = letters > 0 if level else np.ones(b.n, bool)
@@ -530,7 +531,7 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
         def run(table: pa.Table) -> pa.Table:
             number, b, letters, there, _ = level_of(table, level)
             x = np.flatnonzero(there & (b.digit(level) > 0))
-            step = LETTER * 3**level
+            step = width * 3**level
             keys = [letters[x], b.after(letters, step)[x], b.after(letters, 2 * step)[x]]
             return pa.Table.from_pylist(_sent(number, part_of(level, keys[0], keys[1]), x, keys, np.zeros(len(x), np.uint8)), schema=sent)
 
@@ -540,7 +541,7 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
         def run(table: pa.Table) -> pa.Table:
             number, b, letters, there, raw = level_of(table, level)
             rank = b.placed(table, 2, before)
-            step = LETTER * 3**level
+            step = width * 3**level
             digit = b.digit(level).astype(np.uint8)
             next_, second = b.after(rank, step), b.after(rank, 2 * step)
             keys = [letters, b.after(letters, step), np.where(digit == 2, second, next_), np.where(digit == 0, second, rank)]
@@ -556,6 +557,16 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
 
         return run
 
+    def alone(run):
+        """The same for bundles that need nothing from elsewhere: they stay where they are."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from run(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
+        return each
+
     def said(table: DataFrame, kind: int) -> DataFrame:
         return table.select("bundle", F.lit(kind).alias("kind"), "part", "a", "b")
 
@@ -569,12 +580,14 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
 
     names: list[DataFrame] = []
     ahead: list[list[int]] = [[]]
-    kind: type = _U
+    letter = kind = np.uint32 if width == 4 else _U
     level = 0
-    while LETTER * 3**level < length:
-        source = _own(bundles, level == 0)
-        source = source.unionByName(said(names[-1], 1)) if level else source
-        named = source.groupBy("bundle").applyInArrow(triples(level), _SENT).groupBy("part").applyInArrow(_named([kind] * 3), _SAID)
+    while width * 3**level < length:
+        if level:
+            moved = _own(bundles, False).unionByName(said(names[-1], 1)).groupBy("bundle").applyInArrow(triples(level), _SENT)
+        else:
+            moved = _own(bundles, True).mapInArrow(alone(triples(0)), _SENT)
+        named = moved.groupBy("part").applyInArrow(_named([kind] * 3), _SAID)
         names.append(materialise(named, "names"))
         level += 1
         before, ties = counted(names[-1])
@@ -586,9 +599,9 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
     for at in range(level - 1, -1, -1):
         source = _own(bundles, at == 0).unionByName(said(rank, 2))
         source = source.unionByName(said(names[at - 1], 1)) if at else source
-        letter, ranks = _name_type(ahead[at]) if at else _U, _name_type(before)
+        letters, ranks = _name_type(ahead[at]) if at else letter, _name_type(before)
         moved = source.groupBy("bundle").applyInArrow(for_merge(at, before), _SENT).groupBy("part")
-        done = moved.applyInArrow(_ranked([letter, letter, ranks, ranks]) if at else _repeated([letter, letter, ranks, ranks, _U]), _SAID)
+        done = moved.applyInArrow(_ranked([letters, letters, ranks, ranks]) if at else _repeated([letters, letters, ranks, ranks, _U]), _SAID)
         spent, rank = [rank, *names[at - 1 : at]] if at else [rank], materialise(done, "ranks")
         discard(*spent)
         before, _ = counted(rank) if at else (before, 0)
@@ -626,8 +639,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     row with a smaller doc_id (null ones last, rows with equal ids in the order they are read) or earlier in the same
     text. Strings are judged on the input. ``spans`` are the maximal runs that go, as begin and end. Texts shorter than
     ``length`` stay whole, an empty table gives an empty result, other columns are ignored. Of a very long text 256 KiB are looked at
-    together; its bytes and the regions that it shares are held whole. Strings are compared by the order of the suffixes, 16 bytes
-    and a 64-bit hash.
+    together; its bytes and the regions that it shares are held whole. Strings are compared by the order of the suffixes, their
+    first two letters and a 64-bit hash.
     """
     spark = ship(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
