@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import _handle, discard, materialise, new_path
+from tidewater.llm.common import _handle, materialise, new_path
 from tidewater.session import ship
 
 KEY = "blank boolean, client_id long, n long"
@@ -195,19 +195,28 @@ class Applier(StatefulProcessor):
         )
 
 
+#: The state store that maps need. A start is a query of its own: a store is closed, and its local files go, once its batch is done.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
 @contextmanager
 def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store that maps need; the session's own comes back afterwards."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    was = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Within it streams keep their state as ``STORE`` says; the session's own settings come back afterwards."""
+    was = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if was is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, was)
+        for name, value in was.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def _numbered(pairs: DataFrame) -> DataFrame:

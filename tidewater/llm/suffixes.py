@@ -38,8 +38,8 @@ ROUNDS = [(0.48, 8), (0.8, 1)]
 MOST_STARTS = 4096
 #: Bytes that are looked at together, few enough for the processor's cache, and of a long text.
 SECTION, LONG = 1 << 16, 1 << 18
-#: Bytes of a bundle; a longer region is a bundle of its own.
-BUNDLE = 1 << 20
+#: Bytes of a bundle, and places of a part of the key range; a longer region is a bundle of its own.
+BUNDLE = 1 << 19
 #: Prefixes that are sampled to cut the key range; they only set how even the parts are.
 SAMPLED = 1_000_000
 
@@ -195,7 +195,7 @@ def _regions(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, 4, SECTION * 16):
+            for part in pieces_of(batch, 4, SECTION * 4):
                 of, begins, out = [], [], []
                 for i, base in enumerate(part.column(1).to_pylist()):
                     text = memoryview(part.column(4)[i].as_buffer())
@@ -562,7 +562,7 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(batch.num_rows):
+                for i in range(batch.num_rows):  # a bundle at a time
                     yield from run(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
 
         return each
