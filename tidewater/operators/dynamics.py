@@ -14,6 +14,7 @@ from tidewater.functions import scalars as S
 from tidewater.functions import special
 from tidewater.operators.describe import quantiles
 from tidewater.operators.embedding import nearest
+from tidewater.operators.neighbours import near_pairs
 from tidewater.session import ship
 
 
@@ -119,10 +120,8 @@ def recurrence(windows: DataFrame, value: str = "x", by: str = "window", target:
 
 
 def recurrence_counts(df: DataFrame, eps: float, value: str = "x") -> DataFrame:
-    """(n, recurrent, rate) by an epsilon join of a bounded window: the declarative form of the same rate."""
-    a, b = df.select(F.col(value).alias("_a")), df.select(F.col(value).alias("_b"))
-    near = a.join(b, F.abs(F.col("_a") - F.col("_b")) <= eps).agg(F.count("*").alias("recurrent"))
-    return near.crossJoin(df.agg(F.count("*").alias("n"))).withColumn("rate", F.col("recurrent") / (F.col("n") * F.col("n")))
+    """(n, recurrent, rate) of a series of any length (see ``neighbours.near_pairs``)."""
+    return near_pairs(df, eps, value)
 
 
 def recurrence_image(x: np.ndarray, eps: float) -> bytes:

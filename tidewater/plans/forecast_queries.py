@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import special
-from tidewater.operators import candles, describe, forecast, series
+from tidewater.operators import candles, describe, forecast, neighbours, series
 from tidewater.operators.ordering import block_of
 from tidewater.plans import inputs as I
 from tidewater.registry import register
@@ -118,6 +118,12 @@ def knn_topk(spark, sf):
     return I.rounded(_neighbours(spark, sf), dist=8)
 
 
+@register("knn_indexed", _KNN.replace(" WHERE idx % 20 = 0", "") + " SELECT query_idx, CAST(rank AS INTEGER) AS rank, cand_idx, round(dist, 8) AS dist, target FROM k WHERE rank <= 10")
+def knn_indexed(spark, sf):
+    v = I.vectors(spark, sf)
+    return I.rounded(neighbours.indexed_neighbours(v, neighbours.pivot_index(v), 10, 20, 12), dist=8)
+
+
 @register("knn_means", _KNN + ", t AS (SELECT unnest([1, 3, 10]) AS k) SELECT query_idx, t.k, round(avg(target), 9) AS prediction FROM k, t WHERE rank <= t.k GROUP BY 1, 2")
 def knn_means(spark, sf):
     return I.rounded(forecast.neighbour_means(_neighbours(spark, sf), [1, 3, 10]), prediction=9)

@@ -402,10 +402,9 @@ def line_fit_by_type(spark, sf):
     return I.rounded(dynamics.line_fit(I.series(spark, sf), "idx", "x", ["event_type"]), slope=9, intercept=6, r2=9)
 
 
-@register("recurrence_counts", f"WITH {I.SERIES}, n AS (SELECT count(*) AS n FROM s), w AS (SELECT x FROM s, n WHERE idx >= (n - least(n, 1000)) // 2 AND idx < (n - least(n, 1000)) // 2 + 1000) SELECT count(*) AS recurrent, (SELECT count(*) FROM w) AS n, round(count(*) / ((SELECT count(*) FROM w) * (SELECT count(*) FROM w)), 9) AS rate FROM w a JOIN w b ON abs(a.x - b.x) <= 2.5")
+@register("recurrence_counts", f"WITH {I.SERIES}, v AS (SELECT x, count(*) AS m FROM s GROUP BY 1) SELECT sum(a.m * b.m)::BIGINT AS recurrent, (SELECT count(*) FROM s) AS n, round(sum(a.m * b.m) / ((SELECT count(*) FROM s)::DOUBLE * (SELECT count(*) FROM s)), 9) AS rate FROM v a JOIN v b ON abs(a.x - b.x) <= 2.5")
 def recurrence_counts(spark, sf):
-    s = _events_series(spark, sf)
-    return I.rounded(dynamics.recurrence_counts(block_of(s, s.count(), 1000), 2.5), rate=9)
+    return I.rounded(dynamics.recurrence_counts(_events_series(spark, sf), 2.5), rate=9)
 
 
 @register("recurrence_epsilon")
