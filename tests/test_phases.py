@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tidewater.plans import phases as P
 from tidewater.sources import sinks
 
 OPTIONS = P.Settings(
-    train_end="2024-01-08 12:00:00", validation_end="2024-01-10 00:00:00", acf_lags=60, direct_lags=24, max_order=6, recurrence_width=300, test_width=300, ami_lags=12, ami_bins=8,
+    train_end="2024-01-08 12:00:00", validation_end="2024-01-10 00:00:00", acf_lags=60, direct_lags=24, squared_marks=(12, 24), shuffle_lags=(1, 12), max_order=6, recurrence_width=300, test_width=300, ami_lags=12, ami_bins=8,
     max_dim=4, fnn_sample=200, corr_sample=120, radii=12, lyap_block=200, lyap_steps=10, lyap_fit=(1, 8), orders=(3, 4), surrogate_window=256, surrogate_counts=(3, 2, 2), queries=60, k_grid=(1, 5),
 )
 
@@ -62,6 +63,13 @@ def test_filter_and_nonlinearity(features, tmp_path):
     left, coefficients, tables = P.phase6(features, windows, OPTIONS)
     filled({k: v for k, v in tables.items() if "recurrence" not in k})
     filled(P.phase7(left, windows, len(coefficients), OPTIONS))
+    for wrong in ({"test_width": 5000}, {"squared_marks": (12, 48)}, {"arch_lags": (1, 25)}, {"shuffle_lags": (1, 300)}):
+        with pytest.raises(ValueError):
+            P.phase7(left, windows, len(coefficients), replace(OPTIONS, **wrong))
+    with pytest.raises(ValueError, match="order 900"):
+        P.phase6(features, windows, replace(OPTIONS, max_order=900))
+    with pytest.raises(ValueError, match="surrogate window"):
+        P.phase10(features, {"tau": 3, "dim": 3, "theiler": 9}, replace(OPTIONS, surrogate_window=4096))
     sinks.write_bundle({"w": windows}, str(tmp_path))
     assert left.sparkSession.read.option("header", True).csv(f"{tmp_path}/w.csv").count() == 4
 

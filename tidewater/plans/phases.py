@@ -32,6 +32,9 @@ class Settings:
     rolling: int = 288
     acf_lags: int = 2016
     direct_lags: int = 288
+    squared_marks: tuple[int, ...] = (12, 48, 288)
+    arch_lags: tuple[int, ...] = (1, 5, 12, 24)
+    shuffle_lags: tuple[int, ...] = (1, 12, 288)
     max_order: int = 100
     recurrence_width: int = 2000
     test_width: int = 3000
@@ -58,6 +61,12 @@ class Settings:
 SURROGATE_SIZES = {"corr_sample": 700, "radii": 24, "block": 1600, "references": 550, "steps": 40, "fit": (1, 20)}
 
 
+def need(n: int, least: int, what: str) -> None:
+    """A series that is too short is an error; nothing shrinks to fit it."""
+    if n < least:
+        raise ValueError(f"{what} needs {least:,} rows, there are {n:,}")
+
+
 def indexed(candle_rows: DataFrame) -> DataFrame:
     """Candles with their position on the regular grid, counted by day."""
     return dense_index(candle_rows, F.floor(F.unix_seconds(F.col("open_time").cast("timestamp")) / 86_400), ["open_time"])
@@ -179,7 +188,8 @@ def phase6(features: DataFrame, windows: DataFrame, o: Settings = Settings()) ->
     train = train_rows(s, o)
     n_train, mean, std = series.moments(train)
     z = s.withColumn("z", S.zscore(F.col("x"), F.lit(mean), F.lit(std)))
-    fit = series.ar_fit(train.select("idx", "x"), min(o.max_order, max(1, n_train // 4)))
+    need(n_train, 4 * o.max_order, f"an autoregression of order {o.max_order}")
+    fit = series.ar_fit(train.select("idx", "x"), o.max_order)
     left = series.ar_residuals(z, fit["coefficients"]).filter(F.col("residual").isNotNull())
     rows = [(r["p"], r["nobs"], float(r["sigma2"]), float(r["aic"]), float(r["bic"])) for r in fit["orders"]]
     orders = s.sparkSession.createDataFrame(rows, "p int, nobs long, sigma2 double, aic double, bic double")
@@ -206,19 +216,24 @@ def phase7(left: DataFrame, windows: DataFrame, order: int, o: Settings = Settin
     first = left.agg(F.min("idx")).first()[0]
     r = left.select((F.col("idx") - F.lit(first)).alias("idx"), F.col("residual").alias("x"))
     n = r.count()
-    width = min(o.test_width, n)
+    width = o.test_width
+    need(n, width, "a test window")
+    need(n - 1, o.direct_lags, "an autocorrelation")
+    for name, at, most in (("squared_marks", o.squared_marks, o.direct_lags), ("arch_lags", o.arch_lags, o.direct_lags), ("shuffle_lags", o.shuffle_lags, width - 1)):
+        if max(at) > most:
+            raise ValueError(f"{name} {at} go beyond {most}")
     placed = series.recentred(windows.select("window", "start", "end"), width, n, order)
     squares = r.select("idx", F.lit("residual").alias("series"), (F.col("x") * F.col("x")).alias("x"))
-    curve = series.acf_fft(squares, min(o.direct_lags, n - 1))
+    curve = series.acf_fft(squares, o.direct_lags)
     rho = np.array([v["acf"] for v in curve.orderBy("lag").collect()])  # direct_lags + 1 rows
-    lm = [(v["q"], float(v["r2"]), float(v["lm"]), None if v["p_value"] is None else float(v["p_value"])) for v in series.arch_lm(rho, n, [q for q in (1, 5, 12, 24) if q < len(rho)])]
+    lm = [(v["q"], float(v["r2"]), float(v["lm"]), None if v["p_value"] is None else float(v["p_value"])) for v in series.arch_lm(rho, n, list(o.arch_lags))]
     inside = series.slices(r, placed).cache()  # four windows
     return {
         "phase7_windows": placed,
-        "phase7_ljungbox_squared": series.ljung_box(curve, [q for q in (12, 48, 288) if q < len(rho)], by=("series",)),
+        "phase7_ljungbox_squared": series.ljung_box(curve, list(o.squared_marks), by=("series",)),
         "phase7_arch_lm": left.sparkSession.createDataFrame(lm, "q int, r2 double, lm double, p_value double").withColumn("decision", S.verdict(F.col("p_value"))),
         "phase7_bds_results": dynamics.bds_by(inside, [2, 3, 4, 5], [0.5, 1.0, 1.5]),
-        "phase7_shuffle_results": dynamics.shuffle_comparison(inside, [1, 12, 288] if width > 300 else [1], 50, o.seed),
+        "phase7_shuffle_results": dynamics.shuffle_comparison(inside, list(o.shuffle_lags), 50, o.seed),
     }
 
 
@@ -285,7 +300,8 @@ def phase10(features: DataFrame, p: dict[str, int], o: Settings = Settings(), **
     """Statistics of a window against shuffled, phase-randomised and amplitude-adjusted surrogates."""
     train = train_rows(standard_train(features, o), o).select("idx", "z")
     n = train.count()
-    width = min(o.surrogate_window, 1 << int(math.log2(n)))
+    width = o.surrogate_window
+    need(n, width, "a surrogate window")
     window = [r["z"] for r in block_of(train, n, width, 0.5).orderBy("idx").collect()]  # one window by design
     made = surrogates.replicates(train.sparkSession, window, dict(zip(("shuffled", "phase", "aaft"), o.surrogate_counts, strict=True)), o.seed, p["tau"], p["dim"], p["theiler"], **(SURROGATE_SIZES | sizes)).cache()
     long = surrogates.long_statistics(made)
@@ -459,7 +475,8 @@ def phase14(features: DataFrame, o: Settings = Settings(), recent_rows: int = 10
     known = train_rows(series_of(features), o)
     n_train, zmean, zstd = series.moments(known)
     if coefficients is None:
-        coefficients = series.ar_fit(known.select("idx", "x"), min(o.max_order, max(1, n_train // 4)))["coefficients"]
+        need(n_train, 4 * o.max_order, f"an autoregression of order {o.max_order}")
+        coefficients = series.ar_fit(known.select("idx", "x"), o.max_order)["coefficients"]
     ar = series.ar_forecast(standard_train(features, o).select("idx", "z"), coefficients, o.horizon, "z", zmean, zstd, "prediction").select("idx", "prediction")
     scored = forecast.predict_har(rows, model).select("idx", "split", y, F.inline(F.array(
         F.struct(F.lit("har_logrv_compact").alias("model"), F.col("prediction").alias("prediction")), F.struct(F.lit("persistence").alias("model"), F.col(MAIN).alias("prediction")),
