@@ -2,6 +2,7 @@ import json
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -80,6 +81,24 @@ def test_every_declared_layout(spark):
     assert {r["conv_id"] for r in chat.unmatched(df).collect()} == {7, 8, 90, 91}
 
 
+def test_fields_of_other_layouts_are_ignored(spark):
+    one = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    records = [
+        {"prompt": "p", "prompt_id": "x", "messages": one},
+        {"system": "s", "conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]},
+        {"conv_id": 3, "messages": one, "system": ""},
+        {"instruction": "a", "input": "", "output": "b", "text": "whole", "turn": 1},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = defaultdict(list)
+    for r in chat.canonical(df, must_match=True).orderBy("conv_id", "turn").collect():
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    two = [("user", "a"), ("assistant", "b")]
+    assert got == {0: two, 1: [("system", "s"), *two], 2: two, 3: two} and not chat.unmatched(df).count()
+    with pytest.raises(Exception, match="no declared layout"):
+        chat.canonical(df.unionByName(spark.createDataFrame([(9, '{"x": 1}')], df.schema)), must_match=True).collect()
+
+
 def test_parts_nesting_and_pairs(spark):
     records = [
         {"data": {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"text": "b"}]}, {"role": "bot", "content": "c"}]}},

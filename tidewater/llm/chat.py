@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints; DataFrame functions only.
 
-A record is parsed once and all its nested field paths are collected, at any depth. Those that some declared
-layout knows are sorted and hashed, once; the hash is looked up in a table of fingerprints and selects the
+A record is parsed once and all its nested field paths are collected, at any depth. For each layout, in the order in which they are
+declared, those that it knows are sorted and hashed; the first layout with that hash among its fingerprints gives the
 declarative mapping that turns the record into canonical turns (role, text). Rows of a table go the same way.
 Turns are written in a template that marks them, with control strings inside texts escaped reversibly, as
 segments that say whether a loss is taken on them.
@@ -30,6 +30,7 @@ class Layout:
     text: str | None = None
     fields: tuple[tuple[str, str], ...] = ()  # (role, path), in order; a path may be missing
     optional: tuple[str, ...] = ()  # paths that may be there
+    system: str | None = None  # beside a list of messages: the text of a turn before all others
 
     @property
     def paths(self) -> set[str]:
@@ -46,7 +47,7 @@ class Layout:
         if not self.messages:
             return set(self.optional)
         text = f"{self.messages}[].{self.text}"
-        return {*self.optional, f"{text}[]", f"{text}[].text"}
+        return {*self.optional, f"{text}[]", f"{text}[].text", *([self.system] if self.system else [])}
 
     @property
     def fingerprints(self) -> list[str]:
@@ -68,9 +69,9 @@ _PAIR = ("rejected", "rejected[]", "rejected[].role", "rejected[].content")
 #: Declared layouts.
 LAYOUTS = (
     Layout("row", role="role", text="text"),  # a table with a row for each turn
-    Layout("messages", messages="messages", role="role", text="content"),
-    Layout("conversations", messages="conversations", role="from", text="value"),
-    Layout("turns", messages="turns", role="role", text="text"),
+    Layout("messages", messages="messages", role="role", text="content", system="system"),
+    Layout("conversations", messages="conversations", role="from", text="value", system="system"),
+    Layout("turns", messages="turns", role="role", text="text", system="system"),
     Layout("data_messages", messages="data.messages", role="role", text="content"),
     Layout("chosen_messages", messages="chosen", role="role", text="content", optional=("prompt", *_PAIR)),
     Layout("instruction", fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("system", "input")),
@@ -79,8 +80,6 @@ LAYOUTS = (
     Layout("prompt_chosen", fields=(("system", "system"), ("user", "prompt"), ("assistant", "chosen")), optional=("system", "rejected")),
     Layout("question_answer", fields=(("system", "system"), ("user", "question"), ("assistant", "answer")), optional=("system",)),
 )
-BY_FINGERPRINT = {f: x.name for x in LAYOUTS for f in x.fingerprints}
-KNOWN = sorted(set().union(*(x.paths | x.may for x in LAYOUTS)))
 #: Other names of roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -111,10 +110,15 @@ def paths_of(record: Column) -> Column:
     return F.aggregate(tokens, state, step)["out"]
 
 
-def layout_of(record: Column) -> Column:
-    """The name of the layout that the record's fingerprint selects, or null."""
-    known = F.array_distinct(F.filter(paths_of(record), lambda p: p.isin(*KNOWN)))
-    return F.try_element_at(_map(BY_FINGERPRINT), F.sha2(F.array_join(F.sort_array(known), "\n").cast("binary"), 256))
+def layout_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The name of the first layout with the fingerprint of the record's paths that it knows, or null; other paths don't count."""
+    paths = F.array_distinct(paths_of(record))
+    found = None
+    for x in layouts:
+        known = F.array_intersect(paths, F.array(*[F.lit(p) for p in sorted(x.paths | x.may)]))
+        hit = F.sha2(F.array_join(F.sort_array(known), "\n").cast("binary"), 256).isin(*x.fingerprints)
+        found = F.when(hit, x.name) if found is None else found.when(hit, x.name)
+    return found
 
 
 def _string(v: Column, path: str) -> Column:
@@ -138,7 +142,11 @@ def _turns(record: Column, layout: Layout) -> Column:
     row = lambda n, role, text: F.struct(n.alias("turn"), role.alias("role"), text.alias("text"))
     if layout.messages:
         items = F.try_variant_get(record, f"$.{layout.messages}", "array<variant>")
-        return F.transform(items, lambda m, i: row(i, _role(m, f"$.{layout.role}"), _text(m, f"$.{layout.text}"))).cast(turn)
+        turns = F.transform(items, lambda m, i: row(i, _role(m, f"$.{layout.role}"), _text(m, f"$.{layout.text}"))).cast(turn)
+        if not layout.system:
+            return turns
+        first = _string(record, f"$.{layout.system}")
+        return F.when(first == "", turns).otherwise(F.concat(F.array(row(F.lit(-1), F.lit("system"), first)).cast(turn), turns))
     if layout.role:
         return F.array(row(F.try_variant_get(record, "$.turn", "long"), _string(record, f"$.{layout.role}"), _string(record, f"$.{layout.text}"))).cast(turn)
     present = [(role, _string(record, f"$.{path}"), path in layout.optional) for role, path in layout.fields]
@@ -146,9 +154,11 @@ def _turns(record: Column, layout: Layout) -> Column:
     return F.transform(some, lambda t, i: row(i, t["role"], t["text"])).cast(turn)
 
 
-def _mapped(records: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
+def _mapped(records: DataFrame, layouts: tuple[Layout, ...], must_match: bool = False) -> DataFrame:
     """conv_id and _record (a variant) to turns, through the mapping that the fingerprint of each record selects."""
-    named = records.withColumn("layout", layout_of(F.col("_record")))
+    named = records.withColumn("layout", layout_of(F.col("_record"), layouts))
+    if must_match:
+        named = named.withColumn("layout", F.coalesce("layout", F.raise_error(F.lit("a record of no declared layout"))))
     turns = None
     for x in layouts:
         hit = F.col("layout") == x.name
@@ -156,13 +166,14 @@ def _mapped(records: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
     return named.select("conv_id", "layout", F.inline(turns)).select("conv_id", "turn", "role", "text", "layout")
 
 
-def canonical(records: DataFrame, id_column: str = "conv_id", json_column: str = "record") -> DataFrame:
+def canonical(records: DataFrame, id_column: str = "conv_id", json_column: str = "record", must_match: bool = False) -> DataFrame:
     """Heterogeneous JSON records to rows of turns: conv_id, turn, role, text, layout.
 
-    A record of no declared layout, or null, has no turns and gives no row; ``unmatched`` finds those, and a caller
-    that must not lose any counts them. Fields that no layout declares are ignored; a null text counts as empty.
+    A record of no declared layout, or null, has no turns and gives no row; ``unmatched`` finds those, and with
+    ``must_match`` they are an error. Fields that the record's layout doesn't declare are ignored, also where another
+    layout does; a null text counts as empty.
     """
-    return _mapped(records.select(F.col(id_column).cast("long").alias("conv_id"), F.try_parse_json(F.col(json_column)).alias("_record")), LAYOUTS)
+    return _mapped(records.select(F.col(id_column).cast("long").alias("conv_id"), F.try_parse_json(F.col(json_column)).alias("_record")), LAYOUTS, must_match)
 
 
 def unmatched(records: DataFrame, id_column: str = "conv_id", json_column: str = "record") -> DataFrame:
@@ -177,7 +188,7 @@ def turns_of_table(table: DataFrame) -> DataFrame:
         raise ValueError(f"no declared layout for a table without the columns {sorted(missing)}")
     own = {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}
     record = F.to_variant_object(F.struct(*[table[c].cast(kind).alias(c) for c, kind in own.items()]))
-    return _mapped(table.select(table["conv_id"].cast("long").alias("conv_id"), record.alias("_record")), (rows,)).drop("layout")
+    return _mapped(table.select(table["conv_id"].cast("long").alias("conv_id"), record.alias("_record")), (rows,), must_match=True).drop("layout")
 
 
 def escape(text: Column) -> Column:

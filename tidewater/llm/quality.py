@@ -242,7 +242,8 @@ def learn(
         worth = [(c[2] - c[3]) / max(c[2] + c[3], 1) for c in counts]
         keep = max(range(len(rule)), key=lambda i: (round(worth[i], 6), -i))
         c = counts[keep]
-        if (c[0] + 1) / (c[0] + c[1] + 1) < min_precision or (c[2] + 1) / (c[2] + c[3] + 1) < min_precision:
+        held = c[2] + c[3]  # a rule that covers none of the held rows proves nothing
+        if (c[0] + 1) / (c[0] + c[1] + 1) < min_precision or not held or (c[2] + 1) / (held + 1) < min_precision:
             break
         rule = rule[: keep + 1]
         rules.append(rule)
