@@ -33,7 +33,7 @@ from tidewater.session import ship
 
 LENGTH = 100
 #: Rounds of the sieve: the share of a string that a landmark takes, and of how many landmarks one ends a piece.
-ROUNDS = [(0.48, 8), (0.8, 1)]
+ROUNDS = [(0.48, 8), (0.95, 4)]
 #: Starts of a piece at most.
 MOST_STARTS = 4096
 #: Bytes that are looked at together, few enough for the processor's cache, and of a long text.
@@ -430,7 +430,7 @@ def _less(of: list[np.ndarray], than: list[np.ndarray]) -> np.ndarray:
 def merged(digit: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     """The order of the places of a level: the sample by rank, the rest by (letter, rank of the next), merged.
 
-    Keys are the letter, the next letter, a rank and another: of a place of digit 0 the ranks of the next place and of the one
+    Keys are the letter, the next letter (not of digit 1), a rank and another: of a place of digit 0 the ranks of the next place and of the one
     after; of digit 1 the rank of the next place, of digit 2 of the one after, then the own rank. Places that agree as
     far as ranks go may come in any order.
     """
@@ -469,7 +469,7 @@ def _repeated(kinds: list[type]):
         bundles, sizes, x, keys, digit = _received(table, kinds)
         order = merged(digit, keys[:4])
         place = np.repeat(bundles.astype(_U) << _U(32), sizes) | x.astype(_U)
-        same = _same_as_before(*[keys[j][order] for j in (0, 1, 4)])
+        same = _same_as_before(keys[0][order], keys[4][order])
         group = np.cumsum(~same) - 1
         first = np.minimum.reduceat(place[order], np.flatnonzero(~same))
         gone = np.empty(len(x), bool)
@@ -544,7 +544,8 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
             step = width * 3**level
             digit = b.digit(level).astype(np.uint8)
             next_, second = b.after(rank, step), b.after(rank, 2 * step)
-            keys = [letters, b.after(letters, step), np.where(digit == 2, second, next_), np.where(digit == 0, second, rank)]
+            after = b.after(letters, step)
+            keys = [letters, np.where(digit == 1, after.dtype.type(0), after), np.where(digit == 2, second, next_), np.where(digit == 0, second, rank)]
             if level == 0:
                 hashes = np.zeros(b.n, _U)
                 whole = _window_hashes(raw, length)
@@ -553,7 +554,7 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
                 there = b.left >= length  # places where a whole string starts; the others are ranked by now
             x = np.flatnonzero(there)
             keys = [k[x] for k in keys]
-            return pa.Table.from_pylist(_sent(number, part_of(level, keys[0], keys[1]), x, keys, digit[x]), schema=sent)
+            return pa.Table.from_pylist(_sent(number, part_of(level, keys[0], after[x]), x, keys, digit[x]), schema=sent)
 
         return run
 
@@ -640,7 +641,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text. Strings are judged on the input. ``spans`` are the maximal runs that go, as begin and end. Texts shorter than
     ``length`` stay whole, an empty table gives an empty result, other columns are ignored. Of a very long text 256 KiB are looked at
     together; its bytes and the regions that it shares are held whole. Strings are compared by the order of the suffixes, their
-    first two letters and a 64-bit hash.
+    first letter and a 64-bit hash.
     """
     spark = ship(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
