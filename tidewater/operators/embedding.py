@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import scalars as S
-from tidewater.operators.describe import quantiles
+from tidewater.operators.describe import grouped_quantiles, quantiles
 from tidewater.operators.ordering import dense_index, evenly_spaced, with_halo
 from tidewater.session import ship
 
@@ -25,10 +25,10 @@ def delay_embedding(df: DataFrame, tau: int, dim: int, value: str = "z", by: tup
 
 
 def quantile_edges(df: DataFrame, bins: int, value: str = "x", by: list[str] | None = None) -> DataFrame:
-    """The bins - 1 inner edges, interpolated; of one series without holding its values in one place."""
+    """The bins - 1 inner edges, interpolated; no buffer holds the values of a series."""
     if not by:
         return df.sparkSession.createDataFrame([(quantiles(df, value, [i / bins for i in range(1, bins)]),)], "edges array<double>")
-    return df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    return grouped_quantiles(df, value, [i / bins for i in range(1, bins)], by, "edges")
 
 
 def discretised(df: DataFrame, bins: int, value: str = "x", by: list[str] | None = None) -> DataFrame:

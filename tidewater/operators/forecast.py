@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.operators.describe import grouped_quantiles, with_quantiles
 from tidewater.operators.ordering import with_halo
 from tidewater.operators.series import ols
 from tidewater.session import ship
@@ -117,8 +118,10 @@ def comparison(rows: DataFrame, reference: str, by: list[str] | None = None) ->
 
 
 def error_distribution(predictions: DataFrame, by: list[str], y: str = "y", yhat: str = "prediction") -> DataFrame:
-    q = F.percentile(F.col(yhat) - F.col(y), F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    return predictions.groupBy(*by).agg(*[q[i].alias(n) for i, n in enumerate(("p05", "q1", "median", "q3", "p95"))])
+    """Exact quantiles of the errors of each group; nulls for a group without errors."""
+    errors = predictions.select(*by, (F.col(yhat) - F.col(y)).alias("_e"))
+    found = with_quantiles(errors.select(*by).distinct(), grouped_quantiles(errors, "_e", [0.05, 0.25, 0.5, 0.75, 0.95], by), by)
+    return found.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "q1", "median", "q3", "p95"))])
 
 
 # ---------------------------------------------------------------- HAR

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewater.functions import scalars as S
 from tidewater.operators.candles import CANDLE_COLUMNS, PRICES
+from tidewater.operators.describe import grouped_quantiles, with_quantiles
 
 
 def numeric_checks(text_candles: DataFrame) -> DataFrame:
@@ -36,9 +37,9 @@ def ohlc_consistency(candles: DataFrame) -> DataFrame:
 
 
 def diffs(df: DataFrame, time: str = "open_time", day: bool = True) -> DataFrame:
-    """Each time with the one before it and the seconds between; runs by day, joined over day ends."""
+    """Each time with the one before it and the seconds between; runs by day, joined over day ends. Null times are left out."""
     t = F.unix_seconds(F.col(time).cast("timestamp"))
-    keyed = df.select(F.col(time).alias("t"), t.alias("s")).withColumn("_day", F.floor(F.col("s") / 86_400))
+    keyed = df.select(F.col(time).alias("t"), t.alias("s")).filter(F.col("s").isNotNull()).withColumn("_day", F.floor(F.col("s") / 86_400))
     within = Window.partitionBy("_day").orderBy("s")
     ends = keyed.groupBy("_day").agg(F.max(F.struct("s", "t")).alias("_last"))
     carried = ends.select("_day", F.lag("_last").over(Window.orderBy("_day")).alias("_carry"))  # a row a day
@@ -63,10 +64,12 @@ def modal_diff(df: DataFrame, time: str = "open_time") -> DataFrame:
 
 
 def regularity(df: DataFrame, time: str = "open_time", step: int = S.BAR_SECONDS) -> DataFrame:
-    d = diffs(df, time)
-    return d.agg(
-        F.avg("seconds").alias("mean_seconds"), F.median("seconds").alias("median_seconds"), F.count_if(F.col("seconds") != step).alias("odd_steps")
-    ).withColumn("regular", F.col("odd_steps") == 0)
+    """Mean and median step and the steps that aren't ``step``; from the counts of the different steps."""
+    steps = diff_histogram(df, time)
+    n = F.sum("n")
+    row = steps.agg((F.sum(F.col("seconds") * F.col("n")) / n).alias("mean_seconds"), F.coalesce(F.sum(F.when(F.col("seconds") != step, F.col("n"))), F.lit(0)).alias("odd_steps"))
+    row = with_quantiles(row, grouped_quantiles(steps, "seconds", [0.5], weight="n"), None)
+    return row.select("mean_seconds", F.col("q")[0].alias("median_seconds"), "odd_steps", (F.col("odd_steps") == 0).alias("regular"))
 
 
 def duplicates(df: DataFrame, key: str = "open_time") -> DataFrame:
@@ -102,23 +105,39 @@ def zero_windows(featured: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def report(candles: DataFrame, time: str = "open_time", step: int = S.BAR_SECONDS) -> DataFrame:
-    """(check_name, value, passed): the whole report in long form; three scans, no collect."""
-    consistent = ohlc_consistency(candles).withColumn("bad", F.col("high_below_low") + F.col("open_outside") + F.col("close_outside"))
-    basic = candles.agg(
-        F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in CANDLE_COLUMNS],
-        *[F.count_if(F.col(c) <= 0).alias(f"not_positive_{c}") for c in [*PRICES, "volume", "trades"]],
-        F.count_if(F.col("taker_buy_quote") < 0).alias("negative_taker_buy_quote"),
-    )
-    def long(df: DataFrame, names: list[str], good) -> DataFrame:
-        return df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).cast("double").alias("value"), good(n).alias("passed")) for n in names])))
-
-    zero = lambda n: F.col(n) == 0
-    names = [f"null_{c}" for c in CANDLE_COLUMNS] + [f"not_positive_{c}" for c in [*PRICES, "volume", "trades"]] + ["negative_taker_buy_quote"]
-    return (
-        long(basic, ["rows"], lambda n: F.col(n) > 0)
-        .unionByName(long(basic, names, zero))
-        .unionByName(long(consistent, ["bad"], zero).withColumn("check_name", F.lit("ohlc_inconsistent")))
-        .unionByName(long(duplicates(candles, time), ["duplicates"], zero))
-        .unionByName(long(expected_rows(candles, time, step), ["missing"], zero))
-        .unionByName(long(gaps(candles, time, step).agg(F.count("*").alias("gaps"), F.coalesce(F.max("missing"), F.lit(0)).alias("longest_gap")), ["gaps", "longest_gap"], zero))
+    """(check_name, value, passed): the whole report in long form, from one scan.
+
+    Counts are added up for each time, which meets repeated times before anything is sorted; the times of a day are put in
+    order and make a summary (counts, first and last time, gaps, repeats), and the summaries are merged in the order of the
+    days, where the gap between two days comes in. A null time is in no gap, and counts as one repeated value.
+    """
+    o, h, low, c = (F.col(x) for x in PRICES)
+    whole = o.isNotNull() & h.isNotNull() & low.isNotNull() & c.isNotNull()
+    not_positive = [*PRICES, "volume", "trades"]
+    one = lambda b: F.when(b, 1).otherwise(0)
+    flags = {
+        **{f"null_{x}": F.count_if(F.col(x).isNull()) for x in CANDLE_COLUMNS},
+        **{f"not_positive_{x}": F.count_if(F.col(x) <= 0) for x in not_positive},
+        "negative_taker_buy_quote": F.count_if(F.col("taker_buy_quote") < 0),
+        "ohlc_inconsistent": F.coalesce(F.sum(F.when(whole, one(h < low) + one((o < low) | (o > h)) + one((c < low) | (c > h)))), F.lit(0)),
+    }
+    s = F.unix_seconds(F.col("_t").cast("timestamp"))
+    times = candles.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("rows"), *[f.alias(n) for n, f in flags.items()])
+    times = times.withColumn("_s", s).withColumn("_day", F.floor(F.col("_s") / 86_400))
+    missing = lambda d: F.when(d > step, F.floor(d / step) - 1)
+    inside = missing(F.col("_s") - F.lag("_s").over(Window.partitionBy("_day").orderBy("_s")))
+    days = times.withColumn("_gap", F.when(F.col("_day").isNotNull(), inside)).groupBy("_day").agg(
+        *[F.sum(n).alias(n) for n in ("rows", *flags)], F.sum(F.col("rows") - 1).alias("duplicates"), F.min("_s").alias("_first"), F.max("_s").alias("_last"), F.count("_gap").alias("gaps"), F.max("_gap").alias("longest_gap")
     )
+    between = missing(F.col("_first") - F.lag("_last").over(Window.orderBy("_day")))  # a row a day
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0)).alias(n)
+    row = days.withColumn("_gap", between).agg(
+        *[total(n) for n in ("rows", *flags, "duplicates")],
+        ((F.max("_last") - F.min("_first")) / step + 1).cast("bigint").alias("expected"),
+        (F.coalesce(F.sum("gaps"), F.lit(0)) + F.count("_gap")).alias("gaps"),
+        F.coalesce(F.greatest(F.max("longest_gap"), F.max("_gap")), F.lit(0)).alias("longest_gap"),
+    ).withColumn("missing", F.col("expected") - F.col("rows"))
+    names = ["rows", *flags, "duplicates", "missing", "gaps", "longest_gap"]
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("check_name"), F.col(n).cast("double").alias("value"), (F.col(n) > 0 if n == "rows" else F.col(n) == 0).alias("passed")) for n in names
+    ])))

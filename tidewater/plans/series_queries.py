@@ -482,6 +482,7 @@ def oblique_view(spark, sf):
 
 @register("robust_range", f"WITH {I.SERIES}, q AS (SELECT quantile_cont(x, 0.01) AS a, quantile_cont(x, 0.99) AS b, avg(x) AS m, stddev_samp(x) AS sd FROM s) SELECT round(a - 0.06 * (b - a), 6) AS low, round(b + 0.06 * (b - a), 6) AS high, round(m - 2 * sd, 6) AS band_low, round(m + 2 * sd, 6) AS band_high FROM q")
 def robust_range(spark, sf):
-    q = _events_series(spark, sf).agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
+    s = _events_series(spark, sf)
+    q = describe.with_quantiles(s.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd")), describe.grouped_quantiles(s, "x", [0.01, 0.99]), None)
     a, b = F.col("q")[0], F.col("q")[1]
     return q.select(F.round(a - 0.06 * (b - a), 6).alias("low"), F.round(b + 0.06 * (b - a), 6).alias("high"), F.round(F.col("m") - 2 * F.col("sd"), 6).alias("band_low"), F.round(F.col("m") + 2 * F.col("sd"), 6).alias("band_high"))
