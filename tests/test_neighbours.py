@@ -54,3 +54,32 @@ def test_near_pairs_of_nothing_and_bad_eps(spark):
     assert neighbours.near_pairs(spark.createDataFrame([], "x double"), 1.0).first()["n"] == 0
     with pytest.raises(ValueError):
         neighbours.near_pairs(spark.createDataFrame([(1.0,)], "x double"), 0.0)
+
+
+def test_epsilon_of_a_rate_is_that_of_the_plain_bisection(spark):
+    from tidewater.operators import dynamics
+
+    rng = np.random.default_rng(12)
+    series = {"normal": rng.standard_normal(5000), "steps": rng.integers(0, 9, 4000).astype(float), "hot": np.where(rng.random(3000) < 0.34, 1.5, rng.standard_normal(3000) ** 3)}
+    for name, x in series.items():
+        want, rate = dynamics.recurrence_epsilon((x - x.mean()) / x.std(ddof=1))
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double").repartition(3)
+        for block_rows in (100_000, 64):
+            got = neighbours.epsilon_of_rate(df, block_rows=block_rows).first()
+            assert got["n"] == len(x) and got["epsilon"] == pytest.approx(want, rel=1e-9), (name, block_rows)
+            assert abs(got["rate"] - rate) <= 2 * len(x) / len(x) ** 2 or name == "steps"
+            assert got["rate"] >= 0.05 - 1e-3
+    assert tuple(neighbours.epsilon_of_rate(df.filter("false")).first())[:1] == (0,)
+    flat = neighbours.epsilon_of_rate(spark.createDataFrame([(2.0,)] * 5, "x double")).first()
+    assert (flat["n"], flat["epsilon"], flat["rate"]) == (5, 0.0, 1.0)
+
+
+def test_blocks_settle_most_bisections(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(v),) for v in rng.standard_normal(6000)], "x double").cache()
+    jobs = []
+    plain = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: (jobs.append(1), plain(self, *a, **k))[1])
+    neighbours.epsilon_of_rate(df, block_rows=100)
+    df.unpersist()
+    assert len(jobs) <= 1 + 10 + 1  # dealing, at most ten rounds of five bisections, the rate at the end

@@ -14,7 +14,7 @@ from tidewater.functions import scalars as S
 from tidewater.functions import special
 from tidewater.operators.describe import quantiles
 from tidewater.operators.embedding import nearest
-from tidewater.operators.neighbours import near_pairs
+from tidewater.operators.neighbours import epsilon_of_rate, near_pairs
 from tidewater.session import ship
 
 
@@ -124,6 +124,11 @@ def recurrence_counts(df: DataFrame, eps: float, value: str = "x") -> DataFrame:
     return near_pairs(df, eps, value)
 
 
+def series_epsilon(df: DataFrame, target: float = 0.05, value: str = "x") -> DataFrame:
+    """(n, mean, std, epsilon, rate) of the z-scores of a series of any length (see ``neighbours.epsilon_of_rate``)."""
+    return epsilon_of_rate(df, target, value)
+
+
 def recurrence_image(x: np.ndarray, eps: float) -> bytes:
     """The recurrence plot of a window as a grey PNG, recurrent points black."""
     import struct

@@ -1,4 +1,4 @@
-"""Nearest neighbours by a pivot index, and counts of near pairs by a grid: both exact, neither compares all with all."""
+"""Nearest neighbours by a pivot index, counts of near pairs by a grid, the distance of a rate by sorted blocks: exact, none compares all with all."""
 
 from __future__ import annotations
 
@@ -178,3 +178,96 @@ def near_pairs(df: DataFrame, eps: float, value: str = "x", mean_cell: int = 32)
     edge = celled.join(right, "c").filter(F.col("_b") - F.col("x") <= eps).agg(F.coalesce(F.sum(F.col("m") * F.col("_m")), F.lit(0)).alias("edge"))
     out = whole.crossJoin(edge).select("n", (F.col("whole") + 2 * F.col("edge")).alias("recurrent"))  # one row each
     return out.withColumn("rate", F.col("recurrent") / (F.col("n") * F.col("n")))
+
+
+#: Blocks of sorted values at most; what the driver knows of each is its ends and its size.
+MOST_BLOCKS = 4096
+
+
+def epsilon_of_rate(df: DataFrame, target: float = 0.05, value: str = "x", steps: int = 50, block_rows: int = 65_536, levels: int = 5) -> DataFrame:
+    """(n, mean, std, epsilon, rate): the distance at which the share of near pairs of the z-scores is ``target``, by ``steps`` bisections.
+
+    For a series of any length. The different values, with their counts, lie in sorted blocks. Most bisections are settled by
+    the ends of the blocks alone. For the others one job counts for all middles of the next ``levels`` bisections: a
+    block meets only the blocks in which its values plus a middle can end, some three, and all others count whole. The
+    result is that of the plain bisection on the sorted series. Nulls and NaN take no part; a flat series gives epsilon 0.
+    """
+    spark = ship(df.sparkSession)
+    schema = "n long, mean double, std double, epsilon double, rate double"
+    used = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(value).cast("double").alias("v"))
+    n, mean, std = used.agg(F.count("*"), F.avg("v"), F.stddev_samp("v")).first()
+    if not n:
+        return spark.createDataFrame([(0, None, None, None, None)], schema)
+    if not std:
+        return spark.createDataFrame([(n, mean, 0.0, 0.0, 1.0)], schema)
+    values = used.groupBy(((F.col("v") - mean) / std).alias("z")).agg(F.count("*").alias("m"))
+    different = values.count()
+    count = max(1, min(MOST_BLOCKS, -(-different // block_rows)))
+    cuts = values.agg(F.percentile_approx("z", [i / count for i in range(1, count)], 10 * count)).first()[0] if count > 1 else []
+    edges = np.unique(np.asarray(cuts, float))
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(b=np.searchsorted(edges, part["z"].to_numpy(), "left"))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("z")
+        return pd.DataFrame([{"b": part["b"].iloc[0], "z": part["z"].to_numpy(), "m": part["m"].to_numpy()}])
+
+    blocks = values.mapInPandas(deal, "z double, m long, b long").groupBy("b").applyInPandas(pack, "b long, z array<double>, m array<long>").persist()
+    known = blocks.select("b", F.element_at("z", 1).alias("first"), F.element_at("z", -1).alias("last"), F.aggregate("m", F.lit(0).cast("long"), lambda a, b: a + b).alias("w")).toPandas().sort_values("b")
+    name, first, last = (known[c].to_numpy() for c in ("b", "first", "last"))
+    weight = [int(w) for w in known["w"]]
+    before = [0]
+    for w in weight:
+        before.append(before[-1] + w)
+
+    def reach(low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each block: how many blocks lie whole within its values plus ``low``, and how many begin within those plus ``high``."""
+        return np.searchsorted(last, first + low, "right"), np.searchsorted(first, last + high, "right")
+
+    def rate(ranks: int) -> float:
+        return float(2 * (ranks - n * (n - 1) // 2) - n) / (n * n)
+
+    def counted(middles: list[float]) -> dict[float, float]:
+        a, b = reach(min(middles), max(middles))
+        whole = sum(w * before[i] for w, i in zip(weight, a, strict=True))
+        pairs = pd.DataFrame([(int(name[i]), int(name[j])) for i in range(len(name)) for j in range(a[i], b[i])], columns=["a", "o"])
+        sums = dict.fromkeys(range(len(middles)), 0)
+        if len(pairs):
+            asked = blocks.join(F.broadcast(spark.createDataFrame(pairs)), F.col("b") == F.col("a")).select("o", F.col("z").alias("qz"), F.col("m").alias("qm"))
+            met = asked.join(blocks, F.col("o") == F.col("b")).select("qz", "qm", "z", "m")
+
+            def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for part in parts:
+                    for qz, qm, z, m in zip(part["qz"], part["qm"], part["z"], part["m"], strict=True):
+                        cum = np.concatenate([[0], np.cumsum(m)])
+                        yield pd.DataFrame({"k": range(len(middles)), "s": [int((qm * cum[np.searchsorted(z, qz + e, "right")]).sum()) for e in middles]})
+
+            sums.update({r["k"]: int(r["s"]) for r in met.mapInPandas(run, "k int, s long").groupBy("k").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()})
+        return {e: rate(whole + sums[k]) for k, e in enumerate(middles)}
+
+    def tree(low: float, high: float, depth: int) -> list[float]:
+        mid = (low + high) / 2
+        return [mid] if depth == 1 else [mid, *tree(low, mid, depth - 1), *tree(mid, high, depth - 1)]
+
+    low, high, left = 0.0, float(last[-1] - first[0]), steps
+    rates: dict[float, float] = {}
+    while left:
+        mid = (low + high) / 2
+        if mid not in rates:
+            a, b = reach(mid, mid)
+            if rate(sum(w * before[i] for w, i in zip(weight, b, strict=True))) < target:
+                rates[mid] = -1.0  # whatever the blocks hold
+            elif rate(sum(w * before[i] for w, i in zip(weight, a, strict=True))) >= target:
+                rates[mid] = 2.0
+            else:
+                depth = min(levels, left)
+                while depth > 1 and sum(np.subtract(*reach(*[f(tree(low, high, depth)) for f in (min, max)])[::-1])) > 16 * len(name):
+                    depth -= 1
+                rates.update(counted(sorted(set(tree(low, high, depth)))))
+        low, high = (mid, high) if rates[mid] < target else (low, mid)
+        left -= 1
+    found = counted([high])[high]
+    blocks.unpersist()
+    return spark.createDataFrame([(n, mean, std, high, found)], schema)

@@ -413,6 +413,21 @@ def recurrence_epsilon(spark, sf):
     return dynamics.recurrence(series.slices(s, w))
 
 
+#: The rate at the distance ``mid`` of one row ``b``; a rank is taken by an as-of join on the different values.
+_RATE = "(SELECT (2 * (sum(q.m * w.upto)::DOUBLE - any_value(q.n) * (any_value(q.n) - 1) / 2) - any_value(q.n)) / (any_value(q.n)::DOUBLE * any_value(q.n)) AS r FROM (SELECT v.m, v.z + {b}.mid AS z, t.n FROM v, {b}, t) q ASOF JOIN v w ON q.z >= w.z)"
+_STEPS = 50
+_EPSILON = f"""WITH {I.SERIES}, t AS MATERIALIZED (SELECT count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std FROM s WHERE x IS NOT NULL),
+v AS MATERIALIZED (SELECT z, m, sum(m) OVER (ORDER BY z) AS upto FROM (SELECT (x - mean) / std AS z, count(*) AS m FROM s, t WHERE x IS NOT NULL GROUP BY 1)),
+b0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS low, max(z) - min(z) AS high, (max(z) - min(z)) / 2 AS mid FROM v), """ + "".join(
+    f"b{k + 1} AS MATERIALIZED (SELECT *, (low + high) / 2 AS mid FROM (SELECT CASE WHEN r < 0.05 THEN mid ELSE low END AS low, CASE WHEN r < 0.05 THEN high ELSE mid END AS high FROM b{k}, {_RATE.format(b=f'b{k}')})), " for k in range(_STEPS)
+) + f"e AS (SELECT high + 1e-12 AS mid FROM b{_STEPS}) SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(mid, 9) AS epsilon, round(r, 6) AS rate FROM t, e, {_RATE.format(b='e')}"
+
+
+@register("recurrence_epsilon_series", _EPSILON)
+def recurrence_epsilon_series(spark, sf):
+    return I.rounded(dynamics.series_epsilon(_events_series(spark, sf)), mean=6, std=6, epsilon=9, rate=6)
+
+
 @register("bds")
 def bds(spark, sf):
     s, _, w = _windows(spark, sf)
