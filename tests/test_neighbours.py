@@ -83,3 +83,21 @@ def test_blocks_settle_most_bisections(spark, monkeypatch):
     neighbours.epsilon_of_rate(df, block_rows=100)
     df.unpersist()
     assert len(jobs) <= 1 + 10 + 1  # dealing, at most ten rounds of five bisections, the rate at the end
+
+
+def test_tiles_give_the_dense_statistic(spark):
+    from tidewater.operators import dynamics
+
+    rng = np.random.default_rng(21)
+    series = {"noise": rng.standard_normal(230), "walk": np.cumsum(rng.standard_normal(101)), "flat": np.ones(40), "ties": rng.integers(0, 4, 64).astype(float)}
+    df = spark.createDataFrame([(k, 1000 + i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "window string, idx long, x double").repartition(3)
+    for tile in (32, 1024):
+        got = {(r["window"], r["dim"], r["factor"]): r for r in dynamics.bds_by(df, [2, 3, 5], [0.5, 1.0], tile=tile).collect()}
+        assert len(got) == 4 * 3 * 2
+        for name, x in series.items():
+            for want in dynamics.bds(x, [2, 3, 5], [0.5, 1.0]):
+                row = got[name, want["dim"], want["factor"]]
+                for c in ("c1", "cm", "k", "variance", "statistic", "p_value"):
+                    assert (None if np.isnan(want[c]) else pytest.approx(want[c], rel=1e-9, abs=1e-12)) == row[c], (tile, name, c)
+    with pytest.raises(ValueError, match="dimension 6"):
+        dynamics.bds_by(df.filter("idx < 1005"), [6], [1.0])

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -173,15 +174,80 @@ def bds(x: np.ndarray, dims: list[int], factors: list[float]) -> list[dict]:
     return out
 
 
-def bds_by(windows: DataFrame, dims: list[int], factors: list[float], value: str = "x", by: str = "window") -> DataFrame:
-    """The test on every window; a window is a few thousand rows by design."""
-    ship(windows.sparkSession)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(bds(part.sort_values("idx")[value].to_numpy(), dims, factors)).assign(**{by: part[by].iloc[0]})
-
-    out = windows.select(by, "idx", value).groupBy(by).applyInPandas(run, f"dim long, factor double, c1 double, cm double, k double, variance double, statistic double, p_value double, {by} string")
-    return out.withColumn("decision", S.verdict(F.col("p_value")))
+def bds_by(windows: DataFrame, dims: list[int], factors: list[float], value: str = "x", by: str = "window", tile: int = 1024) -> DataFrame:
+    """The test on every window, of any length, in tiles of ``tile`` rows by ``tile`` columns of the indicator of near pairs.
+
+    A tile needs its rows and columns and the ``max(dims) - 1`` positions that follow; its memory doesn't depend on the window, and
+    tiles of the lower half are those of the upper one turned. Spark adds up the tiles' counts: near pairs for each dimension, and
+    near values of each position, whose squares give k. A window of fewer than ``max(dims)`` rows is an error; a sum over
+    fewer than two vectors is 0, and statistic and p-value are null where the variance isn't above 0.
+    """
+    spark = ship(windows.sparkSession)
+    halo = max(dims) - 1
+    moments = windows.groupBy(F.col(by).alias("_w")).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_sd"), F.min("idx").alias("_first"))
+    short = moments.filter(F.col("_n") <= halo).first()
+    if short:
+        raise ValueError(f"window {short['_w']} has {short['_n']} rows, dimension {max(dims)} needs as many")
+    z = F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd")).otherwise(F.lit(0.0))
+    at = windows.join(F.broadcast(moments), F.col(by).eqNullSafe(F.col("_w"))).select("_w", "_n", (F.col("idx") - F.col("_first")).alias("_i"), z.alias("_z"))  # a row a window
+    seen = F.sequence(F.floor(F.greatest(F.col("_i") - halo, F.lit(0)) / tile), F.floor(F.col("_i") / tile))
+    packed = at.withColumn("_a", F.explode(seen)).groupBy("_w", "_n", "_a").agg(F.array_sort(F.collect_list(F.struct("_i", "_z")))["_z"].alias("za"))  # tile + halo values
+    others = packed.select(F.col("_w").alias("_v"), F.col("_a").alias("_b"), F.col("za").alias("zb"))
+    tiles = packed.join(others, F.col("_w").eqNullSafe(F.col("_v")) & (F.col("_a") <= F.col("_b"))).select("_w", "_n", "_a", "_b", "za", "zb")
+    tiles = tiles.repartition(spark.sparkContext.defaultParallelism * 2, "_w", "_a", "_b")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for t in part.itertuples(index=False, name=None):
+                for factor in factors:
+                    yield _tile_counts(t, factor, dims, tile)
+
+    counts = tiles.mapInPandas(run, "w string, factor double, m int, i long, s long").groupBy("w", "factor", "m", "i").agg(F.sum("s").alias("s"))
+    d, sums = F.when(F.col("m") == 0, F.col("s").cast("double")), lambda m: F.coalesce(F.sum(F.when(F.col("m") == m, F.col("s"))), F.lit(0)).cast("double")
+    row = counts.groupBy("w", "factor").agg(F.sum(d).alias("_d"), F.sum(d * d - d).alias("_dd"), *[sums(m).alias(f"_cm{m}") for m in dims], *[sums(-m).alias(f"_c1{m}") for m in dims])
+    row = row.join(F.broadcast(moments.select(F.col("_w"), F.col("_n").cast("double").alias("n"))), F.col("w").eqNullSafe(F.col("_w")))
+    n, share = F.col("n"), lambda x, of: F.when(of > 0, x / of).otherwise(F.lit(0.0))
+    row = row.withColumns({"c": share(F.col("_d"), n * (n - 1)), "k": share(F.col("_dd"), n * (n - 1) * (n - 2))})
+    c, k = F.col("c"), F.col("k")
+
+    def variance(m: int) -> Column:
+        total = F.lit(0.0)
+        for j in range(1, m):
+            total = total + F.pow(k, F.lit(m - j)) * F.pow(c, F.lit(2 * j))
+        return 4 * (F.pow(k, F.lit(m)) + 2 * total + (m - 1) ** 2 * F.pow(c, F.lit(2 * m)) - m * m * k * F.pow(c, F.lit(2 * m - 2)))
+
+    pairs = lambda m: (n - m + 1) * (n - m)
+    parts = [F.struct(F.lit(m).cast("long").alias("dim"), share(F.col(f"_c1{m}"), pairs(m)).alias("c1"), share(F.col(f"_cm{m}"), pairs(m)).alias("cm"), variance(m).alias("variance")) for m in dims]
+    out = row.select(F.col("w").alias(by), "factor", "n", "k", F.inline(F.array(*parts)))
+    stat = F.when(F.col("variance") > 0, F.sqrt(n - F.col("dim") + 1) * (F.col("cm") - F.pow("c1", "dim")) / F.sqrt("variance"))
+    out = out.withColumn("statistic", stat).withColumn("p_value", special.normal_two_sided_udf(F.col("statistic")))
+    return out.select("dim", "factor", "c1", "cm", "k", "variance", "statistic", "p_value", by).withColumn("decision", S.verdict(F.col("p_value")))
+
+
+def _tile_counts(t: tuple, factor: float, dims: list[int], tile: int) -> pd.DataFrame:
+    """Counts (w, factor, m, i, s) of a tile: m above 0 near pairs of vectors, below 0 of last values, 0 near values of position i."""
+    w, n, a, b, za, zb = t
+    at, to = a * tile + np.arange(len(za)), b * tile + np.arange(len(zb))
+    near = np.abs(np.asarray(za)[:, None] - np.asarray(zb)[None, :]) <= factor
+    if a == b:
+        np.fill_diagonal(near, False)
+    rows, cols = min(tile, len(za)), min(tile, len(zb))
+    twice = 1 if a == b else 2
+    out = []
+    for m in dims:
+        r, q = min(rows, len(za) - m + 1), min(cols, len(zb) - m + 1)
+        if r > 0 and q > 0:
+            both = near[:r, :q]
+            for step in range(1, m):
+                both = both & near[step : step + r, step : step + q]
+            out.append((m, -1, twice * int(both.sum())))
+        late = near[:rows, :cols][at[:rows] >= m - 1][:, to[:cols] >= m - 1]
+        out.append((-m, -1, twice * int(late.sum())))
+    own = near[:rows, :cols]
+    made = [pd.DataFrame(out, columns=["m", "i", "s"]), pd.DataFrame({"m": 0, "i": at[:rows], "s": own.sum(axis=1)})]
+    if a != b:
+        made.append(pd.DataFrame({"m": 0, "i": to[:cols], "s": own.sum(axis=0)}))
+    return pd.concat(made).assign(w=w, factor=factor)[["w", "factor", "m", "i", "s"]]
 
 
 def squared_acf(x: np.ndarray, lag: int) -> float:

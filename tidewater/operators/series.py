@@ -344,14 +344,12 @@ def rolling_moments(df: DataFrame, width: int, value: str = "x") -> DataFrame:
 
 
 def window_means(df: DataFrame, width: int, n: int, value: str = "x") -> DataFrame:
-    """(start, mean) of every whole window, named by its first row: a difference of two prefix sums.
-
-    The cost doesn't depend on the width.
-    """
-    run = prefix_sum(df.select("idx", value), F.col(value), "_p").select("idx", value, "_p")
-    ends = run.select((F.col("idx") - (width - 1)).alias("start"), F.col("_p").alias("_e"))
-    starts = run.select(F.col("idx").alias("start"), (F.col("_p") - F.col(value)).alias("_a"))
-    return starts.join(ends, "start").filter(F.col("start") <= n - width).select("start", ((F.col("_e") - F.col("_a")) / width).alias("mean"))
+    """(start, mean) of every whole window of the first ``n`` rows, named by its first row: two pieces a window, so nothing is
+    subtracted and the cost doesn't depend on the width. A window with a null has no row."""
+    x = F.col(value)
+    made = own_rows(window_pieces(spread(df.select("idx", value), past=width - 1), width, {"_s": F.sum(x), "_c": F.count(x)}))
+    whole = made.filter((F.col("_c_a") + F.coalesce("_c_b", F.lit(0)) == width) & (F.col("idx") < n))
+    return whole.select((F.col("idx") - (width - 1)).alias("start"), ((F.col("_s_a") + F.coalesce("_s_b", F.lit(0.0))) / width).alias("mean"))
 
 
 def representative_windows(means: DataFrame, n: int, width: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import scalars as S
 from tidewater.operators import candles, describe, dynamics, embedding, forecast, quality, series, surrogates
 from tidewater.operators.ordering import block_of, dense_index, evenly_spaced, sample_evenly, with_halo
-from tidewater.sources import synthetic
+from tidewater.sources import readers, synthetic
 
 MAIN = "log_rv_past_12"
 Tables = dict[str, DataFrame]
@@ -67,6 +67,14 @@ def need(n: int, least: int, what: str) -> None:
         raise ValueError(f"{what} needs {least:,} rows, there are {n:,}")
 
 
+def need_splits(rows: DataFrame) -> None:
+    """Each split must have rows."""
+    found = {r["split"] for r in rows.select("split").distinct().collect()}  # three names
+    for name in ("train", "validation", "test"):
+        if name not in found:
+            raise ValueError(f"split {name} is empty")
+
+
 def indexed(candle_rows: DataFrame) -> DataFrame:
     """Candles with their position on the regular grid, counted by day."""
     return dense_index(candle_rows, F.floor(F.unix_seconds(F.col("open_time").cast("timestamp")) / 86_400), ["open_time"])
@@ -467,7 +475,8 @@ def phase14(features: DataFrame, o: Settings = Settings(), recent_rows: int = 10
     the whole of validation and test; and on the neighbours' sample of test all of these and ``k`` neighbours.
     """
     p = p or {"tau": 137, "dim": 5, "theiler": 685}
-    rows = candles.split(features.dropna(subset=[*forecast.HAR_FEATURES, forecast.HAR_TARGET]), o.train_end, o.validation_end, purge=o.horizon)
+    rows = candles.split(readers.finite_rows(features, [*forecast.HAR_FEATURES, forecast.HAR_TARGET]), o.train_end, o.validation_end, purge=o.horizon)
+    need_splits(rows)
     train = rows.filter("split = 'train'")
     model = forecast.fit_har(train)
     mean = train.agg(F.avg(forecast.HAR_TARGET)).first()[0]

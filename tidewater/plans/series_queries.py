@@ -434,6 +434,23 @@ def bds(spark, sf):
     return dynamics.bds_by(series.slices(s, w), [2, 3, 4], [0.5, 1.0, 1.5])
 
 
+#: Near pairs of all days within 0.8 standard deviations; dimensions 2 and 3.
+_BDS = f"""WITH {I.DAILY}, t AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mean, stddev_samp(x) AS std FROM d), z AS (SELECT idx, (x - mean) / std AS z FROM d, t),
+e AS MATERIALIZED (SELECT z, lead(z) OVER (ORDER BY idx) AS z1, lead(z, 2) OVER (ORDER BY idx) AS z2, idx FROM z),
+p AS (SELECT a.idx, count(*) AS deg, count(*) FILTER (abs(a.z1 - b.z1) <= 0.8) AS cm2, count(*) FILTER (abs(a.z1 - b.z1) <= 0.8 AND abs(a.z2 - b.z2) <= 0.8) AS cm3,
+  count(*) FILTER (a.idx >= 1 AND b.idx >= 1) AS c2, count(*) FILTER (a.idx >= 2 AND b.idx >= 2) AS c3 FROM e a JOIN e b ON abs(a.z - b.z) <= 0.8 AND a.idx <> b.idx GROUP BY 1),
+u AS (SELECT n, sum(deg) / (n * (n - 1)) AS c, sum(deg * deg - deg) / (n * (n - 1) * (n - 2)) AS k, sum(cm2) AS cm2, sum(cm3) AS cm3, sum(c2) AS c2, sum(c3) AS c3 FROM p, t GROUP BY n),
+m AS (SELECT 2 AS dim, c2 / ((n - 1) * (n - 2)) AS c1, cm2 / ((n - 1) * (n - 2)) AS cm, k, 4 * (k ** 2 + 2 * k * c ** 2 + c ** 4 - 4 * k * c ** 2) AS variance, n FROM u
+  UNION ALL SELECT 3, c3 / ((n - 2) * (n - 3)), cm3 / ((n - 2) * (n - 3)), k, 4 * (k ** 3 + 2 * (k ** 2 * c ** 2 + k * c ** 4) + 4 * c ** 6 - 9 * k * c ** 4), n FROM u)
+SELECT dim, 0.8::DOUBLE AS factor, round(c1, 9) AS c1, round(cm, 9) AS cm, round(k, 9) AS k, round(sqrt(n - dim + 1) * (cm - c1 ** dim) / sqrt(variance), 5) AS statistic FROM m"""
+
+
+@register("bds_series", _BDS)
+def bds_series(spark, sf):
+    made = dynamics.bds_by(I.daily(spark, sf).select(F.lit("all").alias("window"), "idx", "x"), [2, 3], [0.8])
+    return I.rounded(made.select("dim", "factor", "c1", "cm", "k", "statistic"), c1=9, cm=9, k=9, statistic=5)
+
+
 @register("shuffle_comparison")
 def shuffle_comparison(spark, sf):
     s, _, w = _windows(spark, sf)
