@@ -8,7 +8,7 @@ The letters of the sort are w bytes, 4 or (beyond 4 GiB) 8; the letter after tha
 for w * 3**k bytes, and positions whose k-th digit (of x // w, base 3) is 1 or 2 are the sample: their triples of letters are sorted and
 named, and the names are the letters of level k + 1. Once names cover ``length`` bytes, or no two are equal, the names are ranks.
 Back up, the remaining third of the positions of each level is sorted by (letter, rank of the next) and merged with the
-sample. Ranks on top stand for suffixes: neighbours with equal prefixes of ``length`` bytes are repeats.
+sample; only positions near enough to the start of a whole string for the levels below to ask for their ranks take part. Ranks on top stand for suffixes: neighbours with equal prefixes of ``length`` bytes are repeats.
 
 Spark moves packed arrays: a row holds what a bundle sends to a part of the key range, or gets from it. Parts are cut by
 the first two letters; a name counts on from the names of the parts before, so that deeper levels have parts of the same sizes.
@@ -551,8 +551,8 @@ def _repeats(bundles: DataFrame, length: int, n: int, parts: int) -> DataFrame:
                 whole = _window_hashes(raw, length)
                 hashes[: len(whole)] = whole
                 keys.append(hashes)
-                there = b.left >= length  # places where a whole string starts; the others are ranked by now
-            x = np.flatnonzero(there)
+            # Below, strings start where ``length`` bytes are left, and each level asks for ranks at most two steps on: no others are made.
+            x = np.flatnonzero(there & (b.left >= length - width * (3**level - 1)))
             keys = [k[x] for k in keys]
             return pa.Table.from_pylist(_sent(number, part_of(level, keys[0], after[x]), x, keys, digit[x]), schema=sent)
 
