@@ -81,11 +81,11 @@ def test_training_learns_an_order():
     c = lm.Classes(counts)
     start = np.random.default_rng(0).integers(0, 50, 1500)
     rows = (start[:, None] + 3 * np.arange(lm.WINDOW + 1)[None, :]) % 50
-    w = lm.start_weights(c.prior)
-    before = lm.Scorer(w, c).scores([rows[0]])[0]
+    model = lm.Adam(lm.start_weights(c.prior))
+    before = lm.Scorer(model.w, c).scores([rows[0]])[0]
     for seed in range(2):
-        w = lm.train(w, c.inputs[rows[:, :-1]], c.outputs[rows[:, 1:]], np.ones((1500, lm.WINDOW), np.float32), seed=seed)
-    assert lm.Scorer(w, c).scores([rows[0]])[0] > 0.5 * before
+        model.train(c.inputs[rows[:, :-1]], c.outputs[rows[:, 1:]], np.ones((1500, lm.WINDOW), np.float32), seed)
+    assert lm.Scorer(model.w, c).scores([rows[0]])[0] > 0.5 * before
 
 
 def test_base_scores_equal_brute_force(docs, rows):
@@ -146,15 +146,36 @@ def test_every_window_of_the_training_documents_is_trained_on(spark, docs, rows,
                 want[tuple(window + [-1] * (lm.WINDOW + 1 - len(window)))] += 1
     n = own.sp.get_piece_size()
     gathered = lm.materialise(lm._gather(docs, MODEL), "gathered", by="kind")
-    got = Counter(tuple((np.frombuffer(r["key"], lm._kind(n + 1)).astype(int) - 1).tolist()) for r in lm._windows(gathered, n).collect())
-    assert got == want
+    learnt = gathered.filter("kind = 4 AND NOT held_out").select("key")
+    for most in (7, lm.RUN_WINDOWS):
+        monkeypatch.setattr(lm, "RUN_WINDOWS", most)
+        runs = list(lm.runs_of(iter(learnt.toArrow().to_batches()), n))
+        assert all(len(x) == most for x in runs[:-1])
+        assert Counter(tuple((r.astype(int) - 1).tolist()) for x in runs for r in x) == want
     assert sum(want.values()) > 16 * 20  # a sixteenth would be far from it
 
-    seen = []
-    monkeypatch.setattr(lm, "_trainer", lambda sent, turn: lambda key, table: lm.pa.table({"w": lm.pa.array([[float(table.num_rows)]], lm.pa.list_(lm.pa.float64())), "n": lm.pa.array([1], lm.pa.int64())}))
-    monkeypatch.setattr(lm, "unflatten", lambda flat, like: seen.append(flat[0]) or like)
-    lm._fit(gathered, lm.Classes(np.ones(n)), 2)
-    assert seen == [sum(want.values())] * 2  # one group here; both rounds see all of it
+    keys = lambda df: Counter(bytes(r["key"]) for r in df.collect())
+    for rounds in (1, 3):  # each document has its turn, once
+        assert sum((keys(lm._share(gathered, turn, rounds)) for turn in range(rounds)), Counter()) == keys(learnt)
+
+
+def test_weights_of_the_partitions_are_averaged_by_their_windows(spark):
+    """Two partitions train by themselves from the same weights; what ``_fit`` gives equals the mean of plain loops."""
+    rng = np.random.default_rng(5)
+    n = 200
+    rows = [(i, 4, False, rng.integers(0, n, int(k)).astype("<u2").tobytes()) for i, k in enumerate(rng.integers(1, 400, 60))]
+    gathered = spark.createDataFrame(rows, "doc_id long, kind int, held_out boolean, key binary").repartition(2)
+    classes = lm.Classes(np.arange(1.0, n + 1))
+    got = lm._fit(gathered, classes, 1)
+    parts = gathered.select(lm.F.spark_partition_id().alias("p"), "key").collect()
+    start, sums, total = lm.start_weights(classes.prior), 0, 0
+    for p in {r["p"] for r in parts}:
+        ids = np.concatenate([lm.cut(np.frombuffer(r["key"], "<u2"), "<u2") for r in parts if r["p"] == p]).astype(int) - 1
+        model = lm.Adam(start)
+        inputs = np.where(ids[:, :-1] >= 0, classes.inputs[ids[:, :-1]], lm.INPUTS - 1)
+        model.train(inputs, classes.outputs[np.maximum(ids[:, 1:], 0)], (ids[:, 1:] >= 0).astype(np.float32), seed=(0, p, 0))
+        sums, total = sums + model.flat.astype(float) * len(ids), total + len(ids)
+    assert np.allclose(lm.flatten(got), sums / total, atol=1e-5) and not np.allclose(lm.flatten(got), lm.flatten(start), atol=1e-3)
 
 
 def test_frequent_ids_have_classes_of_their_own():

@@ -3,8 +3,8 @@
 One layer of masked attention reads the last 32 subword ids. The next id is drawn in two steps: a class
 from the attention layer (each frequent id is a class of its own, the others share classes by
 frequency), then the id within its class by its add-one share of the training ids. Counts cover every
-id of every training document; the layer is fitted on all their windows, in groups that train side by
-side and are averaged by a distributed sum. Scoring slides windows of
+id of every training document; the layer is fitted on all their windows, each once, by the tasks that read them: these train
+side by side from the same weights, and a distributed sum averages what comes of it, in a few turns. Scoring slides windows of
 32 by 16: the first scores all its ids, each later one its last 16, so each id is scored once.
 
 Beside it stands a unigram score over words, whose counts cover all training documents too. A bounded
@@ -19,16 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialise, spent_shuffles_go
+from tidewater.llm.common import discard, materialise, spent_shuffles_go
 from tidewater.llm.pieces import MARK, codec
 from tidewater.session import ship
 
 WINDOW, STRIDE = 32, 16
 INPUTS, HEADS, TAILS, WIDTH, HIDDEN = 1024, 112, 16, 16, 32
-GROUP_WINDOWS = 4096
+#: Windows that are put in a random order together.
+RUN_WINDOWS = 16_384
+#: Tasks that add up the weights of a turn.
+SUMS = 16
 #: Frequent words that are sent to every task, at most.
 SENT_WORDS = 131_072
 _FLUSH = 500_000
@@ -170,23 +174,44 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     dx += dk @ w["k"].T
     dx += dv @ w["v"].T
     g["place"] = windows(dx).sum(axis=0)
+    ids = inputs.ravel().astype(np.uint16)  # 16 bits are sorted by radix
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], inputs.ravel(), dx)
+    g["embed"][ids[at]] = np.add.reduceat(dx[order], at, axis=0)
     return g
 
 
-def train(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, batch: int = 32, rate: float = 4e-3, seed: int = 0) -> dict[str, np.ndarray]:
-    """One pass of Adam over the windows, in an order drawn from ``seed``."""
-    w = {k: x.copy() for k, x in w.items()}
-    m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(inputs))
-    for step, at in enumerate(range(0, len(order), batch), 1):
-        part = order[at : at + batch]
-        for k, g in gradients(w, inputs[part], targets[part], mask[part]).items():
-            m[k] += 0.1 * (g - m[k])
-            s[k] += 0.01 * (g * g - s[k])
-            w[k] -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + np.float32(1e-8))
-    return w
+class Adam:
+    """Weights that are trained on runs of windows, one after another; all are views of one vector, so a step is a few operations."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float = 4e-3) -> None:
+        self.flat = flatten(weights).astype(np.float32)
+        self.w, at = {}, 0
+        for k, x in weights.items():
+            self.w[k] = self.flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.m, self.s, self.rate, self.steps = np.zeros_like(self.flat), np.zeros_like(self.flat), rate, 0
+
+    def train(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, seed: object, batch: int = 32) -> None:
+        """One pass over the windows, in an order drawn from ``seed``."""
+        order = np.random.default_rng(seed).permutation(len(inputs))
+        for at in range(0, len(order), batch):
+            part = order[at : at + batch]
+            self.steps += 1
+            got = gradients(self.w, inputs[part], targets[part], mask[part])
+            g = np.concatenate([got[k].ravel() for k in self.w])
+            self.m += np.float32(0.1) * (g - self.m)
+            g *= g
+            g -= self.s
+            g *= np.float32(0.01)
+            self.s += g
+            np.sqrt(self.s, out=g)
+            g += np.float32(1e-8)
+            np.divide(self.m, g, out=g)
+            g *= np.float32(self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
+            self.flat -= g
 
 
 class Scorer:
@@ -342,23 +367,22 @@ def cut(ids: np.ndarray, kind: str) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::WINDOW]
 
 
-def _windows(gathered: DataFrame, vocabulary: int) -> DataFrame:
-    """(doc_id, place, key): every window of every training document, cut anew from its ids whenever it is read."""
+def runs_of(batches: Iterator[pa.RecordBatch], vocabulary: int) -> Iterator[np.ndarray]:
+    """All windows of the texts whose ids come, RUN_WINDOWS at a time; only the windows of one text and of a run are held."""
     kind, wide = _kind(vocabulary), _kind(vocabulary + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                made = [cut(np.frombuffer(x, kind), wide) for x in part.column(1).to_pylist()]
-                sizes = np.array([len(x) for x in made])
-                rows = np.concatenate(made)
-                ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.itemsize * (WINDOW + 1))
-                place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                key = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(made)), sizes))), pa.array(place), key], names=["doc_id", "place", "key"])
-
-    return gathered.filter("kind = 4 AND NOT held_out").select("doc_id", "key").mapInArrow(run, "doc_id long, place long, key binary")
+    held, size = [], 0
+    for batch in batches:
+        for key in batch.column(0):
+            rows = cut(np.frombuffer(key.as_buffer(), kind), wide)
+            while len(rows):
+                held.append(rows[: RUN_WINDOWS - size])
+                size += len(held[-1])
+                rows = rows[len(held[-1]) :]
+                if size == RUN_WINDOWS:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def _kind(values: int) -> str:
@@ -366,49 +390,68 @@ def _kind(values: int) -> str:
 
 
 def _trainer(sent, turn: int):
-    """Trains on the windows of one group; its order comes from the windows alone."""
+    """Trains on all windows of a partition, and gives the weights that come of it, times their number."""
 
-    def run(key, table):
-        now, kinds = sent.value
-        rows = np.frombuffer(b"".join(sorted(table.column("key").to_pylist())), _kind(len(kinds.inputs) + 1)).reshape(-1, WINDOW + 1).astype(np.int32) - 1
-        before, after = rows[:, :-1], rows[:, 1:]
-        inputs = np.where(before >= 0, kinds.inputs[before], INPUTS - 1)
-        mask = (after >= 0).astype(np.float32)
-        done = train(now, inputs, kinds.outputs[np.maximum(after, 0)], mask, seed=1000 * turn + key[0].as_py())
-        return pa.table({"w": pa.array([flatten(done).astype(np.float64).tolist()], pa.list_(pa.float64())), "n": pa.array([len(rows)], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, classes = sent.value
+        model, n, task = Adam(now), 0, TaskContext.get().partitionId()
+        for rows in runs_of(batches, len(classes.inputs)):
+            ids = rows.astype(np.int32) - 1
+            before, after = ids[:, :-1], ids[:, 1:]
+            inputs = np.where(before >= 0, classes.inputs[before], INPUTS - 1)
+            model.train(inputs, classes.outputs[np.maximum(after, 0)], (after >= 0).astype(np.float32), seed=(turn, task, n))
+            n += len(rows)
+        if n:
+            yield _weighed(n, model.flat.astype(np.float64) * n)
 
     return run
 
 
+def _weighed(n: int, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of what came, a row at a time."""
+    n, w = 0, None
+    for batch in batches:
+        for size, more in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            more = np.frombuffer(more.as_buffer(), np.float64)
+            n, w = n + size, more.copy() if w is None else w + more
+    if n:
+        yield _weighed(n, w)
+
+
+def _share(gathered: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """Ids of the training documents whose turn it is: each has one turn, and a turn has three times the documents of those before."""
+    dealt = F.pmod(F.xxhash64("doc_id", "key"), F.lit(4**rounds))
+    return gathered.filter("kind = 4 AND NOT held_out").filter((dealt >= (4**turn if turn else 0)) & (dealt < 4 ** (turn + 1))).select("key")
+
+
 def _fit(gathered: DataFrame, classes: Classes, rounds: int) -> dict[str, np.ndarray]:
-    """Groups of windows train side by side from the same weights; their mean is a distributed sum."""
+    """Partitions train side by side, where their ids lie, from the same weights; only weights move, and their mean goes into the next turn."""
     weights = start_weights(classes.prior)
-    n = gathered.filter("kind = 4 AND NOT held_out").agg(F.sum(F.ceil(F.col("n") / WINDOW))).first()[0]
-    if not n:
-        return weights
-    groups = max(1, round(n / GROUP_WINDOWS))
-    # by document and place too, so that the windows of copies part
-    dealt = _windows(gathered, len(classes.inputs)).select(F.pmod(F.xxhash64("doc_id", "place", "key"), F.lit(groups)).cast("int").alias("g"), "key")
     spark = gathered.sparkSession
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((weights, classes))  # about 20,000 weights
-
-        trained = dealt.groupBy("g").applyInArrow(_trainer(sent, turn), "w array<double>, n long")
-        summed = trained.select("n", F.posexplode("w")).groupBy("pos").agg((F.sum(F.col("col") * F.col("n")) / F.sum("n")).alias("w")).orderBy("pos")
+        sent = spark.sparkContext.broadcast((weights, classes))  # about 20,000 weights, and two numbers for each subword
+        trained = _share(gathered, turn, rounds).mapInArrow(_trainer(sent, turn), "n long, w binary")
         with spent_shuffles_go(spark):
-            mean = summed.collect()
-        weights = unflatten(np.array([r["w"] for r in mean]), weights)
+            sums = trained.repartition(SUMS).mapInArrow(_added, "n long, w binary").collect()  # SUMS rows at most
+        sent.unpersist()
+        if sums:
+            total = np.sum([np.frombuffer(r["w"], np.float64) for r in sums], axis=0)
+            weights = unflatten(total / sum(r["n"] for r in sums), weights)
     return weights
 
 
-def score(docs: DataFrame, model_file: str, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, model_file: str, rounds: int = 3) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are runs of non-blank characters with A-Z in lower case, then one end for each document. Null
     text counts as empty and has the end alone. base_score: log10 of (c + 1) / (N + V + 1), summed; c is
     the token's count in the training documents, N all their tokens, V their kinds. score: log10 of the
     model's probability of the text's subword ids and their end. Without training documents all counts
-    are 0. Repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+    are 0. Repeated rows are scored alike; the ids of a very long text are held whole, its windows by runs; an empty table gives an empty result; other columns are ignored.
     """
     spark = ship(docs.sparkSession)
     gathered = materialise(_gather(docs, model_file), "gathered", by="kind")
@@ -472,6 +515,7 @@ def score(docs: DataFrame, model_file: str, rounds: int = 2) -> DataFrame:
     slim = gathered.filter("kind = 4").select("doc_id", "held_out", "key", "text")
     done = slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, rare array<binary>, rare_n array<long>")
     done = materialise(done.withColumn("row_id", F.monotonically_increasing_id()), "scored")
+    discard(gathered)
     rows = done.select("row_id", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row_id", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k"))
     more = rows.join(rare_counts, "word").groupBy("row_id").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"), F.sum("k").alias("more_known"))
     end = float(np.log10(trained + 1))
