@@ -64,7 +64,7 @@ def spent_shuffles_go(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_SPENT, was)
 
 
-def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and a lost executor costs only its running tasks.
 
     The shuffle files that made it go once it is written, so they never pile up over the steps of an operator.
@@ -73,7 +73,7 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     with spent_shuffles_go(spark):
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -259,7 +259,7 @@ def _sieve(texts: DataFrame, length: int, gram: int, every: int) -> tuple[DataFr
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) if marks > 1 << 16 else 1, marks // BUNDLE)
     found = materialise(_twice(stays, parts).groupBy("row_id", "base").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "open")
     discard(pieces)
-    regions = materialise(_regions(texts, found, length), "regions")
+    regions = materialise(_regions(texts, found, length), "regions", compression="zstd")
     discard(found)
     return copies, regions
 
@@ -646,7 +646,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = ship(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
     ids = F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id")
-    held = materialise(docs.select(*ids, text), "texts")
+    held = materialise(docs.select(*ids, text), "texts", compression="zstd")
     texts, copies = held.withColumn("base", F.lit(0).cast("long")), []
     for share, every in ROUNDS:
         done, regions = _sieve(texts, length, max(1, int(length * share)), every)
@@ -654,7 +654,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if len(copies) > 1:
             discard(texts)
         texts = regions
-    bundles = materialise(_bundled(texts), "bundles")
+    bundles = materialise(_bundled(texts), "bundles", compression="zstd")
     discard(texts)
     n = bundles.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     gone = copies[0]
