@@ -55,6 +55,22 @@ def vectors(spark):
     return spark.createDataFrame(rows, "idx long, vec array<double>, target double").repartition(4).cache()
 
 
+def test_a_search_has_a_task_a_pair_of_blocks(vectors):
+    """knn_topk and its kin: the shuffle's setting doesn't put many pairs of blocks into one task."""
+    found = forecast.causal_neighbours(vectors, vectors, 3, 5, 2, block_rows=300, query_rows=250)
+    before = vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    asked = neighbours.query_blocks(vectors, 250)
+    blocks = vectors.selectExpr("idx DIV 300 AS b", "idx AS i", "vec AS v", "target AS t")
+    low = blocks.groupBy("b").agg({"i": "min"}).withColumnRenamed("min(i)", "low")
+    tiles = neighbours.tiled(asked, blocks, low, 2, lambda left, right: pd.DataFrame({"l": [len(left)], "r": [len(right)]}), "l long, r long")
+    pairs = sum(300 * b + 2 <= 250 * q + 249 for b in range(10) for q in range(12))
+    assert pairs > int(before) and tiles.rdd.getNumPartitions() == pairs
+    sizes = [r for r in tiles.collect() if r["l"] and r["r"]]
+    assert len(sizes) == pairs and max(r["l"] for r in sizes) == 250 and max(r["r"] for r in sizes) == 300
+    whole = forecast.causal_neighbours(vectors, vectors, 3, 5, 2)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_an_open_index_sends_no_row_a_query_and_leaf(vectors, monkeypatch):
     """knn_indexed: vectors that no bound prunes travel once a bundle of leaves, not once a leaf."""
     index = neighbours.pivot_index(vectors, pivots=20, leaf_rows=50)
