@@ -135,12 +135,16 @@ def autoregression(acf: np.ndarray, order: int) -> np.ndarray:
     return levinson(np.asarray(acf)[: order + 1], order)[2]
 
 
+def lag_sums(own: np.ndarray, seen: np.ndarray, max_lag: int) -> np.ndarray:
+    """Sums of own[i] * seen[i - lag] at lags 0..max_lag, by a zero-padded transform; both have the same places."""
+    size = next_power_of_two(len(seen) + max_lag)
+    return np.fft.irfft(np.fft.rfft(own, size) * np.conj(np.fft.rfft(seen, size)), size)[: max_lag + 1]
+
+
 def acf_fft(x: np.ndarray, max_lag: int) -> np.ndarray:
     """Biased autocorrelation by a zero-padded transform; [1, 0, ...] for a flat series."""
     x = np.asarray(x, float) - np.mean(x)
-    size = next_power_of_two(2 * len(x) - 1)
-    f = np.fft.rfft(x, size)
-    c = np.fft.irfft(f * np.conj(f), size)[: max_lag + 1]
+    c = lag_sums(x, x, max_lag)
     return c / c[0] if c[0] > 0 else np.eye(1, max_lag + 1)[0]
 
 

@@ -1,8 +1,8 @@
 """Statistics of ordered series: stationarity, correlation, spectrum, autoregressions, portmanteau tests.
 
 A series is a DataFrame (idx, x), dense in idx; with ``by`` columns it is many. What is a sum over rows
-runs as an aggregate over lag columns, and only the bounded table of sums comes to the driver. What needs
-a whole series at once (a Fourier transform) runs in one Python call a series.
+runs as an aggregate over lag columns, or as transforms of blocks, and only the bounded table of sums comes to the
+driver. What needs a whole series at once (a spectrum) runs in one Python call a series.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from tidewater.functions import scalars as S
 from tidewater.functions import special
 from tidewater.operators.describe import quantiles
-from tidewater.operators.ordering import lags, own_rows, prefix_sum, spread, window_pieces, with_halo
+from tidewater.operators.ordering import dense_index, lags, own_rows, prefix_sum, spread, window_pieces, with_halo
 from tidewater.session import ship
 
 ADF_LAGS = (0, 1, 2, 3, 6, 12)
@@ -55,16 +55,29 @@ def acf(df: DataFrame, max_lag: int, value: str = "x", by: tuple[str, ...] = ())
     return joined.select(*by, "lag", "n", F.when(F.col("_s0") > 0, F.col("s") / F.col("_s0")).otherwise((F.col("lag") == 0).cast("double")).alias("acf"))
 
 
-def acf_fft(df: DataFrame, max_lag: int, value: str = "x", by: str = "series") -> DataFrame:
-    """(series, lag, n, acf) by a Fourier transform of each series; for lags by the thousand."""
+def acf_fft(df: DataFrame, max_lag: int, value: str = "x", by: str = "series", block_rows: int = 65_536) -> DataFrame:
+    """(series, lag, n, acf) by Fourier transforms of blocks; for lags by the thousand.
+
+    A block of ``block_rows`` places also sees the ``max_lag`` rows before it and sums its own rows' products with them; the
+    blocks' sums add up to those of the series. Places are counted in the order of idx, so idx may have gaps.
+    """
     ship(df.sparkSession)
+    x = F.col(value)
+    rows = dense_index(df.select(by, "idx", x.cast("double").alias("_x")), F.floor(F.col("idx") / block_rows), ["idx"], "_place", (by,))
+    stats = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(x).alias("_m"), (F.min(x) == F.max(x)).alias("_flat"))
+    centred = rows.join(stats, by).select(by, "_place", (F.col("_x") - F.col("_m")).alias("_c"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        out = special.acf_fft(part[value].to_numpy(), max_lag)
-        return pd.DataFrame({by: part[by].iloc[0], "lag": np.arange(len(out)), "n": len(part), "acf": out})
-
-    return df.select(by, "idx", value).groupBy(by).applyInPandas(run, f"{by} string, lag int, n long, acf double")
+        part = part.sort_values("_place")
+        seen = part["_c"].to_numpy(float)
+        sums = special.lag_sums(np.where(part["_own"] == part["_blk"], seen, 0.0), seen, max_lag)
+        return pd.DataFrame({by: part[by].iloc[0], "lag": np.arange(len(sums)), "s": sums})
+
+    sums = spread(centred, max_lag, 0, "_place", block_rows).groupBy(by, "_blk").applyInPandas(run, f"{by} string, lag int, s double").groupBy(by, "lag").agg(F.sum("s").alias("s"))
+    whole = sums.filter("lag = 0").select(by, F.col("s").alias("_s0")).join(stats, by)
+    moves = (F.col("_s0") > 0) & ~F.isnan("_s0") & ~F.coalesce("_flat", F.lit(False))
+    acf = F.when(F.col("lag") >= F.col("n"), 0.0).when(moves, F.col("s") / F.col("_s0")).otherwise((F.col("lag") == 0).cast("double"))
+    return sums.join(whole, by).select(by, "lag", "n", acf.alias("acf"))
 
 
 def spectrum(df: DataFrame, value: str = "x", by: str = "series") -> DataFrame:
