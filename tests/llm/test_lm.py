@@ -76,6 +76,35 @@ def test_gradients_equal_differences():
             assert abs((up - down) / 2e-4 - grads[k][at]) < 2e-4, k
 
 
+def test_small_logits_need_no_shift(monkeypatch):
+    """Where a bound tells that nothing overflows, no row is searched for its largest."""
+    w, c = random_model(6)
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 300, n) for n in (1, 40, 700)]
+    inputs, targets = rng.integers(0, 200, (40, lm.WINDOW)), rng.integers(0, 20, (40, lm.WINDOW))
+    mask = np.ones(inputs.shape, np.float32)
+    usual = lm._SAFE
+    monkeypatch.setattr(lm, "_SAFE", 0.0)
+    want, grads = lm.Scorer(w, c).scores(texts), lm.gradients(w, inputs, targets, mask)
+    monkeypatch.setattr(lm, "_SAFE", usual)
+    monkeypatch.setattr(lm, "_top", lambda x: pytest.fail("a shift that nothing needs"))
+    assert np.allclose(lm.Scorer(w, c).scores(texts), want, rtol=1e-5)
+    for k, g in lm.gradients(w, inputs, targets, mask).items():
+        assert np.allclose(g, grads[k], atol=1e-6), k
+
+
+def test_large_logits_are_shifted():
+    """Weights that exp can't take unshifted: scores and gradients stay finite, unlikely classes keep their own score."""
+    w, c = random_model(8)
+    w = w | {"out": w["out"] * 60, "bias": w["bias"] - 200, "q": w["q"] * 90}
+    ids = np.random.default_rng(9).integers(0, 300, lm.WINDOW)
+    row = np.array([[lm.INPUTS - 1, *c.inputs[ids[:-1]]]])
+    logs = lm.log_classes(w, row, 0)[0, np.arange(lm.WINDOW), c.outputs[ids]]
+    assert logs.min() < -80
+    assert math.isclose(lm.Scorer(w, c).scores([ids])[0], logs.sum() + c.within[ids].sum(), rel_tol=1e-4)
+    assert all(np.isfinite(g).all() for g in lm.gradients(w, row, c.outputs[ids][None], np.ones((1, lm.WINDOW), np.float32)).values())
+
+
 def test_training_learns_an_order():
     counts = np.full(50, 10.0)
     c = lm.Classes(counts)

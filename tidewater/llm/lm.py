@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -130,56 +131,88 @@ def log_classes(w: dict[str, np.ndarray], inputs: np.ndarray, first: int) -> np.
     return logits
 
 
+#: A sum of exponentials whose exponents all lie within this of 0 needs no shift: nothing overflows, and its products stay normal numbers.
+_SAFE = 60.0
+#: Rows of the output layer at once: few enough that their logits stay in the processor's cache.
+ROWS = 256
+
+
+def _bound(x: np.ndarray, w: np.ndarray) -> float:
+    """No product of a row of ``x`` and a column of ``w`` is further from 0; not a number if one of them has none."""
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0.0)) * np.sqrt(np.einsum("ij,ij->j", w, w).max(initial=0.0)))
+
+
+def _exponentials(logits: np.ndarray, safe: bool) -> np.ndarray:
+    """Of the logits, in place; unless ``safe``, each row is shifted by its largest first, so that only shares of a row's sum have a meaning."""
+    if not safe:
+        logits -= _top(logits)
+        np.maximum(logits, _LEAST, out=logits)
+    return np.exp(logits, out=logits)
+
+
+def _with_one(y: np.ndarray) -> np.ndarray:
+    """The rows with a 1 behind them, so that a product with weights and biases is one."""
+    out = np.empty((len(y), y.shape[1] + 1), y.dtype)
+    out[:, :-1], out[:, -1] = y, 1
+    return out
+
+
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss over the places where ``mask`` is 1; all places of the windows are rows of one product."""
-    scale = np.float32(WIDTH**-0.5)
+    kind, scale = w["out"].dtype, w["q"].dtype.type(WIDTH**-0.5)
     windows = lambda rows: rows.reshape(*inputs.shape, -1)
     flat = lambda parts: parts.reshape(-1, parts.shape[-1])
-    x = flat(w["embed"].take(inputs, axis=0) + w["place"])
-    q, k, v = windows(x @ (w["q"] * scale)), windows(x @ w["k"]), windows(x @ w["v"])
+    x = w["embed"].take(inputs, axis=0)
+    x += w["place"]
+    x = flat(x)
+    asks = w["q"] * scale
+    q, k, v = windows(x @ asks), windows(x @ w["k"]), windows(x @ w["v"])
     a = q @ k.transpose(0, 2, 1)
     a += _MASK
-    a = _softmax(a)
+    if not np.abs(q).max() * np.abs(k).max() * WIDTH < _SAFE:
+        a -= _top(a)
+    np.exp(a, out=a)
+    a *= (1 / (flat(a) @ np.ones(WINDOW, kind))).reshape(*inputs.shape, 1)
     c = flat(a @ v)
     z = x + c @ w["o"]
     h = z @ w["w1"]
     h += w["b1"]
     np.maximum(h, 0, out=h)
-    y = z + h @ w["w2"]
-    p = y @ w["out"]
-    p += w["bias"]
-    p -= _top(p)
-    np.maximum(p, _LEAST, out=p)
-    np.exp(p, out=p)
-    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
-    n = max(1.0, float(mask.sum()))
-    p[np.arange(len(p)), targets.ravel()] -= 1
-    p *= (mask.reshape(-1, 1) / n).astype(p.dtype)
-    g = {"out": y.T @ p, "bias": p.sum(axis=0)}
-    dy = p @ w["out"].T
+    y = h @ w["w2"]
+    y += z
+    share = (mask.ravel() / max(1.0, float(mask.sum()))).astype(kind)
+    hit, y1, out = targets.ravel(), _with_one(y), np.concatenate([w["out"], w["bias"][None]])
+    safe, ones = _bound(y1, out) < _SAFE, np.ones(out.shape[1], kind)
+    g_out, dy, back = np.zeros_like(out), np.empty_like(y), w["out"].T
+    for at in range(0, len(y), ROWS):
+        rows, to = y1[at : at + ROWS], slice(at, at + ROWS)
+        p = _exponentials(rows @ out, safe)
+        p *= (share[to] / (p @ ones))[:, None]
+        p[np.arange(len(p)), hit[to]] -= share[to]
+        g_out += (p.T @ rows).T
+        np.matmul(p, back, out=dy[to])
+    g = {"out": g_out[:-1], "bias": g_out[-1]}
     g["w2"] = h.T @ dy
     dh = dy @ w["w2"].T
-    dh *= h > 0
-    g["w1"], g["b1"] = z.T @ dh, dh.sum(axis=0)
-    dz = dy + dh @ w["w1"].T
+    dh *= np.sign(h, out=h)  # h is not below 0, and not asked for again
+    g["w1"], g["b1"] = z.T @ dh, np.ones(len(dh), kind) @ dh
+    dz = dh @ w["w1"].T
+    dz += dy
     g["o"] = c.T @ dz
-    dc = windows(dz @ w["o"].T)
-    ds = dc @ v.transpose(0, 2, 1)
-    ds -= (dc.reshape(c.shape) * c).sum(axis=1).reshape(*inputs.shape, 1)  # sum of da * a over a row is dc . c
+    dc = dz @ w["o"].T
+    ds = windows(dc) @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ij,ij->i", dc, c).reshape(*inputs.shape, 1)  # sum of da * a over a row is dc . c
     ds *= a
-    dq, dk, dv = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ dc)
-    dq *= scale  # q holds the scale already
+    dq, dk, dv = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ windows(dc))
     g["q"], g["k"], g["v"] = x.T @ dq, x.T @ dk, x.T @ dv
-    dx = dz + dq @ w["q"].T
+    g["q"] *= scale  # q holds the scale already, and so do asks
+    dx = dz
+    dx += dq @ asks.T
     dx += dk @ w["k"].T
     dx += dv @ w["v"].T
     g["place"] = windows(dx).sum(axis=0)
-    ids = inputs.ravel().astype(np.uint16)  # 16 bits are sorted by radix
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    g["embed"] = np.zeros_like(w["embed"])
-    g["embed"][ids[at]] = np.add.reduceat(dx[order], at, axis=0)
+    cells = inputs.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    g["embed"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=w["embed"].size).astype(dx.dtype).reshape(w["embed"].shape)
     return g
 
 
@@ -228,6 +261,7 @@ class Scorer:
         vo = weights["v"] @ weights["o"]
         self.values, self.place_values = keep(weights["embed"] @ vo), keep(weights["place"] @ vo)
         self.asks = keep(weights["q"] * WIDTH**-0.5)
+        self.out = keep(np.concatenate([weights["out"], weights["bias"][None]]))
 
     def targets(self, inputs: np.ndarray, targets: np.ndarray, first: int) -> np.ndarray:
         """Log probabilities of the target classes at the places from ``first`` on."""
@@ -237,23 +271,30 @@ class Scorer:
         keys, values = self.keys.take(inputs, axis=0), self.values.take(inputs, axis=0)
         keys += self.place_keys
         values += self.place_values
-        att = (xq.reshape(-1, WIDTH) @ self.asks).reshape(xq.shape) @ keys.transpose(0, 2, 1)
+        asks = xq.reshape(-1, WIDTH) @ self.asks
+        att = asks.reshape(xq.shape) @ keys.transpose(0, 2, 1)
         att += _MASK[first:]
-        att -= _top(att)
+        if not np.abs(asks).max() * np.abs(keys).max() * WIDTH < _SAFE:
+            att -= _top(att)
         np.exp(att, out=att)
         mixed = att @ values
-        mixed /= (att @ _ONES[:WINDOW])[..., None]
-        z = (xq + mixed).reshape(-1, WIDTH)
+        mixed *= (1 / (att.reshape(-1, WINDOW) @ _ONES[:WINDOW])).reshape(*att.shape[:2], 1)
+        mixed += xq
+        z = mixed.reshape(-1, WIDTH)
         h = z @ w["w1"]
         h += w["b1"]
         np.maximum(h, 0, out=h)
-        logits = (z + h @ w["w2"]) @ w["out"]
-        logits += w["bias"]
-        logits -= _top(logits)
-        picked = logits[np.arange(len(logits)), targets.ravel()]
-        np.maximum(logits, _LEAST, out=logits)
-        np.exp(logits, out=logits)
-        return (picked - np.log(logits @ _ONES[: logits.shape[1]])).reshape(n, -1)
+        y = h @ w["w2"]
+        y += z
+        y, hit, said = _with_one(y), targets.ravel(), np.empty(len(z), np.float32)
+        safe, ones = _bound(y, self.out) < _SAFE, _ONES[: self.out.shape[1]]
+        for at in range(0, len(y), ROWS):
+            p, to = y[at : at + ROWS] @ self.out, slice(at, at + ROWS)
+            if not safe:
+                p -= _top(p)
+            said[to] = p[np.arange(len(p)), hit[to]]
+            said[to] -= np.log(_exponentials(p, safe) @ ones)
+        return said.reshape(n, -1)
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """One per text; each id of each text is scored once, in batches of windows over padded texts."""
@@ -480,6 +521,7 @@ def score(docs: DataFrame, model_file: str, rounds: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_words, w, c, kind, said = sent.value
+        said = np.array(said, object)
         logs = {k: float(np.log10(v + 1)) for k, v in frequent_words.items()}
         scorer = Scorer(w, c)
         for batch in batches:
@@ -487,23 +529,18 @@ def score(docs: DataFrame, model_file: str, rounds: int = 3) -> DataFrame:
                 part = batch.slice(start, 128)
                 ids = [np.frombuffer(x, kind) for x in part.column(2).to_pylist()]
                 natural = scorer.scores(ids)
-                texts = [b"".join(map(said.__getitem__, x.tolist()))[1:] if t is None else t.encode() for x, t in zip(ids, part.column(3).to_pylist(), strict=True)]
+                texts = [b"".join(said[x].tolist())[1:] if t is None else t.encode() for x, t in zip(ids, part.column(3).to_pylist(), strict=True)]
                 n, known, sums, rare, rare_n = [], [], [], [], []
                 for text in texts:
-                    bag = Counter(text.lower().split())
-                    s, hits, left = 0.0, 0, []
-                    for word, k in bag.items():
-                        v = logs.get(word)
-                        if v is None:
-                            left.append(word)
-                        else:
-                            s += k * v
-                            hits += k
-                    n.append(bag.total() + 1)
-                    known.append(hits)
-                    sums.append(s)
-                    rare.append(left)
-                    rare_n.append([bag[x] for x in left])
+                    words = text.lower().split()
+                    found = list(map(logs.get, words, repeat(0.0)))  # logarithms of 2 and more, so 0 stands for a word that isn't there
+                    missing = found.count(0.0)
+                    bag = Counter(w for w, v in zip(words, found, strict=True) if not v) if missing else {}
+                    n.append(len(words) + 1)
+                    known.append(len(words) - missing)
+                    sums.append(sum(found))
+                    rare.append(list(bag))
+                    rare_n.append(list(bag.values()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()),
