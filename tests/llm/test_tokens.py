@@ -37,6 +37,25 @@ def test_byte_words_equal_the_library(text):
     assert list(struct.unpack(f"<{len(got) // 4}I", got)) == want
 
 
+def test_many_new_words_are_one_text_for_the_library(monkeypatch):
+    own, given_texts = token_files.ByteCodec(BYTES), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **settings):
+            given_texts.extend(texts)
+            return inner.encode_batch_fast(texts, **settings)
+
+    inner = own.tok
+    texts = [f"{i}x qu{i}r, 漢{i}\u3000 b<{i} {i}< é.\n{i}" for i in range(400)] + ["", "a"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in inner.encode_batch_fast(texts, add_special_tokens=False)]
+    monkeypatch.setattr(own, "tok", Counted())
+    assert own.encode(texts) == want
+    assert len(given_texts) < len(texts) / 10
+    given_texts.clear()
+    odd = ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>", "so new<|"]
+    assert own.encode(odd) == [np.array(e.ids, "<u4").tobytes() for e in inner.encode_batch_fast(odd, add_special_tokens=False)]
+
+
 def test_chunk_table_is_right_at_any_bound():
     calls = []
 

@@ -162,17 +162,39 @@ class ByteCodec:
         # Words may be cut apart only where no rule looks across a single blank between two non-blanks.
         pre = str(self.tok.pre_tokenizer)
         self.separable = self.tok.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
+        self.between, self.between_id = self._separator()
+
+    def _separator(self) -> tuple[str | None, int]:
+        """The model's only added token, if texts are cut at it before any rule looks at them and no two of it overlap."""
+        added = list(self.tok.get_added_tokens_decoder().items())
+        if self.separable and len(added) == 1:
+            ((i, token),) = added
+            text = token.content
+            bordered = any(text.startswith(text[k:]) for k in range(1, len(text)))
+            if text.startswith(SPECIAL) and not (token.lstrip or token.rstrip or token.single_word or token.normalized or bordered):
+                return text, i
+        return None, -1
 
     def _segment(self, chunks: list[str]) -> Iterator[bytes]:
-        for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False):
-            yield array("I", e.ids).tobytes()
+        """The library takes many chunks as one text, with the added token between them; it cuts there first of all."""
+        if self.between is None or any(SPECIAL in c for c in chunks):
+            for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+            return
+        for at in range(0, len(chunks), TOGETHER):
+            ids = np.array(self.tok.encode_batch_fast([self.between.join(chunks[at : at + TOGETHER])], add_special_tokens=False)[0].ids, np.uint32)
+            begin, raw = 0, ids.tobytes()
+            for end in (4 * np.flatnonzero(ids == self.between_id)).tolist():
+                yield raw[begin:end]
+                begin = end + 4
+            yield raw[begin:]
 
     def _after_blank(self, words: list[str]) -> Iterator[bytes]:
         """Of words that stand after a single blank; new ones are cut further, for their parts come more often."""
         parts: list[str] = []
         ends = []
         for w in words:
-            parts += PART.split(f" {w}") if SPECIAL not in w else [f" {w}"]
+            parts += [f" {w}"] if w.isalnum() or SPECIAL in w else PART.split(f" {w}")
             ends.append(len(parts))
         found, at = self.parts.packed(parts), 0
         for end in ends:
@@ -200,13 +222,23 @@ class ByteCodec:
 #: Places inside a word where a rule always ends: before a mark after a letter, around a single line end.
 PART = re.compile(r"(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])(?=[.,;:!?])|(?<=[.,;:!?])(?=\n)|(?<=[^\s]\n)(?=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])")
 SPECIAL = "<|"
-BESIDE_BLANK = re.compile(r"(?:^|\s) | (?:\s|$)")
+#: Chunks that the library takes as one text.
+TOGETHER = 512
+#: White space other than the blank.
+WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+
+
+def beside_blank(text: str) -> bool:
+    """Whether some blank stands at an end of the text or beside other white space."""
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        return True
+    return any(f" {c}" in text or f"{c} " in text for c in WHITE if c in text)
 
 
 def blank_words(text: str) -> list[str]:
     """Cut at each blank that stands alone between two characters that are not white space."""
     words = text.split(" ")
-    if not BESIDE_BLANK.search(text):
+    if not beside_blank(text):
         return words
     out = [words[0]]
     for w in words[1:]:
