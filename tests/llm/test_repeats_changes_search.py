@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -189,6 +190,39 @@ def test_changes_through_the_stream(spark):
     assert changes.apply_changes(df.limit(0), batches=1, buckets=2).count() == 0
 
 
+class FakeGroup:
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+
+def test_a_bucket_s_state_comes_back_as_it_was():
+    held = {(False, 3, 2): (19800, 7, "U", None, 1.005, None, None, None), (True, 0, 0): (None, 8, "I", "é", None, 4, 2, 9)}
+    group = FakeGroup()
+    changes.Stored(held).into(group)
+    assert dict(changes.Stored.of(group)) == held
+    changes.Stored().into(group)
+    assert not group.exists and not changes.Stored.of(group)
+
+
+def test_a_stream_leaves_no_native_store_behind(spark):
+    """Each opening of a RocksDB store keeps half a MB of native memory, and every start opens all partitions."""
+    was = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    rows = [(i, i % 3, i, "I", datetime.datetime(2024, 1, 1 + i), "x", 1.0) for i in range(20)]
+    made = []
+    path = changes.new_path
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(changes, "new_path", lambda *a: made.append(path(*a)) or made[-1])
+        changes.apply_changes(spark.createDataFrame(rows, "change_id long, client_id long, seq long, op string, valid_at timestamp_ntz, city string, balance double"), batches=2)
+    names = {f.suffix for f in pathlib.Path(made[-1].removeprefix("file://"), "checkpoint", "state").rglob("[0-9]*.*")}
+    assert ".delta" in names and not names & {".zip", ".changelog"}
+    assert was == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.streaming.stateStore.providerClass", None))
+
+
 def test_dense_ranks_over_parts(spark):
     pairs = [(c, s) for c in (None, 1, 2) for s in (None, *range(0, 90, 3))]
     got = {(r[0], r[1]): r[2] for r in changes._numbered(spark.createDataFrame(pairs, "client_id long, seq long")).collect()}
