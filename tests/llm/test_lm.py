@@ -93,6 +93,23 @@ def test_small_logits_need_no_shift(monkeypatch):
         assert np.allclose(g, grads[k], atol=1e-6), k
 
 
+def test_large_weights_need_no_shift_while_logits_are_small(monkeypatch):
+    """What counts are the values themselves: a product of norms was far above them for trained weights, and every row was shifted."""
+    w, c = random_model(6)
+    w = w | {"out": np.concatenate([np.full_like(w["out"][:1], 200), w["out"][1:]]), "w2": w["w2"] * [0, *[1] * (lm.WIDTH - 1)]}
+    w = {k: v.astype(np.float32) for k, v in w.items()}
+    for k in ("embed", "place", "o"):
+        w[k][:, 0] = 0
+    w["embed"][:, 1], w["out"][1] = 50, 0.01
+    w["q"][1], w["k"][1], w["v"][1], w["w1"][1] = 0, 0, 0, 0
+    ids = np.random.default_rng(7).integers(0, 300, 700)
+    inputs, targets = c.inputs[ids[: 20 * lm.WINDOW].reshape(20, lm.WINDOW)], c.outputs[ids[-20 * lm.WINDOW :].reshape(20, lm.WINDOW)]
+    assert np.abs(lm.log_classes(w, inputs, 0)).max() < 40
+    monkeypatch.setattr(lm, "_top", lambda x: pytest.fail("a shift that nothing needs"))
+    assert np.isfinite(lm.Scorer(w, c).scores([ids])).all()
+    assert all(np.isfinite(g).all() for g in lm.gradients(w, inputs, targets, np.ones(inputs.shape, np.float32)).values())
+
+
 def test_large_logits_are_shifted():
     """Weights that exp can't take unshifted: scores and gradients stay finite, unlikely classes keep their own score."""
     w, c = random_model(8)

@@ -131,20 +131,20 @@ def log_classes(w: dict[str, np.ndarray], inputs: np.ndarray, first: int) -> np.
     return logits
 
 
-#: A sum of exponentials whose exponents all lie within this of 0 needs no shift: nothing overflows, and its products stay normal numbers.
+#: Exponents that all lie within this of 0 need no shift: nothing overflows, and products of exponentials stay normal numbers.
 _SAFE = 60.0
 #: Rows of the output layer at once: few enough that their logits stay in the processor's cache.
 ROWS = 256
 
 
-def _bound(x: np.ndarray, w: np.ndarray) -> float:
-    """No product of a row of ``x`` and a column of ``w`` is further from 0; not a number if one of them has none."""
-    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0.0)) * np.sqrt(np.einsum("ij,ij->j", w, w).max(initial=0.0)))
+def _fits(x: np.ndarray) -> bool:
+    """Whether all of them may be raised without a shift; the two looks cost less than the search of each row for its largest."""
+    return bool(-_SAFE < x.min() and x.max() < _SAFE)
 
 
-def _exponentials(logits: np.ndarray, safe: bool) -> np.ndarray:
-    """Of the logits, in place; unless ``safe``, each row is shifted by its largest first, so that only shares of a row's sum have a meaning."""
-    if not safe:
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """Of the logits, in place; unless they fit, each row is shifted by its largest first, so that only shares of a row's sum have a meaning."""
+    if not _fits(logits):
         logits -= _top(logits)
         np.maximum(logits, _LEAST, out=logits)
     return np.exp(logits, out=logits)
@@ -165,11 +165,13 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     x = w["embed"].take(inputs, axis=0)
     x += w["place"]
     x = flat(x)
-    asks = w["q"] * scale
-    q, k, v = windows(x @ asks), windows(x @ w["k"]), windows(x @ w["v"])
+    qkv = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
+    three = lambda parts: (parts[..., :WIDTH], parts[..., WIDTH : 2 * WIDTH], parts[..., 2 * WIDTH :])
+    q, k, v = three(windows(x @ qkv))
     a = q @ k.transpose(0, 2, 1)
+    fits = _fits(a)
     a += _MASK
-    if not np.abs(q).max() * np.abs(k).max() * WIDTH < _SAFE:
+    if not fits:
         a -= _top(a)
     np.exp(a, out=a)
     a *= (1 / (flat(a) @ np.ones(WINDOW, kind))).reshape(*inputs.shape, 1)
@@ -182,19 +184,21 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     y += z
     share = (mask.ravel() / max(1.0, float(mask.sum()))).astype(kind)
     hit, y1, out = targets.ravel(), _with_one(y), np.concatenate([w["out"], w["bias"][None]])
-    safe, ones = _bound(y1, out) < _SAFE, np.ones(out.shape[1], kind)
-    g_out, dy, back = np.zeros_like(out), np.empty_like(y), w["out"].T
+    ones = np.ones(out.shape[1], kind)
+    g_out, dy, back = np.zeros_like(out), np.empty_like(y), np.ascontiguousarray(w["out"].T)
     for at in range(0, len(y), ROWS):
         rows, to = y1[at : at + ROWS], slice(at, at + ROWS)
-        p = _exponentials(rows @ out, safe)
-        p *= (share[to] / (p @ ones))[:, None]
-        p[np.arange(len(p)), hit[to]] -= share[to]
-        g_out += (p.T @ rows).T
+        p = _exponentials(rows @ out)
+        total = p @ ones
+        p[np.arange(len(p)), hit[to]] -= total
+        each = (share[to] / total)[:, None]  # a row's p counts so much; its few inputs and results are scaled, not its many classes
+        g_out += (rows * each).T @ p
         np.matmul(p, back, out=dy[to])
+        dy[to] *= each
     g = {"out": g_out[:-1], "bias": g_out[-1]}
     g["w2"] = h.T @ dy
     dh = dy @ w["w2"].T
-    dh *= np.sign(h, out=h)  # h is not below 0, and not asked for again
+    dh *= h > 0
     g["w1"], g["b1"] = z.T @ dh, np.ones(len(dh), kind) @ dh
     dz = dh @ w["w1"].T
     dz += dy
@@ -203,13 +207,16 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     ds = windows(dc) @ v.transpose(0, 2, 1)
     ds -= np.einsum("ij,ij->i", dc, c).reshape(*inputs.shape, 1)  # sum of da * a over a row is dc . c
     ds *= a
-    dq, dk, dv = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ windows(dc))
-    g["q"], g["k"], g["v"] = x.T @ dq, x.T @ dk, x.T @ dv
-    g["q"] *= scale  # q holds the scale already, and so do asks
+    d = np.empty((*inputs.shape, 3 * WIDTH), kind)
+    dq, dk, dv = three(d)
+    np.matmul(ds, k, out=dq)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+    np.matmul(a.transpose(0, 2, 1), windows(dc), out=dv)
+    d = flat(d)
+    g["q"], g["k"], g["v"] = three(x.T @ d)
+    g["q"] *= scale  # q holds the scale already, and so does qkv
     dx = dz
-    dx += dq @ asks.T
-    dx += dk @ w["k"].T
-    dx += dv @ w["v"].T
+    dx += d @ qkv.T
     g["place"] = windows(dx).sum(axis=0)
     cells = inputs.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
     g["embed"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=w["embed"].size).astype(dx.dtype).reshape(w["embed"].shape)
@@ -273,8 +280,9 @@ class Scorer:
         values += self.place_values
         asks = xq.reshape(-1, WIDTH) @ self.asks
         att = asks.reshape(xq.shape) @ keys.transpose(0, 2, 1)
+        fits = _fits(att)
         att += _MASK[first:]
-        if not np.abs(asks).max() * np.abs(keys).max() * WIDTH < _SAFE:
+        if not fits:
             att -= _top(att)
         np.exp(att, out=att)
         mixed = att @ values
@@ -287,13 +295,16 @@ class Scorer:
         y = h @ w["w2"]
         y += z
         y, hit, said = _with_one(y), targets.ravel(), np.empty(len(z), np.float32)
-        safe, ones = _bound(y, self.out) < _SAFE, _ONES[: self.out.shape[1]]
+        ones = _ONES[: self.out.shape[1]]
         for at in range(0, len(y), ROWS):
             p, to = y[at : at + ROWS] @ self.out, slice(at, at + ROWS)
-            if not safe:
+            if not _fits(p):
                 p -= _top(p)
-            said[to] = p[np.arange(len(p)), hit[to]]
-            said[to] -= np.log(_exponentials(p, safe) @ ones)
+                said[to] = p[np.arange(len(p)), hit[to]]
+                np.maximum(p, _LEAST, out=p)
+            else:
+                said[to] = p[np.arange(len(p)), hit[to]]
+            said[to] -= np.log(np.exp(p, out=p) @ ones)
         return said.reshape(n, -1)
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
