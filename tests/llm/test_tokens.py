@@ -56,6 +56,19 @@ def test_many_new_words_are_one_text_for_the_library(monkeypatch):
     assert own.encode(odd) == [np.array(e.ids, "<u4").tobytes() for e in inner.encode_batch_fast(odd, add_special_tokens=False)]
 
 
+def test_a_word_of_many_texts_is_looked_up_once(monkeypatch):
+    own, asked = token_files.ByteCodec(BYTES), []
+    packed = own.words.packed
+    monkeypatch.setattr(own.words, "packed", lambda chunks: asked.extend(chunks) or packed(chunks))
+    texts = ["x same words again", "y  same words\u00a0 again ", "", " ", "same", "again same"] * 50
+    texts += [f"a{w} b same" for w in token_files.WHITE] + [f"a {w}b same" for w in token_files.WHITE]
+    want = [np.array(e.ids, "<u4").tobytes() for e in own.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+    assert own.encode(["x", "", " "]) == [np.array(e.ids, "<u4").tobytes() for e in own.tok.encode_batch_fast(["x", "", " "], add_special_tokens=False)]
+    assert own.encode([]) == []
+    assert len(asked) == len(set(asked)) > 2
+
+
 def test_chunk_table_is_right_at_any_bound():
     calls = []
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+
 
 class ChunkTable:
     """Maps each distinct chunk to what ``segment`` makes of it, once while it stays in the table.
@@ -20,23 +23,31 @@ class ChunkTable:
 
     def packed(self, chunks: list[str]) -> list:
         """One entry per chunk; all that are missing are segmented in one call."""
-        young = self.young
-        found = list(map(young.get, chunks))
+        found = list(map(self.young.get, chunks))
         if None in found:
             holes = [i for i, x in enumerate(found) if x is None]
-            old, fresh = self.old, {}
-            for i in holes:
-                c = chunks[i]
-                if c not in young:
-                    known = old.get(c)
-                    if known is None:
-                        fresh[c] = None
-                    else:
-                        young[c] = known
-            if fresh:
-                young.update(zip(fresh, self.segment(list(fresh)), strict=True))
-            for i in holes:
-                found[i] = young[chunks[i]]
-            if len(young) > self.most:
-                self.old, self.young = young, {}
+            missing = [chunks[i] for i in holes]
+            fresh = dict.fromkeys(missing)  # small beside the table, so what follows stays in the processor's cache
+            if self.old:
+                fresh.update(zip(fresh, list(map(self.old.get, fresh)), strict=True))
+            new = [c for c, x in fresh.items() if x is None]
+            if new:
+                fresh.update(zip(new, self.segment(new), strict=True))
+            for i, c in zip(holes, missing, strict=True):
+                found[i] = fresh[c]
+            self.young.update(fresh)
+            if len(self.young) > self.most:
+                self.old, self.young = self.young, {}
         return found
+
+    def joined(self, chunks: pa.Array, ends: np.ndarray) -> list[bytes]:
+        """The entries of all chunks up to each end, joined; a chunk that comes often is looked up once, and Arrow joins."""
+        if not len(chunks):
+            return [b""] * len(ends)
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() takes ten times as long
+        found = pa.array(self.packed(distinct), pa.large_binary()).take(coded.indices)
+        _, offsets, data = found.buffers()
+        edges = np.frombuffer(offsets, np.int64)[found.offset : found.offset + len(found) + 1][np.concatenate([[0], ends])].tolist()
+        raw = memoryview(data or b"")
+        return [bytes(raw[a:b]) for a, b in zip(edges, edges[1:], strict=False)]

@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from pyspark.sql.window import Window
 
 from tidewater.llm.chunks import ChunkTable
 from tidewater.llm.common import materialise, new_path
+from tidewater.llm.wordhash import pieces_of
 from tidewater.session import ship
 
 MAGIC = b"TWTOKID1"
@@ -198,24 +200,28 @@ class ByteCodec:
             ends.append(len(parts))
         found, at = self.parts.packed(parts), 0
         for end in ends:
-            yield b"".join(found[at:end])
+            yield found[at] if end == at + 1 else b"".join(found[at:end])
             at = end
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.separable:
-            return list(self._segment(texts))
-        firsts: list[str] = []
-        rest: list[str] = []
-        ends = []
-        for text in texts:
-            first, *others = blank_words(text)
-            firsts.append(first)
-            rest += others
-            ends.append(len(rest))
-        heads, found, at, out = self.parts.packed(firsts), self.words.packed(rest), 0, []
-        for head, end in zip(heads, ends, strict=True):
-            out.append(head + b"".join(found[at:end]))
-            at = end
+            return list(self._segment(texts.to_pylist()))
+        odd = np.array(pc.match_substring_regex(texts, BESIDE_BLANK), bool)
+        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        words, sizes = plain.flatten(), np.array(pc.list_value_length(plain), np.int64)
+        if odd.any():
+            apart = [blank_words(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+            words = pa.concat_arrays([words, pa.array([w for ws in apart for w in ws], words.type)])
+            sizes = np.concatenate([sizes, [len(ws) for ws in apart]])
+        ends = np.cumsum(sizes)
+        first = np.zeros(len(words), bool)
+        first[ends - sizes] = True
+        heads = self.parts.packed(words.filter(pa.array(first)).to_pylist())
+        rests = self.words.joined(words.filter(pa.array(~first)), ends - np.arange(1, len(ends) + 1))
+        out: list[bytes] = [b""] * len(texts)
+        for i, head, rest in zip(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]).tolist(), heads, rests, strict=True):
+            out[i] = head + rest
         return out
 
 
@@ -228,18 +234,13 @@ TOGETHER = 512
 WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
-def beside_blank(text: str) -> bool:
-    """Whether some blank stands at an end of the text or beside other white space."""
-    if "  " in text or text[:1] == " " or text[-1:] == " ":
-        return True
-    return any(f" {c}" in text or f"{c} " in text for c in WHITE if c in text)
+#: A blank at an end of the text or beside other white space.
+BESIDE_BLANK = r"\A | \z|  " + f"| [{''.join(WHITE)}]|[{''.join(WHITE)}] "
 
 
 def blank_words(text: str) -> list[str]:
     """Cut at each blank that stands alone between two characters that are not white space."""
     words = text.split(" ")
-    if not beside_blank(text):
-        return words
     out = [words[0]]
     for w in words[1:]:
         last = out[-1]
@@ -278,13 +279,12 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, uri: str, shards: in
         final, draft = f"{root}/shard-{shard:08d}.twt", f"{root}/_draft-{shard:08d}-{uuid.uuid4().hex}"
         sink = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in pieces_of(batch, 1):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     sink = store.open_output_stream(draft)
                     writer = ShardWriter(sink)
-                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1)), strict=True):
                     writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
