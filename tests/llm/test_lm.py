@@ -230,3 +230,32 @@ def test_frequent_ids_have_classes_of_their_own():
     sizes = np.bincount(c.outputs)
     assert c.size == 128 and (sizes == 1).sum() == 112 and (c.outputs[:112] == np.arange(112)).all()
     assert np.allclose(c.within[:112], 0)
+
+
+def test_words_are_those_of_a_plain_split():
+    texts = ["", " ", "A b\tÉ a\r\n\x0b\x0cB  ", " x  y\x1cz", "b"]
+    keys, which, owner = lm.lower_words(lm.pa.array(texts))
+    assert len(set(keys.to_pylist())) == len(keys)
+    assert [(int(o), keys[int(i)].as_py()) for i, o in zip(which, owner, strict=True)] == [(k, w) for k, t in enumerate(texts) for w in t.encode().lower().split()]
+
+
+def test_a_word_of_many_texts_is_segmented_once(monkeypatch):
+    own, asked = lm.codec(MODEL), []
+    packed = own.id_table.packed
+    monkeypatch.setattr(own.id_table, "packed", lambda chunks: asked.extend(chunks) or packed(chunks))
+    texts = ["same words again", "same  words ", "", " ", "a▁same words", "same"] * 20
+    assert own.ids(texts) == [np.array(own.sp.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for t in texts]
+    assert len(asked) == len(set(asked)) > 2
+
+
+def test_counts_of_batches_that_are_cut(spark):
+    """Long texts: a batch goes through in several pieces, the last of which begin inside its buffers."""
+    rows = [(i, f"Word{i % 3} again▁ {i} " * 10_000) for i in range(40)]
+    got = lm._gather(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), MODEL).toArrow().to_pylist()
+    learnt = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter()
+    for r in got:
+        counts[bytes(r["key"])] += r["n"] if r["kind"] == 0 else 0
+    assert +counts == Counter(w for t in learnt for w in t.encode().lower().split())
+    assert {r["doc_id"]: r["text"] for r in got if r["kind"] == 4} == dict(rows)
+    assert sum(r["n"] for r in got if r["kind"] == 3) == len(learnt)

@@ -6,6 +6,22 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+
+def cut_texts(texts: pa.Array, plain: np.ndarray, odd: np.ndarray, cut: Callable[[str], list[str]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of the plain texts, cut at each blank, then of the odd ones by ``cut``; how many each text has, and which texts these are."""
+    lists = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+    words, sizes = lists.flatten(), np.array(pc.list_value_length(lists), np.int64)
+    if odd.any():
+        apart = [cut(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        words = pa.concat_arrays([words, pa.array([w for ws in apart for w in ws], words.type)])
+        sizes = np.concatenate([sizes, [len(ws) for ws in apart]])
+    return words, sizes, np.concatenate([np.flatnonzero(plain), np.flatnonzero(odd)])
+
+
+def as_texts(texts: list[str] | pa.Array) -> pa.Array:
+    return texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
 
 
 class ChunkTable:

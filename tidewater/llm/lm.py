@@ -14,18 +14,19 @@ table of frequent words goes to every task; all other words of a document meet t
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import discard, materialise, spent_shuffles_go
 from tidewater.llm.pieces import MARK, codec
+from tidewater.llm.wordhash import pieces_of
 from tidewater.session import ship
 
 WINDOW, STRIDE = 32, 16
@@ -92,6 +93,7 @@ _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), np.float32(0), np.flo
 
 #: A class less likely than exp of this counts as that: far under the rounding of a sum, and its products stay normal numbers.
 _LEAST = np.float32(-60)
+_CELLS = np.arange(INPUTS * WIDTH).reshape(INPUTS, WIDTH)  # where an input's weights lie
 _ONES = np.ones(1024, np.float32)  # a product with it sums rows faster than sum() does
 #: Windows at once: few enough that what is made of them stays in the processor's cache.
 AT_ONCE = 64
@@ -218,7 +220,7 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     dx = dz
     dx += d @ qkv.T
     g["place"] = windows(dx).sum(axis=0)
-    cells = inputs.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    cells = _CELLS.take(inputs.ravel(), axis=0)
     g["embed"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=w["embed"].size).astype(dx.dtype).reshape(w["embed"].shape)
     return g
 
@@ -341,11 +343,20 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def _ids(own, texts: list[str]) -> list[np.ndarray]:
+def _ids(own, texts: list[str] | pa.Array) -> list[np.ndarray]:
     """Subword ids of each text and the end id."""
     return [np.frombuffer(x, "<u4")[1:] for x in own.ids(texts)]
 
 
+def lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts with A-Z in lower case; for each word in order which of them it is, and its text's number."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, owner = lists.flatten(), np.array(pc.list_parent_indices(lists), np.int64)
+    real = np.array(pc.binary_length(words), np.int64) > 0
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    return coded.dictionary.cast(pa.large_binary()), np.array(coded.indices, np.int64), owner[real]
+
+
 def surfaces(own) -> list[bytes]:
     """What each id stands for in a text; a text cut at markers is these joined, less the first blank."""
     out = []
@@ -362,45 +373,48 @@ def _gather(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
-        words: Counter = Counter()
+        words: list[pa.Table] = []  # counts of words; rows of a word are added up when there are many
         pieces = np.zeros(own.sp.get_piece_size(), np.int64)
         seen = 0
 
-        def out(kind: int, keys: list[bytes], counts: list[int], doc_ids=None, held=None, texts=None) -> pa.RecordBatch:
+        def out(kind: int, keys, counts, doc_ids=None, held=None, texts=None) -> pa.RecordBatch:
             n = len(keys)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([kind] * n, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()),
                     doc_ids if doc_ids is not None else pa.nulls(n, pa.int64()), held if held is not None else pa.nulls(n, pa.bool_()),
-                    pa.array(texts, pa.string()) if texts else pa.nulls(n, pa.string()),
+                    texts if texts is not None else pa.nulls(n, pa.string()),
                 ],
                 names=["kind", "key", "n", "doc_id", "held_out", "text"],
             )
 
+        nowhere = lambda n: pa.nulls(n, pa.int64())
+
+        def added() -> pa.Table:
+            return pa.TableGroupBy(pa.concat_tables(words), "key", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["key", "n"])
+
         def flush() -> Iterator[pa.RecordBatch]:
-            keys = list(words)
-            for i in range(0, len(keys), 50_000):
-                part = keys[i : i + 50_000]
-                yield out(0, part, [words[k] for k in part])
+            for part in added().to_batches(50_000) if words else []:
+                yield out(0, part.column(0).cast(pa.binary()), part.column(1))
             words.clear()
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = part.column(2).to_pylist()
+            for part in pieces_of(batch, 2):
+                texts, learns = part.column(2), pc.invert(part.column(1))
                 ids = _ids(own, texts)
-                rest = [None if own.separable and MARK not in t else t for t in texts]
+                marked = pc.match_substring(texts, MARK)
+                rest = texts if not own.separable else texts.take(pc.replace_with_mask(nowhere(len(texts)), marked, pa.array(np.flatnonzero(marked))))
                 yield out(4, [x.astype(_kind(len(pieces))).tobytes() for x in ids], [len(x) for x in ids], part.column(0), part.column(1), rest)
-                learnt = [x for x, held in zip(ids, part.column(1).to_pylist(), strict=True) if not held]
+                learnt = [x for x, learn in zip(ids, learns.to_pylist(), strict=True) if learn]
                 if learnt:
                     pieces += np.bincount(np.concatenate(learnt), minlength=len(pieces))
-                for held, text in zip(part.column(1).to_pylist(), texts, strict=True):
-                    if held:
-                        continue
-                    seen += 1
-                    words.update(text.encode().lower().split())
-                if len(words) > _FLUSH:
-                    yield from flush()
+                seen += len(learnt)
+                keys, which, _ = lower_words(texts.filter(learns))
+                words.append(pa.table({"key": keys, "n": np.bincount(which, minlength=len(keys))}))
+                if sum(map(len, words)) > 2 * _FLUSH:
+                    words[:] = [added()]
+                    if len(words[0]) > _FLUSH:
+                        yield from flush()
         yield from flush()
         hit = np.flatnonzero(pieces)
         yield out(1, [struct.pack("<I", i) for i in hit.tolist()], pieces[hit].tolist())
@@ -532,30 +546,31 @@ def score(docs: DataFrame, model_file: str, rounds: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_words, w, c, kind, said = sent.value
-        said = np.array(said, object)
+        said = pa.array(said, pa.large_binary())
         logs = {k: float(np.log10(v + 1)) for k, v in frequent_words.items()}
         scorer = Scorer(w, c)
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
+            for part in pieces_of(batch, 2, 1 << 20):
                 ids = [np.frombuffer(x, kind) for x in part.column(2).to_pylist()]
                 natural = scorer.scores(ids)
-                texts = [b"".join(said[x].tolist())[1:] if t is None else t.encode() for x, t in zip(ids, part.column(3).to_pylist(), strict=True)]
-                n, known, sums, rare, rare_n = [], [], [], [], []
-                for text in texts:
-                    words = text.lower().split()
-                    found = list(map(logs.get, words, repeat(0.0)))  # logarithms of 2 and more, so 0 stands for a word that isn't there
-                    missing = found.count(0.0)
-                    bag = Counter(w for w, v in zip(words, found, strict=True) if not v) if missing else {}
-                    n.append(len(words) + 1)
-                    known.append(len(words) - missing)
-                    sums.append(sum(found))
-                    rare.append(list(bag))
-                    rare_n.append(list(bag.values()))
+                ends = np.cumsum([len(x) for x in ids])
+                joined = said.take(pa.array(np.concatenate(ids)))
+                edges = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1][np.concatenate([[0], ends])].tolist()
+                raw = memoryview(joined.buffers()[2] or b"")
+                # A first blank, which no text has, parts no words.
+                texts = [bytes(raw[a:b]) if t is None else t.encode() for a, b, t in zip(edges, edges[1:], part.column(3).to_pylist(), strict=False)]
+                keys, which, owner = lower_words(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+                each = np.fromiter(map(logs.get, keys.to_numpy(zero_copy_only=False).tolist(), repeat(0.0)), float, len(keys))[which]  # logarithms of 2 and more, so 0 stands for a word that isn't there
+                n = np.bincount(owner, minlength=len(ids)) + 1
+                known = np.bincount(owner[each > 0], minlength=len(ids))
+                sums = np.bincount(owner, weights=each, minlength=len(ids))
+                pairs, rare_n = np.unique(owner[each == 0] * len(keys) + which[each == 0], return_counts=True)
+                lists = np.searchsorted(pairs, np.arange(len(ids) + 1) * len(keys)).astype(np.int32)
+                rare = pa.ListArray.from_arrays(lists, keys.take(pa.array(pairs % max(1, len(keys)))).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()),
-                        pa.array(natural / np.log(10.0), pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64())),
+                        pa.array(natural / np.log(10.0), pa.float64()), rare, pa.ListArray.from_arrays(lists, pa.array(rare_n, pa.int64())),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "known", "sums", "score", "rare", "rare_n"],
                 )

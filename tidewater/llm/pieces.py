@@ -13,11 +13,13 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.chunks import ChunkTable
+from tidewater.llm.chunks import ChunkTable, as_texts, cut_texts
 from tidewater.session import ship
 
 MARK = "▁"
@@ -73,16 +75,17 @@ class PieceCodec:
                 ends.append(-1)
         return words, ends
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, begin and end ids included."""
-        words, ends = self._cut(texts)
-        found, at, out = self.id_table.packed(words), 0, []
-        for text, end in zip(texts, ends, strict=True):
-            if end < 0:
-                body = array("I", self.sp.encode(text) if text else []).tobytes()
-            else:
-                body, at = b"".join(found[at:end]), end
-            out.append(self.begin + body + self.end)
+        texts = as_texts(texts)
+        cuts = ~np.array(pc.match_substring(texts, MARK), bool) & (np.array(pc.binary_length(texts), np.int64) > 0) & self.separable
+        odd = np.array(pc.match_substring_regex(texts, r"\A | \z|  "), bool) & cuts
+        words, sizes, order = cut_texts(texts, cuts & ~odd, odd, marked_words)
+        out = [b""] * len(texts)
+        for i, body in zip(order.tolist(), self.id_table.joined(words, np.cumsum(sizes)), strict=True):
+            out[i] = self.begin + body + self.end
+        for i in np.flatnonzero(~cuts).tolist():
+            out[i] = self.begin + array("I", self.sp.encode(texts[i].as_py())).tobytes() + self.end
         return out
 
     def encode_decode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:

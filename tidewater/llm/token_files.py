@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.chunks import ChunkTable
+from tidewater.llm.chunks import ChunkTable, as_texts, cut_texts
 from tidewater.llm.common import materialise, new_path
 from tidewater.llm.wordhash import pieces_of
 from tidewater.session import ship
@@ -204,23 +204,18 @@ class ByteCodec:
             at = end
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = as_texts(texts)
         if not self.separable:
             return list(self._segment(texts.to_pylist()))
         odd = np.array(pc.match_substring_regex(texts, BESIDE_BLANK), bool)
-        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-        words, sizes = plain.flatten(), np.array(pc.list_value_length(plain), np.int64)
-        if odd.any():
-            apart = [blank_words(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-            words = pa.concat_arrays([words, pa.array([w for ws in apart for w in ws], words.type)])
-            sizes = np.concatenate([sizes, [len(ws) for ws in apart]])
+        words, sizes, order = cut_texts(texts, ~odd, odd, blank_words)
         ends = np.cumsum(sizes)
         first = np.zeros(len(words), bool)
         first[ends - sizes] = True
         heads = self.parts.packed(words.filter(pa.array(first)).to_pylist())
         rests = self.words.joined(words.filter(pa.array(~first)), ends - np.arange(1, len(ends) + 1))
         out: list[bytes] = [b""] * len(texts)
-        for i, head, rest in zip(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]).tolist(), heads, rests, strict=True):
+        for i, head, rest in zip(order.tolist(), heads, rests, strict=True):
             out[i] = head + rest
         return out
 
