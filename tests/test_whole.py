@@ -76,6 +76,35 @@ def test_known_mean_takes_every_row_before_the_test(spark, run):
     assert len(known) > 500 and r["n"] == len(known) and r["historical_mean"] == pytest.approx(sum(known) / len(known), abs=1e-6)
 
 
+def test_the_choice_of_k_takes_every_vector_as_a_query(spark, run):
+    import numpy as np
+
+    rows = sorted(map(tuple, I.vectors(spark, SF).collect()))
+    at, x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    errors = {k: [] for k in (1, 3, 10)}
+    for i, now in enumerate(at):
+        known = np.flatnonzero((at + 12 <= now) & (np.abs(at - now) > 20))
+        near = known[np.argsort(((x[known] - x[i]) ** 2).sum(1), kind="stable")]
+        for k in errors if len(near) else ():
+            errors[k].append(y[near[:k]].mean() - y[i])
+    assert {len(e) for e in errors.values()} == {len(at) - 21}
+    rmse = {k: float(np.sqrt(np.mean(np.square(e)))) for k, e in errors.items()}
+    got = run("knn_selection").first()
+    assert got["k"] == min(rmse, key=lambda k: (rmse[k], k)) and got["rmse"] == pytest.approx(rmse[got["k"]], abs=1e-7)
+
+
+def test_of_errors_that_round_alike_the_least_k_is_chosen(spark, tmp_path):
+    import duckdb
+
+    # three neighbours of 0.7 have a mean a bit below 0.7, so the error of k = 3 is less in its last digits
+    rows = [(i, [float(i)], 0.7 if i < 21 else 0.5) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["knn_selection"]).fetchall()
+    assert [tuple(r) for r in registry.queries()["knn_selection"](spark, str(tmp_path)).collect()] == want == [(1, 0.2)]
+
+
 def test_logistic_map_gives_all_three_series(run):
     from tidewater.sources import synthetic
 
